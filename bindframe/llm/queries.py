@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bindframe.llm import bpe_transducer, quality_rules, sharding
+from bindframe.llm import bpe_transducer, near_dedup, quality_rules, sharding
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -27,6 +27,10 @@ def op2_extendible_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(table(spark, sf_dir, "documents"), SHARD_BYTES)
 
 
+def op7_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_dedup(table(spark, sf_dir, "documents"), k=4, percent=80)
+
+
 def op8_bpe_transducer(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_transducer.encode(table(spark, sf_dir, "documents"), VOCABULARY, digests=True)
 
@@ -38,6 +42,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     "op2_extendible_sharding": op2_extendible_sharding,
+    "op7_near_dedup": op7_near_dedup,
     "op8_bpe_transducer": op8_bpe_transducer,
     "op10_quality_rules": op10_quality_rules,
 }
