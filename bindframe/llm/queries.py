@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bindframe.llm import bpe_transducer, near_dedup, quality_rules, sharding
+from bindframe.llm import bpe_transducer, decontaminate, near_dedup, quality_rules, sharding, substring_dedup
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -27,6 +27,14 @@ def op2_extendible_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(table(spark, sf_dir, "documents"), SHARD_BYTES)
 
 
+def op3_qgram_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.repeated_paragraphs(table(spark, sf_dir, "documents"))
+
+
 def op7_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_dedup(table(spark, sf_dir, "documents"), k=4, percent=80)
 
@@ -42,6 +50,8 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     "op2_extendible_sharding": op2_extendible_sharding,
+    "op3_qgram_decontamination": op3_qgram_decontamination,
+    "op5_substring_dedup": op5_substring_dedup,
     "op7_near_dedup": op7_near_dedup,
     "op8_bpe_transducer": op8_bpe_transducer,
     "op10_quality_rules": op10_quality_rules,
