@@ -153,8 +153,9 @@ def connected_components(links: DataFrame, rounds: int = 40) -> DataFrame:
     round is written to the shared folder. Ids without a link to another id have no row.
     """
 
-    def minima(edges: DataFrame) -> DataFrame:
-        return small_side(stash(edges.groupBy("a").agg(F.min("b").alias("m"))))
+    def with_low(edges: DataFrame, count: int) -> DataFrame:
+        low = edges.groupBy("a").agg(F.min("b").alias("m"))
+        return edges.join(F.broadcast(low) if count <= BROADCAST_ROWS else low, "a")
 
     def mark(edges: DataFrame) -> tuple:
         return tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b") % 1_000_003)).first())
@@ -163,13 +164,11 @@ def connected_components(links: DataFrame, rounds: int = 40) -> DataFrame:
     before = mark(edges)
     for _ in range(rounds if before[0] else 0):
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        low = minima(both)
         # large star: larger neighbours (b > a) move to the smallest of a's neighbourhood
-        large = both.where("b > a").join(low, "a").select(F.col("b").alias("a"), F.least("a", "m").alias("b")).distinct()
-        large = stash(large)
-        low = minima(large)
-        small = large.join(low, "a")
-        edges = stash(small.select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").unionByName(low.select("a", F.col("m").alias("b"))).distinct())
+        large = with_low(both, 2 * before[0]).where("b > a").select(F.col("b").alias("a"), F.least("a", "m").alias("b")).distinct()
+        # small star: a and its smaller neighbours move to the smallest of them
+        small = with_low(large, 2 * before[0]).select(F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e"))
+        edges = stash(small.select("e.a", "e.b").where("a <> b").distinct())
         now = mark(edges)
         if now == before:
             break

@@ -17,10 +17,10 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from bindframe.llm._common import by_run, minhashes, odd_numbers, small_side, stash
+from bindframe.llm._common import by_run, connected_components, minhashes, odd_numbers, small_side, stash
 
 #: Items that one task compares with each other, at most.
-NODE_LIMIT = 160
+NODE_LIMIT = 512
 
 #: Levels of branching before what is still too large is compared block by block.
 DEPTH = 8
@@ -58,7 +58,7 @@ def branch(coords: int, similarity: float) -> Column:
 
 
 def likely_clusters(members: DataFrame, similarity: float, width: int) -> DataFrame:
-    """(node, id, n, bits) of bounded nodes -> (cluster, id): the parts of each node that sketches connect.
+    """(node, id, n, bits) of bounded nodes -> (cluster, id, low): the parts of each node that sketches connect.
 
     Two items are likely if their sizes allow the similarity and their sketches agree to within
     4.5 standard deviations of it, which a true link misses about 3 times in a million.
@@ -68,6 +68,14 @@ def likely_clusters(members: DataFrame, similarity: float, width: int) -> DataFr
     def run(groups: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys: list[int] = []
         ids: list[bytes] = []
+        lows: list[bytes] = []
+
+        def out() -> pa.RecordBatch:
+            batch = pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(ids, pa.binary()), pa.array(lows, pa.binary())], names=["cluster", "id", "low"])
+            for x in (keys, ids, lows):
+                x.clear()
+            return batch
+
         for group in groups:
             own = group.column("id").to_pylist()
             n = group.column("n").to_numpy(zero_copy_only=False)
@@ -83,30 +91,44 @@ def likely_clusters(members: DataFrame, similarity: float, width: int) -> DataFr
                 found = sorted({own[i] for i in np.flatnonzero(part == name)})
                 if len(found) > 1:
                     ids += found
+                    lows += found[:1] * len(found)
                     keys += [xxhash.xxh3_64_intdigest(b"".join(found)) - (1 << 63)] * len(found)
             if len(keys) > 20_000:
-                yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(ids, pa.binary())], names=["cluster", "id"])
-                keys, ids = [], []
-        yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(ids, pa.binary())], names=["cluster", "id"])
+                yield out()
+        yield out()
 
-    return by_run(members, "node", run, "cluster long, id binary").distinct()
+    return by_run(members, "node", run, "cluster long, id binary, low binary").distinct()
 
 
 def candidate_clusters(items: DataFrame, nodes: DataFrame, similarity: float, coords: int, width: int, limit: int = NODE_LIMIT, depth: int = DEPTH) -> DataFrame:
-    """(cluster, id) over items(id, n, sig, bits) and first nodes(node, id)."""
+    """(cluster, id) over items(id, n, sig, bits) and first nodes(node, id): bounded groups that hold every likely pair.
+
+    Clusters that share items are one, so that each item goes to verification once, as long
+    as together they have at most `limit` items; else they stay as they were found.
+    """
     found = None
     for level in range(depth + 1):
         sizes = stash(nodes.groupBy("node").agg(F.count("*").alias("size")).where("size > 1"))
         sized = nodes.join(small_side(sizes), "node")
         small = sized.where(F.col("size") <= limit).select("node", "id").join(items.select("id", "n", "bits"), "id")
-        part = likely_clusters(small.select("node", "id", "n", "bits"), similarity, width)
+        part = stash(likely_clusters(small.select("node", "id", "n", "bits"), similarity, width))
         found = part if found is None else found.unionByName(part)
         if sizes.where(F.col("size") > limit).limit(1).count() == 0:
-            return found.distinct()
+            return _merged(found, limit)
         big = stash(sized.where(F.col("size") > limit).select("node", "id", "size"))
         if level < depth:
             nodes = stash(big.select("node", "id").join(items.select("id", "sig"), "id").select(F.explode(branch(coords, similarity)).alias("node"), "id"))
-    return found.unionByName(likely_clusters(_blocks(big, limit).join(items.select("id", "n", "bits"), "id").select("node", "id", "n", "bits"), similarity, width)).distinct()
+    last = likely_clusters(_blocks(big, limit).join(items.select("id", "n", "bits"), "id").select("node", "id", "n", "bits"), similarity, width)
+    return _merged(found.unionByName(stash(last)), limit)
+
+
+def _merged(found: DataFrame, limit: int) -> DataFrame:
+    """Clusters that share items become one where the whole is small enough."""
+    whole = stash(connected_components(found.select(F.col("id").alias("a"), F.col("low").alias("b"))))
+    large = stash(whole.groupBy("component").agg(F.count("*").alias("size")).where(F.col("size") > limit).select("component"))
+    one = whole.join(small_side(large), "component", "left_anti").select(F.xxhash64("component").alias("cluster"), "id")
+    rest = found.join(whole.join(small_side(large), "component", "left_semi").select("id"), "id", "left_semi").select("cluster", "id").distinct()
+    return one.unionByName(rest)
 
 
 def _blocks(big: DataFrame, limit: int) -> DataFrame:

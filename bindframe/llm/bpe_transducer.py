@@ -30,7 +30,7 @@ from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from bindframe.llm._common import pieces, text_or_empty, to_bytes
+from bindframe.llm._common import pieces, stash, text_or_empty, to_bytes
 
 #: Words that the lexicon holds, at most.
 LEXICON_WORDS = 50_000
@@ -386,8 +386,20 @@ def word_counts(docs: DataFrame, text_col: str = "text", flush: int = 200_000) -
 
 
 def frequent_words(docs: DataFrame, most: int = LEXICON_WORDS, text_col: str = "text") -> list[str]:
-    """The `most` most frequent words of all texts (ties by the word); a bounded list, so it may come to the driver."""
-    return [r["word"] for r in word_counts(docs, text_col).where("length(word) <= 64").orderBy(F.desc("count"), "word").limit(most).collect()]
+    """The most frequent words of all texts, at most `most`: a bounded list, so it may come to the driver.
+
+    A histogram over count classes (eight to an octave) gives the lowest class down to which all
+    words fit, so that no task has to send a list of its own best words.
+    """
+    counts = stash(word_counts(docs, text_col).where("length(word) <= 64"))
+    classed = counts.withColumn("class", F.floor(F.log2("count") * 8).cast("int"))
+    total, lowest = 0, None
+    for row in sorted(classed.groupBy("class").agg(F.count("*").alias("words")).collect(), reverse=True):
+        total += row["words"]
+        if total > most:
+            break
+        lowest = row["class"]
+    return sorted(r["word"] for r in classed.where(F.col("class") >= lowest).select("word").collect()) if lowest is not None else []
 
 
 def build_lexicon(docs: DataFrame, vocabulary: str, most: int = LEXICON_WORDS, text_col: str = "text") -> str:

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bindframe.llm import bpe_transducer, decontaminate, near_dedup, quality_rules, sharding, substring_dedup
+from bindframe.llm import bpe_transducer, decontaminate, near_dedup, quality_cnn, quality_rules, sharding, substring_dedup, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -31,10 +31,18 @@ def op3_qgram_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op4_ordinal_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.severity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.repeated_paragraphs(table(spark, sf_dir, "documents"))
 
 
+def op6_byte_network(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_cnn.quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op7_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_dedup(table(spark, sf_dir, "documents"), k=4, percent=80)
 
@@ -51,7 +59,9 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Query] = {
     "op2_extendible_sharding": op2_extendible_sharding,
     "op3_qgram_decontamination": op3_qgram_decontamination,
+    "op4_ordinal_toxicity": op4_ordinal_toxicity,
     "op5_substring_dedup": op5_substring_dedup,
+    "op6_byte_network": op6_byte_network,
     "op7_near_dedup": op7_near_dedup,
     "op8_bpe_transducer": op8_bpe_transducer,
     "op10_quality_rules": op10_quality_rules,
