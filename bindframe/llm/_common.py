@@ -39,6 +39,12 @@ def stash(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def stash_narrow(df: DataFrame) -> DataFrame:
+    """stash() for rows of a few numbers that come out of a shuffle: fewer files than shuffle partitions."""
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return stash(df.coalesce(max(6, n // 16)))
+
+
 def small_side(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     """df with a broadcast hint if it is counted to have at most so many rows, else df as it is."""
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
@@ -160,7 +166,7 @@ def connected_components(links: DataFrame, rounds: int = 40) -> DataFrame:
     def mark(edges: DataFrame) -> tuple:
         return tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b") % 1_000_003)).first())
 
-    edges = stash(links.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
+    edges = stash_narrow(links.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     before = mark(edges)
     for _ in range(rounds if before[0] else 0):
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
@@ -168,7 +174,7 @@ def connected_components(links: DataFrame, rounds: int = 40) -> DataFrame:
         large = with_low(both, 2 * before[0]).where("b > a").select(F.col("b").alias("a"), F.least("a", "m").alias("b")).distinct()
         # small star: a and its smaller neighbours move to the smallest of them
         small = with_low(large, 2 * before[0]).select(F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e"))
-        edges = stash(small.select("e.a", "e.b").where("a <> b").distinct())
+        edges = stash_narrow(small.select("e.a", "e.b").where("a <> b").distinct())
         now = mark(edges)
         if now == before:
             break

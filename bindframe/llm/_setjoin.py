@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from bindframe.llm._common import by_run, connected_components, minhashes, odd_numbers, small_side, stash
+from bindframe.llm._common import by_run, connected_components, minhashes, odd_numbers, small_side, stash, stash_narrow
 
 #: Items that one task compares with each other, at most.
 NODE_LIMIT = 512
@@ -108,10 +108,10 @@ def candidate_clusters(items: DataFrame, nodes: DataFrame, similarity: float, co
     """
     found = None
     for level in range(depth + 1):
-        sizes = stash(nodes.groupBy("node").agg(F.count("*").alias("size")).where("size > 1"))
+        sizes = stash_narrow(nodes.groupBy("node").agg(F.count("*").alias("size")).where("size > 1"))
         sized = nodes.join(small_side(sizes), "node")
         small = sized.where(F.col("size") <= limit).select("node", "id").join(items.select("id", "n", "bits"), "id")
-        part = stash(likely_clusters(small.select("node", "id", "n", "bits"), similarity, width))
+        part = stash_narrow(likely_clusters(small.select("node", "id", "n", "bits"), similarity, width))
         found = part if found is None else found.unionByName(part)
         if sizes.where(F.col("size") > limit).limit(1).count() == 0:
             return _merged(found, limit)
@@ -119,15 +119,15 @@ def candidate_clusters(items: DataFrame, nodes: DataFrame, similarity: float, co
         if level < depth:
             nodes = stash(big.select("node", "id").join(items.select("id", "sig"), "id").select(F.explode(branch(coords, similarity)).alias("node"), "id"))
     last = likely_clusters(_blocks(big, limit).join(items.select("id", "n", "bits"), "id").select("node", "id", "n", "bits"), similarity, width)
-    return _merged(found.unionByName(stash(last)), limit)
+    return _merged(found.unionByName(stash_narrow(last)), limit)
 
 
 def _merged(found: DataFrame, limit: int) -> DataFrame:
     """Clusters that share items become one where the whole is small enough."""
-    whole = stash(connected_components(found.select(F.col("id").alias("a"), F.col("low").alias("b"))))
-    large = stash(whole.groupBy("component").agg(F.count("*").alias("size")).where(F.col("size") > limit).select("component"))
-    one = whole.join(small_side(large), "component", "left_anti").select(F.xxhash64("component").alias("cluster"), "id")
-    rest = found.join(whole.join(small_side(large), "component", "left_semi").select("id"), "id", "left_semi").select("cluster", "id").distinct()
+    whole = stash_narrow(connected_components(found.select(F.col("id").alias("a"), F.col("low").alias("b"))))
+    sized = stash_narrow(whole.join(whole.groupBy("component").agg((F.count("*") > limit).alias("large")), "component"))
+    one = sized.where("not large").select(F.xxhash64("component").alias("cluster"), "id")
+    rest = found.join(sized.where("large").select("id"), "id", "left_semi").select("cluster", "id").distinct()
     return one.unionByName(rest)
 
 
@@ -145,7 +145,7 @@ def exact_links(clusters: DataFrame, places: DataFrame, docs: DataFrame, sets_of
     clusters(cluster, id); places(id, doc_id): a document that holds the set; docs(doc_id, text).
     sets_of gives the sets of a text; those that are wanted are made again, in the scan.
     """
-    wanted = stash(clusters.join(places, "id").groupBy("doc_id").agg(F.collect_list("id").alias("ids"), F.collect_list("cluster").alias("clusters")))
+    wanted = stash_narrow(clusters.join(places, "id").groupBy("doc_id").agg(F.collect_list("id").alias("ids"), F.collect_list("cluster").alias("clusters")))
     texts = docs.join(small_side(wanted), "doc_id").select("text", "ids", "clusters")
 
     def again(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

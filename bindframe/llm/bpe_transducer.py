@@ -333,6 +333,14 @@ class Encoder:
             found = self.units(text)
             units += found
             n_units.append(len(found))
+        at = self.places(units)
+        counts = self.counts[at]
+        ids = self.ids[spread(self.first[at], counts)]
+        ends = np.concatenate([[0], np.cumsum(counts)])
+        return ids, ends[np.concatenate([[0], np.cumsum(n_units)]).astype(np.int64)]
+
+    def places(self, units: list[str]) -> np.ndarray:
+        """Each unit's place in the memo (its ids are `counts` long from `first`), learnt where new."""
         if len(self.memo) > self.memo_words:
             self.reset()
         at = np.fromiter(map(self.memo.get, units, repeat(-1)), np.int64, len(units))
@@ -340,10 +348,7 @@ class Encoder:
         if missing:
             self.learn(list(dict.fromkeys(units[i] for i in missing)))
             at[missing] = [self.memo[units[i]] for i in missing]
-        counts = self.counts[at]
-        ids = self.ids[spread(self.first[at], counts)]
-        ends = np.concatenate([[0], np.cumsum(counts)])
-        return ids, ends[np.concatenate([[0], np.cumsum(n_units)]).astype(np.int64)]
+        return at
 
     def learn(self, new: list[str]) -> None:
         """Put the ids of new units into the memo."""
@@ -385,21 +390,35 @@ def word_counts(docs: DataFrame, text_col: str = "text", flush: int = 200_000) -
     return docs.select(text_or_empty(text_col).alias("text")).mapInArrow(run, "word string, count long").groupBy("word").agg(F.sum("count").alias("count"))
 
 
-def frequent_words(docs: DataFrame, most: int = LEXICON_WORDS, text_col: str = "text") -> list[str]:
-    """The most frequent words of all texts, at most `most`: a bounded list, so it may come to the driver.
+def most_frequent(counts: DataFrame, most: int) -> DataFrame:
+    """Rows of counts(word, count) with the highest counts, at most `most`: a bounded set, so it may come to the driver.
 
     A histogram over count classes (eight to an octave) gives the lowest class down to which all
     words fit, so that no task has to send a list of its own best words.
     """
-    counts = stash(word_counts(docs, text_col).where("length(word) <= 64"))
     classed = counts.withColumn("class", F.floor(F.log2("count") * 8).cast("int"))
-    total, lowest = 0, None
+    total, lowest = 0, 1 << 20
     for row in sorted(classed.groupBy("class").agg(F.count("*").alias("words")).collect(), reverse=True):
         total += row["words"]
         if total > most:
             break
         lowest = row["class"]
-    return sorted(r["word"] for r in classed.where(F.col("class") >= lowest).select("word").collect()) if lowest is not None else []
+    return classed.where(F.col("class") >= lowest).drop("class")
+
+
+def frequent_words(docs: DataFrame, most: int = LEXICON_WORDS, text_col: str = "text") -> list[str]:
+    """The most frequent words of all texts, at most `most`."""
+    counts = stash(word_counts(docs, text_col).where("length(word) <= 64"))
+    return sorted(r["word"] for r in most_frequent(counts, most).select("word").collect())
+
+
+def distribute(lexicon: Lexicon, df: DataFrame) -> str:
+    """Hand a lexicon's file to Spark, which brings it to every executor; returns the file's name."""
+    name = f"lexicon-{uuid.uuid4().hex}.bin"
+    path = os.path.join(tempfile.mkdtemp(prefix="lexicon-"), name)
+    lexicon.save(path)
+    df.sparkSession.sparkContext.addFile(path)
+    return name
 
 
 def build_lexicon(docs: DataFrame, vocabulary: str, most: int = LEXICON_WORDS, text_col: str = "text") -> str:
@@ -407,11 +426,7 @@ def build_lexicon(docs: DataFrame, vocabulary: str, most: int = LEXICON_WORDS, t
     words: dict[str, None] = {}
     for word in frequent_words(docs, most, text_col):
         words.update(dict.fromkeys(_SPLIT.findall(" " + word)))
-    name = f"lexicon-{uuid.uuid4().hex}.bin"
-    path = os.path.join(tempfile.mkdtemp(prefix="lexicon-"), name)
-    Lexicon.compile(Vocabulary(vocabulary), list(words)).save(path)
-    docs.sparkSession.sparkContext.addFile(path)
-    return name
+    return distribute(Lexicon.compile(Vocabulary(vocabulary), list(words)), docs)
 
 
 _ENCODERS: dict[str, Encoder] = {}

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from bindframe.llm._common import WordHashes, connected_components, pieces, shingles, stash, text_or_empty, to_bytes
+from bindframe.llm._common import WordHashes, connected_components, pieces, shingles, small_side, stash, stash_narrow, text_or_empty, to_bytes
 from bindframe.llm._setjoin import Sketcher, candidate_clusters, coordinate, digest, exact_links
 
 COORDS, WIDTH = 64, 128
@@ -83,14 +83,12 @@ def near_dedup(docs: DataFrame, k: int = 5, percent: int = 80, recall: float = 0
     first = F.array(*[F.expr(f"xxhash64({t}, {j}, {coordinate(str(j % COORDS))})") for t, j in roots])
     nodes = items.select(F.explode(first).alias("node"), "id")
 
-    clusters = stash(candidate_clusters(items, nodes, similarity, COORDS, WIDTH))
-    links = stash(exact_links(clusters, items.select("id", "doc_id"), slim, lambda text: iter([shingle_set(text, k)]), percent))
-    linked = connected_components(links)
-    linked = stash(linked.join(items.select("id", "doc_id"), "id"))
-    lowest = stash(linked.groupBy("component").agg(F.min("doc_id").alias("low")))
-    # members of a component find its lowest document: one row per item, components of any size
-    named = stash(items.select("id", "doc_id").join(linked.select("id", "component"), "id", "left"))
-    named = stash(named.join(lowest, "component", "left").select("id", F.coalesce("low", "doc_id").alias("low")))
+    clusters = stash_narrow(candidate_clusters(items, nodes, similarity, COORDS, WIDTH))
+    links = exact_links(clusters, items.select("id", "doc_id"), slim, lambda text: iter([shingle_set(text, k)]), percent)
+    linked = stash_narrow(connected_components(links).join(items.select("id", "doc_id"), "id"))
+    lowest = linked.groupBy("component").agg(F.min("doc_id").alias("low"))
+    low = stash_narrow(linked.select("id", "component").join(lowest, "component").select("id", "low"))
+    named = stash_narrow(items.select("id", "doc_id").join(low, "id", "left").select("id", F.coalesce("low", "doc_id").alias("low")))
     out = feats.select("doc_id", "n_shingles", "id").join(named, "id", "left")
     out = out.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNull(), None).otherwise(F.coalesce("low", "doc_id")).alias("component_id"))
     return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
@@ -99,5 +97,5 @@ def near_dedup(docs: DataFrame, k: int = 5, percent: int = 80, recall: float = 0
 def keep_one(docs: DataFrame, k: int = 5, percent: int = 80, recall: float = 0.999, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of docs, all columns, that stay: those with the smallest id of their group; rows without an id stay."""
     groups = near_dedup(docs, k, percent, recall, id_col, text_col)
-    gone = stash(groups.where("not kept").select(F.col("doc_id").alias("_gone")).distinct())
-    return docs.join(gone, docs[id_col] == gone["_gone"], "left_anti")
+    gone = stash_narrow(groups.where("not kept").select(F.col("doc_id").alias("_gone")).distinct())
+    return docs.join(small_side(gone), docs[id_col] == gone["_gone"], "left_anti")

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bindframe.llm import bpe_transducer, decontaminate, near_dedup, quality_cnn, quality_rules, sharding, substring_dedup, toxicity
+from bindframe.llm import attention_lm, bpe_transducer, decontaminate, near_dedup, quality_cnn, quality_rules, sharding, substring_dedup, token_counts, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -23,6 +23,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_edit_aware_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.edited_counts(table(spark, sf_dir, "documents"), VOCABULARY)
+
+
 def op2_extendible_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(table(spark, sf_dir, "documents"), SHARD_BYTES)
 
@@ -51,12 +55,17 @@ def op8_bpe_transducer(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_transducer.encode(table(spark, sf_dir, "documents"), VOCABULARY, digests=True)
 
 
+def op9_attention_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return attention_lm.score(table(spark, sf_dir, "documents"), VOCABULARY)
+
+
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = quality_rules.quality_rules(table(spark, sf_dir, "documents"))
     return out.select("doc_id", *quality_rules.MEASURES, "base_failed", "kept")
 
 
 QUERIES: dict[str, Query] = {
+    "op1_edit_aware_counts": op1_edit_aware_counts,
     "op2_extendible_sharding": op2_extendible_sharding,
     "op3_qgram_decontamination": op3_qgram_decontamination,
     "op4_ordinal_toxicity": op4_ordinal_toxicity,
@@ -64,6 +73,7 @@ QUERIES: dict[str, Query] = {
     "op6_byte_network": op6_byte_network,
     "op7_near_dedup": op7_near_dedup,
     "op8_bpe_transducer": op8_bpe_transducer,
+    "op9_attention_lm": op9_attention_lm,
     "op10_quality_rules": op10_quality_rules,
 }
 

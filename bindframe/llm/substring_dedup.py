@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from bindframe.llm._common import WordHashes, connected_components, pieces, shingles, small_side, stash, text_or_empty, to_bytes
+from bindframe.llm._common import WordHashes, connected_components, pieces, shingles, small_side, stash, stash_narrow, text_or_empty, to_bytes
 from bindframe.llm._setjoin import Sketcher, candidate_clusters, digest, exact_links
 
 BANDS, ROWS, WIDTH = 12, 3, 64
@@ -68,21 +68,21 @@ def repeated_paragraphs(docs: DataFrame, k: int = 5, percent: int = 80, min_word
     width = 4 * rows
     keys = F.array(*[F.expr(f"xxhash64({b}, substring(sig, {b * width + 1}, {width}))") for b in range(bands)])
     nodes = items.select(F.explode(keys).alias("node"), "id")
-    clusters = stash(candidate_clusters(items, nodes, percent / 100, bands * rows, WIDTH))
+    clusters = stash_narrow(candidate_clusters(items, nodes, percent / 100, bands * rows, WIDTH))
     places = items.select("id", F.col("place.doc_id").alias("doc_id"))
-    links = stash(exact_links(clusters, places, slim, lambda text: (s for _, _, s in paragraphs(text, k, min_words)), percent))
-    linked = stash(connected_components(links).join(items.select("id", "place"), "id"))
-    first = stash(linked.groupBy("component").agg(F.min("place").alias("first")))
-    linked = linked.select("id", "component").join(small_side(first), "component").select("id", "first")
+    links = exact_links(clusters, places, slim, lambda text: (s for _, _, s in paragraphs(text, k, min_words)), percent)
+    linked = stash_narrow(connected_components(links).join(items.select("id", "place"), "id"))
+    first = linked.groupBy("component").agg(F.min("place").alias("first"))
+    linked = linked.select("id", "component").join(first, "component").select("id", "first")
     named = items.join(linked, "id", "left").where("copies > 1 or first is not null").select("id", F.coalesce("first", "place").alias("keeper"))
-    out = feats.select("doc_id", "paragraph", "n_words", "id").join(stash(named), "id")
+    out = feats.select("doc_id", "paragraph", "n_words", "id").join(stash_narrow(named), "id")
     return out.select("doc_id", "paragraph", "n_words", F.col("keeper.doc_id").alias("kept_doc_id"), F.col("keeper.paragraph").alias("kept_paragraph"), (F.struct("doc_id", "paragraph") != F.col("keeper")).alias("removed"))
 
 
 def remove_repeats(docs: DataFrame, k: int = 5, percent: int = 80, min_words: int = 50, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs, all columns, without the paragraphs that repeat an earlier one; documents with no word left go."""
     found = repeated_paragraphs(docs, k, percent, min_words, id_col=id_col, text_col=text_col).where("removed")
-    gone = stash(found.groupBy(F.col("doc_id").alias("_id")).agg(F.collect_set("paragraph").alias("_gone")))
+    gone = stash_narrow(found.groupBy(F.col("doc_id").alias("_id")).agg(F.collect_set("paragraph").alias("_gone")))
     lines = F.filter(F.split(F.col(text_col), "\n", -1), lambda x, i: ~F.array_contains("_gone", i))
     joined = docs.join(small_side(gone), docs[id_col] == gone["_id"], "left")
     text = F.when(F.col("_gone").isNull(), F.col(text_col)).otherwise(F.array_join(lines, "\n"))
