@@ -1,0 +1 @@
+"""streaming of binding-data work."""
