@@ -20,7 +20,10 @@ from pyspark.sql import functions as F
 from bindframe.llm._common import by_run, connected_components, minhashes, odd_numbers, small_side, stash, stash_narrow
 
 #: Items that one task compares with each other, at most.
-NODE_LIMIT = 512
+NODE_LIMIT = 1024
+
+#: Items of clusters that are merged for verification, at most.
+MERGE_LIMIT = 512
 
 #: Levels of branching before what is still too large is compared block by block.
 DEPTH = 8
@@ -104,7 +107,7 @@ def candidate_clusters(items: DataFrame, nodes: DataFrame, similarity: float, co
     """(cluster, id) over items(id, n, sig, bits) and first nodes(node, id): bounded groups that hold every likely pair.
 
     Clusters that share items are one, so that each item goes to verification once, as long
-    as together they have at most `limit` items; else they stay as they were found.
+    as together they have at most MERGE_LIMIT items; else they stay as they were found.
     """
     found = None
     for level in range(depth + 1):
@@ -114,15 +117,15 @@ def candidate_clusters(items: DataFrame, nodes: DataFrame, similarity: float, co
         part = stash_narrow(likely_clusters(small.select("node", "id", "n", "bits"), similarity, width))
         found = part if found is None else found.unionByName(part)
         if sizes.where(F.col("size") > limit).limit(1).count() == 0:
-            return _merged(found, limit)
+            return _merged(found)
         big = stash(sized.where(F.col("size") > limit).select("node", "id", "size"))
         if level < depth:
             nodes = stash(big.select("node", "id").join(items.select("id", "sig"), "id").select(F.explode(branch(coords, similarity)).alias("node"), "id"))
     last = likely_clusters(_blocks(big, limit).join(items.select("id", "n", "bits"), "id").select("node", "id", "n", "bits"), similarity, width)
-    return _merged(found.unionByName(stash_narrow(last)), limit)
+    return _merged(found.unionByName(stash_narrow(last)))
 
 
-def _merged(found: DataFrame, limit: int) -> DataFrame:
+def _merged(found: DataFrame, limit: int = MERGE_LIMIT) -> DataFrame:
     """Clusters that share items become one where the whole is small enough."""
     whole = stash_narrow(connected_components(found.select(F.col("id").alias("a"), F.col("low").alias("b"))))
     sized = stash_narrow(whole.join(whole.groupBy("component").agg((F.count("*") > limit).alias("large")), "component"))
