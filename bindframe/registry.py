@@ -6,12 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from bindframe.plans import intervals, replicates, sites
+from bindframe.plans import intervals, replicates, sites, tables
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 QUERIES: dict[str, Query] = {}
 ORACLE_SQL: dict[str, str] = {}
-for _part in (intervals, sites, replicates):
+for _part in (intervals, sites, replicates, tables):
     QUERIES |= _part.QUERIES
     ORACLE_SQL |= _part.ORACLE_SQL

@@ -64,7 +64,7 @@ def pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "orders").selectExpr(
         "concat('s', cast(o_orderkey as string)) as name", "case o_orderkey % 3 when 0 then 'cooperative' when 1 then 'independent' else 'anticooperative' end as label",
         "cast(4 + o_custkey % 21 as int) as distance", "case o_custkey % 3 when 0 then 'HH' when 1 then 'TT' else 'HT/TH' end as orientation",
-        "round(o_totalprice / 100000, 4) as str_score", "round(o_totalprice / 200000, 4) as wk_score", "(o_orderkey * 7919 % 1000) / 1000.0D as probability", "o_custkey as grp")
+        "o_totalprice / 100000 as str_score", "o_totalprice / 200000 as wk_score", "(o_orderkey * 7919 % 1000) / 1000.0D as probability", "o_custkey as grp")
 
 
 #: The same tables for DuckDB, as common table expressions.
@@ -76,7 +76,7 @@ SQL = {
     "sequences": "bases AS (SELECT doc_id, translate(regexp_replace(lower(coalesce(text, '')), '[^a-z]', '', 'g'), 'abcdefghijklmnopqrstuvwxyz', 'ACGTACGTACGTACGTACGTACGTAC') AS seq FROM documents), sequences AS (SELECT concat(doc_id, '_', tile) AS key, substr(seq, (1 + 36 * tile)::INT, 36) AS sequence FROM (SELECT doc_id, seq, unnest(range(0, (length(seq) + 35) // 36)) AS tile FROM bases))",
     "probes": "probes AS (SELECT concat('p', CAST(l_partkey AS VARCHAR)) AS name, CASE rn % 4 WHEN 0 THEN 'wt' WHEN 1 THEN 'm1' WHEN 2 THEN 'm2' ELSE 'm3' END AS type, CASE WHEN (rn // 4) % 2 = 0 THEN 'o1' ELSE 'o2' END AS ori, 1 + rn // 8 AS rep, l_extendedprice AS intensity, l_quantity AS quantity FROM (SELECT *, row_number() OVER (PARTITION BY l_partkey ORDER BY l_orderkey, l_linenumber, l_suppkey, l_extendedprice, l_quantity, l_shipdate) - 1 AS rn, count(*) OVER (PARTITION BY l_partkey) AS n FROM lineitem) WHERE n >= 24 AND rn < 24)",
     "controls": "controls AS (SELECT concat('n', CAST(l_partkey AS VARCHAR)) AS name, CASE WHEN l_linenumber % 2 = 0 THEN 'o1' ELSE 'o2' END AS ori, l_extendedprice AS intensity FROM (SELECT *, count(*) OVER (PARTITION BY l_partkey) AS n FROM lineitem) WHERE n < 24)",
-    "pairs": "pairs AS (SELECT concat('s', CAST(o_orderkey AS VARCHAR)) AS name, CASE o_orderkey % 3 WHEN 0 THEN 'cooperative' WHEN 1 THEN 'independent' ELSE 'anticooperative' END AS label, CAST(4 + o_custkey % 21 AS INT) AS distance, CASE o_custkey % 3 WHEN 0 THEN 'HH' WHEN 1 THEN 'TT' ELSE 'HT/TH' END AS orientation, round(o_totalprice / 100000, 4) AS str_score, round(o_totalprice / 200000, 4) AS wk_score, (o_orderkey * 7919 % 1000) / 1000.0::DOUBLE AS probability, o_custkey AS grp FROM orders)",
+    "pairs": "pairs AS (SELECT concat('s', CAST(o_orderkey AS VARCHAR)) AS name, CASE o_orderkey % 3 WHEN 0 THEN 'cooperative' WHEN 1 THEN 'independent' ELSE 'anticooperative' END AS label, CAST(4 + o_custkey % 21 AS INT) AS distance, CASE o_custkey % 3 WHEN 0 THEN 'HH' WHEN 1 THEN 'TT' ELSE 'HT/TH' END AS orientation, o_totalprice / 100000 AS str_score, o_totalprice / 200000 AS wk_score, (o_orderkey * 7919 % 1000) / 1000.0::DOUBLE AS probability, o_custkey AS grp FROM orders)",
 }
 
 
