@@ -65,9 +65,9 @@ def apply_edits(text: str, edits: list[Edit]) -> str:
 class PretokenTree:
     """Blocks of pre-tokens under a tree of sums of characters and tokens."""
 
-    def __init__(self, text: str, coder: Encoder):
+    def __init__(self, text: str, coder: Encoder, units: list[str] | None = None):
         self.text, self.coder = text, coder
-        units, sizes, tokens = self.measure(text)
+        units, sizes, tokens = self.measure(text, units)
         n = max(1, -(-len(units) // BLOCK))
         self.leaves = 1 << (n - 1).bit_length()
         self.blocks: list[list[tuple[int, int]]] = [list(zip(sizes[i * BLOCK : (i + 1) * BLOCK], tokens[i * BLOCK : (i + 1) * BLOCK], strict=True)) for i in range(n)]
@@ -79,9 +79,9 @@ class PretokenTree:
             self.sums[i] = self.sums[2 * i] + self.sums[2 * i + 1]
         self.reencoded = 0
 
-    def measure(self, text: str) -> tuple[list[str], list[int], list[int]]:
-        """Units of a text, their characters, and their tokens."""
-        units = self.coder.units(text)
+    def measure(self, text: str, units: list[str] | None = None) -> tuple[list[str], list[int], list[int]]:
+        """Units of a text (found here if not given), their characters, and their tokens."""
+        units = self.coder.units(text) if units is None else units
         at = self.coder.places(units)
         tokens = self.coder.counts[at].tolist()
         return units, [len(u) - 8 if u.startswith("\0special") and u[8:] in self.coder.lexicon.special else len(u) for u in units], tokens
@@ -172,13 +172,13 @@ class PretokenTree:
             level = sorted({node // 2 for node in level} - {0})
 
 
-def counts_after(text: str, edits: list[Edit], coder: Encoder) -> tuple[int, int, int]:
+def counts_after(text: str, edits: list[Edit], coder: Encoder, units: list[str] | None = None) -> tuple[int, int, int]:
     """Tokens before and after the edits, and characters that were encoded again."""
     if not edits:
-        at = coder.places(coder.units(text))
+        at = coder.places(coder.units(text) if units is None else units)
         total = int(coder.counts[at].sum())
         return total, total, 0
-    tree = PretokenTree(text, coder)
+    tree = PretokenTree(text, coder, units)
     before, shift = tree.tokens, 0
     for start, end, new in sorted(edits):
         tree.replace(start + shift, end + shift, new)
@@ -198,10 +198,12 @@ def edited_counts(docs: DataFrame, vocabulary: str, edits_col: str | None = None
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = encoder(name)
         for part in pieces(batches, "text"):
-            rows = []
-            for text, given in zip(part.column("text").to_pylist(), part.column("edits").to_pylist(), strict=True):
+            rows, texts = [], part.column("text").to_pylist()
+            found = [coder.units(t) for t in texts]
+            coder.places([u for units in found for u in units])  # what is new in the piece is learnt at once
+            for text, units, given in zip(texts, found, part.column("edits").to_pylist(), strict=True):
                 own = find_edits(text) if edits_col is None else sorted((e["start"], e["end"], e["text"] or "") for e in given or ())
-                rows.append((len(own), *counts_after(text, own, coder)))
+                rows.append((len(own), *counts_after(text, own, coder, units)))
             columns = list(zip(*rows, strict=True)) or [()] * 4
             yield pa.RecordBatch.from_arrays([part.column("doc_id"), *(pa.array(c, pa.int64()) for c in columns)], names=["doc_id", "n_edits", "n_tokens", "n_tokens_edited", "n_chars_reencoded"])
 
