@@ -165,6 +165,19 @@ def test_substring_dedup(docs, empty, texts):
     assert substring_dedup.repeated_paragraphs(empty).count() == 0
 
 
+def test_substring_dedup_over_lines_and_inside_lines(spark):
+    run, wide = words(54, 900), words(57, 901)
+    rows = [(1, " ".join(words(80, 902) + run + words(80, 903))), (2, "a title\n" + " ".join(run[:15]) + "\n" + " ".join(run[15:]) + "\nan end"), (3, " ".join(words(90, 904) + run + words(70, 905)))]
+    lines = ["\n".join(" ".join(x[i : i + 19]) for i in (0, 19, 38)) for x in (wide, [*wide[:28], "changed", *wide[29:]])]
+    rows += [(4, lines[0]), (5, lines[1]), (6, " ".join(words(300, 906))), (7, "same " * 200), (8, "same " * 49)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = as_rows(substring_dedup.repeated_paragraphs(docs))
+    found = {(g["doc_id"], g["start"], g["n_words"]): (g["kept_doc_id"], g["kept_paragraph"]) for g in got if g["removed"]}
+    assert found == {(2, 2, 54): (1, 0), (3, 90, 54): (1, 0), (5, 0, 57): (4, 0), (7, 50, 150): (7, 0)}
+    left = {r.doc_id: r.text for r in substring_dedup.remove_repeats(docs).collect()}
+    assert left == {1: rows[0][1], 2: "a title\nan end", 3: " ".join(words(90, 904) + words(70, 905)), 4: lines[0], 6: rows[5][1], 7: "same " * 50, 8: rows[7][1]}
+
+
 def test_decontamination(spark, docs, empty):
     items = spark.createDataFrame([(7, ITEM, "z"), (8, None, "z"), (9, "short", "z"), (10, "", "z"), (11, "nothing like this is anywhere in any of the documents at all", "z")], "item_id long, text string, edits string")
     got = as_rows(decontaminate.contaminated(docs, items))
