@@ -312,6 +312,25 @@ def test_language_model(docs, empty, texts):
     assert attention_lm.score(empty, VOCABULARY).count() == 0
 
 
+def test_language_model_trains_on_all_windows(docs, texts, monkeypatch):
+    assert 2 * attention_lm.OVERLAP >= attention_lm.WINDOW
+    seen, train = [], attention_lm.train_model
+
+    def train_model(slim, lexicon, own, unit_counts):
+        seen.append((sum(attention_lm.unpacked([r.window])[2].sum() for r in attention_lm.training_windows(slim, lexicon, own).collect()), unit_counts.sum() - 0.1 * (len(own) + 1) - 1e-3 * attention_lm.UNITS))  # without the smoothing
+        return train(slim, lexicon, own, unit_counts)
+
+    monkeypatch.setattr(attention_lm, "train_model", train_model)
+    attention_lm.score(docs, VOCABULARY, frequent=50)
+    assert len(seen) == 1 and seen[0][0] == round(seen[0][1]) > 0
+
+
+def test_packed_windows_are_the_same():
+    x, y, scored, _ = attention_lm.windows(np.arange(300) % 90, np.array([0, 1, 23, 24, 25, 200, 27]))
+    got = attention_lm.unpacked([r.tobytes() for r in attention_lm.packed(x, y, scored)])
+    assert (got[0] == x).all() and (got[2] == scored).all() and (got[1][scored] == y[scored]).all()
+
+
 def test_windows_score_each_target_once():
     sizes = np.array([0, 1, 31, 32, 33, 200])
     x, y, scored, doc = attention_lm.windows(np.arange(sizes.sum()), sizes)
