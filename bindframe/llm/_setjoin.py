@@ -103,11 +103,12 @@ def likely_clusters(members: DataFrame, similarity: float, width: int) -> DataFr
     return by_run(members, "node", run, "cluster long, id binary, low binary").distinct()
 
 
-def candidate_clusters(items: DataFrame, nodes: DataFrame, similarity: float, coords: int, width: int, limit: int = NODE_LIMIT, depth: int = DEPTH) -> DataFrame:
+def candidate_clusters(items: DataFrame, nodes: DataFrame, similarity: float, coords: int, width: int, limit: int = NODE_LIMIT, depth: int = DEPTH, *, trees: int = 1) -> DataFrame:
     """(cluster, id) over items(id, n, sig, bits) and first nodes(node, id): bounded groups that hold every likely pair.
 
     Clusters that share items are one, so that each item goes to verification once, as long
-    as together they have at most MERGE_LIMIT items; else they stay as they were found.
+    as together they have at most MERGE_LIMIT items; else they stay as they were found. First nodes over
+    the limit branch in so many independent trees.
     """
     found = None
     for level in range(depth + 1):
@@ -120,7 +121,10 @@ def candidate_clusters(items: DataFrame, nodes: DataFrame, similarity: float, co
             return _merged(found)
         big = stash(sized.where(F.col("size") > limit).select("node", "id", "size"))
         if level < depth:
-            nodes = stash(big.select("node", "id").join(items.select("id", "sig"), "id").select(F.explode(branch(coords, similarity)).alias("node"), "id"))
+            apart = big.select("node", "id")
+            if level == 0 and trees > 1:
+                apart = apart.select(F.explode(F.array(*[F.xxhash64("node", F.lit(t)) for t in range(trees)])).alias("node"), "id")
+            nodes = stash(apart.join(items.select("id", "sig"), "id").select(F.explode(branch(coords, similarity)).alias("node"), "id"))
     last = likely_clusters(_blocks(big, limit).join(items.select("id", "n", "bits"), "id").select("node", "id", "n", "bits"), similarity, width)
     return _merged(found.unionByName(stash_narrow(last)))
 

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from bindframe.llm._common import WordHashes, connected_components, pieces, shingles, small_side, stash, stash_narrow, text_or_empty, to_bytes
-from bindframe.llm._setjoin import Sketcher, candidate_clusters, coordinate, digest, exact_links
+from bindframe.llm._setjoin import DEPTH, Sketcher, candidate_clusters, coordinate, digest, exact_links
 
 COORDS, WIDTH = 64, 128
 
@@ -41,8 +41,8 @@ def survival(similarity: float, depth: int) -> float:
     return q
 
 
-def trees_for(similarity: float, recall: float = 0.999, depth: int = 4) -> int:
-    """Independent trees that find a pair at the threshold with that probability, at that depth."""
+def trees_for(similarity: float, recall: float = 0.999, depth: int = DEPTH + 1) -> int:
+    """Independent trees that find a pair at the threshold with that probability, at that depth: as given, the root and all branching."""
     return math.ceil(math.log(1 - recall) / math.log(1 - survival(similarity, depth)))
 
 

@@ -3,7 +3,8 @@
 A paragraph is a line of at least `min_words` words, or a stretch of shorter lines without a
 blank line that has as many together; equal shingle sets are one item. Each
 item is dealt to `bands` buckets of `rows` minwise values each. At similarity s a pair shares a
-bucket with probability 1 - (1 - s^rows)^bands: 0.9998 at 0.8 with 12 bands of 3. Paragraphs
+bucket with probability 1 - (1 - s^rows)^bands: 0.9998 at 0.8 with 12 bands of 3. Buckets over the
+limit branch in as many trees as find a pair in them with 0.999 at full depth. Paragraphs
 that collide are compared in bounded groups, verified by exact Jaccard similarity on the full
 sets, and joined to components. Of each component the first paragraph (by document id, then
 line) stays, and the others are removals.
@@ -30,7 +31,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from bindframe.llm._common import WordHashes, connected_components, mix, odd_numbers, pieces, shingles, small_side, stash, stash_narrow, text_or_empty, to_bytes
-from bindframe.llm._setjoin import Sketcher, candidate_clusters, digest, exact_links
+from bindframe.llm._setjoin import DEPTH, Sketcher, candidate_clusters, digest, exact_links
+from bindframe.llm.near_dedup import trees_for
 
 BANDS, ROWS, WIDTH = 12, 3, 64
 
@@ -102,6 +104,11 @@ def paragraph_features(slim: DataFrame, k: int, min_words: int, bands: int = BAN
     return slim.mapInArrow(run, f"doc_id {slim.schema['doc_id'].dataType.simpleString()}, paragraph int, lines int, start int, n_words int, n long, id binary, sig binary, bits binary")
 
 
+def bucket_trees(similarity: float, recall: float = 0.999) -> int:
+    """Trees in which a bucket over the limit branches, for that recall within it at the full depth."""
+    return trees_for(similarity, recall, DEPTH)
+
+
 def repeated_paragraphs(docs: DataFrame, k: int = 5, percent: int = 80, min_words: int = 50, bands: int = BANDS, rows: int = ROWS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, paragraph, n_words, kept_doc_id, kept_paragraph, removed, lines, start): what occurs again, with the one that stays.
 
@@ -114,7 +121,7 @@ def repeated_paragraphs(docs: DataFrame, k: int = 5, percent: int = 80, min_word
     width = 4 * rows
     keys = F.array(*[F.expr(f"xxhash64({b}, substring(sig, {b * width + 1}, {width}))") for b in range(bands)])
     nodes = items.select(F.explode(keys).alias("node"), "id")
-    clusters = stash_narrow(candidate_clusters(items, nodes, percent / 100, bands * rows, WIDTH))
+    clusters = stash_narrow(candidate_clusters(items, nodes, percent / 100, bands * rows, WIDTH, trees=bucket_trees(percent / 100)))
     places = items.select("id", F.col("place.doc_id").alias("doc_id"))
     links = exact_links(clusters, places, slim, lambda text: (x[-1] for x in paragraphs(text, k, min_words)), percent)
     linked = stash_narrow(connected_components(links).join(items.select("id", "place"), "id"))

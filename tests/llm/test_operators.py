@@ -138,6 +138,25 @@ def test_large_nodes_split_and_block():
     assert abs(near_dedup.survival(0.8, 1) - 0.84) < 1e-9
 
 
+def test_recall_at_full_depth():
+    from bindframe.llm._setjoin import DEPTH
+
+    assert 1 - (1 - near_dedup.survival(0.8, DEPTH + 1)) ** near_dedup.trees_for(0.8) >= 0.999
+    within = 1 - (1 - near_dedup.survival(0.8, DEPTH)) ** substring_dedup.bucket_trees(0.8)
+    assert 1 - (1 - 0.8**substring_dedup.ROWS * within) ** substring_dedup.BANDS >= 0.999
+
+
+def test_large_buckets_branch_in_several_trees(spark, monkeypatch):
+    from bindframe.llm import _setjoin
+
+    rows = [(i, edited(BASE, (7 * i) % 115)) for i in range(40)]
+    monkeypatch.setattr(_setjoin.candidate_clusters, "__defaults__", (8, 1))
+    seen, branch = [], _setjoin.candidate_clusters
+    monkeypatch.setattr(substring_dedup, "candidate_clusters", lambda *a, **k: seen.append(k["trees"]) or branch(*a, **k))
+    got = substring_dedup.repeated_paragraphs(spark.createDataFrame(rows, "doc_id long, text string")).where("lines is not null").collect()
+    assert seen == [substring_dedup.bucket_trees(0.8)] and {r.doc_id: (r.kept_doc_id, r.removed) for r in got} == {i: (0, i > 0) for i in range(40)}
+
+
 def test_near_dedup_with_small_nodes(spark, monkeypatch):
     from bindframe.llm import _setjoin
 
