@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -12,21 +13,23 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows up to which a narrow side (two or three numbers a row) is broadcast; larger sides are joined by shuffle.
-BROADCAST_ROWS = 200_000
+#: Rows and bytes up to which a side is broadcast; larger sides are joined by shuffle.
+BROADCAST_ROWS, BROADCAST_BYTES = 200_000, 24_000_000
 
 #: Bytes of text that one numpy step holds at a time.
 STEP_BYTES = 4_000_000
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a local one where none is set."""
+    """The folder that driver and executors share: spark.checkpoint.dir; one of its own is made in local mode only."""
     sc = spark.sparkContext
     named = sc.getConf().get("spark.checkpoint.dir")
     if named:
         return named.rstrip("/")
     current = sc._jsc.sc().getCheckpointDir()
     if current.isEmpty():
+        if not sc.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="spark-checkpoint-"))
         current = sc._jsc.sc().getCheckpointDir()
     return current.get()
@@ -40,14 +43,32 @@ def stash(df: DataFrame) -> DataFrame:
 
 
 def stash_narrow(df: DataFrame) -> DataFrame:
-    """stash() for rows of a few numbers that come out of a shuffle: fewer files than shuffle partitions."""
-    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return stash(df.coalesce(max(6, n // 16)))
+    """stash() for few rows that come out of a shuffle: dealt anew into files of the session's advisory size, large ones split."""
+    return stash(df.hint("rebalance"))
+
+
+def _width(df: DataFrame) -> Column:
+    """About how many bytes a row takes: 48 a value, the length of texts and blobs, 32 an element of arrays."""
+    total: Column = F.lit(0)
+    for field in df.schema:
+        kind = field.dataType.typeName()
+        column = F.col(f"`{field.name}`")
+        total = total + F.coalesce(F.octet_length(column) + 16 if kind in ("string", "binary") else F.size(column) * 32 + 16 if kind == "array" else F.lit(48), F.lit(16))
+    return total
+
 
+def small_side(df: DataFrame, rows: int = BROADCAST_ROWS, most: int = BROADCAST_BYTES) -> DataFrame:
+    """df with a broadcast hint if it is measured to have at most so many rows and bytes, else df as it is."""
+    counted = df.limit(rows + 1).agg(F.count("*"), F.coalesce(F.sum(_width(df)), F.lit(0))).first()
+    return F.broadcast(df) if counted[0] <= rows and counted[1] <= most else df
 
-def small_side(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """df with a broadcast hint if it is counted to have at most so many rows, else df as it is."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+
+def free_name(columns: list[str], name: str) -> str:
+    """name, with underscores behind it until no column has it (case does not count)."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
 
 
 def text_or_empty(name: str) -> Column:
@@ -73,24 +94,6 @@ def pieces(batches: Iterable[pa.RecordBatch], column: str, step: int = STEP_BYTE
             yield batch.slice(start)
 
 
-class WordHashes(dict):
-    """word (bytes) -> 64-bit hash, as a bounded memo."""
-
-    def __init__(self, most: int = 300_000):
-        super().__init__()
-        self.most = most
-
-    def __missing__(self, word: bytes) -> int:
-        value = xxhash.xxh3_64_intdigest(word)
-        if len(self) >= self.most:
-            self.clear()
-        self[word] = value
-        return value
-
-    def of(self, words: list[bytes]) -> np.ndarray:
-        return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
-
-
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijection on 64-bit integers that spreads every bit (multiply and xor-shift)."""
     x = (x ^ (x >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
@@ -98,29 +101,152 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
+@lru_cache(maxsize=64)
 def odd_numbers(n: int, seed: int) -> np.ndarray:
     return np.random.default_rng(seed).integers(0, 1 << 63, n, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
-def shingles(words: np.ndarray, k: int) -> np.ndarray:
-    """Sorted distinct hashes of the k-word shingles; with fewer words the whole sequence is one; none without words."""
-    n = len(words)
-    if not n:
+@lru_cache(maxsize=8)
+def _powers(n: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of an odd number and of its inverse, modulo 2^64."""
+    base = int(odd_numbers(1, seed)[0])
+    up, down = np.full(n, base, np.uint64), np.full(n, pow(base, -1, 1 << 64), np.uint64)
+    up[0] = down[0] = 1
+    return np.multiply.accumulate(up), np.multiply.accumulate(down)
+
+
+def run_hashes(values: np.ndarray, begin: np.ndarray, end: np.ndarray, seed: int) -> np.ndarray:
+    """A 64-bit hash of each run values[begin:end], from running sums of values times powers."""
+    up, down = _powers(1 << max(10, int(len(values)).bit_length()), seed)
+    total = np.zeros(len(values) + 1, np.uint64)
+    np.cumsum(values * up[: len(values)], dtype=np.uint64, out=total[1:])
+    return mix((total[end] - total[begin]) * down[begin] + (end - begin).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+
+
+_BLANK = np.zeros(256, bool)
+_BLANK[[9, 10, 11, 12, 13, 32]] = True
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[65:91] += 32
+
+#: Bytes of text whose words are hashed at a time.
+HASH_BYTES = 500_000
+
+
+def _data(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of a text column without nulls, and where each text begins (one more entry than texts)."""
+    kind = np.int32 if pa.types.is_string(texts.type) else np.int64
+    buffers = texts.buffers()
+    if not len(texts) or buffers[2] is None:
+        return np.zeros(0, np.uint8), np.zeros(len(texts) + 1, np.int64)
+    at = np.frombuffer(buffers[1], kind, len(texts) + 1 + texts.offset)[texts.offset :].astype(np.int64)
+    return np.frombuffer(buffers[2], np.uint8)[at[0] : at[-1]], at - at[0]
+
+
+class Words:
+    """The words of many texts as arrays: their hashes (A-Z lower-cased) in order, and how many each text has.
+
+    sizes: words of each text; first: the place of each text's first word; hashes: 64 bits a word.
+    """
+
+    def __init__(self, texts: pa.Array):
+        data, at = _data(texts)
+        self.data, self.at = data, at
+        word = ~_BLANK[data]
+        inner = word.copy()
+        inner[1:] &= word[:-1]
+        inner[at[:-1][at[:-1] < len(data)]] = False
+        self.starts = np.flatnonzero(word & ~inner)
+        inner = word.copy()
+        inner[:-1] &= word[1:]
+        inner[at[1:][at[1:] > 0] - 1] = False
+        self.ends = np.flatnonzero(word & ~inner) + 1
+        edges = np.searchsorted(self.starts, at)
+        self.first, self.sizes = edges[:-1], np.diff(edges)
+        self.hashes = np.zeros(len(self.starts), np.uint64)
+        i = 0
+        while i < len(self.starts):
+            j = max(i + 1, int(np.searchsorted(self.ends, self.starts[i] + HASH_BYTES, side="right")))
+            low, high = self.starts[i], self.ends[j - 1]
+            if high - low > HASH_BYTES:  # one very long word
+                self.hashes[i] = xxhash.xxh3_64_intdigest(_LOWER[data[low:high]].tobytes())
+            else:
+                self.hashes[i:j] = run_hashes(_LOWER[data[low:high]].astype(np.uint64) + np.uint64(1), self.starts[i:j] - low, self.ends[i:j] - low, 21)
+            i = j
+
+    def owners(self) -> np.ndarray:
+        """The text of each word."""
+        return np.repeat(np.arange(len(self.sizes)), self.sizes)
+
+    def lines(self) -> np.ndarray:
+        """The number of each word's line in its text, from 0."""
+        breaks = np.flatnonzero(self.data == 10)
+        return np.searchsorted(breaks, self.starts) - np.repeat(np.searchsorted(breaks, self.at[:-1]), self.sizes)
+
+
+def words_of_text(text: str | None) -> np.ndarray:
+    """The hashes of the words of one text."""
+    return Words(pa.array([to_bytes(text)], pa.large_binary()).view(pa.large_string())).hashes
+
+
+def shingle_hashes(words: np.ndarray, k: int) -> np.ndarray:
+    """A hash for each run of k words."""
+    n = len(words) - k + 1
+    if n <= 0:
         return np.zeros(0, np.uint64)
-    width = min(k, n)
-    factors = odd_numbers(width, 1000 + width)
-    total = words[: n - width + 1] * factors[0]
-    for i in range(1, width):
-        total = total + words[i : n - width + 1 + i] * factors[i]
-    return np.unique(mix(total))
+    factors = odd_numbers(k, 1000 + k)
+    total = words[:n] * factors[0]
+    for i in range(1, k):
+        total += words[i : n + i] * factors[i]
+    return mix(total)
 
 
-def minhashes(items: np.ndarray, factors: np.ndarray) -> np.ndarray:
-    """One 32-bit minimum for each factor over a set of 64-bit hashes, all of it, in blocks."""
-    best = np.full(len(factors), np.iinfo(np.uint64).max, np.uint64)
-    for i in range(0, len(items), 2048):
-        np.minimum(best, (items[i : i + 2048, None] * factors[None, :]).min(0), out=best)
-    return (best >> np.uint64(32)).astype(np.uint32)
+def shingles(words: np.ndarray, k: int) -> np.ndarray:
+    """Sorted distinct hashes of the k-word shingles; with fewer words the whole sequence is one; none without words."""
+    return np.unique(shingle_hashes(words, min(k, len(words)))) if len(words) else np.zeros(0, np.uint64)
+
+
+def shingle_sets(words: np.ndarray, first: np.ndarray, sizes: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """The shingle sets of many runs of words: all their sorted distinct hashes in order, and the size of each set."""
+    flat = shingle_hashes(words, k)
+    counts = np.maximum(sizes - k + 1, 0)
+    owner = np.repeat(np.arange(len(sizes)), counts)
+    values = flat[spread(first, counts)]
+    short = np.flatnonzero((sizes > 0) & (sizes < k))
+    if len(short):
+        own = [shingle_hashes(words[first[i] : first[i] + sizes[i]], int(sizes[i])) for i in short]
+        values, owner = np.concatenate([values, *own]), np.concatenate([owner, short])
+    order = np.argsort(values, kind="stable")
+    order = order[np.argsort(owner[order].astype(np.int32), kind="stable")]
+    values, owner = values[order], owner[order]
+    new = np.ones(len(values), bool)
+    new[1:] = (values[1:] != values[:-1]) | (owner[1:] != owner[:-1])
+    return values[new], np.bincount(owner[new], minlength=len(sizes))
+
+
+def spread(first: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """first[0], first[0]+1, .. (counts[0] of them), first[1], .."""
+    total = int(counts.sum())
+    ends = np.cumsum(counts)
+    return np.arange(total) + np.repeat(first - ends + counts, counts)
+
+
+def sliding_min(values: np.ndarray, width: int) -> np.ndarray:
+    """The least of each `width` values in a row, by minima over runs of doubled length."""
+    done = 1
+    while done * 2 <= width:
+        values = np.minimum(values[:-done], values[done:])
+        done *= 2
+    return np.minimum(values[: len(values) - (width - done)], values[width - done :]) if done < width else values
+
+
+def minhashes(sets: np.ndarray, sizes: np.ndarray, factors: np.ndarray) -> np.ndarray:
+    """One 32-bit minimum for each set (a run of `sizes` hashes, none empty) and factor."""
+    out = np.empty((len(sizes), len(factors)), np.uint32)
+    if len(sizes):
+        first = np.cumsum(sizes) - sizes
+        for j, factor in enumerate(factors):
+            out[:, j] = np.minimum.reduceat(sets * factor, first) >> np.uint64(32)
+    return out
 
 
 def runs(batches: Iterable[pa.RecordBatch], key: str) -> Iterator[pa.RecordBatch]:
@@ -164,7 +290,7 @@ def connected_components(links: DataFrame, rounds: int = 40) -> DataFrame:
         return edges.join(F.broadcast(low) if count <= BROADCAST_ROWS else low, "a")
 
     def mark(edges: DataFrame) -> tuple:
-        return tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b") % 1_000_003)).first())
+        return tuple(edges.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b")), F.sum(F.xxhash64("b", "a") % 2_147_483_647)).first())
 
     edges = stash_narrow(links.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     before = mark(edges)

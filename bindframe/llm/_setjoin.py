@@ -20,10 +20,10 @@ from pyspark.sql import functions as F
 from bindframe.llm._common import by_run, connected_components, minhashes, odd_numbers, small_side, stash, stash_narrow
 
 #: Items that one task compares with each other, at most.
-NODE_LIMIT = 1024
+NODE_LIMIT = 4096
 
-#: Items of clusters that are merged for verification, at most.
-MERGE_LIMIT = 512
+#: Items of clusters that are merged for verification, and hashes in their sets, at most.
+MERGE_LIMIT, MERGE_HASHES = 512, 4_000_000
 
 #: Levels of branching before what is still too large is compared block by block.
 DEPTH = 8
@@ -40,9 +40,15 @@ class Sketcher:
         self.coords, self.width = coords, width
         self.factors = odd_numbers(max(coords, width), seed)
 
-    def __call__(self, items: np.ndarray) -> tuple[bytes, bytes]:
-        values = minhashes(items, self.factors)
-        return values[: self.coords].astype("<u4").tobytes(), (values[: self.width] & 0xFF).astype(np.uint8).tobytes()
+    def __call__(self, sets: np.ndarray, sizes: np.ndarray) -> tuple[list[bytes], list[bytes]]:
+        """Of many sets, given as one run of hashes and the size of each."""
+        values = minhashes(sets, sizes, self.factors)
+        sig, bits = values[:, : self.coords].astype("<u4").tobytes(), (values[:, : self.width] & 0xFF).astype(np.uint8).tobytes()
+        return _rows(sig, 4 * self.coords, len(sizes)), _rows(bits, self.width, len(sizes))
+
+
+def _rows(raw: bytes, width: int, n: int) -> list[bytes]:
+    return [raw[i * width : (i + 1) * width] for i in range(n)]
 
 
 def coordinate(j: str) -> str:
@@ -61,7 +67,7 @@ def branch(coords: int, similarity: float) -> Column:
 
 
 def likely_clusters(members: DataFrame, similarity: float, width: int) -> DataFrame:
-    """(node, id, n, bits) of bounded nodes -> (cluster, id, low): the parts of each node that sketches connect.
+    """(node, id, n, bits) of bounded nodes -> (cluster, id, low, n): the parts of each node that sketches connect.
 
     Two items are likely if their sizes allow the similarity and their sketches agree to within
     4.5 standard deviations of it, which a true link misses about 3 times in a million.
@@ -72,10 +78,11 @@ def likely_clusters(members: DataFrame, similarity: float, width: int) -> DataFr
         keys: list[int] = []
         ids: list[bytes] = []
         lows: list[bytes] = []
+        sizes: list[int] = []
 
         def out() -> pa.RecordBatch:
-            batch = pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(ids, pa.binary()), pa.array(lows, pa.binary())], names=["cluster", "id", "low"])
-            for x in (keys, ids, lows):
+            batch = pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(ids, pa.binary()), pa.array(lows, pa.binary()), pa.array(sizes, pa.int64())], names=["cluster", "id", "low", "n"])
+            for x in (keys, ids, lows, sizes):
                 x.clear()
             return batch
 
@@ -83,16 +90,25 @@ def likely_clusters(members: DataFrame, similarity: float, width: int) -> DataFr
             own = group.column("id").to_pylist()
             n = group.column("n").to_numpy(zero_copy_only=False)
             bits = np.frombuffer(b"".join(group.column("bits").to_pylist()), np.uint8).reshape(len(own), width)
+            order = np.argsort(n, kind="stable")
+            own, n, bits = [own[i] for i in order], n[order], bits[order]
+            # by size, so that what may be similar to an item stands right behind it
+            ends = np.searchsorted(n, n / similarity + 1e-6, side="right")
             part = np.arange(len(own))
             for i in range(len(own) - 1):
-                near = np.flatnonzero(((bits[i + 1 :] == bits[i]).sum(1) >= least) & (np.minimum(n[i + 1 :], n[i]) >= similarity * np.maximum(n[i + 1 :], n[i]))) + i + 1
+                stop = int(ends[i])
+                if stop <= i + 1 or part[i] == part[stop - 1] and (part[i:stop] == part[i]).all():
+                    continue
+                near = np.flatnonzero(np.count_nonzero(bits[i + 1 : stop] == bits[i], axis=1) >= least) + i + 1
                 if len(near):
                     joined = np.unique(part[np.append(near, i)])
                     part[np.isin(part, joined)] = joined[0]
             names, counts = np.unique(part, return_counts=True)
             for name in names[counts > 1].tolist():
-                found = sorted({own[i] for i in np.flatnonzero(part == name)})
+                found = dict(sorted((own[i], int(n[i])) for i in np.flatnonzero(part == name)))
                 if len(found) > 1:
+                    sizes += found.values()
+                    found = list(found)
                     ids += found
                     lows += found[:1] * len(found)
                     keys += [xxhash.xxh3_64_intdigest(b"".join(found)) - (1 << 63)] * len(found)
@@ -100,7 +116,7 @@ def likely_clusters(members: DataFrame, similarity: float, width: int) -> DataFr
                 yield out()
         yield out()
 
-    return by_run(members, "node", run, "cluster long, id binary, low binary").distinct()
+    return by_run(members, "node", run, "cluster long, id binary, low binary, n long").distinct()
 
 
 def candidate_clusters(items: DataFrame, nodes: DataFrame, similarity: float, coords: int, width: int, limit: int = NODE_LIMIT, depth: int = DEPTH, *, trees: int = 1) -> DataFrame:
@@ -131,8 +147,9 @@ def candidate_clusters(items: DataFrame, nodes: DataFrame, similarity: float, co
 
 def _merged(found: DataFrame, limit: int = MERGE_LIMIT) -> DataFrame:
     """Clusters that share items become one where the whole is small enough."""
-    whole = stash_narrow(connected_components(found.select(F.col("id").alias("a"), F.col("low").alias("b"))))
-    sized = stash_narrow(whole.join(whole.groupBy("component").agg((F.count("*") > limit).alias("large")), "component"))
+    whole = stash_narrow(connected_components(found.select(F.col("id").alias("a"), F.col("low").alias("b"))).join(found.select("id", "n").distinct(), "id"))
+    sizes = whole.groupBy("component").agg(((F.count("*") > limit) | (F.sum("n") > MERGE_HASHES)).alias("large"))
+    sized = stash_narrow(whole.join(small_side(sizes), "component"))
     one = sized.where("not large").select(F.xxhash64("component").alias("cluster"), "id")
     rest = found.join(sized.where("large").select("id"), "id", "left_semi").select("cluster", "id").distinct()
     return one.unionByName(rest)

@@ -30,7 +30,7 @@ from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from bindframe.llm._common import pieces, stash, text_or_empty, to_bytes
+from bindframe.llm._common import pieces, spread, stash, text_or_empty, to_bytes
 
 #: Words that the lexicon holds, at most.
 LEXICON_WORDS = 50_000
@@ -288,13 +288,6 @@ class Lexicon:
         return counts, both[spread(first, counts)]
 
 
-def spread(first: np.ndarray, counts: np.ndarray) -> np.ndarray:
-    """first[0], first[0]+1, .. (counts[0] of them), first[1], .."""
-    total = int(counts.sum())
-    ends = np.cumsum(counts)
-    return np.arange(total) + np.repeat(first - ends + counts, counts)
-
-
 class Encoder:
     """Encodes texts by a lexicon; keeps a bounded memo of words."""
 

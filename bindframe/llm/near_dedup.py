@@ -25,12 +25,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from bindframe.llm._common import WordHashes, connected_components, pieces, shingles, small_side, stash, stash_narrow, text_or_empty, to_bytes
+from bindframe.llm._common import Words, connected_components, free_name, pieces, shingle_sets, shingles, small_side, stash, stash_narrow, text_or_empty, words_of_text
 from bindframe.llm._setjoin import DEPTH, Sketcher, candidate_clusters, coordinate, digest, exact_links
 
 COORDS, WIDTH = 64, 128
 
-_HASHES = WordHashes()
+#: Bytes of text whose sets a task holds at a time.
+STEP = 1_000_000
 
 
 def survival(similarity: float, depth: int) -> float:
@@ -47,7 +48,7 @@ def trees_for(similarity: float, recall: float = 0.999, depth: int = DEPTH + 1)
 
 
 def shingle_set(text: str | None, k: int) -> np.ndarray:
-    return shingles(_HASHES.of(to_bytes(text).lower().split()), k)
+    return shingles(words_of_text(text), k)
 
 
 def features(slim: DataFrame, k: int) -> DataFrame:
@@ -55,13 +56,16 @@ def features(slim: DataFrame, k: int) -> DataFrame:
     sketch = Sketcher(COORDS, WIDTH)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in pieces(batches, "text"):
-            sets = [shingle_set(t, k) for t in part.column("text").to_pylist()]
-            sketches = [sketch(s) if len(s) else (None, None) for s in sets]
-            yield pa.RecordBatch.from_arrays(
-                [part.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array([digest(s) if len(s) else None for s in sets], pa.binary()), pa.array([s[0] for s in sketches], pa.binary()), pa.array([s[1] for s in sketches], pa.binary())],
-                names=["doc_id", "n_shingles", "id", "sig", "bits"],
-            )
+        for part in pieces(batches, "text", STEP):
+            words = Words(part.column("text"))
+            sets, sizes = shingle_sets(words.hashes, words.first, words.sizes, k)
+            full = np.flatnonzero(sizes)
+            ends = np.cumsum(sizes).tolist()
+            sig, bits = sketch(sets, sizes[full])
+            own: list[list[bytes | None]] = [[None] * len(sizes) for _ in range(3)]
+            for i, at in enumerate(full.tolist()):
+                own[0][at], own[1][at], own[2][at] = digest(sets[ends[at] - sizes[at] : ends[at]]), sig[i], bits[i]
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(sizes, pa.int64()), *(pa.array(x, pa.binary()) for x in own)], names=["doc_id", "n_shingles", "id", "sig", "bits"])
 
     return slim.mapInArrow(run, f"doc_id {slim.schema['doc_id'].dataType.simpleString()}, n_shingles long, id binary, sig binary, bits binary")
 
@@ -97,5 +101,6 @@ def near_dedup(docs: DataFrame, k: int = 5, percent: int = 80, recall: float = 0
 def keep_one(docs: DataFrame, k: int = 5, percent: int = 80, recall: float = 0.999, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of docs, all columns, that stay: those with the smallest id of their group; rows without an id stay."""
     groups = near_dedup(docs, k, percent, recall, id_col, text_col)
-    gone = stash_narrow(groups.where("not kept").select(F.col("doc_id").alias("_gone")).distinct())
-    return docs.join(small_side(gone), docs[id_col] == gone["_gone"], "left_anti")
+    mark = free_name(docs.columns, "_gone")
+    gone = stash_narrow(groups.where("not kept").select(F.col("doc_id").alias(mark)).distinct())
+    return docs.join(small_side(gone), docs[id_col] == gone[mark], "left_anti")

@@ -1,19 +1,19 @@
-"""Repeated passages across documents: MinHash banding of paragraphs, and equal runs of words anywhere.
+"""Repeated passages across documents by MinHash banding of paragraphs, exact checks and components.
 
-A paragraph is a line of at least `min_words` words, or a stretch of shorter lines without a
-blank line that has as many together; equal shingle sets are one item. Each
-item is dealt to `bands` buckets of `rows` minwise values each. At similarity s a pair shares a
+Two kinds of paragraphs cover every text. The first are a line of at least `min_words` words, and a stretch
+of shorter lines without a blank line that has as many together; equal shingle sets are one
+item. Each item is dealt to `bands` buckets of `rows` minwise values each. At similarity s a pair shares a
 bucket with probability 1 - (1 - s^rows)^bands: 0.9998 at 0.8 with 12 bands of 3. Buckets over the
 limit branch in as many trees as find a pair in them with 0.999 at full depth. Paragraphs
 that collide are compared in bounded groups, verified by exact Jaccard similarity on the full
 sets, and joined to components. Of each component the first paragraph (by document id, then
 line) stays, and the others are removals.
 
-A passage is a run of `min_words` words or more, over lines or within one, that equals a run at an
-earlier place (document id, then word). Every window of min_words words holds a seed, its
-least hash of half as many words, and equal windows hold equal seeds (winnowing). The windows of one
-seed that follow each other are one stretch: equal stretches are settled by one hash, and the
-single windows are compared where a seed has different stretches. So every equal run is found.
+The second are all windows of min_words words, over lines or within them, which overlap. Their
+bucket is the minwise hash of their k-word shingles: one band of one row finds every pair of equal
+windows. Windows that follow each other in one bucket are a stretch, so buckets are dealt by
+stretch; equal stretches are settled by one hash, and the single windows are compared where a
+bucket has different stretches. So every run of min_words words or more that occurs again is found.
 
 Defined results: null and empty texts have no paragraphs; a line is taken whole, however
 long; of a text that repeats itself word by word the first min_words words of the period stay; repeated rows of one id count as one document; rows without an id are left alone; an
@@ -30,60 +30,62 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from bindframe.llm._common import WordHashes, connected_components, mix, odd_numbers, pieces, shingles, small_side, stash, stash_narrow, text_or_empty, to_bytes
+from bindframe.llm._common import Words, connected_components, free_name, pieces, run_hashes, shingle_hashes, shingle_sets, sliding_min, small_side, spread, stash, stash_narrow, text_or_empty, to_bytes
 from bindframe.llm._setjoin import DEPTH, Sketcher, candidate_clusters, digest, exact_links
-from bindframe.llm.near_dedup import trees_for
+from bindframe.llm.near_dedup import STEP, trees_for
 
 BANDS, ROWS, WIDTH = 12, 3, 64
 
-_HASHES = WordHashes()
-
-
-def paragraphs(text: str | None, k: int, min_words: int) -> Iterator[tuple[int, int, int, int, np.ndarray]]:
-    """(line number, lines, number of the first word, words, shingle set) of each long line and each stretch of short ones."""
-    held: list[bytes] = []
-    first = at = lines = 0
-    for number, line in enumerate([*to_bytes(text).lower().split(b"\n"), b""]):
-        words = line.split()
-        if held and (not words or len(words) >= min_words):
-            if len(held) >= min_words:
-                yield first, lines, at - len(held), len(held), shingles(_HASHES.of(held), k)
-            held, lines = [], 0
-        if len(words) >= min_words:
-            yield number, 1, at, len(words), shingles(_HASHES.of(words), k)
-        elif words:
-            first = first if held else number
-            held += words
-            lines += 1
-        at += len(words)
-
-
-def run_hashes(words: np.ndarray, begin: np.ndarray, end: np.ndarray, seed: int) -> np.ndarray:
-    """A hash of each run words[begin:end]."""
-    base = int(odd_numbers(1, seed)[0])
-    powers = np.full(len(words) + 1, base, np.uint64)
-    back = np.full(len(words) + 1, pow(base, -1, 1 << 64), np.uint64)
-    powers[0] = back[0] = 1
-    powers, back = np.multiply.accumulate(powers), np.multiply.accumulate(back)
-    total = np.append(np.zeros(1, np.uint64), np.cumsum(words * powers[:-1], dtype=np.uint64))
-    return mix((total[end] - total[begin]) * back[begin] + (end - begin).astype(np.uint64))
-
-
-def stretches(words: np.ndarray, min_words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(first window, last window, seed) of the windows that share each seed; all windows are in one."""
-    half = min_words // 2
-    starts = np.arange(len(words) - half + 1)
-    grams = run_hashes(words, starts, starts + half, 31)
-    span = min_words - half + 1
-    least = np.lib.stride_tricks.sliding_window_view(grams, span).argmin(1) + np.arange(len(grams) - span + 1)
-    first = np.flatnonzero(np.append(True, least[1:] != least[:-1]))
-    return first, np.append(first[1:], len(least)) - 1, grams[least[first]]
-
-
-def word_lines(text: str | None) -> tuple[list[bytes], np.ndarray]:
-    """The words of a text, and the number of the line of each."""
-    lines = [line.split() for line in to_bytes(text).lower().split(b"\n")]
-    return [w for line in lines for w in line], np.repeat(np.arange(len(lines)), [len(line) for line in lines])
+
+def paragraphs(words: Words, min_words: int) -> np.ndarray:
+    """Rows (text, line number, lines, first word in its text, words) of each long line and each stretch of short ones."""
+    out: list[tuple[int, int, int, int, int]] = []
+    owner, number = words.owners(), words.lines()
+    new = np.ones(len(owner), bool)
+    new[1:] = (owner[1:] != owner[:-1]) | (number[1:] != number[:-1])
+    begin = np.flatnonzero(new)
+    counts = np.diff(np.append(begin, len(owner)))
+    at = begin - words.first[owner[begin]]
+    text, line, first, lines, held = -1, 0, 0, 0, 0
+    for row in zip(owner[begin].tolist(), number[begin].tolist(), at.tolist(), counts.tolist(), strict=True):
+        if held and (row[3] >= min_words or row[0] != text or row[1] != line + lines):
+            if held >= min_words:
+                out.append((text, line, lines, first, held))
+            held = 0
+        if row[3] >= min_words:
+            out.append((row[0], row[1], 1, row[2], row[3]))
+        elif held:
+            lines, held = lines + 1, held + row[3]
+        else:
+            text, line, first, held = row
+            lines = 1
+    if held >= min_words:
+        out.append((text, line, lines, first, held))
+    return np.array(out, np.int64).reshape(-1, 5)
+
+
+def paragraph_sets(text: str | None, k: int, min_words: int) -> Iterator[np.ndarray]:
+    """The shingle set of each paragraph of a text."""
+    words = Words(pa.array([to_bytes(text)], pa.large_binary()).view(pa.large_string()))
+    found = paragraphs(words, min_words)
+    sets, sizes = shingle_sets(words.hashes, found[:, 3], found[:, 4], k)
+    ends = np.cumsum(sizes)
+    return (sets[end - size : end] for end, size in zip(ends.tolist(), sizes.tolist(), strict=True))
+
+
+def stretches(words: Words, k: int, min_words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(first window, last window, minwise hash) of the windows of min_words words that follow each other in one bucket."""
+    n = len(words.hashes) - min_words + 1
+    if n <= 0:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64)
+    each = shingle_hashes(words.hashes, k)
+    least = sliding_min(each, min_words - k + 1)
+    fits = np.arange(n) + min_words <= np.repeat(words.first + words.sizes, words.sizes)[:n]
+    # where the least shingle leaves and an equal one stays, another stretch begins
+    same = fits[1:] & fits[:-1] & (least[1:] == least[:-1]) & (each[: n - 1] != least[1:])
+    first = np.flatnonzero(fits & ~np.append(False, same))
+    last = np.flatnonzero(fits & ~np.append(same, False))
+    return first, last, least[first]
 
 
 def paragraph_features(slim: DataFrame, k: int, min_words: int, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
@@ -91,15 +93,15 @@ def paragraph_features(slim: DataFrame, k: int, min_words: int, bands: int = BAN
     sketch = Sketcher(bands * rows, WIDTH, seed=11)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in pieces(batches, "text"):
-            found, at = [], []
-            for i, text in enumerate(part.column("text").to_pylist()):
-                for number, lines, start, words, items in paragraphs(text, k, min_words):
-                    found.append((number, lines, start, words, len(items), digest(items), *sketch(items)))
-                    at.append(i)
-            columns = list(zip(*found, strict=True)) or [()] * 8
-            kinds = [pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.binary()]
-            yield pa.RecordBatch.from_arrays([part.column("doc_id").take(pa.array(at, pa.int64())), *(pa.array(c, t) for c, t in zip(columns, kinds, strict=True))], names=["doc_id", "paragraph", "lines", "start", "n_words", "n", "id", "sig", "bits"])
+        for part in pieces(batches, "text", STEP):
+            words = Words(part.column("text"))
+            found = paragraphs(words, min_words)
+            sets, sizes = shingle_sets(words.hashes, words.first[found[:, 0]] + found[:, 3], found[:, 4], k)
+            ends = np.cumsum(sizes).tolist()
+            names = [digest(sets[end - size : end]) for end, size in zip(ends, sizes.tolist(), strict=True)]
+            numbers = [pa.array(found[:, i].astype(np.int32)) for i in range(1, 5)]
+            sketches = [pa.array(x, pa.binary()) for x in (names, *sketch(sets, sizes))]
+            yield pa.RecordBatch.from_arrays([part.column("doc_id").take(pa.array(found[:, 0])), *numbers, pa.array(sizes, pa.int64()), *sketches], names=["doc_id", "paragraph", "lines", "start", "n_words", "n", "id", "sig", "bits"])
 
     return slim.mapInArrow(run, f"doc_id {slim.schema['doc_id'].dataType.simpleString()}, paragraph int, lines int, start int, n_words int, n long, id binary, sig binary, bits binary")
 
@@ -114,6 +116,7 @@ def repeated_paragraphs(docs: DataFrame, k: int = 5, percent: int = 80, min_word
 
     `paragraph` is the number of the (first) line, from 0, and `start` of the first word in the document. `lines`
     is the number of lines, null for a passage, which is the words from start on; those in removed paragraphs are not listed again.
+    What stays is listed too, as kept by itself and not removed.
     """
     slim = docs.select(F.col(id_col).alias("doc_id"), text_or_empty(text_col).alias("text")).where("doc_id is not null")
     feats = stash(paragraph_features(slim, k, min_words, bands, rows))
@@ -123,81 +126,76 @@ def repeated_paragraphs(docs: DataFrame, k: int = 5, percent: int = 80, min_word
     nodes = items.select(F.explode(keys).alias("node"), "id")
     clusters = stash_narrow(candidate_clusters(items, nodes, percent / 100, bands * rows, WIDTH, trees=bucket_trees(percent / 100)))
     places = items.select("id", F.col("place.doc_id").alias("doc_id"))
-    links = exact_links(clusters, places, slim, lambda text: (x[-1] for x in paragraphs(text, k, min_words)), percent)
+    links = exact_links(clusters, places, slim, lambda text: paragraph_sets(text, k, min_words), percent)
     linked = stash_narrow(connected_components(links).join(items.select("id", "place"), "id"))
     first = linked.groupBy("component").agg(F.min("place").alias("first"))
-    linked = linked.select("id", "component").join(first, "component").select("id", "first")
+    linked = linked.select("id", "component").join(small_side(first), "component").select("id", "first")
     named = items.join(linked, "id", "left").where("copies > 1 or first is not null").select("id", F.coalesce("first", "place").alias("keeper"))
-    out = feats.select("doc_id", "paragraph", "n_words", "id", "lines", "start").join(stash_narrow(named), "id")
+    out = feats.select("doc_id", "paragraph", "n_words", "id", "lines", "start").join(small_side(stash_narrow(named)), "id")
     removed = (F.struct("doc_id", "paragraph") != F.col("keeper")).alias("removed")
     out = stash(out.select("doc_id", "paragraph", "n_words", F.col("keeper.doc_id").alias("kept_doc_id"), F.col("keeper.paragraph").alias("kept_paragraph"), removed, "lines", "start"))
     gone = out.where("removed").select(F.col("doc_id").alias("_id"), F.col("start").alias("_from"), (F.col("start") + F.col("n_words")).alias("_to"))
-    runs = repeated_passages(slim, min_words)
+    runs = stash_narrow(repeated_passages(slim, k, min_words))
+    none = F.lit(None).cast("int").alias("lines")
+    kept = runs.groupBy("kept_doc_id", "kept_start", "kept_line").agg(F.max(F.col("end") - F.col("start")).alias("n_words"))
+    kept = kept.select(F.col("kept_doc_id").alias("doc_id"), F.col("kept_line").alias("paragraph"), "n_words", "kept_doc_id", F.col("kept_line").alias("kept_paragraph"), F.lit(False).alias("removed"), none, F.col("kept_start").alias("start"))
     runs = runs.join(gone, (F.col("doc_id") == F.col("_id")) & (F.col("start") >= F.col("_from")) & (F.col("end") <= F.col("_to")), "left_anti")
-    return out.unionByName(runs.select("doc_id", F.col("line").alias("paragraph"), (F.col("end") - F.col("start")).alias("n_words"), "kept_doc_id", F.col("kept_line").alias("kept_paragraph"), F.lit(True).alias("removed"), F.lit(None).cast("int").alias("lines"), "start"))
+    runs = runs.select("doc_id", F.col("line").alias("paragraph"), (F.col("end") - F.col("start")).alias("n_words"), "kept_doc_id", F.col("kept_line").alias("kept_paragraph"), F.lit(True).alias("removed"), none, "start")
+    return out.unionByName(runs).unionByName(kept)
 
 
-def repeated_passages(slim: DataFrame, min_words: int) -> DataFrame:
-    """(doc_id, start, end, line, kept_doc_id, kept_line): runs of min_words words or more that equal an earlier run."""
+def repeated_passages(slim: DataFrame, k: int, min_words: int) -> DataFrame:
+    """(doc_id, start, end, line, kept_doc_id, kept_start, kept_line): runs of min_words words or more that equal an earlier run."""
     kind = slim.schema["doc_id"].dataType.simpleString()
 
-    def table(ids: pa.Array, at: list[int], columns: list[list[np.ndarray]], names: list[str], kinds: list[pa.DataType]) -> pa.RecordBatch:
-        flat = [np.concatenate(c) if c else np.zeros(0, np.int64) for c in columns]
-        values = [pa.array(c.view(np.int64) if c.dtype == np.uint64 else c, type=pa.int64()).cast(t) for c, t in zip(flat, kinds, strict=True)]
-        own = np.repeat(at, [len(x) for x in columns[0]]) if at else np.zeros(0, np.int64)
-        return pa.RecordBatch.from_arrays([ids.take(pa.array(own, pa.int64())), *values], names=["doc_id", *names])
+    def hashed(begin: np.ndarray, end: np.ndarray, words: Words) -> pa.Array:
+        return pa.array(run_hashes(words.hashes, begin, end, 32).view(np.int64))
 
     def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in pieces(batches, "text"):
-            at, columns = [], [[] for _ in range(6)]
-            for i, text in enumerate(part.column("text").to_pylist()):
-                words, lines = word_lines(text)
-                if len(words) >= min_words:
-                    hashes = _HASHES.of(words)
-                    begin, last, seed = stretches(hashes, min_words)
-                    whole = [run_hashes(hashes, begin, last + min_words, salt) for salt in (32, 33)]
-                    at.append(i)
-                    for column, value in zip(columns, (begin, last, lines[begin], seed, *whole), strict=True):
-                        column.append(value)
-            yield table(part.column("doc_id"), at, columns, ["start", "last", "line", "seed", "h1", "h2"], [pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64()])
+        for part in pieces(batches, "text", STEP):
+            words = Words(part.column("text"))
+            begin, last, seed = stretches(words, k, min_words)
+            own = words.owners()[begin]
+            places = [pa.array((x - words.first[own]).astype(np.int32)) for x in (begin, last)]
+            yield pa.RecordBatch.from_arrays([part.column("doc_id").take(pa.array(own)), *places, pa.array(words.lines()[begin].astype(np.int32)), pa.array(seed.view(np.int64)), hashed(begin, last + min_words, words)], names=["doc_id", "start", "last", "line", "seed", "h"])
 
     def single(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in pieces(batches, "text"):
-            at, columns = [], [[] for _ in range(4)]
-            for i, (text, ranges) in enumerate(zip(part.column("text").to_pylist(), part.column("ranges").to_pylist(), strict=True)):
-                words, lines = word_lines(text)
-                hashes = _HASHES.of(words)
-                # another row of the same id may be shorter
-                windows = np.unique(np.concatenate([np.arange(x["start"], x["last"] + 1) for x in ranges]))
-                windows = windows[windows <= len(words) - min_words]
-                if len(windows):
-                    at.append(i)
-                    for column, value in zip(columns, (windows, lines[windows], *(run_hashes(hashes, windows, windows + min_words, salt) for salt in (34, 35))), strict=True):
-                        column.append(value)
-            yield table(part.column("doc_id"), at, columns, ["start", "line", "h1", "h2"], [pa.int32(), pa.int32(), pa.int64(), pa.int64()])
+        for part in pieces(batches, "text", STEP):
+            words = Words(part.column("text"))
+            ranges = part.column("ranges")
+            own = np.repeat(np.arange(len(ranges)), ranges.value_lengths().to_numpy(zero_copy_only=False))
+            low, high = (x.to_numpy(zero_copy_only=False).astype(np.int64) + words.first[own] for x in ranges.flatten().flatten())
+            at = np.unique(spread(low, high - low + 1))
+            at = at[at + min_words <= len(words.hashes)]
+            own = words.owners()[at]
+            # another row of the same id may be shorter
+            fits = at + min_words <= (words.first + words.sizes)[own]
+            at, own = at[fits], own[fits]
+            least = sliding_min(shingle_hashes(words.hashes, k), min_words - k + 1)[at]
+            yield pa.RecordBatch.from_arrays([part.column("doc_id").take(pa.array(own)), pa.array((at - words.first[own]).astype(np.int32)), pa.array(words.lines()[at].astype(np.int32)), pa.array(least.view(np.int64)), hashed(at, at + min_words, words)], names=["doc_id", "start", "line", "seed", "h"])
 
     def again(rows: DataFrame, last: str) -> DataFrame:
         """Rows that equal an earlier one of the same hashes; what overlaps the kept words of its own document stays."""
-        found = stash_narrow(rows.groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "start", "line")).alias("kept"), F.count("*").alias("n")).where("n > 1").select("h1", "h2", "kept"))
-        later = rows.join(small_side(found), ["h1", "h2"]).where((F.col("doc_id") != F.col("kept.doc_id")) | (F.col("start") != F.col("kept.start")))
-        begin = F.when(F.col("doc_id") == F.col("kept.doc_id"), F.greatest("start", F.col("kept.start") + min_words)).otherwise(F.col("start"))
-        return later.select("doc_id", begin.cast("int").alias("start"), (F.expr(last) + min_words).cast("int").alias("end"), "line", F.col("kept.doc_id").alias("kept_doc_id"), F.col("kept.line").alias("kept_line")).where("start < end")
-
-    seeds = stash(slim.mapInArrow(first, f"doc_id {kind}, start int, last int, line int, seed long, h1 long, h2 long"))
+        found = stash_narrow(rows.groupBy("seed", "h").agg(F.min(F.struct("doc_id", "start", "line")).alias("kept"), F.count("*").alias("n")).where("n > 1").select("seed", "h", "kept"))
+        later = rows.join(small_side(found), ["seed", "h"]).where((F.col("doc_id") != F.col("kept.doc_id")) | (F.col("start") != F.col("kept.start")))
+        overlap = F.when(F.col("doc_id") == F.col("kept.doc_id"), F.greatest(F.lit(0), F.col("kept.start") + min_words - F.col("start"))).otherwise(0)
+        return later.select("doc_id", (F.col("start") + overlap).cast("int").alias("start"), (F.expr(last) + min_words).cast("int").alias("end"), "line", F.col("kept.doc_id").alias("kept_doc_id"), F.col("kept.start").alias("kept_start"), F.col("kept.line").alias("kept_line")).where("start < end")
+
+    every = stash(slim.mapInArrow(first, f"doc_id {kind}, start int, last int, line int, seed long, h long"))
+    # buckets with more than one stretch; mixed ones hold different stretches
+    full = stash_narrow(every.groupBy("seed").agg(F.count("*").alias("n"), (F.min("h") < F.max("h")).alias("mixed")).where("n > 1").select("seed", "mixed"))
+    seeds = stash(every.join(small_side(full), "seed"))
     copies = again(seeds, "last")
-    reps = seeds.groupBy("seed", "h1", "h2").agg(F.min(F.struct("doc_id", "start", "last")).alias("place"))
-    reps = stash_narrow(reps)
-    mixed = stash_narrow(reps.groupBy("seed").agg(F.count("*").alias("n")).where("n > 1").select("seed"))
-    wanted = reps.join(small_side(mixed), "seed").groupBy("place.doc_id").agg(F.collect_list(F.struct("place.start", "place.last")).alias("ranges"))
-    wanted = stash_narrow(wanted)
-    windows = stash(slim.join(small_side(wanted), "doc_id").select("doc_id", "text", "ranges").mapInArrow(single, f"doc_id {kind}, start int, line int, h1 long, h2 long"))
+    reps = seeds.where("mixed").groupBy("seed", "h").agg(F.min(F.struct("doc_id", "start", "last")).alias("place"))
+    wanted = stash_narrow(reps.groupBy("place.doc_id").agg(F.collect_list(F.struct("place.start", "place.last")).alias("ranges")))
+    windows = stash(slim.join(small_side(wanted), "doc_id").select("doc_id", "text", "ranges").mapInArrow(single, f"doc_id {kind}, start int, line int, seed long, h long"))
     parts = copies.unionByName(again(windows, "start"))
     own = Window.partitionBy("doc_id", "kept_doc_id").orderBy("start", "end")
     parts = parts.withColumn("before", F.max("end").over(own.rowsBetween(Window.unboundedPreceding, -1)))
     parts = parts.withColumn("part", F.sum(F.when(F.col("start") <= F.col("before"), 0).otherwise(1)).over(own))
-    place = F.min(F.struct("start", "line", "kept_line"))
+    place = F.min(F.struct("start", "line", "kept_start", "kept_line"))
     whole = parts.groupBy("doc_id", "kept_doc_id", "part").agg(place.alias("at"), F.max("end").alias("end"))
-    return whole.select("doc_id", F.col("at.start").alias("start"), "end", F.col("at.line").alias("line"), "kept_doc_id", F.col("at.kept_line").alias("kept_line"))
+    return whole.select("doc_id", F.col("at.start").alias("start"), "end", F.col("at.line").alias("line"), "kept_doc_id", F.col("at.kept_start").alias("kept_start"), F.col("at.kept_line").alias("kept_line"))
 
 
 _WORD = re.compile(rb"[^ \t\n\r\x0b\x0c]+")
@@ -229,8 +227,9 @@ def remove_repeats(docs: DataFrame, k: int = 5, percent: int = 80, min_words: in
     found = repeated_paragraphs(docs, k, percent, min_words, id_col=id_col, text_col=text_col).where("removed")
     lines = F.flatten(F.collect_list(F.when(F.col("lines").isNotNull(), F.sequence(F.col("paragraph"), F.col("paragraph") + F.col("lines") - 1))))
     spans = F.collect_list(F.when(F.col("lines").isNull(), F.array(F.col("start"), F.col("start") + F.col("n_words"))))
-    gone = stash_narrow(found.groupBy(F.col("doc_id").alias("_id")).agg(lines.alias("_lines"), spans.alias("_spans")))
-    joined = docs.join(small_side(gone), docs[id_col] == gone["_id"], "left")
-    text = F.udf(without, "string", useArrow=True)(F.col(text_col), F.col("_lines"), F.col("_spans"))
-    left = F.col("_id").isNull() | F.col(text_col).rlike(r"[^\x20\x09-\x0D]")
-    return joined.withColumn(text_col, F.when(F.col("_id").isNull(), F.col(text_col)).otherwise(text)).where(left).select(*docs.columns)
+    mark = free_name(docs.columns, "_gone")
+    gone = found.groupBy("doc_id").agg(lines.alias("lines"), spans.alias("spans")).select(F.col("doc_id").alias(f"{mark}id"), F.struct("lines", "spans").alias(mark))
+    joined = docs.join(small_side(stash_narrow(gone)), F.col(id_col) == F.col(f"{mark}id"), "left")
+    text = F.udf(without, "string", useArrow=True)(F.col(text_col), F.col(f"{mark}.lines"), F.col(f"{mark}.spans"))
+    left = F.col(mark).isNull() | F.col(text_col).rlike(r"[^\x20\x09-\x0D]")
+    return joined.withColumn(text_col, F.when(F.col(mark).isNull(), F.col(text_col)).otherwise(text)).where(left).select(*[F.col(f"`{c}`") for c in docs.columns])
