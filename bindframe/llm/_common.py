@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 BROADCAST_ROWS, BROADCAST_BYTES = 200_000, 24_000_000
 
 #: Bytes of text that one numpy step holds at a time.
-STEP_BYTES = 4_000_000
+STEP_BYTES = 1_000_000
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -71,6 +71,11 @@ def free_name(columns: list[str], name: str) -> str:
     return name
 
 
+def roomy_heap() -> None:
+    """Let this process keep what it frees: a large array once freed raises the size from which arrays are mapped anew."""
+    np.ones(31 << 20, np.uint8)
+
+
 def text_or_empty(name: str) -> Column:
     return F.coalesce(F.col(name).cast("string"), F.lit(""))
 

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from bindframe.llm._common import Words, connected_components, free_name, pieces, shingle_sets, shingles, small_side, stash, stash_narrow, text_or_empty, words_of_text
+from bindframe.llm._common import Words, connected_components, free_name, pieces, roomy_heap, shingle_sets, shingles, small_side, stash, stash_narrow, text_or_empty, words_of_text
 from bindframe.llm._setjoin import DEPTH, Sketcher, candidate_clusters, coordinate, digest, exact_links
 
 COORDS, WIDTH = 64, 128
@@ -56,6 +56,7 @@ def features(slim: DataFrame, k: int) -> DataFrame:
     sketch = Sketcher(COORDS, WIDTH)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        roomy_heap()
         for part in pieces(batches, "text", STEP):
             words = Words(part.column("text"))
             sets, sizes = shingle_sets(words.hashes, words.first, words.sizes, k)

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from bindframe.llm._common import Words, connected_components, free_name, pieces, run_hashes, shingle_hashes, shingle_sets, sliding_min, small_side, spread, stash, stash_narrow, text_or_empty, to_bytes
+from bindframe.llm._common import Words, connected_components, free_name, pieces, roomy_heap, run_hashes, shingle_hashes, shingle_sets, sliding_min, small_side, spread, stash, stash_narrow, text_or_empty, to_bytes
 from bindframe.llm._setjoin import DEPTH, Sketcher, candidate_clusters, digest, exact_links
 from bindframe.llm.near_dedup import STEP, trees_for
 
@@ -93,6 +93,7 @@ def paragraph_features(slim: DataFrame, k: int, min_words: int, bands: int = BAN
     sketch = Sketcher(bands * rows, WIDTH, seed=11)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        roomy_heap()
         for part in pieces(batches, "text", STEP):
             words = Words(part.column("text"))
             found = paragraphs(words, min_words)
@@ -152,6 +153,7 @@ def repeated_passages(slim: DataFrame, k: int, min_words: int) -> DataFrame:
         return pa.array(run_hashes(words.hashes, begin, end, 32).view(np.int64))
 
     def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        roomy_heap()
         for part in pieces(batches, "text", STEP):
             words = Words(part.column("text"))
             begin, last, seed = stretches(words, k, min_words)
@@ -160,6 +162,7 @@ def repeated_passages(slim: DataFrame, k: int, min_words: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([part.column("doc_id").take(pa.array(own)), *places, pa.array(words.lines()[begin].astype(np.int32)), pa.array(seed.view(np.int64)), hashed(begin, last + min_words, words)], names=["doc_id", "start", "last", "line", "seed", "h"])
 
     def single(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        roomy_heap()
         for part in pieces(batches, "text", STEP):
             words = Words(part.column("text"))
             ranges = part.column("ranges")

@@ -331,40 +331,39 @@ def test_language_model(docs, empty, texts):
     assert attention_lm.score(empty, VOCABULARY).count() == 0
 
 
-def test_language_model_trains_on_all_windows(docs, texts, monkeypatch):
-    assert 2 * attention_lm.OVERLAP >= attention_lm.WINDOW
-    seen, train = [], attention_lm.train_model
+def test_language_model_learns_from_all_training_texts(docs, texts, monkeypatch):
+    seen, averaged = Counter(), attention_lm.averaged
 
-    def train_model(slim, lexicon, own, unit_counts):
-        seen.append((sum(attention_lm.unpacked([r.window])[2].sum() for r in attention_lm.training_windows(slim, lexicon, own).collect()), unit_counts.sum() - 0.1 * (len(own) + 1) - 1e-3 * attention_lm.UNITS))  # without the smoothing
-        return train(slim, lexicon, own, unit_counts)
+    def counted(rows, learn, model):
+        if rows.columns == ["text"]:
+            seen.update(r.text for r in rows.collect())
+        return averaged(rows, learn, model)
 
-    monkeypatch.setattr(attention_lm, "train_model", train_model)
+    monkeypatch.setattr(attention_lm, "averaged", counted)
     attention_lm.score(docs, VOCABULARY, frequent=50)
-    assert len(seen) == 1 and seen[0][0] == round(seen[0][1]) > 0
+    assert seen == Counter(r[1] or "" for r in texts if zlib.crc32(("" if r[0] is None else str(r[0])).encode()) % 7 != 2)
 
 
-def test_packed_windows_are_the_same():
-    x, y, scored, _ = attention_lm.windows(np.arange(300) % 90, np.array([0, 1, 23, 24, 25, 200, 27]))
-    got = attention_lm.unpacked([r.tobytes() for r in attention_lm.packed(x, y, scored)])
-    assert (got[0] == x).all() and (got[2] == scored).all() and (got[1][scored] == y[scored]).all()
-
-
-def test_windows_score_each_target_once():
+@pytest.mark.parametrize(("width", "overlap"), [(32, 8), (32, 0), (8, 4)])
+def test_windows_score_each_target_once(width, overlap):
     sizes = np.array([0, 1, 31, 32, 33, 200])
-    x, y, scored, doc = attention_lm.windows(np.arange(sizes.sum()), sizes)
-    assert np.bincount(doc, scored.sum(1)).tolist() == (sizes + 1).tolist()
-    assert sorted(y[scored][y[scored] < attention_lm.UNITS - 1].tolist()) == list(range(sizes.sum()))
+    units = np.arange(sizes.sum())
+    first, last, y, scored, owner = attention_lm.windows(units, units + 1000, sizes, width, overlap)
+    assert np.bincount(owner, scored.sum(1)).tolist() == (sizes + 1).tolist()
+    assert sorted(y[scored][y[scored] != attention_lm.END].tolist()) == units.tolist()
+    seen = first[scored] != attention_lm.BEGIN
+    assert (last[scored][seen] - first[scored][seen] == 1000).all() and (~seen).sum() == len(sizes)
+    assert sorted(i for rows, w in attention_lm.by_width(scored, 2) for i in rows.tolist() if not scored[i, w:].any()) == list(range(len(scored)))
 
 
-def test_model_gradient_and_normalisation():
+def test_model_gradient_causality_and_normalisation():
     rng = np.random.default_rng(0)
     model = attention_lm.AttentionModel()
     model.flat[:] = rng.normal(0, 0.2, len(model.flat))
-    x, y = rng.integers(0, attention_lm.UNITS, (2, 2, attention_lm.WINDOW))
-    scored = rng.random(x.shape) < 0.7
-    g = model.gradient(x, y, scored)
-    loss = lambda: -model.log10(x, y, scored).mean() * math.log(10)
+    first, last, y = rng.integers(0, attention_lm.UNITS, (3, 2, attention_lm.WINDOW))
+    scored = rng.random(first.shape) < 0.7
+    g = model.gradient(first, last, y, scored)
+    loss = lambda: -model.log10(first, last, y, scored).mean() * math.log(10)
     for at in np.argsort(-np.abs(g))[[0, 5, 50, 500]]:
         old = model.flat[at]
         model.flat[at] = old + 1e-2
@@ -375,8 +374,27 @@ def test_model_gradient_and_normalisation():
         assert abs((up - down) / 2e-2 - g[at]) < 0.05 * abs(g[at]) + 1e-4
     one = np.zeros_like(scored)
     one[0, 5] = True
+    before = model.log10(first[:1], last[:1], y[:1], one[:1])[0]
+    later = first[:1].copy()
+    later[0, 6:] = 3
+    assert abs(model.log10(later, last[:1], y[:1], one[:1])[0] - before) < 1e-5
     total = 0.0
     for unit in range(attention_lm.UNITS):
         y[0, 5] = unit
-        total += 10 ** model.log10(x[:1], y[:1], one[:1])[0]
+        total += 10 ** model.log10(first[:1], last[:1], y[:1], one[:1])[0]
     assert abs(total - 1) < 1e-3
+
+
+def test_language_model_beats_counts_on_sequences(spark):
+    """Words that always follow each other, and rare words from known parts, score above their counts."""
+    rnd = random.Random(8)
+    stems, ends = ["walk", "talk", "jump", "play", "work", "look"], ["ing", "ed", "er", "s"]
+    rows = []
+    for i in range(400):
+        text = []
+        while len(text) < 120:
+            text += ["north", "south", "east", "west"] if rnd.random() < 0.5 else ["".join(rnd.choice(stems) for _ in range(3)) + rnd.choice(ends)]
+        rows.append((i, " ".join(text)))
+    got = as_rows(attention_lm.score(spark.createDataFrame(rows, "doc_id long, text string").repartition(2), VOCABULARY))
+    held = [g for g in got if g["held_out"]]
+    assert sum(g["score"] for g in held) > sum(g["base_score"] for g in held)
