@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from bindframe.llm._common import small_side, stash, text_or_empty
+from bindframe.llm._common import BROADCAST_ROWS_BY_TEXTS, small_side, stash, text_or_empty
 
 
 def fold(key: Column, of: int) -> Column:
@@ -19,5 +19,5 @@ def labelled(docs: DataFrame, labels: DataFrame, label: str, held_fold: int, fol
     marks = marks.where(fold(F.col("_key"), folds) != held_fold)
     if most is not None:
         marks = marks.orderBy(F.xxhash64("_key"), "_key").limit(most)
-    marks = small_side(stash(marks))
+    marks = small_side(stash(marks), BROADCAST_ROWS_BY_TEXTS)
     return docs.join(marks, F.col(id_col) == F.col("_key")).select(text_or_empty(text_col).alias("text"), "label")

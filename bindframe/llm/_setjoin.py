@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from bindframe.llm._common import by_run, connected_components, minhashes, odd_numbers, small_side, stash, stash_narrow
+from bindframe.llm._common import BROADCAST_ROWS_BY_TEXTS, by_run, connected_components, minhashes, odd_numbers, small_side, stash, stash_narrow
 
 #: Items that one task compares with each other, at most.
 NODE_LIMIT = 4096
@@ -170,7 +170,7 @@ def exact_links(clusters: DataFrame, places: DataFrame, docs: DataFrame, sets_of
     sets_of gives the sets of a text; those that are wanted are made again, in the scan.
     """
     wanted = stash_narrow(clusters.join(places, "id").groupBy("doc_id").agg(F.collect_list("id").alias("ids"), F.collect_list("cluster").alias("clusters")))
-    texts = docs.join(small_side(wanted), "doc_id").select("text", "ids", "clusters")
+    texts = docs.join(small_side(wanted, BROADCAST_ROWS_BY_TEXTS), "doc_id").select("text", "ids", "clusters")
 
     def again(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

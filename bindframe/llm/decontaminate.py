@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from bindframe.llm._common import mix, pieces, small_side, stash, text_or_empty
+from bindframe.llm._common import BROADCAST_ROWS_BY_TEXTS, mix, pieces, small_side, stash, text_or_empty
 
 Q = 10
 #: Edits allowed for each hundred characters of an item.
@@ -229,4 +229,4 @@ def remove_contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "do
     """The rows of docs, all columns, in which no benchmark item occurs."""
     found = contaminated(docs, benchmark, id_col=id_col, text_col=text_col, **options)
     bad = stash(found.select(F.col("doc_id").alias("_bad")).distinct())
-    return docs.join(small_side(bad), docs[id_col].eqNullSafe(bad["_bad"]), "left_anti")
+    return docs.join(small_side(bad, BROADCAST_ROWS_BY_TEXTS), docs[id_col].eqNullSafe(bad["_bad"]), "left_anti")

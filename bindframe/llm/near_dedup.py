@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from bindframe.llm._common import Words, connected_components, free_name, pieces, roomy_heap, shingle_sets, shingles, small_side, stash, stash_narrow, text_or_empty, words_of_text
+from bindframe.llm._common import BROADCAST_ROWS_BY_TEXTS, Words, connected_components, free_name, pieces, roomy_heap, shingle_sets, shingles, small_side, stash, stash_narrow, text_or_empty, words_of_text
 from bindframe.llm._setjoin import DEPTH, Sketcher, candidate_clusters, coordinate, digest, exact_links
 
 COORDS, WIDTH = 64, 128
@@ -104,4 +104,4 @@ def keep_one(docs: DataFrame, k: int = 5, percent: int = 80, recall: float = 0.9
     groups = near_dedup(docs, k, percent, recall, id_col, text_col)
     mark = free_name(docs.columns, "_gone")
     gone = stash_narrow(groups.where("not kept").select(F.col("doc_id").alias(mark)).distinct())
-    return docs.join(small_side(gone), docs[id_col] == gone[mark], "left_anti")
+    return docs.join(small_side(gone, BROADCAST_ROWS_BY_TEXTS), docs[id_col] == gone[mark], "left_anti")

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from bindframe.llm._common import Words, connected_components, free_name, pieces, roomy_heap, run_hashes, shingle_hashes, shingle_sets, sliding_min, small_side, spread, stash, stash_narrow, text_or_empty, to_bytes
+from bindframe.llm._common import BROADCAST_ROWS_BY_TEXTS, Words, connected_components, free_name, pieces, roomy_heap, run_hashes, shingle_hashes, shingle_sets, sliding_min, small_side, spread, stash, stash_narrow, text_or_empty, to_bytes
 from bindframe.llm._setjoin import DEPTH, Sketcher, candidate_clusters, digest, exact_links
 from bindframe.llm.near_dedup import STEP, trees_for
 
@@ -191,7 +191,7 @@ def repeated_passages(slim: DataFrame, k: int, min_words: int) -> DataFrame:
     copies = again(seeds, "last")
     reps = seeds.where("mixed").groupBy("seed", "h").agg(F.min(F.struct("doc_id", "start", "last")).alias("place"))
     wanted = stash_narrow(reps.groupBy("place.doc_id").agg(F.collect_list(F.struct("place.start", "place.last")).alias("ranges")))
-    windows = stash(slim.join(small_side(wanted), "doc_id").select("doc_id", "text", "ranges").mapInArrow(single, f"doc_id {kind}, start int, line int, seed long, h long"))
+    windows = stash(slim.join(small_side(wanted, BROADCAST_ROWS_BY_TEXTS), "doc_id").select("doc_id", "text", "ranges").mapInArrow(single, f"doc_id {kind}, start int, line int, seed long, h long"))
     parts = copies.unionByName(again(windows, "start"))
     own = Window.partitionBy("doc_id", "kept_doc_id").orderBy("start", "end")
     parts = parts.withColumn("before", F.max("end").over(own.rowsBetween(Window.unboundedPreceding, -1)))
@@ -232,7 +232,7 @@ def remove_repeats(docs: DataFrame, k: int = 5, percent: int = 80, min_words: in
     spans = F.collect_list(F.when(F.col("lines").isNull(), F.array(F.col("start"), F.col("start") + F.col("n_words"))))
     mark = free_name(docs.columns, "_gone")
     gone = found.groupBy("doc_id").agg(lines.alias("lines"), spans.alias("spans")).select(F.col("doc_id").alias(f"{mark}id"), F.struct("lines", "spans").alias(mark))
-    joined = docs.join(small_side(stash_narrow(gone)), F.col(id_col) == F.col(f"{mark}id"), "left")
+    joined = docs.join(small_side(stash_narrow(gone), BROADCAST_ROWS_BY_TEXTS), F.col(id_col) == F.col(f"{mark}id"), "left")
     text = F.udf(without, "string", useArrow=True)(F.col(text_col), F.col(f"{mark}.lines"), F.col(f"{mark}.spans"))
     left = F.col(mark).isNull() | F.col(text_col).rlike(r"[^\x20\x09-\x0D]")
     return joined.withColumn(text_col, F.when(F.col(mark).isNull(), F.col(text_col)).otherwise(text)).where(left).select(*[F.col(f"`{c}`") for c in docs.columns])
