@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 #: Rows and bytes up to which a side is broadcast; larger sides are joined by shuffle. Beside whole
 #: texts more rows are worth it (still within the bytes), since a shuffle would move the texts.
-BROADCAST_ROWS, BROADCAST_ROWS_BY_TEXTS, BROADCAST_BYTES = 20_000, 400_000, 24_000_000
+BROADCAST_ROWS, BROADCAST_ROWS_BY_TEXTS, BROADCAST_BYTES = 2_000, 400_000, 24_000_000
 
 #: Bytes of text that one numpy step holds at a time.
 STEP_BYTES = 1_000_000

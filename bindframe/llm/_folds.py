@@ -20,4 +20,5 @@ def labelled(docs: DataFrame, labels: DataFrame, label: str, held_fold: int, fol
     if most is not None:
         marks = marks.orderBy(F.xxhash64("_key"), "_key").limit(most)
     marks = small_side(stash(marks), BROADCAST_ROWS_BY_TEXTS)
-    return docs.join(marks, F.col(id_col) == F.col("_key")).select(text_or_empty(text_col).alias("text"), "label")
+    slim = docs.select(F.col(id_col).alias("_doc"), text_or_empty(text_col).alias("text"))
+    return slim.join(marks, F.col("_doc") == F.col("_key")).select("text", "label")

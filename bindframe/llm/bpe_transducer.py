@@ -21,6 +21,7 @@ import unicodedata
 import uuid
 from collections import Counter
 from collections.abc import Iterator
+from heapq import heapify, heappop, heappush
 from itertools import groupby, repeat
 
 import numpy as np
@@ -30,11 +31,14 @@ from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from bindframe.llm._common import pieces, spread, stash, text_or_empty, to_bytes
+from bindframe.llm._common import pieces, roomy_heap, spread, stash, text_or_empty, to_bytes
 
 #: Words that the lexicon holds, at most.
 LEXICON_WORDS = 50_000
 
+#: Bytes from which a pre-token is merged by itself, with a heap of its pairs.
+LONG = 512
+
 #: The fixed pattern that splits text before the merges.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
@@ -227,7 +231,13 @@ class Lexicon:
             return np.zeros(0, np.int64), np.zeros(0, np.int32)
         counts, flat, order = np.zeros(len(words), np.int64), [], []
         none = len(self.a["rank_to"])
-        for rows in _by_width(words):
+        for i in (i for i, w in enumerate(words) if len(w) >= LONG):
+            flat.append(self.merge_long(words[i]))
+            counts[i] = len(flat[-1])
+            order.append(np.array([i]))
+        short = np.flatnonzero(np.fromiter((len(w) < LONG for w in words), bool, len(words)))
+        for rows in _by_width([words[i] for i in short]):
+            rows = short[rows]
             block, sizes = _matrix([words[i] for i in rows])
             ids = self.a["single"][block].astype(np.int64)
             ids[np.arange(ids.shape[1])[None, :] >= sizes[:, None]] = -1
@@ -261,6 +271,45 @@ class Lexicon:
         first[order] = np.cumsum(counts[order]) - counts[order]
         return counts, flat[spread(first, counts)]
 
+    def merge_long(self, word: bytes) -> np.ndarray:
+        """Exact BPE of one long word: a heap of pairs (rank, place) over a linked list, n log n steps."""
+        ids = self.a["single"][np.frombuffer(word, np.uint8)].astype(np.int64)
+        n, none = len(ids), len(self.a["rank_to"])
+        ranks = self._pair_ranks(ids[:-1], ids[1:])
+        found = np.flatnonzero(ranks < none)
+        heap = list(zip(ranks[found].tolist(), found.tolist(), strict=True))
+        heapify(heap)
+        own, pair = ids.tolist(), ranks.tolist()
+        right, left, known = [*range(1, n), -1], list(range(-1, n - 1)), {}
+
+        def look(i: int) -> None:
+            """The rank of the pair that begins at i goes to the heap."""
+            j = right[i]
+            rank = none
+            if j >= 0:
+                key = own[i], own[j]
+                rank = known.get(key)
+                if rank is None:
+                    rank = known[key] = int(self._pair_ranks(np.array([key[0]]), np.array([key[1]]))[0])
+                if rank < none:
+                    heappush(heap, (rank, i))
+            if i < n - 1:
+                pair[i] = rank
+
+        while heap:
+            rank, i = heappop(heap)
+            if own[i] < 0 or right[i] < 0 or pair[i] != rank:
+                continue
+            j = right[i]
+            own[i], own[j] = int(self.a["rank_to"][rank]), -1
+            right[i] = right[j]
+            if right[j] >= 0:
+                left[right[j]] = i
+            look(i)
+            if left[i] >= 0:
+                look(left[i])
+        return np.array([x for x in own if x >= 0], np.int64)
+
     def _pair_ranks(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """The rank of merging a and b, elementwise; the number of ranks where there is no such merge."""
         out = np.full(a.shape, len(self.a["rank_to"]), np.int64)
@@ -289,15 +338,16 @@ class Lexicon:
 
 
 class Encoder:
-    """Encodes texts by a lexicon; keeps a bounded memo of words."""
+    """Encodes texts by a lexicon; keeps a memo of words, bounded in words and characters."""
 
-    def __init__(self, lexicon: Lexicon, memo_words: int = 300_000):
-        self.lexicon, self.memo_words = lexicon, memo_words
+    def __init__(self, lexicon: Lexicon, memo_words: int = 150_000, memo_chars: int = 8_000_000):
+        self.lexicon, self.memo_words, self.memo_chars = lexicon, memo_words, memo_chars
         self.unassigned = _unassigned()
         self.reset()
 
     def reset(self) -> None:
         self.memo: dict[str, int] = {}
+        self.chars = 0
         self.first, self.counts, self.ids = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int32)
 
     def words(self, text: str) -> list[str]:
@@ -334,7 +384,7 @@ class Encoder:
 
     def places(self, units: list[str]) -> np.ndarray:
         """Each unit's place in the memo (its ids are `counts` long from `first`), learnt where new."""
-        if len(self.memo) > self.memo_words:
+        if len(self.memo) > self.memo_words or self.chars > self.memo_chars:
             self.reset()
         at = np.fromiter(map(self.memo.get, units, repeat(-1)), np.int64, len(units))
         missing = np.flatnonzero(at < 0).tolist()
@@ -353,6 +403,7 @@ class Encoder:
         ids = np.concatenate([ids, np.array([self.lexicon.special[u[8:]] for u in specials], np.int32)])
         start = len(self.memo)
         self.memo.update(zip([*plain, *specials], range(start, start + len(new)), strict=True))
+        self.chars += sum(map(len, new))
         self.first = np.concatenate([self.first, len(self.ids) + np.cumsum(counts) - counts])
         self.counts = np.concatenate([self.counts, counts])
         self.ids = np.concatenate([self.ids, ids])
@@ -444,6 +495,7 @@ def encode(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: s
     kind = slim.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        roomy_heap()
         coder = encoder(name)
         for part in pieces(batches, "text"):
             ids, starts = coder.encode(part.column("text").to_pylist())

@@ -9,8 +9,8 @@ reach the bound are kept, and those are verified by banded alignment.
 The benchmark goes to the tasks in blocks of at most `block_chars` characters (one pass over
 the documents for each block), so what is sent never grows beyond that bound and one item.
 
-Defined results: a null text or item matches nothing, nor does an item shorter than q + 1
-characters; where the bound would fall below one shared q-gram the edit budget is lowered
+Defined results: a null text or item matches nothing; an item of at most q characters, which has no q-gram
+to spare, matches a text that is nothing but the item; where the bound would fall below one shared q-gram the edit budget is lowered
 until it does not; repeated rows of an id give one row a pair; an empty table gives an empty
 result; texts are read whole; other columns are ignored.
 """
@@ -37,13 +37,14 @@ _BASE = np.uint64(0x9E3779B97F4A7C15)
 _TABLE_SIZE = 0x3000
 
 
+def _as_it_counts(code: int) -> int:
+    c = chr(code)
+    return (ord(c.lower()) if len(c.lower()) == 1 else code) if c.isalnum() else 32
+
+
 def _table() -> np.ndarray:
     """Character codes as they count: lower case, 32 for what is no letter or digit."""
-    out = np.arange(_TABLE_SIZE, dtype=np.uint32)
-    for code in range(_TABLE_SIZE):
-        c = chr(code)
-        out[code] = (ord(c.lower()) if len(c.lower()) == 1 else code) if c.isalnum() else 32
-    return out
+    return np.array([_as_it_counts(code) for code in range(_TABLE_SIZE)], np.uint32)
 
 
 _CODES = _table()
@@ -52,7 +53,11 @@ _CODES = _table()
 def normal(text: str | None) -> np.ndarray:
     """The characters that count, as codes."""
     x = np.frombuffer((text or "").encode("utf-32-le", "surrogatepass"), np.uint32)
-    x = np.where(x < _TABLE_SIZE, _CODES[np.minimum(x, _TABLE_SIZE - 1)], x)
+    high = x >= _TABLE_SIZE
+    x = np.where(high, x, _CODES[np.minimum(x, _TABLE_SIZE - 1)])
+    if high.any():
+        found, at = np.unique(x[high], return_inverse=True)
+        x[high] = np.array([_as_it_counts(c) for c in found.tolist()], np.uint32)[at]
     if not len(x):
         return x
     keep = np.ones(len(x), bool)
@@ -78,12 +83,14 @@ class Benchmark:
 
     def __init__(self, ids: list, texts: list[str | None], q: int, percent: int):
         self.q = q
-        self.ids, self.items = [], []
+        self.ids, self.items, self.short = [], [], {}
         for i, text in zip(ids, texts, strict=True):
             x = normal(text)
             if len(x) > q:
                 self.ids.append(i)
                 self.items.append(x)
+            elif len(x):
+                self.short.setdefault(x.tobytes(), []).append((i, len(x)))
         m = np.array([len(x) for x in self.items], np.int64)
         self.edits = np.minimum(m * percent // 100, (m - q) // q)
         self.shared = m + 1 - q - self.edits * q
@@ -178,6 +185,10 @@ class Benchmark:
                 best[item] = (edits, end)
         return [(i, e, max(0, end - int(self.sizes[i])), end) for i, (e, end) in sorted(best.items())]
 
+    def alone(self, text: str | None) -> list[tuple]:
+        """(id, characters) of the items of at most q characters that are all of a text: inside longer texts they prove nothing."""
+        return self.short.get(normal(text).tobytes(), []) if self.short and text else []
+
 
 def _blocks(benchmark: DataFrame, block_chars: int) -> list[DataFrame]:
     """The items dealt by a hash into blocks of about so many characters."""
@@ -216,6 +227,9 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, q: int = Q, percent: int
                     for item, edits, start, end in known.matches(text):
                         found.append((known.ids[item], edits, start, end))
                         at.append(i)
+                    for item, size in known.alone(text):
+                        found.append((item, 0, 0, size))
+                        at.append(i)
                 columns = list(zip(*found, strict=True)) or [()] * 4
                 arrays = [pa.array(columns[0], item_type), *(pa.array(c, pa.int32()) for c in columns[1:])]
                 yield pa.RecordBatch.from_arrays([part.column("doc_id").take(pa.array(at, pa.int64())), *arrays], names=["doc_id", "item_id", "edits", "start", "end"])

@@ -4,7 +4,7 @@ A text's UTF-8 bytes are cut into overlapping chunks of 256 bytes, one every 128
 Filters of 8 bytes, moved by 2, are max-pooled over each chunk; the mean and the maximum
 over all chunks go into one logistic unit. Scoring adds up table rows for byte pairs, in the
 scan, in bounded memory. The network is fitted on a bounded sample of labelled rows (`most`
-documents, `chunks` evenly spaced chunks of each); scores read whole texts and nothing else.
+documents, with all their chunks); scores read whole texts and nothing else.
 
 Defined results: null and empty texts get the score of a text of zero bytes; without labels
 (or with one class) the score is the share of label 1, smoothed by one row of each class;
@@ -27,8 +27,8 @@ from bindframe.llm._folds import fold, labelled
 HALF = 128
 WIDTH = 8
 FILTERS = 16
-#: Labelled documents, and chunks of each, that the fit may use.
-MOST_DOCS, MOST_CHUNKS = 4000, 12
+#: Labelled documents that the fit may use.
+MOST_DOCS = 2000
 HELD_FOLD, FOLDS = 2, 4
 
 
@@ -37,12 +37,10 @@ def padded(raw: bytes) -> bytes:
     return raw + b"\0" * (WIDTH + -(len(raw) + WIDTH) % HALF)
 
 
-def spaced_chunks(raw: bytes, most: int) -> list[bytes]:
-    """At most so many chunks, evenly spaced over the text, each with the bytes its last windows reach into."""
+def chunks_of(raw: bytes) -> bytes:
+    """All chunks of a text, one every half, each with the bytes its last windows reach into."""
     whole = padded(raw) + b"\0" * (HALF + WIDTH)
-    halves = (len(whole) - WIDTH) // HALF - 1
-    at = range(halves) if halves <= most else sorted({round(i * (halves - 1) / (most - 1)) for i in range(most)})
-    return [whole[i * HALF : i * HALF + 2 * HALF + WIDTH] for i in at]
+    return b"".join(whole[i : i + 2 * HALF + WIDTH] for i in range(0, len(padded(raw)), HALF))
 
 
 class ByteNetwork:
@@ -67,6 +65,15 @@ class ByteNetwork:
         best = total.argmax(1)
         return np.take_along_axis(total, best[:, None, :], 1)[:, 0] + self.shift, best
 
+    @staticmethod
+    def _batches(order: np.ndarray, sizes: np.ndarray, batch: int, most: int = 2000) -> Iterator[np.ndarray]:
+        """Documents in order, at most `batch` at a time and about so many chunks."""
+        start = 0
+        while start < len(order):
+            room = int(np.searchsorted(np.cumsum(sizes[order[start : start + batch]]), most, side="right"))
+            yield order[start : start + max(1, room)]
+            start += max(1, room)
+
     def fit(self, chunks: np.ndarray, owner_sizes: np.ndarray, labels: np.ndarray, epochs: int = 14, batch: int = 48, rate: float = 0.01, decay: float = 1e-4, seed: int = 6) -> ByteNetwork:
         """Adam on the logistic loss of whole documents; chunks come in the order of documents."""
         rng = np.random.default_rng(seed)
@@ -77,8 +84,7 @@ class ByteNetwork:
         for epoch in range(epochs):
             pace = rate * (1 - epoch / epochs) + rate * 0.05
             order = rng.permutation(len(labels))
-            for b in range(0, len(order), batch):
-                docs = order[b : b + batch]
+            for docs in self._batches(order, owner_sizes, batch):
                 sizes = owner_sizes[docs]
                 rows = np.concatenate([np.arange(first[i], first[i] + owner_sizes[i]) for i in docs])
                 part = chunks[rows]
@@ -142,14 +148,14 @@ def score_texts(raws: list[bytes], net: ByteNetwork, tables: np.ndarray, block:
     return 1 / (1 + np.exp(-(pooled @ net.out + net.bias[0]).astype(np.float64)))
 
 
-def fit_network(docs: DataFrame, labels: DataFrame, label: str = "quality", most: int = MOST_DOCS, chunks: int = MOST_CHUNKS, id_col: str = "doc_id", text_col: str = "text") -> ByteNetwork:
-    """Fit on a bounded sample: `most` labelled documents outside the held fold, `chunks` chunks of each."""
+def fit_network(docs: DataFrame, labels: DataFrame, label: str = "quality", most: int = MOST_DOCS, id_col: str = "doc_id", text_col: str = "text") -> ByteNetwork:
+    """Fit on a bounded sample: `most` labelled documents outside the held fold, whole."""
     rows = labelled(docs, labels, label, HELD_FOLD, FOLDS, most, id_col, text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in pieces(batches, "text"):
-            cut = [spaced_chunks(to_bytes(t), chunks) for t in part.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([part.column("label"), pa.array([len(c) for c in cut], pa.int32()), pa.array([b"".join(c) for c in cut], pa.binary())], names=["label", "n", "chunks"])
+            cut = [chunks_of(to_bytes(t)) for t in part.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([part.column("label"), pa.array([len(c) // (2 * HALF + WIDTH) for c in cut], pa.int32()), pa.array(cut, pa.binary())], names=["label", "n", "chunks"])
 
     found = sorted((r["label"], r["n"], bytes(r["chunks"])) for r in rows.mapInArrow(run, "label int, n int, chunks binary").collect())
     y = np.array([r[0] > 0 for r in found], np.float32)

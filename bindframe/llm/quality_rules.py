@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from bindframe.llm._common import small_side, stash, text_or_empty, to_bytes
+from bindframe.llm._common import pieces, small_side, stash, text_or_empty, to_bytes
 
 SYMBOLS = b"#*$%&|<>"
 BLANKS = b" \t\n\x0b\x0c\r"
@@ -66,7 +66,7 @@ def measures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ho
     slim = docs.select(F.col(id_col).alias("doc_id"), F.col(host_col).cast("string").alias("host"), text_or_empty(text_col).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in pieces(batches, "text"):
             rows = [measure_text(to_bytes(t)) for t in batch.column("text").to_pylist()]
             columns = list(zip(*rows, strict=True)) or [()] * 5
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("host"), *(pa.array(c, pa.int64()) for c in columns)], names=["doc_id", "host", *MEASURES])

@@ -3,7 +3,7 @@
 Two kinds of paragraphs cover every text. The first are a line of at least `min_words` words, and a stretch
 of shorter lines without a blank line that has as many together; equal shingle sets are one
 item. Each item is dealt to `bands` buckets of `rows` minwise values each. At similarity s a pair shares a
-bucket with probability 1 - (1 - s^rows)^bands: 0.9998 at 0.8 with 12 bands of 3. Buckets over the
+bucket with probability 1 - (1 - s^rows)^bands: 0.9997 at 0.8 with 8 bands of 2. Buckets over the
 limit branch in as many trees as find a pair in them with 0.999 at full depth. Paragraphs
 that collide are compared in bounded groups, verified by exact Jaccard similarity on the full
 sets, and joined to components. Of each component the first paragraph (by document id, then
@@ -34,7 +34,7 @@ from bindframe.llm._common import BROADCAST_ROWS_BY_TEXTS, Words, connected_comp
 from bindframe.llm._setjoin import DEPTH, Sketcher, candidate_clusters, digest, exact_links
 from bindframe.llm.near_dedup import STEP, trees_for
 
-BANDS, ROWS, WIDTH = 12, 3, 64
+BANDS, ROWS, WIDTH = 8, 2, 64
 
 
 def paragraphs(words: Words, min_words: int) -> np.ndarray:

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from bindframe.llm._common import pieces, text_or_empty
+from bindframe.llm._common import pieces, roomy_heap, text_or_empty
 from bindframe.llm.bpe_transducer import LEXICON_WORDS, Encoder, build_lexicon, encoder
 
 Edit = tuple[int, int, str]
@@ -63,33 +63,59 @@ def apply_edits(text: str, edits: list[Edit]) -> str:
 
 
 class PretokenTree:
-    """Blocks of pre-tokens under a tree of sums of characters and tokens."""
+    """Blocks of pre-tokens under a tree of sums of characters and tokens.
 
-    def __init__(self, text: str, coder: Encoder, units: list[str] | None = None):
-        self.text, self.coder = text, coder
-        units, sizes, tokens = self.measure(text, units)
-        n = max(1, -(-len(units) // BLOCK))
+    A block holds its own text, so an edit copies no more than the blocks it touches; blocks that no
+    edit touches stay slices of the arrays they came from.
+    """
+
+    def __init__(self, text: str, coder: Encoder, units: list[str] | None = None, state: tuple[np.ndarray, np.ndarray] | None = None):
+        """From the text; or, with `state`, from the sizes and tokens that an earlier tree of this text has saved."""
+        self.coder, self.source = coder, text
+        self.sizes, self.tokens_of = self.measure(text, units)[1:] if state is None else state
+        n = max(1, -(-len(self.sizes) // BLOCK))
         self.leaves = 1 << (n - 1).bit_length()
-        self.blocks: list[list[tuple[int, int]]] = [list(zip(sizes[i * BLOCK : (i + 1) * BLOCK], tokens[i * BLOCK : (i + 1) * BLOCK], strict=True)) for i in range(n)]
-        self.blocks += [[] for _ in range(self.leaves - n)]
         self.sums = np.zeros((2 * self.leaves, 2), np.int64)
-        for i, block in enumerate(self.blocks[:n]):
-            self.sums[self.leaves + i] = [sum(x) for x in zip(*block, strict=True)] if block else (0, 0)
-        for i in range(self.leaves - 1, 0, -1):
-            self.sums[i] = self.sums[2 * i] + self.sums[2 * i + 1]
+        if len(self.sizes):
+            cuts = np.arange(0, len(self.sizes), BLOCK)
+            self.sums[self.leaves : self.leaves + n] = np.stack([np.add.reduceat(self.sizes, cuts), np.add.reduceat(self.tokens_of, cuts)], 1)
+        self.offsets = np.append(0, np.cumsum(self.sums[self.leaves :, 0]))
+        level = self.leaves
+        while level > 1:
+            self.sums[level // 2 : level] = self.sums[level : 2 * level : 2] + self.sums[level + 1 : 2 * level : 2]
+            level //= 2
+        self.made: dict[int, tuple[str, list[int], list[int]]] = {}
         self.reencoded = 0
 
-    def measure(self, text: str, units: list[str] | None = None) -> tuple[list[str], list[int], list[int]]:
+    def measure(self, text: str, units: list[str] | None = None) -> tuple[list[str], np.ndarray, np.ndarray]:
         """Units of a text (found here if not given), their characters, and their tokens."""
         units = self.coder.units(text) if units is None else units
+        sizes = np.fromiter(map(len, units), np.int64, len(units))
+        if sizes.sum() != len(text):  # special tokens stand behind a mark
+            sizes -= 8 * np.fromiter((u.startswith("\0special") and u[8:] in self.coder.lexicon.special for u in units), np.int64, len(units))
         at = self.coder.places(units)
-        tokens = self.coder.counts[at].tolist()
-        return units, [len(u) - 8 if u.startswith("\0special") and u[8:] in self.coder.lexicon.special else len(u) for u in units], tokens
+        return units, sizes, self.coder.counts[at]
 
     @property
     def tokens(self) -> int:
         return int(self.sums[1, 1])
 
+    @property
+    def text(self) -> str:
+        return "".join(self.block(i)[0] for i in range(self.leaves))
+
+    def state(self) -> tuple[np.ndarray, np.ndarray]:
+        """Sizes and tokens of all pre-tokens, from which a tree of the present text can be made again."""
+        own = [self.block(i) for i in range(self.leaves)]
+        return np.array([x for b in own for x in b[1]], np.int64), np.array([x for b in own for x in b[2]], np.int64)
+
+    def block(self, i: int) -> tuple[str, list[int], list[int]]:
+        """The text of a block, and the characters and tokens of its pre-tokens."""
+        if i not in self.made:
+            part = slice(i * BLOCK, (i + 1) * BLOCK)
+            self.made[i] = self.source[self.offsets[i] : self.offsets[i + 1]], self.sizes[part].tolist(), self.tokens_of[part].tolist()
+        return self.made[i]
+
     def find(self, position: int) -> tuple[int, int]:
         """The block that holds a character, and the characters before that block."""
         node, before = 1, 0
@@ -102,70 +128,62 @@ class PretokenTree:
                 node = 2 * node + 1
         return node - self.leaves, before
 
+    def _unit(self, position: int) -> tuple[int, int, int, int]:
+        """The unit that holds a character: its block, its number there, its first character, and the block's."""
+        block, before = self.find(position)
+        at, i, sizes = before, 0, self.block(block)[1]
+        while i < len(sizes) - 1 and at + sizes[i] <= position:
+            at += sizes[i]
+            i += 1
+        return block, i, at, before
+
     def replace(self, start: int, end: int, new: str) -> None:
         """Replace characters start to end of the current text and re-encode around them."""
-        length = len(self.text)
-        first, before = self.find(max(start - 1, 0)) if length else (0, 0)
-        block = self.blocks[first]
-        i, at = 0, before
-        while i < len(block) and at + block[i][0] <= max(start - 1, 0):
-            at += block[i][0]
-            i += 1
-        begin, kept = at, block[:i]
-        # old borders from the first one at or behind the end of the edit, block by block
-        changed = self.text[:start] + new + self.text[end:]
-        shift = len(new) - (end - start)
-        last, j = first, i
-        while at < end or (at == begin and at < length):
-            if j >= len(self.blocks[last]):
-                last, j = last + 1, 0
-                continue
-            at += self.blocks[last][j][0]
-            j += 1
-        reach = max(64, end + shift - begin + 64)
+        length = int(self.sums[1, 0])
+        first, i, begin, before = self._unit(max(start - 1, 0))
+        if begin and length:
+            # where a run of blanks is cut depends on what follows it
+            earlier = self._unit(begin - 1)
+            low = earlier[2] - earlier[3]
+            if self.block(earlier[0])[0][low : begin - earlier[3]].isspace():
+                first, i, begin, before = earlier
+        reach = 64
         while True:
-            stop = min(len(changed), begin + reach)
-            piece = changed[begin:stop]
+            # the blocks from `first` on that hold the edit and some characters behind it
+            blocks, stop = [first], before + len(self.block(first)[0])
+            while stop < min(length, end + reach):
+                blocks.append(self.find(stop)[0])
+                stop += len(self.block(blocks[-1])[0])
+            old = "".join(self.block(x)[0] for x in blocks)[begin - before :]
+            piece = old[: start - begin] + new + old[end - begin :]
             units, sizes, tokens = self.measure(piece)
-            borders = np.cumsum([0, *sizes]).tolist()
+            borders = np.append(0, np.cumsum(sizes)).tolist()
             # the last two units of a cut piece may go on behind it
-            sure = len(units) if stop == len(changed) else max(0, len(units) - 2)
+            sure = len(units) if stop == length else max(0, len(units) - 2)
             known = {b: n for n, b in enumerate(borders[: sure + 1])}
-            a, b, k = last, j, at
-            while True:
-                if k + shift - begin in known and k >= end:
-                    n = known[k + shift - begin]
+            shift, k, met = len(new) - (end - start), before, None
+            for x, block in enumerate(blocks):
+                for unit, size in enumerate([0, *self.block(block)[1]]):
+                    k += size
+                    if k >= end and k >= begin and k + shift - begin in known:
+                        met = known[k + shift - begin], x, unit
+                        break
+                if met:
                     break
-                while a < self.leaves and b >= len(self.blocks[a]):
-                    a, b = a + 1, 0
-                if a >= self.leaves or k + shift - begin > borders[sure]:
-                    n = None
-                    break
-                k += self.blocks[a][b][0]
-                b += 1
-            if n is not None or stop == len(changed):
+            if met or stop == length:
                 break
-            reach *= 2
-        if n is None:
-            n, a, b = len(units), self.leaves - 1, len(self.blocks[-1])
+            reach *= 4
+        n, x, unit = met or (len(units), len(blocks) - 1, len(self.block(blocks[-1])[1]))
         self.reencoded += borders[n]
-        tail = self.blocks[a][b:] if a < self.leaves else []
-        fresh = list(zip(sizes[:n], tokens[:n], strict=True))
-        if a == first:
-            self.blocks[first] = kept + fresh + tail
-            touched = [first]
-        else:
-            self.blocks[first] = kept + fresh
-            for x in range(first + 1, min(a, self.leaves)):
-                self.blocks[x] = []
-            if a < self.leaves:
-                self.blocks[a] = tail
-            touched = list(range(first, min(a, self.leaves - 1) + 1))
-        self.text = changed
-        for x in touched:
-            block = self.blocks[x]
-            self.sums[self.leaves + x] = [sum(v) for v in zip(*block, strict=True)] if block else (0, 0)
-        level = sorted({(self.leaves + x) // 2 for x in touched} - {0})
+        kept, tail = self.block(first), self.block(blocks[x])
+        rest = sum(tail[1][:unit])
+        touched = blocks[: x + 1]
+        for block in touched:
+            self.made[block] = "", [], []
+        self.made[first] = kept[0][: begin - before] + piece[: borders[n]] + tail[0][rest:], kept[1][:i] + sizes[:n].tolist() + tail[1][unit:], kept[2][:i] + tokens[:n].tolist() + tail[2][unit:]
+        for block in touched:
+            self.sums[self.leaves + block] = sum(self.made[block][1]), sum(self.made[block][2])
+        level = sorted({(self.leaves + block) // 2 for block in touched} - {0})
         while level:
             for node in level:
                 self.sums[node] = self.sums[2 * node] + self.sums[2 * node + 1]
@@ -196,6 +214,7 @@ def edited_counts(docs: DataFrame, vocabulary: str, edits_col: str | None = None
     slim = docs.select(F.col(id_col).alias("doc_id"), text_or_empty(text_col).alias("text"), edits.alias("edits"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        roomy_heap()
         coder = encoder(name)
         for part in pieces(batches, "text"):
             rows, texts = [], part.column("text").to_pylist()

@@ -3,9 +3,9 @@
 P(grade <= k) = logistic(threshold_k - w.x): one weight vector is shared by all ordered
 thresholds, and the expected severity is the sum over thresholds of P(grade > k). Features
 are words and beginnings of words, picked from counts over all labelled documents outside the
-held fold: those whose share of toxic documents differs from the rest by more than chance allows. Grades of the
-labelled rows: 0 not toxic; toxic rows are 1, or 2 where more
-different words mark toxicity than in the median toxic row. The fit uses a bounded sample
+held fold: those whose share of toxic documents differs from the rest by more than chance allows. Grades come
+from the labels alone: 0 not toxic, 1 toxic, 2 toxic and marked as of low quality too (`worse`; without that
+column there is no grade 2 to learn from). The fit uses a bounded sample
 of labelled rows (`most`); scoring reads every text whole.
 
 Defined results: null and empty texts have no features, so the grade that the thresholds
@@ -93,21 +93,18 @@ class OrdinalModel:
 
     def __init__(self, words: dict[str, float], grades: int = 3):
         self.words = {w: i for i, w in enumerate(sorted(words))}
-        self.marked = {self.words[w] for w, z in words.items() if z > 0}
         self.weights = np.zeros(len(words))
         self.thresholds = np.full(grades - 1, np.inf)
 
-    def features(self, text: str | None, memo: dict[bytes, tuple[int, ...]]) -> tuple[list[int], int]:
-        """Indexes of the features in a text, and how many different words have a marking one."""
+    def features(self, text: str | None, memo: dict[bytes, tuple[int, ...]]) -> list[int]:
+        """Indexes of the features in a text."""
         found = tokens(text)
         if len(memo) > 300_000:
             memo.clear()
         for word in set(found):
             if word not in memo:
                 memo[word] = tuple(self.words[f] for f in Features()[word] if f in self.words)
-        hits = [memo[w] for w in found if memo[w]]
-        own = sorted({i for h in hits for i in h})
-        return own, sum(any(i in self.marked for i in h) for h in set(hits))
+        return sorted({i for w in found for i in memo[w]})
 
     def above(self, z: np.ndarray) -> np.ndarray:
         """P(grade > k) for each threshold."""
@@ -143,7 +140,10 @@ class OrdinalModel:
         return self
 
 
-def fit_ordinal(docs: DataFrame, labels: DataFrame, label: str = "toxic", most: int = MOST_DOCS, id_col: str = "doc_id", text_col: str = "text") -> OrdinalModel:
+def fit_ordinal(docs: DataFrame, labels: DataFrame, label: str = "toxic", worse: str = "quality", most: int = MOST_DOCS, id_col: str = "doc_id", text_col: str = "text") -> OrdinalModel:
+    toxic = F.col(label).cast("int")
+    low = F.coalesce((F.col(worse) == 0).cast("int"), F.lit(0)) if worse in labels.columns else F.lit(0)
+    labels, label = labels.select(id_col, F.when(toxic > 0, 1 + low).otherwise(toxic).alias("grade")), "grade"
     words = feature_words(labelled(docs, labels, label, HELD_FOLD, FOLDS, None, id_col, text_col))
     model = OrdinalModel(words)
     if not words:
@@ -153,15 +153,14 @@ def fit_ordinal(docs: DataFrame, labels: DataFrame, label: str = "toxic", most:
         memo: dict[bytes, tuple[int, ...]] = {}
         for part in pieces(batches, "text"):
             found = [model.features(t, memo) for t in part.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([part.column("label"), pa.array([f[0] for f in found], pa.list_(pa.int32())), pa.array([f[1] for f in found], pa.int32())], names=["label", "features", "marks"])
+            yield pa.RecordBatch.from_arrays([part.column("label"), pa.array(found, pa.list_(pa.int32()))], names=["label", "features"])
 
-    rows = labelled(docs, labels, label, HELD_FOLD, FOLDS, most, id_col, text_col).mapInArrow(run, "label int, features array<int>, marks int").collect()
-    rows = sorted((r["label"], tuple(r["features"]), r["marks"]) for r in rows)
-    y = np.array([r[0] > 0 for r in rows])
-    if not 0 < y.sum() < len(y):
+    rows = labelled(docs, labels, label, HELD_FOLD, FOLDS, most, id_col, text_col).mapInArrow(run, "label int, features array<int>").collect()
+    rows = sorted((r["label"], tuple(r["features"])) for r in rows)
+    grades = np.array([r[0] for r in rows])
+    if not 0 < (grades > 0).sum() < len(grades):
         return model
-    marks = np.array([r[2] for r in rows])
-    return model.fit([list(r[1]) for r in rows], np.where(y, np.where(marks > np.median(marks[y]), 2, 1), 0))
+    return model.fit([list(r[1]) for r in rows], grades)
 
 
 def severity(docs: DataFrame, labels: DataFrame, label: str = "toxic", id_col: str = "doc_id", text_col: str = "text", **fit_options) -> DataFrame:
@@ -175,7 +174,7 @@ def severity(docs: DataFrame, labels: DataFrame, label: str = "toxic", id_col: s
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo: dict[bytes, tuple[int, ...]] = {}
         for part in pieces(batches, "text"):
-            z = np.array([model.weights[model.features(t, memo)[0]].sum() for t in part.column("text").to_pylist()])
+            z = np.array([model.weights[model.features(t, memo)].sum() for t in part.column("text").to_pylist()])
             above = model.above(z)
             each = -np.diff(np.hstack([np.ones((len(z), 1)), above, np.zeros((len(z), 1))]), axis=1)
             yield pa.RecordBatch.from_arrays(

@@ -14,7 +14,7 @@ from tokenizers import Tokenizer
 from bindframe.llm import attention_lm, bpe_transducer, decontaminate, near_dedup, quality_cnn, quality_rules, sharding, substring_dedup, token_counts, toxicity
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
-SCHEMA = "doc_id long, text string, lang string, source string, n_words int, kept string, id string, node int, component_id string"
+SCHEMA = "doc_id long, text string, lang string, source string, n_words int, kept string, id string, node int, component_id string, label int, _key string, _gone int, _id int, Lines int"
 
 
 def words(n, seed):
@@ -47,7 +47,7 @@ def texts():
 
 @pytest.fixture(scope="module")
 def docs(spark, texts):
-    return spark.createDataFrame([(*r, 7, "x", "y", 3, "z") for r in texts], SCHEMA).repartition(3)
+    return spark.createDataFrame([(*r, 7, "x", "y", 3, "z", 5, "k", 1, 2, 3) for r in texts], SCHEMA).repartition(3)
 
 
 @pytest.fixture(scope="module")
@@ -276,6 +276,43 @@ def test_token_counts_follow_edits(spark, docs, empty, texts):
     assert {g["doc_id"]: g["n_tokens_edited"] for g in as_rows(token_counts.edited_counts(given, VOCABULARY, edits_col="edits"))} == {1: count("goodbye world"), 2: 1, 3: 0}
 
 
+def test_trees_saved_and_taken_up_again():
+    library = Tokenizer.from_file(VOCABULARY)
+    coder = bpe_transducer.Encoder(bpe_transducer.Lexicon.compile(bpe_transducer.Vocabulary(VOCABULARY), ["alpha1"]))
+    tree = token_counts.PretokenTree(" ".join(words(900, 77)), coder)
+    tree.replace(100, 140, "something else entirely")
+    again = token_counts.PretokenTree(tree.text, coder, state=tree.state())
+    again.replace(2000, 2000, "  \n")
+    assert again.tokens == len(library.encode(again.text, add_special_tokens=False).ids)
+    assert again.reencoded < 300
+
+
+def test_long_pretokens_merge_as_in_the_library():
+    library = Tokenizer.from_file(VOCABULARY)
+    lexicon = bpe_transducer.Lexicon.compile(bpe_transducer.Vocabulary(VOCABULARY), [])
+    rnd = random.Random(6)
+    raw = ["".join(rnd.choice("abcdefgh") for _ in range(n)) for n in (511, 512, 3000)] + ["a" * 4001, "short"]
+    counts, ids = lexicon.merge([w.encode() for w in raw])
+    expected = [library.encode(w, add_special_tokens=False).ids for w in raw]
+    assert counts.tolist() == list(map(len, expected)) and ids.tolist() == [i for e in expected for i in e]
+
+
+def test_word_hashes_and_sets_equal_plain_python():
+    import pyarrow as pa
+
+    from bindframe.llm import _common
+
+    raw = ["", " ", "One two\tthree", "one TWO three\x0b\nfour", "x" * 700_000 + " y", "one", "ÄÖ äö ÄÖ"]
+    found = _common.Words(pa.array(raw).slice(1))
+    plain = [w for t in raw[1:] for w in t.encode().lower().split()]
+    assert found.sizes.tolist() == [len(t.encode().split()) for t in raw[1:]]
+    by = dict(zip(plain, found.hashes.tolist()))
+    assert [by[w] for w in plain] == found.hashes.tolist() and len(set(by.values())) == len(by)
+    sets, sizes = _common.shingle_sets(found.hashes, found.first, found.sizes, 2)
+    assert sizes.tolist() == [len({tuple(w[i : i + 2]) for i in range(max(1, len(w) - 1))} if w else ()) for w in (t.encode().lower().split() for t in raw[1:])]
+    assert (_common.sliding_min(np.array([5, 3, 9, 1, 7, 8, 6, 2]), 3) == [3, 1, 1, 1, 6, 2]).all()
+
+
 def test_byte_network(spark, docs, empty, labels, texts):
     got = as_rows(quality_cnn.quality_scores(docs, labels))
     assert len(got) == len(texts) and all(0 <= g["score"] <= 1 and g["predicted"] == int(g["score"] >= 0.7) for g in got)
@@ -299,7 +336,9 @@ def test_whole_text_scores_equal_direct_ones():
         act = np.maximum(net.pool(chunks)[0], 0)
         z = np.concatenate([act.mean(0), act.max(0)]) @ net.out + net.bias[0]
         got = quality_cnn.score_texts([b"before" * 50, raw, b"after" * 99], net, net.pair_tables())[1]
-        assert abs(got - 1 / (1 + math.exp(-z))) < 0.02
+        assert abs(got - 1 / (1 + math.exp(-z))) < 1e-5
+        cut = quality_cnn.chunks_of(raw)
+        assert np.array_equal(np.frombuffer(cut, np.uint8).reshape(-1, 264), chunks)
 
 
 def test_toxicity(spark, docs, empty, labels, texts):
