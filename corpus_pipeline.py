@@ -2,6 +2,11 @@
 
 Quality rules turn documents down, near-duplicate groups keep one document, repeated
 paragraphs go, documents that hold benchmark items go, and what is left is encoded.
+
+Defined results: a null or empty text fails the length rule, so it does not reach the second stage;
+rows without an id are compared with nothing and stay; repeated rows of one id stay or go
+together; an empty table gives an empty result; extra columns of documents, whatever their names,
+come out of all stages but the last as they went in (n_chars follows the text where that is cut).
 """
 
 from __future__ import annotations
@@ -15,23 +20,28 @@ from bindframe.llm.queries import VOCABULARY
 
 
 def reject_by_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the rules or their host's rates turn down go."""
     return quality_rules.keep_good(docs)
 
 
 def keep_one_of_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near duplicates (five-word shingles, similarity 0.8) the smallest id stays."""
     return near_dedup.keep_one(docs)
 
 
 def remove_repeated_paragraphs(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Paragraphs and passages of 50 words or more that repeat an earlier one are cut out of the texts."""
     kept = substring_dedup.remove_repeats(docs)
     return kept.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else kept
 
 
 def remove_benchmark_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a benchmark item within its edit budget go."""
     return decontaminate.remove_contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def encode_texts(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Ids and decoded text of each document that is left."""
     return bpe_transducer.encode(docs, VOCABULARY)
 
 
