@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
@@ -85,6 +86,28 @@ def to_bytes(text: str | None) -> bytes:
     return (text or "").encode("utf-8", "surrogatepass")
 
 
+#: Bytes that Spark puts into one batch of rows on its way to a Python worker, at most (one row at least).
+BATCH_BYTES = 4_000_000
+
+
+def bounded_batches(df: DataFrame) -> DataFrame:
+    """df, whose session now hands rows to Python in batches of at most BATCH_BYTES; a lower setting stays."""
+    conf, name = df.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = conf.get(name, "")
+    if not now.isdigit() or int(now) > BATCH_BYTES:
+        conf.set(name, str(BATCH_BYTES))
+    return df
+
+
+def release() -> None:
+    """Give memory that this Python worker has freed back to the system, as the worker waits for other tasks."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # no glibc
+        pass
+
+
 def pieces(batches: Iterable[pa.RecordBatch], column: str, step: int = STEP_BYTES) -> Iterator[pa.RecordBatch]:
     """Slices of the batches that hold about `step` bytes of the text column each, one row at least."""
     for batch in batches:
@@ -98,6 +121,7 @@ def pieces(batches: Iterable[pa.RecordBatch], column: str, step: int = STEP_BYTE
             total += size
         if start < len(sizes):
             yield batch.slice(start)
+    release()
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -272,6 +296,7 @@ def runs(batches: Iterable[pa.RecordBatch], key: str) -> Iterator[pa.RecordBatch
             last = keys[a]
     if held:
         yield _joined(held)
+    release()
 
 
 def _joined(held: list[pa.RecordBatch]) -> pa.RecordBatch:
@@ -280,7 +305,7 @@ def _joined(held: list[pa.RecordBatch]) -> pa.RecordBatch:
 
 def by_run(df: DataFrame, key: str, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
     """fn over the bounded groups of an int64 key: rows are dealt by the key, sorted in place, and read run by run."""
-    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    n = int(bounded_batches(df).sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return df.repartition(n, key).sortWithinPartitions(key).mapInArrow(lambda it: fn(runs(it, key)), schema)
 
 

@@ -31,7 +31,7 @@ from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from bindframe.llm._common import pieces, roomy_heap, spread, stash, text_or_empty, to_bytes
+from bindframe.llm._common import bounded_batches, pieces, roomy_heap, spread, stash, text_or_empty, to_bytes
 
 #: Words that the lexicon holds, at most.
 LEXICON_WORDS = 50_000
@@ -431,7 +431,7 @@ def word_counts(docs: DataFrame, text_col: str = "text", flush: int = 200_000) -
                 yield rows()
         yield rows()
 
-    return docs.select(text_or_empty(text_col).alias("text")).mapInArrow(run, "word string, count long").groupBy("word").agg(F.sum("count").alias("count"))
+    return bounded_batches(docs).select(text_or_empty(text_col).alias("text")).mapInArrow(run, "word string, count long").groupBy("word").agg(F.sum("count").alias("count"))
 
 
 def most_frequent(counts: DataFrame, most: int) -> DataFrame:
@@ -491,7 +491,7 @@ def encode(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: s
     n_tokens, ids_sha256, decoded_sha256), hashed in the tasks so that ids need not leave them.
     """
     name = build_lexicon(docs, vocabulary, most, text_col)
-    slim = docs.select(F.col(id_col).alias("doc_id"), text_or_empty(text_col).alias("text"))
+    slim = bounded_batches(docs).select(F.col(id_col).alias("doc_id"), text_or_empty(text_col).alias("text"))
     kind = slim.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -508,6 +508,7 @@ def encode(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: s
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), sizes, *columns], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
             else:
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), sizes, pa.ListArray.from_arrays(pa.array(starts, pa.int32()), pa.array(ids, pa.int32())), pa.array(decoded, pa.string())], names=["doc_id", "n_tokens", "ids", "decoded"])
+        coder.reset()
 
     return slim.mapInArrow(run, f"doc_id {kind}, n_tokens long, " + ("ids_sha256 string, decoded_sha256 string" if digests else "ids array<int>, decoded string"))
 

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from bindframe.llm._common import BROADCAST_ROWS_BY_TEXTS, mix, pieces, small_side, stash, text_or_empty
+from bindframe.llm._common import BROADCAST_ROWS_BY_TEXTS, bounded_batches, mix, pieces, small_side, stash, text_or_empty
 
 Q = 10
 #: Edits allowed for each hundred characters of an item.
@@ -210,7 +210,7 @@ def _known(name: str, ids: list, texts: list[str | None], q: int, percent: int)
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, q: int = Q, percent: int = EDIT_PERCENT, block_chars: int = BLOCK_CHARS, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
     """(doc_id, item_id, edits, start, end): the items that occur in a document, with the best place of each."""
-    slim = docs.select(F.col(id_col).alias("doc_id"), text_or_empty(text_col).alias("text"))
+    slim = bounded_batches(docs).select(F.col(id_col).alias("doc_id"), text_or_empty(text_col).alias("text"))
     items = benchmark.select(F.col(item_col).alias("item_id"), F.col(item_text_col).cast("string").alias("text"))
     kinds = f"doc_id {slim.schema['doc_id'].dataType.simpleString()}, item_id {items.schema['item_id'].dataType.simpleString()}, edits int, start int, end int"
     out = None

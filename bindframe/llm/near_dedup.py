@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from bindframe.llm._common import BROADCAST_ROWS_BY_TEXTS, Words, connected_components, free_name, pieces, roomy_heap, shingle_sets, shingles, small_side, stash, stash_narrow, text_or_empty, words_of_text
+from bindframe.llm._common import BROADCAST_ROWS_BY_TEXTS, Words, bounded_batches, connected_components, free_name, pieces, roomy_heap, shingle_sets, shingles, small_side, stash, stash_narrow, text_or_empty, words_of_text
 from bindframe.llm._setjoin import DEPTH, Sketcher, candidate_clusters, coordinate, digest, exact_links
 
 COORDS, WIDTH = 64, 128
@@ -78,7 +78,7 @@ def near_dedup(docs: DataFrame, k: int = 5, percent: int = 80, recall: float = 0
     smallest id that is reachable; kept marks the row whose own id that is.
     """
     similarity = percent / 100
-    slim = docs.select(F.col(id_col).alias("doc_id"), text_or_empty(text_col).alias("text"))
+    slim = bounded_batches(docs).select(F.col(id_col).alias("doc_id"), text_or_empty(text_col).alias("text"))
     feats = stash(features(slim, k))
     items = stash(feats.where("id is not null and doc_id is not null").groupBy("id").agg(F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n"), F.first("sig").alias("sig"), F.first("bits").alias("bits")))
 

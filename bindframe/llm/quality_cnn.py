@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from bindframe.llm._common import pieces, text_or_empty, to_bytes
+from bindframe.llm._common import bounded_batches, pieces, text_or_empty, to_bytes
 from bindframe.llm._folds import fold, labelled
 
 HALF = 128
@@ -171,7 +171,7 @@ def quality_scores(docs: DataFrame, labels: DataFrame, label: str = "quality", c
     """(doc_id, held_out, score, predicted), one row per input row."""
     net = fit_network(docs, labels, label, id_col=id_col, text_col=text_col, **fit_options)
     sent = docs.sparkSession.sparkContext.broadcast(net)
-    slim = docs.select(F.col(id_col).alias("doc_id"), (fold(F.col(id_col), FOLDS) == HELD_FOLD).alias("held_out"), text_or_empty(text_col).alias("text"))
+    slim = bounded_batches(docs).select(F.col(id_col).alias("doc_id"), (fold(F.col(id_col), FOLDS) == HELD_FOLD).alias("held_out"), text_or_empty(text_col).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tables = sent.value.pair_tables()

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from bindframe.llm._common import pieces, small_side, stash, text_or_empty, to_bytes
+from bindframe.llm._common import bounded_batches, pieces, small_side, stash, text_or_empty, to_bytes
 
 SYMBOLS = b"#*$%&|<>"
 BLANKS = b" \t\n\x0b\x0c\r"
@@ -63,7 +63,7 @@ def measure_text(raw: bytes) -> tuple[int, int, int, int, int]:
 
 def measures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source") -> DataFrame:
     """(id, host, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words), one row per input row."""
-    slim = docs.select(F.col(id_col).alias("doc_id"), F.col(host_col).cast("string").alias("host"), text_or_empty(text_col).alias("text"))
+    slim = bounded_batches(docs).select(F.col(id_col).alias("doc_id"), F.col(host_col).cast("string").alias("host"), text_or_empty(text_col).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches, "text"):
@@ -132,7 +132,7 @@ def keep_good(docs: DataFrame, **options) -> DataFrame:
     """
     text_col, host_col = options.get("text_col", "text"), options.get("host_col", "source")
     rules, limit = options.get("rules") or RULES, options.get("host_limit", HOST_LIMIT)
-    slim = docs.select(*docs.columns)
+    slim = bounded_batches(docs).select(*docs.columns)
     mark = "_measured"
     while mark in slim.columns:
         mark += "_"

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from bindframe.llm._common import BROADCAST_ROWS_BY_TEXTS, Words, connected_components, free_name, pieces, roomy_heap, run_hashes, shingle_hashes, shingle_sets, sliding_min, small_side, spread, stash, stash_narrow, text_or_empty, to_bytes
+from bindframe.llm._common import BROADCAST_ROWS_BY_TEXTS, Words, bounded_batches, connected_components, free_name, pieces, roomy_heap, run_hashes, shingle_hashes, shingle_sets, sliding_min, small_side, spread, stash, stash_narrow, text_or_empty, to_bytes
 from bindframe.llm._setjoin import DEPTH, Sketcher, candidate_clusters, digest, exact_links
 from bindframe.llm.near_dedup import STEP, trees_for
 
@@ -119,7 +119,7 @@ def repeated_paragraphs(docs: DataFrame, k: int = 5, percent: int = 80, min_word
     is the number of lines, null for a passage, which is the words from start on; those in removed paragraphs are not listed again.
     What stays is listed too, as kept by itself and not removed.
     """
-    slim = docs.select(F.col(id_col).alias("doc_id"), text_or_empty(text_col).alias("text")).where("doc_id is not null")
+    slim = bounded_batches(docs).select(F.col(id_col).alias("doc_id"), text_or_empty(text_col).alias("text")).where("doc_id is not null")
     feats = stash(paragraph_features(slim, k, min_words, bands, rows))
     items = stash(feats.groupBy("id").agg(F.min(F.struct("doc_id", "paragraph")).alias("place"), F.count("*").alias("copies"), F.first("n").alias("n"), F.first("sig").alias("sig"), F.first("bits").alias("bits")))
     width = 4 * rows

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from bindframe.llm._common import pieces, roomy_heap, text_or_empty
+from bindframe.llm._common import bounded_batches, pieces, roomy_heap, text_or_empty
 from bindframe.llm.bpe_transducer import LEXICON_WORDS, Encoder, build_lexicon, encoder
 
 Edit = tuple[int, int, str]
@@ -211,7 +211,7 @@ def edited_counts(docs: DataFrame, vocabulary: str, edits_col: str | None = None
     """
     name = build_lexicon(docs, vocabulary, most, text_col)
     edits = F.lit(None).cast("array<struct<start:int,end:int,text:string>>") if edits_col is None else F.col(edits_col)
-    slim = docs.select(F.col(id_col).alias("doc_id"), text_or_empty(text_col).alias("text"), edits.alias("edits"))
+    slim = bounded_batches(docs).select(F.col(id_col).alias("doc_id"), text_or_empty(text_col).alias("text"), edits.alias("edits"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         roomy_heap()

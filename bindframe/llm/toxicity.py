@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from bindframe.llm._common import pieces, stash, text_or_empty, to_bytes
+from bindframe.llm._common import bounded_batches, pieces, stash, text_or_empty, to_bytes
 from bindframe.llm._folds import fold, labelled
 
 #: Labelled documents that the fit may use, and words that may be features.
@@ -169,7 +169,7 @@ def severity(docs: DataFrame, labels: DataFrame, label: str = "toxic", id_col: s
     grade is the most probable one; toxic is 1 if P(grade > 0) is at least one half.
     """
     model = fit_ordinal(docs, labels, label, id_col=id_col, text_col=text_col, **fit_options)
-    slim = docs.select(F.col(id_col).alias("doc_id"), (fold(F.col(id_col), FOLDS) == HELD_FOLD).alias("held_out"), text_or_empty(text_col).alias("text"))
+    slim = bounded_batches(docs).select(F.col(id_col).alias("doc_id"), (fold(F.col(id_col), FOLDS) == HELD_FOLD).alias("held_out"), text_or_empty(text_col).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo: dict[bytes, tuple[int, ...]] = {}
