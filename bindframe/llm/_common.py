@@ -93,7 +93,7 @@ BATCH_BYTES = 4_000_000
 def bounded_batches(df: DataFrame) -> DataFrame:
     """df, whose session now hands rows to Python in batches of at most BATCH_BYTES; a lower setting stays."""
     conf, name = df.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
-    now = conf.get(name, str(1 << 40)).rstrip("bB")
+    now = conf.get(name, "2147483646").rstrip("bB")
     if not now.isdigit() or int(now) > BATCH_BYTES:
         conf.set(name, str(BATCH_BYTES))
     return df
