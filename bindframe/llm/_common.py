@@ -87,7 +87,7 @@ def to_bytes(text: str | None) -> bytes:
 
 
 #: Bytes that Spark puts into one batch of rows on its way to a Python worker, at most (one row at least).
-BATCH_BYTES = 4_000_000
+BATCH_BYTES = 2_000_000
 
 
 def bounded_batches(df: DataFrame) -> DataFrame:
@@ -136,7 +136,7 @@ def odd_numbers(n: int, seed: int) -> np.ndarray:
     return np.random.default_rng(seed).integers(0, 1 << 63, n, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
-@lru_cache(maxsize=8)
+@lru_cache(maxsize=3)
 def _powers(n: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
     """Powers of an odd number and of its inverse, modulo 2^64."""
     base = int(odd_numbers(1, seed)[0])
@@ -147,7 +147,7 @@ def _powers(n: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
 
 def run_hashes(values: np.ndarray, begin: np.ndarray, end: np.ndarray, seed: int) -> np.ndarray:
     """A 64-bit hash of each run values[begin:end], from running sums of values times powers."""
-    up, down = _powers(1 << max(10, int(len(values)).bit_length()), seed)
+    up, down = _powers(1 << max(18, int(len(values)).bit_length()), seed)
     total = np.zeros(len(values) + 1, np.uint64)
     np.cumsum(values * up[: len(values)], dtype=np.uint64, out=total[1:])
     return mix((total[end] - total[begin]) * down[begin] + (end - begin).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
@@ -159,7 +159,7 @@ _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 
 #: Bytes of text whose words are hashed at a time.
-HASH_BYTES = 500_000
+HASH_BYTES = 250_000
 
 
 def _data(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:

@@ -13,12 +13,12 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
-from bindframe.llm._common import bounded_batches, pieces, small_side, stash, text_or_empty, to_bytes
+from bindframe.llm._common import bounded_batches, free_name, pieces, small_side, stash, text_or_empty, to_bytes
 
 SYMBOLS = b"#*$%&|<>"
 BLANKS = b" \t\n\x0b\x0c\r"
@@ -132,22 +132,23 @@ def keep_good(docs: DataFrame, **options) -> DataFrame:
     """
     text_col, host_col = options.get("text_col", "text"), options.get("host_col", "source")
     rules, limit = options.get("rules") or RULES, options.get("host_limit", HOST_LIMIT)
-    slim = bounded_batches(docs).select(*docs.columns)
-    mark = "_measured"
-    while mark in slim.columns:
-        mark += "_"
+    mark = free_name(docs.columns, "_measured")
+    slim = bounded_batches(docs)
+    kinds = StructType([*docs.schema.fields, *(StructField(f"{mark}{m}", LongType()) for m in MEASURES)])
 
-    @F.pandas_udf(_TYPES)
-    def measured_udf(text: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([measure_text(to_bytes(t)) for t in text], columns=MEASURES)
+    def measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in pieces(batches, text_col):
+            rows = [measure_text(to_bytes(t)) for t in batch.column(text_col).to_pylist()]
+            columns = list(zip(*rows, strict=True)) or [()] * len(MEASURES)
+            yield pa.RecordBatch.from_arrays([*batch.columns, *(pa.array(c, pa.int64()) for c in columns)], names=kinds.names)
 
     rates = host_rates(stash(measures(docs, text_col=text_col, host_col=host_col, id_col=options.get("id_col", "doc_id"))), rules)
     bad: Column = F.lit(False)
     for r in rules:
         bad = bad | (F.col(f"{r}_rate") > limit)
     verdicts = small_side(stash(rates.where(bad).select(F.col("host").alias(f"{mark}_host"))))
-    inner = slim.withColumn(mark, measured_udf(text_or_empty(text_col)))
+    inner = slim.mapInArrow(measured, kinds)
     for rule in rules.values():
-        inner = inner.where(~rule(lambda name: F.col(f"{mark}.{name}")))
+        inner = inner.where(~rule(lambda name: F.col(f"{mark}{name}")))
     kept = inner.join(verdicts, F.col(host_col).cast("string") == F.col(f"{mark}_host"), "left_anti")
-    return kept.select(*docs.columns)
+    return kept.select(*[F.col(f"`{c}`") for c in docs.columns])
