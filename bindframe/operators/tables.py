@@ -67,9 +67,9 @@ def first_per_key(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame
     return df.withColumn("_r", F.row_number().over(W.partitionBy(*keys).orderBy(*order))).where("_r = 1").drop("_r")
 
 
-def extreme_by_label(df: DataFrame, n: int, m: int) -> DataFrame:
-    """The n cooperative rows farthest from the diagonal of two scores and the m independent ones nearest to it."""
-    far = df.withColumn("diagonal", F.abs(F.col("str_score") - 2 * F.col("wk_score") + F.col("probability")) / F.sqrt(F.lit(2.0)))
+def extreme_by_label(df: DataFrame, two: str, indiv: str, n: int, m: int) -> DataFrame:
+    """The n cooperative rows farthest from the diagonal of two scores, |two - indiv| / sqrt 2, and the m independent ones nearest to it."""
+    far = df.withColumn("diagonal", F.abs(F.col(two) - F.col(indiv)) / F.sqrt(F.lit(2.0)))
     a = far.where("label = 'cooperative'").orderBy(F.desc("diagonal"), "name").limit(n)
     return a.unionByName(far.where("label = 'independent'").orderBy("diagonal", "name").limit(m))
 

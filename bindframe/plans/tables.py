@@ -42,7 +42,7 @@ QUERIES = {
     "w8_groups_larger_than": lambda s, d: op.groups_larger_than(v.pairs(s, d), "grp", 12).select("name", "grp"),
     "w9_share_of_group": lambda s, d: op.share_of_group(v.pairs(s, d), "grp", "str_score").select("name", "share"),
     "w11_sample_per_group": lambda s, d: op.sample_per_group(v.pairs(s, d), "grp", 2, "seed").select("name", "grp"),
-    "t2_extreme_by_label": lambda s, d: op.extreme_by_label(v.pairs(s, d), 50, 50).select("name", "label", "diagonal"),
+    "t2_extreme_by_label": lambda s, d: op.extreme_by_label(v.pairs(s, d), "str_score", "probability", 50, 50).select("name", "label", "diagonal"),
     "t3_first_per_key": lambda s, d: op.first_per_key(v.pairs(s, d), ["grp"], ["distance", "name"]).select("grp", "name"),
     "t5_common_names": lambda s, d: v.pairs(s, d).where("distance < 10").select("grp").intersect(v.pairs(s, d).where("probability > 0.9").select("grp")),
     "t6_top_up": lambda s, d: op.top_up(v.pairs(s, d), v.pairs(s, d).where("str_score > 4.4").select("grp").distinct(), "grp", "str_score", 40),
@@ -90,7 +90,7 @@ ORACLE_SQL = {
     "w8_groups_larger_than": f"{P} SELECT name, grp FROM pairs WHERE grp IN (SELECT grp FROM pairs GROUP BY grp HAVING count(*) > 12)",
     "w9_share_of_group": f"{P} SELECT name, str_score / sum(str_score) OVER (PARTITION BY grp) AS share FROM pairs",
     "w11_sample_per_group": f"{P} SELECT name, grp FROM pairs QUALIFY row_number() OVER (PARTITION BY grp ORDER BY md5('seed' || name)) <= 2",
-    "t2_extreme_by_label": f"{P}, f AS (SELECT name, label, abs(str_score - 2 * wk_score + probability) / sqrt(2.0) AS diagonal FROM pairs) (SELECT * FROM f WHERE label = 'cooperative' ORDER BY diagonal DESC, name LIMIT 50) UNION ALL (SELECT * FROM f WHERE label = 'independent' ORDER BY diagonal, name LIMIT 50)",
+    "t2_extreme_by_label": f"{P}, f AS (SELECT name, label, abs(str_score - probability) / sqrt(2.0) AS diagonal FROM pairs) (SELECT * FROM f WHERE label = 'cooperative' ORDER BY diagonal DESC, name LIMIT 50) UNION ALL (SELECT * FROM f WHERE label = 'independent' ORDER BY diagonal, name LIMIT 50)",
     "t3_first_per_key": f"{P} SELECT grp, name FROM pairs QUALIFY row_number() OVER (PARTITION BY grp ORDER BY distance, name) = 1",
     "t5_common_names": f"{P} SELECT grp FROM pairs WHERE distance < 10 INTERSECT SELECT grp FROM pairs WHERE probability > 0.9",
     "t6_top_up": f"{P}, c AS (SELECT DISTINCT grp FROM pairs WHERE str_score > 4.4), r AS (SELECT grp, max(str_score) AS s FROM pairs WHERE grp NOT IN (SELECT grp FROM c) GROUP BY grp) SELECT grp FROM (SELECT grp, 0 AS o, 0 AS s FROM c UNION ALL SELECT grp, 1, s FROM r) ORDER BY o, s DESC, grp LIMIT 40",

@@ -57,7 +57,7 @@ def write_pwm(df: DataFrame, path: str) -> None:
 def read_svm_models(spark: SparkSession, path: str) -> DataFrame:
     """Support vectors as rows (file, sv_id, coef, idx, val), without the header lines."""
     lines = spark.read.text(path).select(F.input_file_name().alias("file"), F.monotonically_increasing_id().alias("sv_id"), F.split(F.trim("value"), r"\s+").alias("c")).where(F.col("c")[0].rlike(r"^-?[0-9.]") & F.col("c")[1].contains(":"))
-    cells = lines.select("file", "sv_id", F.col("c")[0].cast("double").alias("coef"), F.explode(F.slice("c", 2, 100000)).alias("v"))
+    cells = lines.select("file", "sv_id", F.col("c")[0].cast("double").alias("coef"), F.explode(F.slice("c", F.lit(2), F.size("c"))).alias("v"))
     return cells.select("file", "sv_id", "coef", F.split("v", ":")[0].cast("int").alias("idx"), F.split("v", ":")[1].cast("double").alias("val"))
 
 

@@ -40,23 +40,25 @@ def bases(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def sequences(spark: SparkSession, sf_dir: str, length: int = PROBE_LENGTH) -> DataFrame:
     """(key, sequence): whole texts as bases, cut into probes one after the other."""
-    tiles = F.expr(f"explode(sequence(0, cast((length(seq) + {length - 1}) div {length} as int) - 1))")
-    return bases(spark, sf_dir).where("seq <> ''").select("doc_id", "seq", tiles.alias("tile")).select(F.expr("concat(doc_id, '_', tile)").alias("key"), F.expr(f"substring(seq, 1 + {length} * tile, {length})").alias("sequence"))
+    # one pass over the text, which substring() at each place would not be
+    tiles = F.posexplode(F.regexp_extract_all("seq", F.lit(f".{{1,{length}}}"), F.lit(0))).alias("tile", "sequence")
+    return bases(spark, sf_dir).where("seq <> ''").select("doc_id", tiles).select(F.expr("concat(doc_id, '_', tile)").alias("key"), "sequence")
 
 
 def probes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(name, type, ori, rep, intensity): parts with 24 rows at least, as the full design of 24."""
+    """(name, type, ori, rep, intensity): each 24 rows of a part are a full design of their own."""
     ordered = table(spark, sf_dir, "lineitem").selectExpr(
         "*", "cast(row_number() over (partition by l_partkey order by l_orderkey, l_linenumber, l_suppkey, l_extendedprice, l_quantity, l_shipdate) - 1 as int) as rn", "count(*) over (partition by l_partkey) as n")
-    return ordered.where("n >= 24 and rn < 24").selectExpr(
-        "concat('p', cast(l_partkey as string)) as name", "case rn % 4 when 0 then 'wt' when 1 then 'm1' when 2 then 'm2' else 'm3' end as type",
+    return ordered.where("rn < 24 * (n div 24)").selectExpr("*", "cast(rn div 24 as int) as block").withColumn("rn", F.expr("rn % 24")).selectExpr(
+        "concat('p', cast(l_partkey as string), '_', block) as name", "case rn % 4 when 0 then 'wt' when 1 then 'm1' when 2 then 'm2' else 'm3' end as type",
         "case when (rn div 4) % 2 = 0 then 'o1' else 'o2' end as ori", "1 + rn div 8 as rep", "l_extendedprice as intensity", "l_quantity as quantity")
 
 
 def controls(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(name, ori, intensity): negative controls, the parts with fewer rows."""
-    counted = table(spark, sf_dir, "lineitem").selectExpr("*", "count(*) over (partition by l_partkey) as n")
-    return counted.where("n < 24").selectExpr("concat('n', cast(l_partkey as string)) as name", "case when l_linenumber % 2 = 0 then 'o1' else 'o2' end as ori", "l_extendedprice as intensity")
+    """(name, ori, intensity): negative controls, the rows that fill no design of 24."""
+    ordered = table(spark, sf_dir, "lineitem").selectExpr(
+        "*", "cast(row_number() over (partition by l_partkey order by l_orderkey, l_linenumber, l_suppkey, l_extendedprice, l_quantity, l_shipdate) - 1 as int) as rn", "count(*) over (partition by l_partkey) as n")
+    return ordered.where("rn >= 24 * (n div 24)").selectExpr("concat('n', cast(l_partkey as string)) as name", "case when l_linenumber % 2 = 0 then 'o1' else 'o2' end as ori", "l_extendedprice as intensity")
 
 
 def pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -74,8 +76,8 @@ SQL = {
     "sites": "sites AS (SELECT concat('chr', CAST(1 + user_id % 22 AS VARCHAR)) AS chr, 1000 + (event_id * 97) % 100000 AS start_pos, 1006 + (event_id * 97) % 100000 AS end_pos FROM events)",
     "sites2": "sites2 AS (SELECT concat('chr', CAST(1 + user_id % 22 AS VARCHAR)) AS chr, 1000 + (event_id * 97 + 41) % 100000 AS start_pos, 1006 + (event_id * 97 + 41) % 100000 AS end_pos FROM events)",
     "sequences": "bases AS (SELECT doc_id, translate(regexp_replace(lower(coalesce(text, '')), '[^a-z]', '', 'g'), 'abcdefghijklmnopqrstuvwxyz', 'ACGTACGTACGTACGTACGTACGTAC') AS seq FROM documents), sequences AS (SELECT concat(doc_id, '_', tile) AS key, substr(seq, (1 + 36 * tile)::INT, 36) AS sequence FROM (SELECT doc_id, seq, unnest(range(0, (length(seq) + 35) // 36)) AS tile FROM bases))",
-    "probes": "probes AS (SELECT concat('p', CAST(l_partkey AS VARCHAR)) AS name, CASE rn % 4 WHEN 0 THEN 'wt' WHEN 1 THEN 'm1' WHEN 2 THEN 'm2' ELSE 'm3' END AS type, CASE WHEN (rn // 4) % 2 = 0 THEN 'o1' ELSE 'o2' END AS ori, 1 + rn // 8 AS rep, l_extendedprice AS intensity, l_quantity AS quantity FROM (SELECT *, row_number() OVER (PARTITION BY l_partkey ORDER BY l_orderkey, l_linenumber, l_suppkey, l_extendedprice, l_quantity, l_shipdate) - 1 AS rn, count(*) OVER (PARTITION BY l_partkey) AS n FROM lineitem) WHERE n >= 24 AND rn < 24)",
-    "controls": "controls AS (SELECT concat('n', CAST(l_partkey AS VARCHAR)) AS name, CASE WHEN l_linenumber % 2 = 0 THEN 'o1' ELSE 'o2' END AS ori, l_extendedprice AS intensity FROM (SELECT *, count(*) OVER (PARTITION BY l_partkey) AS n FROM lineitem) WHERE n < 24)",
+    "probes": "probes AS (SELECT concat('p', CAST(l_partkey AS VARCHAR), '_', place // 24) AS name, CASE rn % 4 WHEN 0 THEN 'wt' WHEN 1 THEN 'm1' WHEN 2 THEN 'm2' ELSE 'm3' END AS type, CASE WHEN (rn // 4) % 2 = 0 THEN 'o1' ELSE 'o2' END AS ori, 1 + rn // 8 AS rep, l_extendedprice AS intensity, l_quantity AS quantity FROM (SELECT *, place % 24 AS rn FROM (SELECT *, row_number() OVER (PARTITION BY l_partkey ORDER BY l_orderkey, l_linenumber, l_suppkey, l_extendedprice, l_quantity, l_shipdate) - 1 AS place, count(*) OVER (PARTITION BY l_partkey) AS n FROM lineitem)) WHERE place < 24 * (n // 24))",
+    "controls": "controls AS (SELECT concat('n', CAST(l_partkey AS VARCHAR)) AS name, CASE WHEN l_linenumber % 2 = 0 THEN 'o1' ELSE 'o2' END AS ori, l_extendedprice AS intensity FROM (SELECT *, row_number() OVER (PARTITION BY l_partkey ORDER BY l_orderkey, l_linenumber, l_suppkey, l_extendedprice, l_quantity, l_shipdate) - 1 AS place, count(*) OVER (PARTITION BY l_partkey) AS n FROM lineitem) WHERE place >= 24 * (n // 24))",
     "pairs": "pairs AS (SELECT concat('s', CAST(o_orderkey AS VARCHAR)) AS name, CASE o_orderkey % 3 WHEN 0 THEN 'cooperative' WHEN 1 THEN 'independent' ELSE 'anticooperative' END AS label, CAST(4 + o_custkey % 21 AS INT) AS distance, CASE o_custkey % 3 WHEN 0 THEN 'HH' WHEN 1 THEN 'TT' ELSE 'HT/TH' END AS orientation, o_totalprice / 100000 AS str_score, o_totalprice / 200000 AS wk_score, (o_orderkey * 7919 % 1000) / 1000.0::DOUBLE AS probability, o_custkey AS grp FROM orders)",
 }
 

@@ -100,3 +100,21 @@ def test_entry_runs(spark):
     import __spark_entry__ as entry
 
     assert entry.entry(spark).where(F.col("area") >= 0).count() > 0
+
+
+def test_required_columns_names_what_lacks(spark):
+    from bindframe.operators import rows
+
+    with pytest.raises(ValueError, match="b, c"):
+        rows.required_columns(spark.createDataFrame([(1,)], "a int"), ["a", "b", "c"])
+
+
+def test_probe_views_use_every_row(spark):
+    from bindframe.sources import views
+
+    assert views.probes(spark, SF).count() + views.controls(spark, SF).count() == views.table(spark, SF, "lineitem").count()
+
+
+def test_wide_support_vectors_are_read_whole(spark, tmp_path):
+    (tmp_path / "m.model").write_text("0.5 " + " ".join(f"{i}:1" for i in range(1, 100_051)) + "\n")
+    assert readers.read_svm_models(spark, str(tmp_path / "m.model")).count() == 100_050
