@@ -60,9 +60,9 @@ def _width(df: DataFrame) -> Column:
 
 
 def small_side(df: DataFrame, rows: int = BROADCAST_ROWS, most: int = BROADCAST_BYTES) -> DataFrame:
-    """df with a broadcast hint if it is measured to have at most so many rows and bytes, else df as it is."""
+    """df with a broadcast hint if it is measured to have at most so many rows and bytes, else one for a sorted join: alike at every size."""
     counted = df.limit(rows + 1).agg(F.count("*"), F.coalesce(F.sum(_width(df)), F.lit(0))).first()
-    return F.broadcast(df) if counted[0] <= rows and counted[1] <= most else df
+    return F.broadcast(df) if counted[0] <= rows and counted[1] <= most else df.hint("merge")
 
 
 def free_name(columns: list[str], name: str) -> str:
@@ -318,7 +318,7 @@ def connected_components(links: DataFrame, rounds: int = 40) -> DataFrame:
 
     def with_low(edges: DataFrame, count: int) -> DataFrame:
         low = edges.groupBy("a").agg(F.min("b").alias("m"))
-        return edges.join(F.broadcast(low) if count <= BROADCAST_ROWS else low, "a")
+        return edges.join(F.broadcast(low) if count <= BROADCAST_ROWS else low.hint("merge"), "a")
 
     def mark(edges: DataFrame) -> tuple:
         return tuple(edges.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b")), F.sum(F.xxhash64("b", "a") % 2_147_483_647)).first())

@@ -90,11 +90,11 @@ def near_dedup(docs: DataFrame, k: int = 5, percent: int = 80, recall: float = 0
 
     clusters = stash_narrow(candidate_clusters(items, nodes, similarity, COORDS, WIDTH))
     links = exact_links(clusters, items.select("id", "doc_id"), slim, lambda text: iter([shingle_set(text, k)]), percent)
-    linked = stash_narrow(connected_components(links).join(items.select("id", "doc_id"), "id"))
+    linked = stash_narrow(connected_components(links).join(items.select("id", "doc_id").hint("merge"), "id"))
     lowest = linked.groupBy("component").agg(F.min("doc_id").alias("low"))
-    low = stash_narrow(linked.select("id", "component").join(lowest, "component").select("id", "low"))
-    named = stash_narrow(items.select("id", "doc_id").join(low, "id", "left").select("id", F.coalesce("low", "doc_id").alias("low")))
-    out = feats.select("doc_id", "n_shingles", "id").join(named, "id", "left")
+    low = stash_narrow(linked.select("id", "component").join(small_side(lowest), "component").select("id", "low"))
+    named = stash_narrow(items.select("id", "doc_id").join(low.hint("merge"), "id", "left").select("id", F.coalesce("low", "doc_id").alias("low")))
+    out = feats.select("doc_id", "n_shingles", "id").join(named.hint("merge"), "id", "left")
     out = out.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNull(), None).otherwise(F.coalesce("low", "doc_id")).alias("component_id"))
     return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 

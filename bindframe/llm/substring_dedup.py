@@ -128,10 +128,10 @@ def repeated_paragraphs(docs: DataFrame, k: int = 5, percent: int = 80, min_word
     clusters = stash_narrow(candidate_clusters(items, nodes, percent / 100, bands * rows, WIDTH, trees=bucket_trees(percent / 100)))
     places = items.select("id", F.col("place.doc_id").alias("doc_id"))
     links = exact_links(clusters, places, slim, lambda text: paragraph_sets(text, k, min_words), percent)
-    linked = stash_narrow(connected_components(links).join(items.select("id", "place"), "id"))
+    linked = stash_narrow(connected_components(links).join(items.select("id", "place").hint("merge"), "id"))
     first = linked.groupBy("component").agg(F.min("place").alias("first"))
     linked = linked.select("id", "component").join(small_side(first), "component").select("id", "first")
-    named = items.join(linked, "id", "left").where("copies > 1 or first is not null").select("id", F.coalesce("first", "place").alias("keeper"))
+    named = items.join(linked.hint("merge"), "id", "left").where("copies > 1 or first is not null").select("id", F.coalesce("first", "place").alias("keeper"))
     out = feats.select("doc_id", "paragraph", "n_words", "id", "lines", "start").join(small_side(stash_narrow(named)), "id")
     removed = (F.struct("doc_id", "paragraph") != F.col("keeper")).alias("removed")
     out = stash(out.select("doc_id", "paragraph", "n_words", F.col("keeper.doc_id").alias("kept_doc_id"), F.col("keeper.paragraph").alias("kept_paragraph"), removed, "lines", "start"))
