@@ -31,7 +31,7 @@ from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from bindframe.llm._common import bounded_batches, pieces, spread, stash, text_or_empty, to_bytes
+from bindframe.llm._common import bounded_batches, pieces, roomy_heap, spread, stash, text_or_empty, to_bytes
 
 #: Words that the lexicon holds, at most.
 LEXICON_WORDS = 50_000
@@ -340,7 +340,7 @@ class Lexicon:
 class Encoder:
     """Encodes texts by a lexicon; keeps a memo of words, bounded in words and characters."""
 
-    def __init__(self, lexicon: Lexicon, memo_words: int = 150_000, memo_chars: int = 8_000_000):
+    def __init__(self, lexicon: Lexicon, memo_words: int = 300_000, memo_chars: int = 16_000_000):
         self.lexicon, self.memo_words, self.memo_chars = lexicon, memo_words, memo_chars
         self.unassigned = _unassigned()
         self.reset()
@@ -495,6 +495,7 @@ def encode(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: s
     kind = slim.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        roomy_heap()
         coder = encoder(name)
         for part in pieces(batches, "text"):
             ids, starts = coder.encode(part.column("text").to_pylist())

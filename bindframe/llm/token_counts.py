@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from bindframe.llm._common import bounded_batches, pieces, text_or_empty
+from bindframe.llm._common import bounded_batches, pieces, roomy_heap, text_or_empty
 from bindframe.llm.bpe_transducer import LEXICON_WORDS, Encoder, build_lexicon, encoder
 
 Edit = tuple[int, int, str]
@@ -214,6 +214,7 @@ def edited_counts(docs: DataFrame, vocabulary: str, edits_col: str | None = None
     slim = bounded_batches(docs).select(F.col(id_col).alias("doc_id"), text_or_empty(text_col).alias("text"), edits.alias("edits"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        roomy_heap()
         coder = encoder(name)
         for part in pieces(batches, "text"):
             rows, texts = [], part.column("text").to_pylist()
