@@ -13,10 +13,12 @@ from bindframe.plans.rows import _BACK, _WAY
 from bindframe.plans.rows import ORACLE_SQL as ROW_SQL
 from bindframe.plans.sites import K, PAIRS, PROFILE, PWM, REGIONS, SCORES, SITES, _pwm_sql, _regions, _scored, _sites, _windows, kmer_scores
 from bindframe.plans.sites import ORACLE_SQL as SITE_SQL
-from bindframe.plans.tables import PRIMER, TWO, _pairs
+from bindframe.plans.tables import TWO, _pairs
 from bindframe.sources import views as v
 
 CHUNK = 64
+#: A primer in which the matrix finds no site, unlike the one of the array.
+QUIET_PRIMER = "CACACGTCTG"
 CUTS = [round(0.05 * i, 2) for i in range(1, 21)]
 VALUES = "transform(sequence(0, length(sequence) - 1), i -> if(i >= 30 and length(key) % 3 = 0, null, (ascii(substring(sequence, i + 1, 1)) * 31 + i * 17) % 101 / 10.0D))"
 
@@ -85,7 +87,7 @@ QUERIES = {
     "a29_coop_label_chambers": lambda s, d: op.coop_label_chambers(*[x.where("type = 'wt'") for x in rep._chambers(s, d)], replicates.negative_cutoff(v.controls(s, d), 0.25)),
     "a35_confidence_change": lambda s, d: op.confidence_change(rep._values(s, d), rep.KEYS),
     "i14_validate_array": lambda s, d: op.validate_array(_ids(s, d), _sites(s, d), "GG", F.lit(1)),
-    "i15_clean_controls": lambda s, d: op.clean_controls(v.sequences(s, d), _call, PRIMER, 50),
+    "i15_clean_controls": lambda s, d: op.clean_controls(v.sequences(s, d), _call, QUIET_PRIMER, 50),
     "i17_centred_factor_pairs": lambda s, d: op.centred_factor_pairs(_sites(s, d).where("orientation = 1"), _sites(s, d).where("orientation = -1")),
     "i22_variant_type": lambda s, d: op.variant_type(_moved(s, d), "grp").select("name", "variant"),
     "i24_positive_controls": lambda s, d: op.select_positive_controls(_two_models(s, d), "grp", "probability", "second", 0.5, 40, 2).select("grp", "name"),
@@ -154,7 +156,7 @@ ORACLE_SQL = {
     "a29_coop_label_chambers": f"{rep.BASE}, vals AS (SELECT name, ori, 'indiv' AS kind, intensity AS value FROM probes WHERE type = 'wt' UNION ALL SELECT name, ori, 'two', intensity * 0.82::DOUBLE + 123.36::DOUBLE + quantity FROM probes WHERE type = 'wt'), {rep.SUMS}, nulls AS (SELECT i + j + k - 6 AS u FROM range(1, 7) a(i), range(1, 7) b(j), range(1, 7) c(k) WHERE i < j AND j < k), tail AS (SELECT x, (SELECT count(*) FROM nulls WHERE u >= x) / 20 AS p FROM range(0, 10) r(x)), cut AS (SELECT quantile_cont(med, 0.25) AS cutoff FROM (SELECT median(intensity) AS med FROM controls GROUP BY name)), md AS (SELECT name, ori, median(value) FILTER (kind = 'indiv') AS median_first, median(value) FILTER (kind = 'two') AS median_second FROM vals GROUP BY ALL) SELECT name, ori, median_first, median_second, g.p AS p_greater, l.p AS p_less, CASE WHEN median_second < cutoff THEN 'fail_cutoff' WHEN g.p < 0.06 THEN 'cooperative' WHEN l.p < 0.06 THEN 'anticooperative' ELSE 'independent' END AS label FROM md JOIN us USING (name, ori) JOIN tail g ON g.x = ceil(us.u) JOIN tail l ON l.x = ceil(9 - us.u), cut",
     "a35_confidence_change": f"{rep.TESTS}, md AS (SELECT name, ori, median(value) FILTER (kind = 'two') - median(value) FILTER (kind = 'indiv') AS difference FROM vals GROUP BY ALL) SELECT name, ori, tests.p AS p, difference FROM tests JOIN md USING (name, ori)",
     "i14_validate_array": f"{SITES}, n AS (SELECT key, count(*) AS n FROM s GROUP BY 1), w AS (SELECT split_part(key, '_', 1) || '_' || (split_part(key, '_', 2)::INT // 2) AS id, key, sequence FROM sequences) SELECT id, key, sequence FROM w WHERE id IN (SELECT id FROM w LEFT JOIN n ON n.key = w.key GROUP BY id HAVING bool_and(coalesce(n, 0) = 1 AND contains(sequence, 'GG')))",
-    "i15_clean_controls": f"{S}, q AS (SELECT key, sequence || '{PRIMER}' AS sequence FROM sequences), {_windows(K).replace('FROM sequences', 'FROM q')}, {_pwm_sql()} SELECT key, sequence FROM sequences WHERE key NOT IN (SELECT key FROM scan WHERE score > 3) ORDER BY md5(key), key LIMIT 50",
+    "i15_clean_controls": f"{S}, q AS (SELECT key, sequence || '{QUIET_PRIMER}' AS sequence FROM sequences), {_windows(K).replace('FROM sequences', 'FROM q')}, {_pwm_sql()} SELECT key, sequence FROM sequences WHERE key NOT IN (SELECT key FROM scan WHERE score > 3) ORDER BY md5(key), key LIMIT 50",
     "i17_centred_factor_pairs": f"{SITES}, a AS (SELECT key, min(pos) AS pos_1 FROM s WHERE orientation = 1 GROUP BY key HAVING count(*) = 1), b AS (SELECT key, min(pos) AS pos_2 FROM s WHERE orientation = -1 GROUP BY key HAVING count(*) = 1) SELECT * FROM a JOIN b USING (key) WHERE abs((pos_1 + pos_2) / 2 - 18) <= 3",
     "i22_variant_type": f"{P}, m AS (SELECT name, grp, distance AS a, distance + trunc(str_score * 4)::INT AS b, CASE WHEN label = 'cooperative' THEN -1 ELSE 1 END AS way FROM pairs), o AS (SELECT grp, min_by(a, name) AS a0, min_by(b, name) AS b0 FROM m GROUP BY 1) SELECT name, CASE WHEN b - a < b0 - a0 THEN 'shorter' WHEN (a - a0) * way > 0 THEN 'to_right' WHEN (a - a0) * way < 0 THEN 'to_left' ELSE 'original' END AS variant FROM m JOIN o USING (grp)",
     "i24_positive_controls": f"{P}, {_MODELS}, u AS (SELECT * FROM two_models WHERE probability >= 0.5 AND second >= 0.5), g AS (SELECT DISTINCT grp FROM u), h AS (SELECT grp FROM g ORDER BY md5('seed' || grp::VARCHAR), grp LIMIT 40) SELECT grp, name FROM u WHERE grp IN (FROM h) QUALIFY row_number() OVER (PARTITION BY grp ORDER BY md5('seed' || name)) <= 2",

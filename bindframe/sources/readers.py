@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -100,3 +101,31 @@ def sequence_table(spark: SparkSession, given: list[str] | dict[str, str]) -> Da
     """Keyed rows from a list (keys from 1) or a dictionary; missing sequences are empty."""
     rows = given.items() if isinstance(given, dict) else ((str(i), s) for i, s in enumerate(given, 1))
     return spark.createDataFrame([(k, s or "") for k, s in rows], "key string, sequence string")
+
+
+def read_chamber(spark: SparkSession, path: str, value: str, include: str | None = None, exclude: str | None = None, control: str = "^Neg", length: int = 36, sep: str = "\t") -> tuple[DataFrame, DataFrame]:
+    """An array file (Name, Sequence and a value column) as probe rows (name, type, ori, rep, sequence, intensity) and control rows (name, ori, rep, ..).
+
+    Names are split from the right; the patterns choose among the probes; sequences are cut to the probe without its primer.
+    """
+    raw = spark.read.csv(path, sep=sep, header=True).select(F.col("Name").alias("full"), F.substring("Sequence", 1, length).alias("sequence"), F.col(value).cast("double").alias("intensity"))
+    is_control = F.coalesce(F.col("full").rlike(control), F.lit(False))
+    probes = parse_probe_name(include_exclude(raw.where(~is_control), "full", include, exclude), "full")
+    parts = [F.regexp_extract("full", r"^(.*)_([^_]+)_([^_]+)$", i + 1).alias(c) for i, c in enumerate(("name", "ori", "rep"))]
+    return probes.select("name", "type", "ori", "rep", "sequence", "intensity"), raw.where(is_control).select(*parts, "sequence", "intensity")
+
+
+def read_result_tree(spark: SparkSession, glob: str, pattern: str, columns: list[str], sep: str = ",") -> DataFrame:
+    """Delimited files of one header under a path pattern; columns from the groups of a regular expression over each file's path."""
+    found = spark.read.csv(glob, sep=sep, header=True)
+    return found.select("*", *[F.regexp_extract(F.input_file_name(), pattern, i + 1).alias(c) for i, c in enumerate(columns)])
+
+
+def save_model(model: PipelineModel, path: str) -> None:
+    """A fitted pipeline, written over what is at the path."""
+    model.write().overwrite().save(path)
+
+
+def load_model(path: str) -> PipelineModel:
+    """S21."""
+    return PipelineModel.load(path)

@@ -118,3 +118,33 @@ def test_probe_views_use_every_row(spark):
 def test_wide_support_vectors_are_read_whole(spark, tmp_path):
     (tmp_path / "m.model").write_text("0.5 " + " ".join(f"{i}:1" for i in range(1, 100_051)) + "\n")
     assert readers.read_svm_models(spark, str(tmp_path / "m.model")).count() == 100_050
+
+
+def test_chamber_and_result_tree(spark, tmp_path):
+    (tmp_path / "c.txt").write_text("Name\tSequence\tvalue\nab_1_wt_o1_r1\tACGTTT\t5\nab_1_m1_o2_r3\tCCGTTT\t6\nxx_wt_o1_r1\tACGTTT\t7\nNegCtrl_4_o1_r2\tGGGTTT\t2\n")
+    probes, controls = readers.read_chamber(spark, str(tmp_path / "c.txt"), "value", include="^ab", length=3)
+    assert sorted(map(tuple, probes.collect())) == [("ab_1", "m1", "o2", "r3", "CCG", 6.0), ("ab_1", "wt", "o1", "r1", "ACG", 5.0)]
+    assert [tuple(r) for r in controls.collect()] == [("NegCtrl_4", "o1", "r2", "GGG", 2.0)]
+    for tf in ("ets", "runx"):
+        (tmp_path / tf).mkdir()
+        (tmp_path / tf / "result_7.csv").write_text(f"a,b\n1,{tf}\n")
+    found = readers.read_result_tree(spark, str(tmp_path / "*" / "result_*.csv"), r"/([a-z]+)/result_(\d+)", ["tf", "run"])
+    assert sorted(map(tuple, found.collect())) == [("1", "ets", "ets", "7"), ("1", "runx", "runx", "7")]
+
+
+def test_model_round_trip(spark, tmp_path):
+    from pyspark.ml import Pipeline
+    from pyspark.ml.feature import VectorAssembler
+
+    df = spark.createDataFrame([(1.0, 2.0)], "a double, b double")
+    readers.save_model(Pipeline(stages=[VectorAssembler(inputCols=["a", "b"], outputCol="v")]).fit(df), str(tmp_path / "m"))
+    assert list(readers.load_model(str(tmp_path / "m")).transform(df).first()["v"]) == [1.0, 2.0]
+
+
+def test_intervals_cross_chunks_and_stop_at_the_end(spark):
+    from bindframe.operators import selection
+
+    chunks = selection.genome_chunks(spark.createDataFrame([("c", "AACCGGTTAC")], "chr string, seq string"), 4)
+    rows = [("a", "c", 2, 7, "+"), ("b", "c", 2, 7, "-"), ("d", "c", 8, 20, "+"), ("e", "c", 10, 12, "+"), ("f", "c", 4, 4, "+")]
+    got = selection.fetch_sequences(spark.createDataFrame(rows, "name string, chr string, start_pos long, end_pos long, strand string"), chunks, 4)
+    assert {r.name: r.sequence for r in got.collect()} == {"a": "CCGGT", "b": "ACCGG", "d": "AC"}
