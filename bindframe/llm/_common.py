@@ -44,11 +44,6 @@ def stash(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def stash_narrow(df: DataFrame) -> DataFrame:
-    """stash() for few rows that come out of a shuffle: dealt anew into files of the session's advisory size, large ones split."""
-    return stash(df.hint("rebalance"))
-
-
 def _width(df: DataFrame) -> Column:
     """About how many bytes a row takes: 48 a value, the length of texts and blobs, 32 an element of arrays."""
     total: Column = F.lit(0)
@@ -312,32 +307,33 @@ def by_run(df: DataFrame, key: str, fn: Callable[[Iterator[pa.RecordBatch]], Ite
 def connected_components(links: DataFrame, rounds: int = 40) -> DataFrame:
     """links(a, b) of any ordered type -> (id, component): the smallest id that each id reaches.
 
-    Alternates the large-star and small-star steps until the edges no longer change; each
-    round is written to the shared folder. Ids without a link to another id have no row.
+    Alternates the large-star and small-star steps until all edges are stars around a smallest
+    id; each round is written to the shared folder. Ids without a link to another id have no row.
     """
 
     def with_low(edges: DataFrame, count: int) -> DataFrame:
         low = edges.groupBy("a").agg(F.min("b").alias("m"))
         return edges.join(F.broadcast(low) if count <= BROADCAST_ROWS else low.hint("merge"), "a")
 
-    def mark(edges: DataFrame) -> tuple:
-        return tuple(edges.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b")), F.sum(F.xxhash64("b", "a") % 2_147_483_647)).first())
+    def state(edges: DataFrame) -> tuple[int, int]:
+        """How many edges there are, and how many ids keep them from being stars: with two smaller ids, or with one and larger ones."""
+        ends = edges.select(F.explode(F.array(F.struct(F.col("a").alias("id"), F.lit(1).alias("up")), F.struct(F.col("b").alias("id"), F.lit(0).alias("up")))).alias("e")).select("e.*")
+        each = ends.groupBy("id").agg(F.sum("up").alias("up"), F.count("*").alias("n"))
+        return tuple(each.agg(F.coalesce(F.sum("up"), F.lit(0)), F.count_if((F.col("up") > 0) & (F.col("n") > 1))).first())
 
-    edges = stash_narrow(links.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
-    before = mark(edges)
-    for _ in range(rounds if before[0] else 0):
+    edges = stash(links.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
+    count, loose = state(edges)
+    for _ in range(rounds):
+        if not loose:
+            break
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         # large star: larger neighbours (b > a) move to the smallest of a's neighbourhood
-        large = with_low(both, 2 * before[0]).where("b > a").select(F.col("b").alias("a"), F.least("a", "m").alias("b")).distinct()
+        large = with_low(both, 2 * count).where("b > a").select(F.col("b").alias("a"), F.least("a", "m").alias("b"))
         # small star: a and its smaller neighbours move to the smallest of them
-        small = with_low(large, 2 * before[0]).select(F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e"))
-        edges = stash_narrow(small.select("e.a", "e.b").where("a <> b").distinct())
-        now = mark(edges)
-        if now == before:
-            break
-        before = now
-    else:
-        if before[0]:
-            raise RuntimeError(f"components did not settle in {rounds} rounds")
-    ends = edges.groupBy("a").agg(F.min("b").alias("component")).withColumnRenamed("a", "id")
+        small = with_low(large, 2 * count).select(F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e"))
+        edges = stash(small.select("e.a", "e.b").where("a <> b").distinct())
+        count, loose = state(edges)
+    if loose:
+        raise RuntimeError(f"components did not settle in {rounds} rounds")
+    ends = edges.select(F.col("a").alias("id"), F.col("b").alias("component"))
     return ends.unionByName(ends.select(F.col("component").alias("id"), "component").distinct())

@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from bindframe.llm._common import BROADCAST_ROWS_BY_TEXTS, by_run, connected_components, minhashes, odd_numbers, small_side, stash, stash_narrow
+from bindframe.llm._common import BROADCAST_ROWS_BY_TEXTS, by_run, connected_components, minhashes, odd_numbers, small_side, stash
 
 #: Items that one task compares with each other, at most.
 NODE_LIMIT = 4096
@@ -128,10 +128,10 @@ def candidate_clusters(items: DataFrame, nodes: DataFrame, similarity: float, co
     """
     found = None
     for level in range(depth + 1):
-        sizes = stash_narrow(nodes.groupBy("node").agg(F.count("*").alias("size")).where("size > 1"))
+        sizes = stash(nodes.groupBy("node").agg(F.count("*").alias("size")).where("size > 1"))
         sized = nodes.join(small_side(sizes), "node")
         small = sized.where(F.col("size") <= limit).select("node", "id").join(items.select("id", "n", "bits").hint("merge"), "id")
-        part = stash_narrow(likely_clusters(small.select("node", "id", "n", "bits"), similarity, width))
+        part = stash(likely_clusters(small.select("node", "id", "n", "bits"), similarity, width))
         found = part if found is None else found.unionByName(part)
         if sizes.where(F.col("size") > limit).limit(1).count() == 0:
             return _merged(found)
@@ -142,16 +142,16 @@ def candidate_clusters(items: DataFrame, nodes: DataFrame, similarity: float, co
                 apart = apart.select(F.explode(F.array(*[F.xxhash64("node", F.lit(t)) for t in range(trees)])).alias("node"), "id")
             nodes = stash(apart.join(items.select("id", "sig").hint("merge"), "id").select(F.explode(branch(coords, similarity)).alias("node"), "id"))
     last = likely_clusters(_blocks(big, limit).join(items.select("id", "n", "bits").hint("merge"), "id").select("node", "id", "n", "bits"), similarity, width)
-    return _merged(found.unionByName(stash_narrow(last)))
+    return _merged(found.unionByName(stash(last)))
 
 
 def _merged(found: DataFrame, limit: int = MERGE_LIMIT) -> DataFrame:
     """Clusters that share items become one where the whole is small enough."""
-    whole = stash_narrow(connected_components(found.select(F.col("id").alias("a"), F.col("low").alias("b"))).join(found.select("id", "n").distinct().hint("merge"), "id"))
-    sizes = whole.groupBy("component").agg(((F.count("*") > limit) | (F.sum("n") > MERGE_HASHES)).alias("large"))
-    sized = stash_narrow(whole.join(small_side(sizes), "component"))
-    one = sized.where("not large").select(F.xxhash64("component").alias("cluster"), "id")
-    rest = found.join(sized.where("large").select("id").hint("merge"), "id", "left_semi").select("cluster", "id").distinct()
+    whole = stash(connected_components(found.select(F.col("id").alias("a"), F.col("low").alias("b"))).join(found.select("id", "n").distinct().hint("merge"), "id"))
+    large = stash(whole.groupBy("component").agg(F.count("*").alias("items"), F.sum("n").alias("hashes")).where((F.col("items") > limit) | (F.col("hashes") > MERGE_HASHES)).select("component"))
+    side = small_side(large)
+    one = whole.join(side, "component", "left_anti").select(F.xxhash64("component").alias("cluster"), "id")
+    rest = found.join(whole.join(side, "component").select("id").hint("merge"), "id", "left_semi").select("cluster", "id").distinct()
     return one.unionByName(rest)
 
 
@@ -169,7 +169,7 @@ def exact_links(clusters: DataFrame, places: DataFrame, docs: DataFrame, sets_of
     clusters(cluster, id); places(id, doc_id): a document that holds the set; docs(doc_id, text).
     sets_of gives the sets of a text; those that are wanted are made again, in the scan.
     """
-    wanted = stash_narrow(clusters.join(places.hint("merge"), "id").groupBy("doc_id").agg(F.collect_list("id").alias("ids"), F.collect_list("cluster").alias("clusters")))
+    wanted = stash(clusters.join(places.hint("merge"), "id").groupBy("doc_id").agg(F.collect_list("id").alias("ids"), F.collect_list("cluster").alias("clusters")))
     texts = docs.join(small_side(wanted, BROADCAST_ROWS_BY_TEXTS), "doc_id").select("text", "ids", "clusters")
 
     def again(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

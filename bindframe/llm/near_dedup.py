@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from bindframe.llm._common import BROADCAST_ROWS_BY_TEXTS, Words, bounded_batches, connected_components, free_name, pieces, roomy_heap, shingle_sets, shingles, small_side, stash, stash_narrow, text_or_empty, words_of_text
+from bindframe.llm._common import BROADCAST_ROWS_BY_TEXTS, Words, bounded_batches, connected_components, free_name, pieces, roomy_heap, shingle_sets, shingles, small_side, stash, text_or_empty, words_of_text
 from bindframe.llm._setjoin import DEPTH, Sketcher, candidate_clusters, coordinate, digest, exact_links
 
 COORDS, WIDTH = 64, 128
@@ -88,12 +88,12 @@ def near_dedup(docs: DataFrame, k: int = 5, percent: int = 80, recall: float = 0
     first = F.array(*[F.expr(f"xxhash64({t}, {j}, {coordinate(str(j % COORDS))})") for t, j in roots])
     nodes = items.select(F.explode(first).alias("node"), "id")
 
-    clusters = stash_narrow(candidate_clusters(items, nodes, similarity, COORDS, WIDTH))
+    clusters = stash(candidate_clusters(items, nodes, similarity, COORDS, WIDTH))
     links = exact_links(clusters, items.select("id", "doc_id"), slim, lambda text: iter([shingle_set(text, k)]), percent)
-    linked = stash_narrow(connected_components(links).join(items.select("id", "doc_id").hint("merge"), "id"))
+    linked = stash(connected_components(links).join(items.select("id", "doc_id").hint("merge"), "id"))
     lowest = linked.groupBy("component").agg(F.min("doc_id").alias("low"))
-    low = stash_narrow(linked.select("id", "component").join(small_side(lowest), "component").select("id", "low"))
-    named = stash_narrow(items.select("id", "doc_id").join(low.hint("merge"), "id", "left").select("id", F.coalesce("low", "doc_id").alias("low")))
+    low = linked.select("id", "component").join(lowest.hint("merge"), "component").select("id", "low")
+    named = items.select("id", "doc_id").join(low.hint("merge"), "id", "left").select("id", F.coalesce("low", "doc_id").alias("low"))
     out = feats.select("doc_id", "n_shingles", "id").join(named.hint("merge"), "id", "left")
     out = out.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNull(), None).otherwise(F.coalesce("low", "doc_id")).alias("component_id"))
     return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
@@ -103,5 +103,5 @@ def keep_one(docs: DataFrame, k: int = 5, percent: int = 80, recall: float = 0.9
     """The rows of docs, all columns, that stay: those with the smallest id of their group; rows without an id stay."""
     groups = near_dedup(docs, k, percent, recall, id_col, text_col)
     mark = free_name(docs.columns, "_gone")
-    gone = stash_narrow(groups.where("not kept").select(F.col("doc_id").alias(mark)).distinct())
+    gone = stash(groups.where("not kept").select(F.col("doc_id").alias(mark)).distinct())
     return docs.join(small_side(gone, BROADCAST_ROWS_BY_TEXTS), docs[id_col] == gone[mark], "left_anti")

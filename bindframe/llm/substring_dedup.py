@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from bindframe.llm._common import BROADCAST_ROWS_BY_TEXTS, Words, bounded_batches, connected_components, free_name, pieces, roomy_heap, run_hashes, shingle_hashes, shingle_sets, sliding_min, small_side, spread, stash, stash_narrow, text_or_empty, to_bytes
+from bindframe.llm._common import BROADCAST_ROWS_BY_TEXTS, Words, bounded_batches, connected_components, free_name, pieces, roomy_heap, run_hashes, shingle_hashes, shingle_sets, sliding_min, small_side, spread, stash, text_or_empty, to_bytes
 from bindframe.llm._setjoin import DEPTH, Sketcher, candidate_clusters, digest, exact_links
 from bindframe.llm.near_dedup import STEP, trees_for
 
@@ -125,18 +125,18 @@ def repeated_paragraphs(docs: DataFrame, k: int = 5, percent: int = 80, min_word
     width = 4 * rows
     keys = F.array(*[F.expr(f"xxhash64({b}, substring(sig, {b * width + 1}, {width}))") for b in range(bands)])
     nodes = items.select(F.explode(keys).alias("node"), "id")
-    clusters = stash_narrow(candidate_clusters(items, nodes, percent / 100, bands * rows, WIDTH, trees=bucket_trees(percent / 100)))
+    clusters = stash(candidate_clusters(items, nodes, percent / 100, bands * rows, WIDTH, trees=bucket_trees(percent / 100)))
     places = items.select("id", F.col("place.doc_id").alias("doc_id"))
     links = exact_links(clusters, places, slim, lambda text: paragraph_sets(text, k, min_words), percent)
-    linked = stash_narrow(connected_components(links).join(items.select("id", "place").hint("merge"), "id"))
+    linked = stash(connected_components(links).join(items.select("id", "place").hint("merge"), "id"))
     first = linked.groupBy("component").agg(F.min("place").alias("first"))
-    linked = linked.select("id", "component").join(small_side(first), "component").select("id", "first")
+    linked = linked.select("id", "component").join(first.hint("merge"), "component").select("id", "first")
     named = items.join(linked.hint("merge"), "id", "left").where("copies > 1 or first is not null").select("id", F.coalesce("first", "place").alias("keeper"))
-    out = feats.select("doc_id", "paragraph", "n_words", "id", "lines", "start").join(small_side(stash_narrow(named)), "id")
+    out = feats.select("doc_id", "paragraph", "n_words", "id", "lines", "start").join(named.hint("merge"), "id")
     removed = (F.struct("doc_id", "paragraph") != F.col("keeper")).alias("removed")
     out = stash(out.select("doc_id", "paragraph", "n_words", F.col("keeper.doc_id").alias("kept_doc_id"), F.col("keeper.paragraph").alias("kept_paragraph"), removed, "lines", "start"))
     gone = out.where("removed").select(F.col("doc_id").alias("_id"), F.col("start").alias("_from"), (F.col("start") + F.col("n_words")).alias("_to"))
-    runs = stash_narrow(repeated_passages(slim, k, min_words))
+    runs = stash(repeated_passages(slim, k, min_words))
     none = F.lit(None).cast("int").alias("lines")
     kept = runs.groupBy("kept_doc_id", "kept_start", "kept_line").agg(F.max(F.col("end") - F.col("start")).alias("n_words"))
     kept = kept.select(F.col("kept_doc_id").alias("doc_id"), F.col("kept_line").alias("paragraph"), "n_words", "kept_doc_id", F.col("kept_line").alias("kept_paragraph"), F.lit(False).alias("removed"), none, F.col("kept_start").alias("start"))
@@ -179,18 +179,18 @@ def repeated_passages(slim: DataFrame, k: int, min_words: int) -> DataFrame:
 
     def again(rows: DataFrame, last: str) -> DataFrame:
         """Rows that equal an earlier one of the same hashes; what overlaps the kept words of its own document stays."""
-        found = stash_narrow(rows.groupBy("seed", "h").agg(F.min(F.struct("doc_id", "start", "line")).alias("kept"), F.count("*").alias("n")).where("n > 1").select("seed", "h", "kept"))
-        later = rows.join(small_side(found), ["seed", "h"]).where((F.col("doc_id") != F.col("kept.doc_id")) | (F.col("start") != F.col("kept.start")))
+        found = rows.groupBy("seed", "h").agg(F.min(F.struct("doc_id", "start", "line")).alias("kept"), F.count("*").alias("n")).where("n > 1").select("seed", "h", "kept")
+        later = rows.join(found.hint("merge"), ["seed", "h"]).where((F.col("doc_id") != F.col("kept.doc_id")) | (F.col("start") != F.col("kept.start")))
         overlap = F.when(F.col("doc_id") == F.col("kept.doc_id"), F.greatest(F.lit(0), F.col("kept.start") + min_words - F.col("start"))).otherwise(0)
         return later.select("doc_id", (F.col("start") + overlap).cast("int").alias("start"), (F.expr(last) + min_words).cast("int").alias("end"), "line", F.col("kept.doc_id").alias("kept_doc_id"), F.col("kept.start").alias("kept_start"), F.col("kept.line").alias("kept_line")).where("start < end")
 
     every = stash(slim.mapInArrow(first, f"doc_id {kind}, start int, last int, line int, seed long, h long"))
     # buckets with more than one stretch; mixed ones hold different stretches
-    full = stash_narrow(every.groupBy("seed").agg(F.count("*").alias("n"), (F.min("h") < F.max("h")).alias("mixed")).where("n > 1").select("seed", "mixed"))
-    seeds = stash(every.join(small_side(full), "seed"))
+    full = every.groupBy("seed").agg(F.count("*").alias("n"), (F.min("h") < F.max("h")).alias("mixed")).where("n > 1").select("seed", "mixed")
+    seeds = stash(every.join(full.hint("merge"), "seed"))
     copies = again(seeds, "last")
     reps = seeds.where("mixed").groupBy("seed", "h").agg(F.min(F.struct("doc_id", "start", "last")).alias("place"))
-    wanted = stash_narrow(reps.groupBy("place.doc_id").agg(F.collect_list(F.struct("place.start", "place.last")).alias("ranges")))
+    wanted = stash(reps.groupBy("place.doc_id").agg(F.collect_list(F.struct("place.start", "place.last")).alias("ranges")))
     windows = stash(slim.join(small_side(wanted, BROADCAST_ROWS_BY_TEXTS), "doc_id").select("doc_id", "text", "ranges").mapInArrow(single, f"doc_id {kind}, start int, line int, seed long, h long"))
     parts = copies.unionByName(again(windows, "start"))
     own = Window.partitionBy("doc_id", "kept_doc_id").orderBy("start", "end")
@@ -232,7 +232,7 @@ def remove_repeats(docs: DataFrame, k: int = 5, percent: int = 80, min_words: in
     spans = F.collect_list(F.when(F.col("lines").isNull(), F.array(F.col("start"), F.col("start") + F.col("n_words"))))
     mark = free_name(docs.columns, "_gone")
     gone = found.groupBy("doc_id").agg(lines.alias("lines"), spans.alias("spans")).select(F.col("doc_id").alias(f"{mark}id"), F.struct("lines", "spans").alias(mark))
-    joined = docs.join(small_side(stash_narrow(gone), BROADCAST_ROWS_BY_TEXTS), F.col(id_col) == F.col(f"{mark}id"), "left")
+    joined = docs.join(small_side(stash(gone), BROADCAST_ROWS_BY_TEXTS), F.col(id_col) == F.col(f"{mark}id"), "left")
     text = F.udf(without, "string", useArrow=True)(F.col(text_col), F.col(f"{mark}.lines"), F.col(f"{mark}.spans"))
     left = F.col(mark).isNull() | F.col(text_col).rlike(r"[^\x20\x09-\x0D]")
     return joined.withColumn(text_col, F.when(F.col(mark).isNull(), F.col(text_col)).otherwise(text)).where(left).select(*[F.col(f"`{c}`") for c in docs.columns])
