@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from bindframe.llm._common import BROADCAST_ROWS_BY_TEXTS, by_run, connected_components, minhashes, odd_numbers, small_side, stash
+from bindframe.llm._common import BROADCAST_ROWS_BY_TEXTS, by_run, connected_components, minhashes, odd_numbers, small_side, spread, stash
 
 #: Items that one task compares with each other, at most.
 NODE_LIMIT = 4096
@@ -211,16 +211,26 @@ def links_within(ids: list[bytes], sets: list[np.ndarray], percent: int) -> tupl
     holders = owner[np.argsort(group, kind="stable")]
     first = np.cumsum(counts) - counts
     ends = np.cumsum(sizes)
+    held = np.zeros(len(counts), bool)
     for i in range(n - 1):
-        if (part == part[i]).all():
-            break
         own = group[ends[i] - sizes[i] : ends[i]]
+        # what is not connected yet, was not compared before, and has a size that allows a link
+        open_ = np.flatnonzero(part != part[i])
+        open_ = open_[open_ > i]
+        open_ = open_[(100 * sizes[open_] >= percent * sizes[i]) & (100 * sizes[i] >= percent * sizes[open_])]
+        if not len(open_):
+            continue
         own_counts = counts[own]
         total = np.cumsum(own_counts)
-        at = np.arange(total[-1]) + np.repeat(first[own] - total + own_counts, own_counts)
-        both = np.bincount(holders[at], minlength=n)
-        near = np.flatnonzero(100 * both >= percent * (sizes + sizes[i] - both))
-        joined = np.unique(part[near])
+        if sizes[open_].sum() < total[-1]:
+            held[own] = True
+            both = np.add.reduceat(held[group[spread(ends[open_] - sizes[open_], sizes[open_])]], np.cumsum(sizes[open_]) - sizes[open_], dtype=np.int64)
+            held[own] = False
+        else:
+            at = np.arange(total[-1]) + np.repeat(first[own] - total + own_counts, own_counts)
+            both = np.bincount(holders[at], minlength=n)[open_]
+        near = open_[100 * both >= percent * (sizes[open_] + sizes[i] - both)]
+        joined = np.unique(part[np.append(near, i)])
         if len(joined) > 1:
             part[np.isin(part, joined)] = joined[0]
     a, b = [], []
