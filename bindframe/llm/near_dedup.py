@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from bindframe.llm._common import BROADCAST_ROWS_BY_TEXTS, Words, bounded_batches, connected_components, free_name, pieces, roomy_heap, shingle_sets, shingles, small_side, stash, text_or_empty, words_of_text
 from bindframe.llm._setjoin import DEPTH, Sketcher, candidate_clusters, coordinate, digest, exact_links
 
-COORDS, WIDTH = 64, 128
+COORDS, WIDTH = 64, 64
 
 #: Bytes of text whose sets a task holds at a time.
 STEP = 1_000_000
