@@ -184,6 +184,11 @@ def repeated_passages(slim: DataFrame, k: int, min_words: int) -> DataFrame:
         overlap = F.when(F.col("doc_id") == F.col("kept.doc_id"), F.greatest(F.lit(0), F.col("kept.start") + min_words - F.col("start"))).otherwise(0)
         return later.select("doc_id", (F.col("start") + overlap).cast("int").alias("start"), (F.expr(last) + min_words).cast("int").alias("end"), "line", F.col("kept.doc_id").alias("kept_doc_id"), F.col("kept.start").alias("kept_start"), F.col("kept.line").alias("kept_line")).where("start < end")
 
+    def repeated(rows: DataFrame) -> DataFrame:
+        """Rows whose hash occurs again: counted by the hash alone, so that single rows are not moved whole."""
+        twice = stash(rows.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h"))
+        return stash(rows.join(small_side(twice, BROADCAST_ROWS_BY_TEXTS), "h", "left_semi"))
+
     every = stash(slim.mapInArrow(first, f"doc_id {kind}, start int, last int, line int, seed long, h long"))
     # buckets with more than one stretch; mixed ones hold different stretches
     full = every.groupBy("seed").agg(F.count("*").alias("n"), (F.min("h") < F.max("h")).alias("mixed")).where("n > 1").select("seed", "mixed")
@@ -192,7 +197,7 @@ def repeated_passages(slim: DataFrame, k: int, min_words: int) -> DataFrame:
     reps = seeds.where("mixed").groupBy("seed", "h").agg(F.min(F.struct("doc_id", "start", "last")).alias("place"))
     wanted = stash(reps.groupBy("place.doc_id").agg(F.collect_list(F.struct("place.start", "place.last")).alias("ranges")))
     windows = stash(slim.join(small_side(wanted, BROADCAST_ROWS_BY_TEXTS), "doc_id").select("doc_id", "text", "ranges").mapInArrow(single, f"doc_id {kind}, start int, line int, seed long, h long"))
-    parts = copies.unionByName(again(windows, "start"))
+    parts = copies.unionByName(again(repeated(windows), "start"))
     own = Window.partitionBy("doc_id", "kept_doc_id").orderBy("start", "end")
     parts = parts.withColumn("before", F.max("end").over(own.rowsBetween(Window.unboundedPreceding, -1)))
     parts = parts.withColumn("part", F.sum(F.when(F.col("start") <= F.col("before"), 0).otherwise(1)).over(own))
