@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bindframe.llm import attention_lm, bpe_transducer, decontaminate, near_dedup, quality_cnn, quality_rules, sharding, substring_dedup, token_counts, toxicity
+from bindframe.llm import attention_lm, bpe_transducer, conversations, decontaminate, mixing, near_dedup, quality_cnn, quality_rules, sharding, spelling, substring_dedup, token_counts, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -64,6 +64,20 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", *quality_rules.MEASURES, "base_failed", "kept")
 
 
+def op11_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = mixing.mix(mixing.measure(table(spark, sf_dir, "documents")))
+    return out.select("doc_id", "size", "source_size", "target", "taken")
+
+
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    original = table(spark, sf_dir, "conversations")
+    return conversations.summaries(conversations.repair(conversations.damage(original)), original)
+
+
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_edit_aware_counts": op1_edit_aware_counts,
     "op2_extendible_sharding": op2_extendible_sharding,
@@ -75,6 +89,9 @@ QUERIES: dict[str, Query] = {
     "op8_bpe_transducer": op8_bpe_transducer,
     "op9_attention_lm": op9_attention_lm,
     "op10_quality_rules": op10_quality_rules,
+    "op11_source_mixing": op11_source_mixing,
+    "op12_conversation_repair": op12_conversation_repair,
+    "op13_spelling_variants": op13_spelling_variants,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -121,5 +138,30 @@ x AS (SELECT DISTINCT source FROM h JOIN z USING (rule) WHERE (k + mean * st) /
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, (s OR q) AS base_failed,
        NOT (s OR q) AND f.source IS DISTINCT FROM x.source AS kept
 FROM f LEFT JOIN x ON f.source = x.source
+""",
+    "op11_source_mixing": r"""
+WITH d AS (
+  SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size,
+         ('0x' || substr(md5(coalesce(doc_id::VARCHAR, '\N')), 1, 15))::BIGINT AS h
+  FROM documents
+), s AS (
+  SELECT source, sum(size)::BIGINT AS ss, [5, 2, 1][1 + ((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3)::INT] AS w FROM d GROUP BY source
+), f AS (
+  SELECT *, 2 * ss AS cap, coalesce(sum(2 * ss) OVER (ORDER BY ss * (10 // w), source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS bc,
+         coalesce(sum(w) OVER (ORDER BY ss * (10 // w), source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS bw,
+         sum(w) OVER () AS aw, sum(ss) OVER () AS n
+  FROM s
+), g AS (SELECT *, cap * 2 * (aw - bw) <= w * (3 * n - 2 * bc) AS whole FROM f),
+t AS (SELECT coalesce(sum(cap) FILTER (whole), 0) AS c, coalesce(sum(w) FILTER (NOT whole), 0) AS lw FROM g),
+p AS (
+  SELECT source, ss, CASE WHEN whole THEN cap::DOUBLE ELSE (w * (3 * n - 2 * c))::DOUBLE / (2 * lw)::DOUBLE END AS target,
+         CASE WHEN whole THEN cap ELSE (w * (3 * n - 2 * c)) // (2 * lw) END::BIGINT AS budget
+  FROM g, t
+), r AS (
+  SELECT doc_id, size, ss, target, budget, CASE WHEN ss > 0 THEN budget // ss ELSE 0 END AS e,
+         coalesce(sum(size) OVER (PARTITION BY d.source ORDER BY h, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before
+  FROM d JOIN p ON d.source IS NOT DISTINCT FROM p.source
+)
+SELECT doc_id, size, ss AS source_size, target, (e * size + greatest(0, least(size, budget - e * ss - before)))::BIGINT AS taken FROM r
 """,
 }
