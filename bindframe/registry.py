@@ -6,12 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from bindframe.plans import intervals, replicates, rows, selection, sites, tables
+from bindframe.plans import intervals, mutation, replicates, rows, selection, sites, tables
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 QUERIES: dict[str, Query] = {}
 ORACLE_SQL: dict[str, str] = {}
-for _part in (intervals, sites, replicates, tables, rows, selection):
+for _part in (intervals, sites, replicates, tables, rows, selection, mutation):
     QUERIES |= _part.QUERIES
     ORACLE_SQL |= _part.ORACLE_SQL
