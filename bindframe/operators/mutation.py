@@ -102,6 +102,8 @@ def abolish_site_rounds(df: DataFrame, caller: Caller, profile: Caller, barrier:
     first = df.select("key", "target", "sequence").withColumn("_sites", caller.sites_of(F.col("sequence")))
     start = F.struct(F.col("sequence"), F.lit(True).alias("there"), F.array().cast("array<long>").alias("taken"), F.array().cast("array<int>").alias("positions"), F.lit(0).alias("steps"), F.lit(None).cast("string").alias("status"))
     state = made_only(first.select("key", "target", F.filter("_sites", lambda i: i != F.col("target")).alias("others"), F.when(F.array_contains("_sites", F.col("target")), start).alias("state")), "state")
+    # rows take very different numbers of steps, so they are dealt out once
+    state = state.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), "key", "target")
     done = []
     for _ in range(0, most, STEPS):
         stepped = saved(state.withColumn("state", F.aggregate(F.sequence(F.lit(1), F.lit(STEPS)), F.col("state"), lambda acc, _: _step(acc, caller, profile, barrier, flank))))
