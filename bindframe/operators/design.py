@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from bindframe.functions.calling import Caller, number_array
 from bindframe.functions.sequences import reverse_complement
 
 
@@ -60,9 +61,24 @@ def array_rows(df: DataFrame, primer: str, replicates: int) -> DataFrame:
     return df.select("key", F.explode(ways).alias("w"), F.explode(F.sequence(F.lit(1), F.lit(replicates))).alias("rep")).select("key", "w.ori", "rep", F.concat("w.s", F.lit(primer)).alias("sequence"))
 
 
-def weakest_abolishing_core(candidates: DataFrame) -> DataFrame:
-    """Of the candidates (key, position, base, before, after) that lower the score, the weakest; ties by position, then base."""
-    return candidates.where("after < before").groupBy("key").agg(F.min(F.struct("after", "position", "base", "before")).alias("best")).select("key", "best.position", "best.base", "best.before", "best.after")
+def weakest_abolishing_core(df: DataFrame, caller: Caller) -> DataFrame:
+    """I9 without a second call: of the single-base changes that lower the score of a sequence's only site, the weakest; ties by position, then base.
+
+    (key, position, base, before, after). What is best depends on the core alone, so it is a table of all
+    cores that the site's own window is looked up in.
+    """
+    k, scores = caller.k, caller.scores
+    best = []
+    for code, before in enumerate(scores):
+        ways = [(scores[code + (b - code // 4 ** (k - 1 - i) % 4) * 4 ** (k - 1 - i)], i, b) for i in range(k) for b in range(4)]
+        best.append(min((w for w in ways if w[0] < before), default=(before, -1, 0)))
+    codes = F.col("_codes")
+    called = df.select("key", caller.codes_of(F.col("sequence")).alias("_codes")).select("key", "_codes", caller.sites(codes).alias("_sites"))
+    one = called.select("key", F.explode(F.when(F.size("_sites") == 1, F.array(F.struct(F.get("_sites", F.lit(0)).alias("at"), F.get(codes, F.get("_sites", F.lit(0))).alias("code"))))).alias("s"))
+    of = lambda j: F.get(number_array([w[j] for w in best]), F.col("s.code"))
+    place = of(1).cast("int")
+    found = one.where(place >= 0)
+    return found.select("key", (F.col("s.at") + place).alias("position"), F.substring(F.lit("ACGT"), of(2).cast("int") + 1, F.lit(1)).alias("base"), caller.score(F.col("s.code")).alias("before"), of(0).alias("after"))
 
 
 def quiet_sequences(profile: DataFrame, threshold: float) -> DataFrame:

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from bindframe.functions.calling import BASES, Caller, number_array, changed_codes, digits, let, window_codes, with_base
 from bindframe.functions.sequences import reverse_complement
+from bindframe.operators.sites import regions
 from bindframe.sources.shared import saved
 
 
@@ -212,32 +213,6 @@ def junction_map(cleaned: DataFrame) -> DataFrame:
     return cleaned.where("status = 'repaired'").select(F.col("new").alias("designed"), F.col("old").alias("source")).distinct()
 
 
-def regions(scores: Column, cutoff: Column, gap: Column, centre: int) -> Column:
-    """K3 inside a row: the regions (begin, end) of a profile for any cutoff and gap.
-
-    Highs at most gap + 1 apart share a region, two make one; begin is the position of its first high,
-    and end goes behind it by the number of highs and the tail that `specific_regions` adds.
-    """
-    last = F.size(scores) - 1
-
-    def from_highs(highs: Column) -> Column:
-        numbers = F.filter(F.transform(highs, lambda h, i: F.when((i == 0) | (h - F.get(highs, i - 1) > gap + 1), i)), lambda x: x.isNotNull())
-
-        def from_firsts(firsts: Column) -> Column:
-            def one(i: Column, r: Column) -> Column:
-                behind = F.coalesce(F.get(firsts, r + 1), F.size(highs))
-                low = F.coalesce(F.get(highs, behind) - 1, last) - F.get(highs, behind - 1)
-                n = behind - i
-                begin = F.get(highs, i) + centre
-                return F.struct(n.alias("n"), begin.alias("begin"), (begin + n + F.when(low > gap, gap).otherwise(F.greatest(low - 1, F.lit(0)))).alias("end"))
-
-            return F.filter(F.transform(firsts, one), lambda x: x["n"] >= 2)
-
-        return let(numbers, from_firsts)
-
-    return let(F.filter(F.transform(scores, lambda s, i: F.when(s > cutoff, i)), lambda x: x.isNotNull()), from_highs)
-
-
 def check_probe_set(df: DataFrame, profile: Caller, width: int, cutoffs: Sequence[float], gaps: Sequence[int]) -> DataFrame:
     """df(key, wt, m1, m2, m3, site_1, site_2) -> (key, cutoff, gap): the first pair, gaps outside and cutoffs inside, for which a set is right.
 

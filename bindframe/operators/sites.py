@@ -2,10 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from functools import reduce
+from itertools import product
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from bindframe.functions.calling import BASES, MOST_K, digits, let, number_array, window_codes
 from bindframe.functions.sequences import reverse_complement
 
 
@@ -48,6 +55,54 @@ def specific_regions(profile: DataFrame, cutoff: float, gap: int = 0) -> DataFra
     return found.join(ends, "key").withColumn("escorelength", F.col("n") + tail).where("n >= 2").select("key", F.col("first").alias("startpos"), "escorelength", "n")
 
 
+def regions(scores: Column, cutoff: Column, gap: Column, centre: int) -> Column:
+    """K3 inside a row: the regions (begin, end) of a profile for any cutoff and gap.
+
+    Highs at most gap + 1 apart share a region, two make one; begin is the position of its first high,
+    and end goes behind it by the number of highs and the tail that `specific_regions` adds.
+    """
+    last = F.size(scores) - 1
+
+    def from_highs(highs: Column) -> Column:
+        numbers = F.filter(F.transform(highs, lambda h, i: F.when((i == 0) | (h - F.get(highs, i - 1) > gap + 1), i)), lambda x: x.isNotNull())
+
+        def from_firsts(firsts: Column) -> Column:
+            def one(i: Column, r: Column) -> Column:
+                behind = F.coalesce(F.get(firsts, r + 1), F.size(highs))
+                low = F.coalesce(F.get(highs, behind) - 1, last) - F.get(highs, behind - 1)
+                n = behind - i
+                begin = F.get(highs, i) + centre
+                return F.struct(n.alias("n"), begin.alias("begin"), (begin + n + F.when(low > gap, gap).otherwise(F.greatest(low - 1, F.lit(0)))).alias("end"))
+
+            return F.filter(F.transform(firsts, one), lambda x: x["n"] >= 2)
+
+        return let(numbers, from_firsts)
+
+    return let(F.filter(F.transform(scores, lambda s, i: F.when(s > cutoff, i)), lambda x: x.isNotNull()), from_highs)
+
+
+def score_table(scores: DataFrame, k: int, default: float | None = None) -> tuple[float | None, ...]:
+    """The 4^k scores of a k-mer table in the order of codes; k-mers it lacks get the default. The table is bounded by 4^k rows, k up to MOST_K."""
+    if k > MOST_K:
+        raise ValueError(f"tables of k-mers are read whole up to k = {MOST_K}")
+    found = {r.kmer: r.score for r in scores.where(F.length("kmer") == k).where(F.col("kmer").rlike("^[ACGT]+$")).groupBy("kmer").agg(F.max("score").alias("score")).collect()}
+    return tuple(found.get("".join(kmer), default) for kmer in product(BASES, repeat=k))
+
+
+def region_scan(df: DataFrame, scores: DataFrame, k: int, cutoff: float, gap: int = 0) -> DataFrame:
+    """K3 of K2 over whole sequences: (key, startpos, escorelength, n), every region found inside its row, without a window or a join.
+
+    A table that lacks k-mers goes through `specific_regions`, since `escore_profile` has no window for them.
+    """
+    table = score_table(scores, k)
+    if any(x is None for x in table):
+        return specific_regions(escore_profile(df, scores, k), cutoff, gap)
+    codes = let(digits(F.col("sequence")), lambda d: window_codes(d, k))
+    ready = df.where(F.length("sequence") >= k).select("key", F.transform(codes, lambda c: F.get(number_array(table), c)).alias("_s"))
+    found = ready.select("key", F.explode(regions(F.col("_s"), F.lit(cutoff), F.lit(gap), 0)).alias("r"))
+    return found.select("key", F.col("r.begin").alias("startpos"), (F.col("r.end") - F.col("r.begin")).cast("long").alias("escorelength"), F.col("r.n").cast("long").alias("n"))
+
+
 def pwm_score(kmer: Column, rows: list[dict[str, float]], product: bool = False) -> Column:
     """Sum of the weights (or product of the probabilities) of a k-mer's bases; other signs than ACGT give null."""
     total: Column = F.lit(1.0 if product else 0.0)
@@ -61,13 +116,24 @@ def pwm_score(kmer: Column, rows: list[dict[str, float]], product: bool = False)
 
 
 def pwm_scan(df: DataFrame, rows: list[dict[str, float]], zero_threshold: bool = False) -> DataFrame:
-    """K4: each window's better strand; a tie goes to -1; mid = (start + start + length) div 2. With zero_threshold only scores above 0."""
+    """K4: each window's better strand; a tie goes to -1; mid = (start + start + length) div 2. With zero_threshold only scores above 0.
+
+    The scores of all 4^n windows are a table that each window's code is looked up in, up to MOST_K bases.
+    """
     n = len(rows)
     swap = {"A": "T", "C": "G", "G": "C", "T": "A"}
     back = [{swap[b]: x for b, x in row.items()} for row in reversed(rows)]
-    scored = kmer_windows(df, n).withColumn("_f", pwm_score(F.col("kmer"), rows)).withColumn("_r", pwm_score(F.col("kmer"), back))
-    out = scored.select("key", "start", F.col("kmer").alias("site"), F.greatest("_f", "_r").alias("score"), F.when(F.col("_f") > F.col("_r"), 1).otherwise(-1).alias("orientation"), F.expr(f"start + {n} div 2").alias("mid"))
-    return out.where("score > 0") if zero_threshold else out.where("score is not null")
+    out = [F.expr(f"start + {n} div 2").alias("mid")]
+    if n <= MOST_K:
+        ways = [tuple(sum((float(row[b]) for row, b in zip(way, kmer, strict=True)), 0.0) for kmer in product(BASES, repeat=n)) for way in (rows, back)]
+        best, side = number_array([max(x) for x in zip(*ways, strict=True)]), number_array([1 if f > r else -1 for f, r in zip(*ways, strict=True)])
+        codes = let(digits(F.col("sequence")), lambda d: window_codes(d, n))
+        cut = df.where(F.length("sequence") >= n).select("key", "sequence", F.posexplode(codes).alias("start", "_code"))
+        scored = cut.where("_code is not null").select("key", "start", F.substring("sequence", F.col("start") + 1, F.lit(n)).alias("site"), F.get(best, F.col("_code")).alias("score"), F.get(side, F.col("_code")).cast("int").alias("orientation"), *out)
+    else:
+        both = kmer_windows(df, n).withColumn("_f", pwm_score(F.col("kmer"), rows)).withColumn("_r", pwm_score(F.col("kmer"), back))
+        scored = both.select("key", "start", F.col("kmer").alias("site"), F.greatest("_f", "_r").alias("score"), F.when(F.col("_f") > F.col("_r"), 1).otherwise(-1).alias("orientation"), *out)
+    return scored.where("score > 0") if zero_threshold else scored.where("score is not null")
 
 
 def core_windows(df: DataFrame, core: str, width: int) -> DataFrame:
@@ -84,18 +150,96 @@ def alignment_sites(df: DataFrame, align: DataFrame, k: int, core: tuple[int, in
 
     A run needs two windows at least, and must reach over the core's positions [end - k, start].
     Scores below the cutoff count as absent. Returns (key, core_start, core_end, site_pos, orientation).
+
+    A run reaches over the core if the window at its first needed position has that position in
+    the alignment, the next window the next one, and so on to the last. So each k-mer's needed
+    positions are bits of a number, looked up by the k-mer's code inside the row.
     """
-    length = F.length("sequence")
-    strands = df.select("key", "sequence", F.lit(1).alias("orientation"), length.alias("size")).union(df.select("key", reverse_complement(F.col("sequence")), F.lit(-1), length))
-    windows = kmer_windows(strands.select(F.struct("key", "orientation", "size").alias("key"), "sequence"), k)
-    hits = windows.join(F.broadcast(align.where(F.col("score") >= cutoff)), "kmer")
-    lined = hits.select("key.*", "start", "kposition", (F.col("kposition") - F.col("start")).alias("line"))
     need_from, need_to = sorted((core[1] - k, core[0]))
-    found = runs(lined.distinct(), ["key", "orientation", "size", "line"], "start", F.lit(True), 0, 2)
-    reach = found.where((F.col("first") + F.col("line") <= need_from) & (F.col("last") + F.col("line") >= need_to))
+    # with one needed position, the one before it or behind it makes the run two long
+    low, high = (need_from, need_to) if need_to > need_from else (need_from - 1, need_to + 1)
+    bits = align.where((F.col("score") >= cutoff) & F.col("kposition").between(low, high)).select("kmer", F.expr(f"shiftleft(1L, cast(kposition - ({low}) as int))").alias("bit")).groupBy("kmer").agg(F.bit_or("bit").alias("score"))
+    table = number_array(score_table(bits, k, 0.0)).cast("array<long>")
+
+    def reached(codes: Column) -> Column:
+        has = lambda i, p: F.coalesce(F.shiftright(F.get(table, F.get(codes, i)), p - low).bitwiseAND(1), F.lit(0)) == 1
+        need = lambda i: reduce(lambda a, b: a & b, (has(i + (p - need_from), p) for p in range(need_from, need_to + 1)))
+        run = need if need_to > need_from else lambda i: need(i) & (has(i - 1, low) | has(i + 1, high))
+        return F.filter(F.transform(codes, lambda _, i: F.when(run(i), i)), lambda x: x.isNotNull())
+
+    strand = lambda seq, o: F.transform(let(let(digits(seq), lambda d: window_codes(d, k)), reached), lambda i: F.struct(F.lit(o).alias("orientation"), (F.lit(need_from) - i).alias("line")))
+    hits = F.concat(strand(F.col("sequence"), 1), strand(reverse_complement(F.col("sequence")), -1))
+    found = df.where(F.length("sequence") >= k).select("key", F.length("sequence").alias("size"), F.explode(hits).alias("h")).select("key", "size", "h.*")
     start, end, pos = (F.lit(x) - F.col("line") for x in (*core, centre))
     flip = F.col("orientation") == -1
-    return reach.select("key", F.when(flip, F.col("size") - end).otherwise(start).alias("core_start"), F.when(flip, F.col("size") - start).otherwise(end).alias("core_end"), F.when(flip, F.col("size") - 1 - pos).otherwise(pos).alias("site_pos"), "orientation").distinct()
+    return found.select("key", F.when(flip, F.col("size") - end).otherwise(start).alias("core_start"), F.when(flip, F.col("size") - start).otherwise(end).alias("core_end"), F.when(flip, F.col("size") - 1 - pos).otherwise(pos).alias("site_pos"), "orientation")
+
+
+#: Bytes of a dense table of support vectors that every task may hold.
+VECTOR_BYTES = 64_000_000
+
+
+def kernel_score(windows: DataFrame, vectors: DataFrame, gamma: float, rho: float, linear: bool = False, kmax: int = 3) -> DataFrame:
+    """K7: (key, start, window) scored against support vectors(sv_id, coef, idx, val) by one-hot positional k-mers; logistic of the decision value.
+
+    Distinct windows are scored once, in blocks against a dense table of the vectors. A model whose
+    table would be larger than VECTOR_BYTES is taken in parts of so many vectors, whose sums are added.
+    """
+    own = windows.select("window").distinct()
+    size = vectors.agg(F.count_distinct("sv_id").alias("n"), F.coalesce(F.max("idx"), F.lit(0)).alias("wide")).first()
+    parts = max(1, -(-size["n"] * (size["wide"] + 1) * 8 // VECTOR_BYTES))
+    decided = None
+    for part in range(parts):
+        rows = vectors.where(F.pmod(F.hash("sv_id"), F.lit(parts)) == part).select("sv_id", "coef", "idx", "val").collect()  # VECTOR_BYTES bounds it
+        ids = {v: i for i, v in enumerate(sorted({r.sv_id for r in rows}))}
+        dense, coef = np.zeros((size["wide"] + 1, len(ids))), np.zeros(len(ids))
+        for r in rows:
+            dense[r.idx, ids[r.sv_id]] += r.val
+            coef[ids[r.sv_id]] = r.coef
+        one = own.mapInArrow(_kernel_sums(dense, coef, gamma, linear, kmax), "window string, value double")
+        decided = one if decided is None else decided.unionByName(one)
+    total = decided.groupBy("window").agg((F.sum("value") - rho).alias("value"))
+    return windows.join(total, "window").withColumn("score", 1 / (1 + F.exp(-F.col("value")))).drop("value")
+
+
+def _kernel_sums(dense: np.ndarray, coef: np.ndarray, gamma: float, linear: bool, kmax: int, block: int = 512):
+    """A function for mapInArrow: each window's sum of coefficient times kernel over the vectors of a dense table (index x vector)."""
+    squares = (dense * dense).sum(0)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = batch.column("window").to_pylist()
+            values = np.zeros(len(texts))
+            by_length: dict[int, list[int]] = {}
+            for i, text in enumerate(texts):
+                by_length.setdefault(len(text), []).append(i)
+            for length, places in by_length.items():
+                for at in range(0, len(places), block):
+                    some = places[at : at + block]
+                    ranks = np.array([[BASES.find(c) for c in texts[i]] for i in some], np.int64).reshape(len(some), length)
+                    index = _positional(ranks, kmax)
+                    dot = np.zeros((len(some), dense.shape[1]))
+                    for column in index.T:
+                        inside = (column >= 0) & (column < len(dense))
+                        dot[inside] += dense[column[inside]]
+                    kernel = dot if linear else np.exp(-gamma * (index.shape[1] + squares - 2 * dot))
+                    values[some] = np.where((ranks < 0).any(1), np.nan, kernel @ coef)  # other signs than ACGT have no score
+            yield pa.RecordBatch.from_arrays([batch.column("window"), pa.array(values)], names=["window", "value"])
+
+    return run
+
+
+def _positional(ranks: np.ndarray, kmax: int) -> np.ndarray:
+    """F12 for windows of one length as base ranks: the indexes of each window's positional k-mers."""
+    length, columns, offset = ranks.shape[1], [], 0
+    for k in range(1, kmax + 1):
+        for p in range(length - k + 1):
+            code = np.zeros(len(ranks), np.int64)
+            for i in range(k):
+                code = code * 4 + ranks[:, p + i]
+            columns.append(offset + p * 4**k + code + 1)
+        offset += max(0, length - k + 1) * 4**k
+    return np.stack(columns, 1) if columns else np.zeros((len(ranks), 0), np.int64)
 
 
 def kernel_score(windows: DataFrame, vectors: DataFrame, gamma: float, rho: float, linear: bool = False, kmax: int = 3) -> DataFrame:

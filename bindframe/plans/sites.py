@@ -53,7 +53,7 @@ regions AS (SELECT key, startpos, n + CASE WHEN m > 1 THEN 1 ELSE greatest(m - 1
 
 
 def _regions(s: SparkSession, d: str) -> DataFrame:
-    return op.specific_regions(op.escore_profile(v.sequences(s, d), kmer_scores(s), K), 0.2, 1)
+    return op.region_scan(v.sequences(s, d), kmer_scores(s), K, 0.2, 1)
 
 
 def _scored(s: SparkSession, d: str) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from bindframe.functions import sequences as fn
+from bindframe.functions.calling import matrix_caller
 from bindframe.operators import design
 from bindframe.operators import sites as site
 from bindframe.operators import tables as op
@@ -21,15 +22,6 @@ def _pairs(s, d):
     return v.sequences(s, d).join(both, "key")
 
 
-def _candidates(s, d):
-    one = site.single_site(_sites(s, d)).selectExpr("key", "pos - 2 as at")
-    spread = v.sequences(s, d).join(one, "key").select("key", "sequence", "at", F.explode(F.sequence(F.lit(0), F.lit(3))).alias("i"), F.explode(F.array(*map(F.lit, "ACGT"))).alias("base"))
-    core = F.substring("sequence", (F.col("at") + 1).cast("int"), F.lit(4))
-    new = design.overlay(core, F.col("i"), F.col("base"))
-    score = lambda c: F.greatest(site.pwm_score(c, PWM), site.pwm_score(fn.reverse_complement(c), PWM))
-    return spread.select("key", (F.col("at") + F.col("i")).alias("position"), "base", score(core).alias("before"), score(new).alias("after"))
-
-
 QUERIES = {
     "p14_encode_label": lambda s, d: v.pairs(s, d).replace({"cooperative": "1", "independent": "0", "anticooperative": "-1"}, subset=["label"]).select("name", F.col("label").cast("int").alias("label")),
     "p15_logit": lambda s, d: v.pairs(s, d).where("probability > 0").select("name", fn.logit(F.col("probability")).alias("logit"), fn.logistic(fn.logit(F.col("probability"))).alias("back")),
@@ -64,7 +56,7 @@ QUERIES = {
     "i5_mutate_distance": lambda s, d: design.mutate_distance(_pairs(s, d), 4, 4),
     "i6_mutate_orientation": lambda s, d: design.mutate_orientation(_pairs(s, d), 4),
     "i7_wild_type_rows": lambda s, d: design.wild_type_rows(v.sequences(s, d)),
-    "i9_abolish_core": lambda s, d: design.weakest_abolishing_core(_candidates(s, d)),
+    "i9_abolish_core": lambda s, d: design.weakest_abolishing_core(v.sequences(s, d), matrix_caller(PWM, 3.0)),
     "i13_array_rows": lambda s, d: design.array_rows(v.sequences(s, d), PRIMER, 3),
     "i16_quiet_sequences": lambda s, d: design.quiet_sequences(site.escore_profile(v.sequences(s, d), kmer_scores(s), K), 0.4),
 }
