@@ -19,13 +19,12 @@ from bindframe.operators.sites import regions
 from bindframe.sources.shared import saved
 
 
-def made_only(df: DataFrame, name: str) -> DataFrame:
-    """The rows of df where `name` is not null.
+def settled(value: Column) -> Column:
+    """value by way of a generator of one row: a later filter on it stays above the projections that make it.
 
-    A generator does it, since a filter would be pushed below the projections that make the column,
-    with a copy of their expressions for each time they are named.
+    Pushed below them, it would take along a copy of their expressions for each time they are named.
     """
-    return df.withColumn(name, F.explode(F.filter(F.array(name), lambda x: x.isNotNull())))
+    return F.explode(F.array(value))
 
 
 def with_sites(df: DataFrame, caller: Caller) -> DataFrame:
@@ -80,7 +79,7 @@ def abolish_core(df: DataFrame, caller: Caller, change: float | None = None, low
     best = spread.withColumn("_best", F.array_min(F.filter("_weaker", good)))
     position, base = F.col("_best.position"), F.col("_best.base")
     gone = F.col("_best.after") <= caller.above
-    return best.withColumn(out, F.when(gone, with_base(F.col("sequence"), position, base))).drop("_d", "_c", "_s", "_weaker", "_best")
+    return best.withColumn(out, settled(F.when(gone, with_base(F.col("sequence"), position, base)))).drop("_d", "_c", "_s", "_weaker", "_best")
 
 
 #: Steps that a row may take before its state is written.
@@ -102,7 +101,7 @@ def abolish_site_rounds(df: DataFrame, caller: Caller, profile: Caller, barrier:
     """
     first = df.select("key", "target", "sequence").withColumn("_sites", caller.sites_of(F.col("sequence")))
     start = F.struct(F.col("sequence"), F.lit(True).alias("there"), F.array().cast("array<long>").alias("taken"), F.array().cast("array<int>").alias("positions"), F.lit(0).alias("steps"), F.lit(None).cast("string").alias("status"))
-    state = made_only(first.select("key", "target", F.filter("_sites", lambda i: i != F.col("target")).alias("others"), F.when(F.array_contains("_sites", F.col("target")), start).alias("state")), "state")
+    state = first.select("key", "target", F.filter("_sites", lambda i: i != F.col("target")).alias("others"), settled(F.when(F.array_contains("_sites", F.col("target")), start)).alias("state")).where("state is not null")
     # rows take very different numbers of steps, so they are dealt out once
     state = state.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), "key", "target")
     done = []
@@ -159,7 +158,7 @@ def variant_sets(df: DataFrame, caller: Caller, change: float | None = None) ->
     all three could be made and their sites, called again, are the second, the first, and none.
     """
     two = with_sites(df, caller).where(F.size("sites") == 2).select("key", F.col("sequence").alias("wt"), F.get("sites", F.lit(0)).alias("site_1"), F.get("sites", F.lit(1)).alias("site_2"))
-    cut = lambda frame, seq, target, out: made_only(abolish_core(frame.withColumns({"sequence": F.col(seq), "target": F.col(target)}), caller, change, out=out), out).drop("sequence", "target")
+    cut = lambda frame, seq, target, out: abolish_core(frame.withColumns({"sequence": F.col(seq), "target": F.col(target)}), caller, change, out=out).where(F.col(out).isNotNull()).drop("sequence", "target")
     made = cut(cut(cut(two, "wt", "site_1", "m1"), "wt", "site_2", "m2"), "m1", "site_2", "m3")
     return _verified(made, caller)
 
@@ -203,7 +202,7 @@ def clean_junction(df: DataFrame, primer: str, caller: Caller) -> DataFrame:
         cut = abolish_core(whole, caller, None, F.lit(0), F.length("new"), "_cut", F.col("_across"))
         step = cut.select("key", "old", F.coalesce(turn(F.substring("_cut", F.lit(1), F.length("new"))), F.col("new")).alias("new"))
     clean = (F.size(_across(F.col("new"), primer, caller)) == 0) & (F.size(_across(reverse_complement(F.col("new")), primer, caller)) == 0) & (caller.sites_of(F.col("new")) == caller.sites_of(F.col("old")))
-    judged = step.withColumn("_clean", clean)
+    judged = step.withColumn("_clean", settled(clean))
     status = F.when(~F.col("_clean"), "dropped").when(F.col("new") == F.col("old"), "clean").otherwise("repaired")
     return judged.select("key", "old", F.when(F.col("_clean"), F.col("new")).alias("new"), status.alias("status"))
 
@@ -236,7 +235,7 @@ def check_probe_set(df: DataFrame, profile: Caller, width: int, cutoffs: Sequenc
 
         return at("wt", "site_1", "site_2") & at("m1", "site_2") & at("m2", "site_1") & at("m3")
 
-    return made_only(table.withColumn("_first", F.get(F.filter(F.array(*pairs), right), F.lit(0))), "_first").select("key", F.col("_first.cutoff").alias("cutoff"), F.col("_first.gap").alias("gap"))
+    return table.withColumn("_first", settled(F.get(F.filter(F.array(*pairs), right), F.lit(0)))).where("_first is not null").select("key", F.col("_first.cutoff").alias("cutoff"), F.col("_first.gap").alias("gap"))
 
 
 def weaken_site(df: DataFrame, rows: Sequence[dict[str, float]], core: int, profile: Caller, low: float, high: float, escores: tuple[float, float], out: str, left_first: bool = True) -> DataFrame:
@@ -289,12 +288,12 @@ def weaken_site(df: DataFrame, rows: Sequence[dict[str, float]], core: int, prof
     passing = F.filter("_fits", lambda i: let(changed(i), lambda d: let(F.transform(window_codes(d, k), profile.score), two_between)))
     best = F.array_min(F.transform(passing, lambda i: F.struct(level(i).alias("level"), i.alias("flank"))))["flank"]
     text = F.array_join(F.transform(changed(F.col("_best")), lambda b: F.substring(F.lit(BASES), b + 1, F.lit(1))), "")
-    return ready.withColumn("_best", best).withColumn(out, F.when(F.col("_best").isNotNull(), text)).drop("_d", "_own", "_f", "_r", "_now", "_fits", "_best")
+    return ready.withColumn("_best", best).withColumn(out, settled(F.when(F.col("_best").isNotNull(), text))).drop("_d", "_own", "_f", "_r", "_now", "_fits", "_best")
 
 
 def weaken_sites(df: DataFrame, rows: Sequence[dict[str, float]], core: int, profile: Caller, low: float, high: float, escores: tuple[float, float]) -> DataFrame:
     """df(key, sequence, site_1, site_2) -> (key, weak_1, weak_2, weak_12): the first site weakened, the second, and both; sequences of which one can't be made have no row."""
-    weak = lambda frame, seq, site, out, left: made_only(weaken_site(frame.withColumns({"sequence": F.col(seq), "target": F.col(site)}), rows, core, profile, low, high, escores, out, left), out).drop("sequence", "target")
+    weak = lambda frame, seq, site, out, left: weaken_site(frame.withColumns({"sequence": F.col(seq), "target": F.col(site)}), rows, core, profile, low, high, escores, out, left).where(F.col(out).isNotNull()).drop("sequence", "target")
     wt = df.select("key", F.col("sequence").alias("wt"), "site_1", "site_2")
     made = weak(weak(weak(wt, "wt", "site_1", "weak_1", True), "wt", "site_2", "weak_2", False), "weak_1", "site_2", "weak_12", False)
     return made.where("weak_1 <> wt and weak_2 <> wt and weak_12 <> weak_1").select("key", "weak_1", "weak_2", "weak_12")

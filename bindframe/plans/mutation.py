@@ -46,7 +46,7 @@ QUERIES = {
     "i4_flank_called": lambda s, d: op.one_site_changed(_with_originals(design.mutate_flank(_pairs(s, d), 4, 2), s, d), SITES, F.col("original")).drop("original"),
     "i5_distance_called": lambda s, d: op.still_called(design.mutate_distance(_pairs(s, d), 4, 4), SITES),
     "i6_orientation_called": lambda s, d: op.still_called(design.mutate_orientation(_pairs(s, d), 4), SITES),
-    "i9_abolish_called": lambda s, d: op.made_only(op.abolish_core(_targets(s, d), SITES, 0.5), "abolished").select("key", "target", "abolished"),
+    "i9_abolish_called": lambda s, d: op.abolish_core(_targets(s, d), SITES, 0.5).where("abolished is not null").select("key", "target", "abolished"),
     "i10_abolish_rounds": lambda s, d: _text(op.abolish_site_rounds(_targets(s, d), SITES, PROFILE)),
     "i11_variant_sets": lambda s, d: op.variant_sets(v.sequences(s, d), SITES),
     "i11_variant_sets_by_rounds": lambda s, d: op.variant_sets_by_rounds(v.sequences(s, d), SITES, PROFILE),
