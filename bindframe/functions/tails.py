@@ -32,6 +32,12 @@ def log_gamma(x: Column) -> Column:
     return series - F.log(product)
 
 
+def log_gamma_step(a: Column, b: Column) -> Column:
+    """ln of gamma(a + b) / gamma(a); by its series where a is so large that the difference of two logs would lose digits."""
+    series = b * F.log(a) + b * (b - 1) / (2 * a) - b * (b - 1) * (2 * b - 1) / (12 * a * a)
+    return F.when((a > 1e6) & (b < 1e3), series).otherwise(log_gamma(a + b) - log_gamma(a))
+
+
 def _fraction(a: Column, b: Column, x: Column) -> Column:
     """The continued fraction of the incomplete beta function, step by step from the front."""
     safe = lambda v: F.when(F.abs(v) < TINY, F.lit(TINY)).otherwise(v)
@@ -50,22 +56,27 @@ def _fraction(a: Column, b: Column, x: Column) -> Column:
     return F.aggregate(F.sequence(F.lit(1), F.lit(STEPS)), start, lambda acc, m: step(acc, m.cast("double")))["h"]
 
 
-def incomplete_beta(a: Column, b: Column, x: Column) -> Column:
-    """The regularised incomplete beta function I_x(a, b) for 0 <= x <= 1, by the fraction on the side where it settles fast."""
+def incomplete_beta(a: Column, b: Column, x: Column, rest: Column | None = None) -> Column:
+    """The regularised incomplete beta function I_x(a, b) for 0 <= x <= 1, by the fraction on the side where it settles fast.
+
+    rest is 1 - x, for callers that know it to more digits than x leaves.
+    """
+    rest = 1 - x if rest is None else rest
 
     def of(v: Column) -> Column:
-        front = F.exp(log_gamma(v["a"] + v["b"]) - log_gamma(v["a"]) - log_gamma(v["b"]) + v["a"] * F.log(v["x"]) + v["b"] * F.log(1 - v["x"]))
+        front = F.exp(F.when(v["a"] >= v["b"], log_gamma_step(v["a"], v["b"]) - log_gamma(v["b"])).otherwise(log_gamma_step(v["b"], v["a"]) - log_gamma(v["a"])) + v["a"] * F.log(v["x"]) + v["b"] * F.when(v["x"] < 0.5, F.log1p(-v["x"])).otherwise(F.log(v["y"])))
         near = front * _fraction(v["a"], v["b"], v["x"]) / v["a"]
         return F.when(v["turn"], 1 - near).otherwise(near)
 
     turn = x >= (a + 1) / (a + b + 2)
-    pick = F.struct(F.when(turn, b).otherwise(a).alias("a"), F.when(turn, a).otherwise(b).alias("b"), F.when(turn, 1 - x).otherwise(x).alias("x"), turn.alias("turn"))
-    return F.when(x <= 0, F.lit(0.0)).when(x >= 1, F.lit(1.0)).otherwise(let(pick, of))
+    pick = F.struct(F.when(turn, b).otherwise(a).alias("a"), F.when(turn, a).otherwise(b).alias("b"), F.when(turn, rest).otherwise(x).alias("x"), F.when(turn, x).otherwise(rest).alias("y"), turn.alias("turn"))
+    return F.when(x <= 0, F.lit(0.0)).when(rest <= 0, F.lit(1.0)).otherwise(let(pick, of))
 
 
 def t_p(t: Column, dof: Column, side: str = "two") -> Column:
-    """The p value of a t statistic: 'two' sides, 'greater' or 'less'."""
-    both = incomplete_beta(dof / 2, F.lit(0.5), dof / (dof + t * t))
+    """The p value of a t statistic: 'two' sides, 'greater' or 'less'. Beyond 1e9 degrees of freedom p no longer changes in its ninth digit, so they count as 1e9."""
+    dof = F.least(dof, F.lit(1e9))
+    both = incomplete_beta(dof / 2, F.lit(0.5), dof / (dof + t * t), t * t / (dof + t * t))
     if side == "two":
         return both
     upper = t if side == "greater" else -t
@@ -84,7 +95,7 @@ def fisher_p(a: Column, b: Column, c: Column, d: Column) -> Column:
     def with_fixed(v: Column) -> Column:
         r, k, n, at = v["r"], v["k"], v["n"], v["a"]
         ln = lambda x: v["const"] - fact(x) - fact(r - x) - fact(k - x) - fact(n - r - k + x)
-        spread = F.sqrt(r * k * (n - r) * (n - k) / (n * n * F.greatest(n - 1, F.lit(1.0)))) * REACH + 50
+        spread = F.sqrt(r * k * (n - r) * (n - k) / F.greatest(n * n * (n - 1), F.lit(1.0))) * REACH + 50
         mode = F.floor((r + 1) * (k + 1) / (n + 2))
         low, high = F.greatest(F.lit(0.0), r + k - n, mode - spread).cast("long"), F.least(r, k, mode + spread).cast("long")
         return let(ln(at), lambda own: F.aggregate(F.sequence(low, high), F.lit(0.0), lambda acc, x: let(ln(x.cast("double")), lambda w: acc + F.when(w <= own + 1e-7, F.exp(w)).otherwise(F.lit(0.0)))))
