@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from bindframe.operators.curves import quantiles
+
 #: Width of a bin, near the usual length of a peak.
 BIN = 512
 
@@ -149,8 +151,7 @@ def pileup_by_site_count(peaks: DataFrame, pileup: DataFrame, sites: DataFrame)
     """Quartiles of the area by sites in the peak, and over all."""
     joined = pileup_area(peaks, pileup).join(site_count(peaks, sites, zeros=True), ["chr", "start_pos", "end_pos"])
     every = joined.select(F.col("n_sites").cast("string").alias("sites"), "area").union(joined.select(F.lit("all"), "area"))
-    q = [F.percentile("area", F.lit(p)).alias(n) for p, n in ((0.25, "q1"), (0.5, "median"), (0.75, "q3"))]
-    return every.groupBy("sites").agg(*q, F.count("*").alias("n"))
+    return quantiles(every, ["sites"], "area", {"q1": 0.25, "median": 0.5, "q3": 0.75}, "n")
 
 
 def peak_length_profile(before: DataFrame, after: DataFrame, width: int) -> DataFrame:

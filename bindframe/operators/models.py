@@ -10,18 +10,15 @@ import numpy as np
 import pyarrow as pa
 from pyspark.ml import Estimator, Model, Pipeline, PipelineModel
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from bindframe.functions.tails import fisher_p, t_p
+from bindframe.operators.curves import score_steps
 from bindframe.operators.replicates import association_test, linear_fit, normal_tail, welch_test
 from bindframe.operators.sites import _positional
 from bindframe.operators.tables import stratified_folds
 from bindframe.sources.shared import saved
 
-#: Parts of a group's score range, over which running totals go before they go over scores.
-BLOCKS = 1024
-
 
 # tests with p values
 
@@ -46,30 +43,6 @@ def exact_association(df: DataFrame, x: Column, y: Column) -> DataFrame:
 # curves
 
 
-def score_steps(df: DataFrame, keys: list[str], score: str, positive: Column) -> DataFrame:
-    """(keys, score, p, n, cp, cn, tp, tn): at each distinct score of a group the positive and negative rows, those down to it from the top, and all.
-
-    Rows are counted by score first; running totals go over BLOCKS parts of a group's score range, then
-    inside each part, so that a group of any size is spread over many tasks. Null scores do not count.
-    """
-    counts = df.where(F.col(score).isNotNull()).groupBy(*keys, F.col(score).cast("double").alias("score")).agg(F.sum(positive.cast("long")).alias("p"), F.sum((~positive).cast("long")).alias("n"))
-    ends = counts.groupBy(*keys).agg(F.min("score").alias("_low"), F.max("score").alias("_high"), F.sum("p").alias("tp"), F.sum("n").alias("tn"))
-    named = [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys]
-    on = reduce(lambda a, b: a & b, named) if named else F.lit(True)
-    aside = lambda t: t.select(*(F.col(k).alias(f"_{k}") for k in keys), *(c for c in t.columns if c not in keys))
-    block = F.when(F.col("_high") > F.col("_low"), F.floor((F.col("_high") - F.col("score")) / F.nullif(F.col("_high") - F.col("_low"), F.lit(0.0)) * BLOCKS)).otherwise(F.lit(0))
-    # without keys the other side is one row
-    joined = counts.join(aside(ends) if keys else F.broadcast(ends), on if keys else None)
-    blocked = joined.withColumn("_block", block).drop("_low", "_high", *(f"_{k}" for k in keys))
-    sizes = blocked.groupBy(*keys, "_block").agg(F.sum("p").alias("_bp"), F.sum("n").alias("_bn"))
-    over = W.partitionBy(*keys).orderBy("_block").rowsBetween(W.unboundedPreceding, -1)
-    before = sizes.select(*(F.col(k).alias(f"_{k}") for k in keys), F.col("_block").alias("_b"), *(F.coalesce(F.sum(f"_b{c}").over(over), F.lit(0)).alias(f"_before_{c}") for c in "pn"))
-    inner = W.partitionBy(*keys, "_block").orderBy(F.desc("score")).rowsBetween(W.unboundedPreceding, 0)
-    here = F.col("_block") == F.col("_b")
-    out = blocked.join(before, on & here if keys else here)
-    return out.select(*keys, "score", "p", "n", *((F.col(f"_before_{c}") + F.sum(c).over(inner)).alias(f"c{c}") for c in "pn"), "tp", "tn")
-
-
 def fold_scores(df: DataFrame, keys: list[str], score: str, positive: Column, most_fpr: float = 0.1, cut: float = 0.5) -> DataFrame:
     """M6 whole: by group the AUC, its part up to most_fpr (0.5 is chance, 1 is best), average precision, accuracy and the confusion counts.
 

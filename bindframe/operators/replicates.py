@@ -10,6 +10,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
+from bindframe.operators.curves import adjusted_p, quantiles
+
 
 def median_by(df: DataFrame, keys: list[str], col: str = "intensity") -> DataFrame:
     """A3."""
@@ -18,7 +20,7 @@ def median_by(df: DataFrame, keys: list[str], col: str = "intensity") -> DataFra
 
 def negative_cutoff(controls: DataFrame, q: float = 0.95) -> DataFrame:
     """A4: a quantile (linear interpolation) of the medians of each control name; one row."""
-    return median_by(controls, ["name"]).agg(F.percentile("median", F.lit(q)).alias("cutoff"))
+    return quantiles(median_by(controls, ["name"]), [], "median", {"cutoff": q})
 
 
 def type_profile(df: DataFrame) -> DataFrame:
@@ -150,11 +152,7 @@ def rank_test(df: DataFrame, keys: list[str], side: str = "greater", first: str
 
 def fdr(df: DataFrame, keys: list[str], p: str = "p") -> DataFrame:
     """Benjamini-Hochberg within the keys; null p counts as 1."""
-    by = W.partitionBy(*keys)
-    q = F.coalesce(F.col(p), F.lit(1.0))
-    ranked = df.withColumn("_q", q).withColumn("_n", F.count("*").over(by)).withColumn("_r", F.row_number().over(by.orderBy("_q")))
-    back = by.orderBy(F.desc("_r")).rowsBetween(W.unboundedPreceding, 0)
-    return ranked.withColumn("p_adjusted", F.least(F.lit(1.0), F.min(F.col("_q") * F.col("_n") / F.col("_r")).over(back))).drop("_q", "_n", "_r")
+    return adjusted_p(df, keys, F.coalesce(F.col(p), F.lit(1.0)))
 
 
 def coop_labels(df: DataFrame, cutoff: DataFrame, p_cut: float = 0.015, p_band: float = 0.105) -> DataFrame:
@@ -209,13 +207,16 @@ def welch_test(df: DataFrame, keys: list[str], pooled: bool = False) -> DataFram
 
 def configuration_table(df: DataFrame) -> DataFrame:
     """Count of each (distance, orientation, label), percentage in its (distance, orientation), medians of both strengths."""
-    out = df.groupBy("distance", "orientation", "label").agg(F.count("*").alias("n"), F.median("str_score").alias("str_median"), F.median("wk_score").alias("wk_median"))
+    by = ["distance", "orientation", "label"]
+    both = quantiles(df, by, "str_score", {"str_median": 0.5}), quantiles(df, by, "wk_score", {"wk_median": 0.5})
+    out = df.groupBy(*by).agg(F.count("*").alias("n")).join(both[0], by, "left").join(both[1], by, "left")
     return out.withColumn("percent", 100 * F.col("n") / F.sum("n").over(W.partitionBy("distance", "orientation")))
 
 
 def label_share(df: DataFrame, by: str, label: str) -> DataFrame:
     """The share of a label in each group, with count and median strength."""
-    return df.groupBy(by).agg(F.avg((F.col("label") == label).cast("double")).alias("share"), F.count("*").alias("n"), F.median("str_score").alias("median"))
+    shares = df.groupBy(by).agg(F.avg((F.col("label") == label).cast("double")).alias("share"), F.count("*").alias("n"))
+    return shares.join(quantiles(df, [by], "str_score", {"median": 0.5}), by, "left")
 
 
 def category_table(df: DataFrame, x: str, labels: list[str]) -> DataFrame:

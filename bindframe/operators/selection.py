@@ -11,6 +11,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from bindframe.functions.sequences import reverse_complement
+from bindframe.operators.curves import quantiles
 from bindframe.operators.replicates import normal_tail, rank_test
 from bindframe.operators.rows import SENTINEL, sub_select
 from bindframe.operators.sites import alignment_sites, pwm_score, single_site
@@ -88,8 +89,7 @@ def valid_pairs(pairs: DataFrame, profile: DataFrame, low: float, near: int = 10
 def shape_bands(df: DataFrame) -> DataFrame:
     """Quartiles of shapes(label, shape, values) at each position; gaps (nulls) do not count."""
     cells = df.select("label", "shape", F.posexplode("values").alias("position", "value"))
-    bands = cells.groupBy("shape", "position", "label").agg(F.percentile("value", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("q"))
-    return bands.select("shape", "position", "label", *[F.get("q", F.lit(i)).alias(n) for i, n in enumerate(("low", "median", "high"))])
+    return quantiles(cells, ["shape", "position", "label"], "value", {"low": 0.25, "median": 0.5, "high": 0.75})
 
 
 def value_rank_test(df: DataFrame, keys: list[str], first: str, second: str) -> DataFrame:

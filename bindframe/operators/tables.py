@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from bindframe.functions.sequences import canonical
+from bindframe.operators.curves import hashed_numbers, score_steps
 
 
 def hashed(*cols: str) -> Column:
@@ -127,43 +128,32 @@ def canonical_kmer_counts(windows: DataFrame) -> DataFrame:
 
 def stratified_folds(df: DataFrame, k: int, label: str = "label") -> DataFrame:
     """M1: folds of like size within each label, in a hashed order."""
-    return df.withColumn("fold", F.pmod(F.row_number().over(W.partitionBy(label).orderBy(F.md5("name"))), F.lit(k)))
+    return hashed_numbers(df, label, "name").withColumn("fold", F.pmod("_number", F.lit(k)).cast("int")).drop("_number")
 
 
 def model_metrics(df: DataFrame, keys: list[str], positive: str, score: str, cut: float = 0.5) -> DataFrame:
     """M6: per group the AUC by mean ranks, accuracy and the confusion counts of (label, score)."""
-    by = W.partitionBy(*keys)
-    y = F.col("label") == positive
-    ties = F.count("*").over(W.partitionBy(*keys, score))
-    ranked = df.withColumn("_r", F.rank().over(by.orderBy(score)) + (ties - 1) / 2)
-    hit = F.col(score) >= cut
-    count = lambda c: F.sum(c.cast("long"))
-    out = ranked.groupBy(*keys).agg(F.sum(F.when(y, F.col("_r"))).alias("_s"), count(~y & ~hit).alias("tn"), count(~y & hit).alias("fp"), count(y & ~hit).alias("fn"), count(y & hit).alias("tp"))
+    steps = score_steps(df, keys, score, F.col("label") == positive)
+    hit = F.col("score") >= cut
+    count = lambda c, when: F.sum(F.when(when, F.col(c)).otherwise(0)).cast("long")
+    # each positive row beats the negative ones below it, and half of those beside it
+    beaten = F.sum(F.col("p") * (F.col("tn") - F.col("cn") + F.col("n") / 2))
+    out = steps.groupBy(*keys).agg(beaten.alias("_s"), count("n", ~hit).alias("tn"), count("n", hit).alias("fp"), count("p", ~hit).alias("fn"), count("p", hit).alias("tp"))
     p, n = F.col("fn") + F.col("tp"), F.col("tn") + F.col("fp")
-    return out.select(*keys, ((F.col("_s") - p * (p + 1) / 2) / (p * n)).alias("auc"), ((F.col("tp") + F.col("tn")) / (p + n)).alias("accuracy"), "tn", "fp", "fn", "tp")
+    return out.select(*keys, (F.col("_s") / F.nullif(p * n, F.lit(0))).alias("auc"), ((F.col("tp") + F.col("tn")) / (p + n)).alias("accuracy"), "tn", "fp", "fn", "tp")
 
 
 def roc_points(df: DataFrame, positive: str, score: str) -> DataFrame:
-    """M5: (score, tpr, fpr) at each distinct score from the top.
-
-    Counts are added up by score first, so the running window goes over distinct scores only.
-    """
-    y = F.col("label") == positive
-    steps = df.groupBy(score).agg(F.sum(y.cast("long")).alias("_p"), F.sum((~y).cast("long")).alias("_n"))
-    down = W.orderBy(F.desc(score)).rowsBetween(W.unboundedPreceding, 0)
-    total = steps.agg(F.sum("_p").alias("_tp"), F.sum("_n").alias("_tn"))
-    return steps.withColumn("_cp", F.sum("_p").over(down)).withColumn("_cn", F.sum("_n").over(down)).join(F.broadcast(total)).select(score, (F.col("_cp") / F.col("_tp")).alias("tpr"), (F.col("_cn") / F.col("_tn")).alias("fpr"))
+    """M5: (score, tpr, fpr) at each distinct score from the top."""
+    steps = score_steps(df, [], score, F.col("label") == positive)
+    return steps.select(F.col("score").alias(score), (F.col("cp") / F.col("tp")).alias("tpr"), (F.col("cn") / F.col("tn")).alias("fpr"))
 
 
 def threshold_classifier(df: DataFrame, positive: str, score: str) -> DataFrame:
     """M8: the single cut (score >= cut is positive) with the best accuracy; ties take the highest cut. One row."""
-    y = F.col("label") == positive
-    steps = df.groupBy(score).agg(F.sum(y.cast("long")).alias("_p"), F.sum((~y).cast("long")).alias("_n"))
-    down = W.orderBy(F.desc(score)).rowsBetween(W.unboundedPreceding, 0)
-    total = steps.agg(F.sum("_n").alias("_tn"), (F.sum("_p") + F.sum("_n")).alias("_all"))
-    scored = steps.withColumn("_cp", F.sum("_p").over(down)).withColumn("_cn", F.sum("_n").over(down)).join(F.broadcast(total))
-    accuracy = (F.col("_cp") + F.col("_tn") - F.col("_cn")) / F.col("_all")
-    return scored.agg(F.max_by(score, F.struct(accuracy, F.col(score))).alias("cut"), F.max(accuracy).alias("accuracy"))
+    steps = score_steps(df, [], score, F.col("label") == positive)
+    accuracy = (F.col("cp") + F.col("tn") - F.col("cn")) / (F.col("tp") + F.col("tn"))
+    return steps.agg(F.max_by("score", F.struct(accuracy, F.col("score"))).alias("cut"), F.max(accuracy).alias("accuracy"))
 
 
 def grid_search(df: DataFrame, features: list[str], positive: str, grid: dict[str, list], folds: int = 3, metric: str = "areaUnderROC") -> DataFrame:
