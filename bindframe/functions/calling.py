@@ -8,7 +8,9 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass
+from functools import reduce
 from itertools import product
+from operator import add
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -78,11 +80,15 @@ class Caller:
         return let(self.codes_of(seq), self.sites)
 
 
+def added_weights(rows: Sequence[dict[str, float]], kmer: Sequence[str]) -> float:
+    """The weights of a k-mer's bases, added from the left as SQL does (sum() would round otherwise)."""
+    return reduce(add, (float(row[b]) for row, b in zip(rows, kmer, strict=True)), 0.0)
+
+
 def matrix_caller(rows: Sequence[dict[str, float]], above: float) -> Caller:
     """A caller by the better strand of a weight matrix, the weights summed."""
     back = [{_SWAP[b]: w for b, w in row.items()} for row in reversed(rows)]
-    total = lambda way, kmer: sum(row[b] for row, b in zip(way, kmer, strict=True))
-    return Caller(len(rows), tuple(max(total(rows, kmer), total(back, kmer)) for kmer in product(BASES, repeat=len(rows))), above)
+    return Caller(len(rows), tuple(max(added_weights(rows, kmer), added_weights(back, kmer)) for kmer in product(BASES, repeat=len(rows))), above)
 
 
 def with_base(seq: Column, position: Column, rank: Column) -> Column:

@@ -146,6 +146,17 @@ def cross_validated(data: DataFrame, estimators: dict[str, Estimator], folds: in
     return each.groupBy("model").agg(F.avg("auc").alias("auc"), F.avg("average_precision").alias("average_precision"), F.avg("accuracy").alias("accuracy"))
 
 
+def cross_validated_folds(df: DataFrame, sets: dict[str, Sequence[str]], estimator: Estimator, positive: Column, folds: int, repeats: int) -> DataFrame:
+    """M6 of one estimator by feature set, repeat and fold: (model, repeat, fold, auc, ..); every set sees the same folds."""
+    parts = []
+    for name, features in sets.items():
+        rows = saved(feature_rows(df, features, positive, folds))
+        for repeat in range(repeats):
+            dealt = rows if not repeat else rows.withColumn("fold", F.pmod(F.xxhash64("name", F.lit(repeat)), F.lit(folds)).cast("int"))
+            parts.append(held_out(dealt, estimator, folds).select(F.lit(name).alias("model"), F.lit(repeat).alias("repeat"), "fold", "y", "score"))
+    return fold_scores(saved(reduce(DataFrame.unionByName, parts)), ["model", "repeat", "fold"], "score", F.col("y") == 1)
+
+
 def importances(model: Model, features: Sequence[str]) -> list[tuple[str, float]]:
     """M4: features by falling importance, ties by name: a tree model's own, else the size of the coefficients."""
     last = model.stages[-1] if isinstance(model, PipelineModel) else model

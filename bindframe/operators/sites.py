@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from bindframe.functions.calling import BASES, MOST_K, digits, let, number_array, window_codes
+from bindframe.functions.calling import BASES, MOST_K, added_weights, digits, let, number_array, window_codes
 from bindframe.functions.sequences import reverse_complement
 
 
@@ -125,7 +125,7 @@ def pwm_scan(df: DataFrame, rows: list[dict[str, float]], zero_threshold: bool =
     back = [{swap[b]: x for b, x in row.items()} for row in reversed(rows)]
     out = [F.expr(f"start + {n} div 2").alias("mid")]
     if n <= MOST_K:
-        ways = [tuple(sum((float(row[b]) for row, b in zip(way, kmer, strict=True)), 0.0) for kmer in product(BASES, repeat=n)) for way in (rows, back)]
+        ways = [tuple(added_weights(way, kmer) for kmer in product(BASES, repeat=n)) for way in (rows, back)]
         best, side = number_array([max(x) for x in zip(*ways, strict=True)]), number_array([1 if f > r else -1 for f, r in zip(*ways, strict=True)])
         codes = let(digits(F.col("sequence")), lambda d: window_codes(d, n))
         cut = df.where(F.length("sequence") >= n).select("key", "sequence", F.posexplode(codes).alias("start", "_code"))

@@ -9,10 +9,11 @@ from pyspark.sql import functions as F
 from bindframe.operators.intervals import resize_peaks
 
 
-def read_peaks(spark: SparkSession, path: str, mode: str = "all", length: int = 200) -> DataFrame:
-    """narrowPeak (score in column 5, summit in column 10) or BED without a summit; resized by P1."""
+def read_peaks(spark: SparkSession, path: str, mode: str = "all", length: int = 200, with_length: bool = False) -> DataFrame:
+    """narrowPeak (score in column 5, summit in column 10) or BED without a summit; resized by P1. with_length adds peaklen, both ends counted."""
     raw = spark.read.csv(path, sep="\t", schema="chr string, start_pos long, end_pos long, name string, score double, strand string, signal double, p double, q double, summit long")
-    return resize_peaks(raw.select("chr", "start_pos", "end_pos", "score", "summit"), length, mode)
+    peaks = resize_peaks(raw.select("chr", "start_pos", "end_pos", "score", "summit"), length, mode)
+    return peaks.withColumn("peaklen", F.col("end_pos") - F.col("start_pos") + 1) if with_length else peaks
 
 
 def read_pileup(spark: SparkSession, path: str) -> DataFrame:
@@ -25,6 +26,19 @@ def read_sites(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.csv(path, sep="\t", schema="chr string, start_pos long, end_pos long, pref double")
 
 
+def genome_sites(mode: str, sites: DataFrame | None = None, called: DataFrame | None = None, before: int = 0, width: int = 1) -> DataFrame:
+    """sites(chr, start_pos, end_pos) from the source that a configuration names: 'file' takes those of S3, 'caller' those of K8.
+
+    A called position becomes the interval of `width` bases that begins `before` bases ahead of it.
+    """
+    if mode == "file" and sites is not None:
+        return sites.select("chr", "start_pos", "end_pos")
+    if mode == "caller" and called is not None:
+        begin = F.col("position") - before
+        return called.select("chr", begin.cast("long").alias("start_pos"), (begin + width).cast("long").alias("end_pos")).distinct()
+    raise ValueError("mode is file, with sites, or caller, with called positions")
+
+
 def read_escores(spark: SparkSession, path: str) -> DataFrame:
     """Both strand columns to one table (kmer, score); on a clash the second column wins."""
     raw = spark.read.csv(path, sep="\t", header=True).toDF("a", "b", "s")
@@ -39,14 +53,20 @@ def read_kmer_alignment(spark: SparkSession, path: str) -> DataFrame:
     return raw.select("kmer", F.explode(F.transform(cells, lambda x: x.cast("int"))).alias("kposition"), F.col("Escore").cast("double").alias("score"))
 
 
-def read_pwm(spark: SparkSession, path: str, log: bool = True) -> DataFrame:
-    """(strand, pos, base, w) from lines like 'A:<tab>0.66<tab>0.04'; log2(p / 0.25), minus infinity for 0; the reverse strand is derived."""
+def read_pwm(spark: SparkSession, path: str, log: bool = True, start: int = 0, end: int | None = None, reverse: bool = False) -> DataFrame:
+    """(strand, pos, base, w) from lines like 'A:<tab>0.66<tab>0.04', columns start (from 0) up to before end; log2(p / 0.25), minus infinity for 0.
+
+    The reverse strand is derived; with `reverse` the file is the reverse strand, and the forward one is derived.
+    """
     lines = spark.read.text(path).select(F.split("value", ":")[0].alias("base"), F.split(F.regexp_replace(F.split("value", r":\s*")[1], r"\s+$", ""), r"\s+").alias("p"))
+    if start or end is not None:
+        lines = lines.withColumn("p", F.slice("p", F.lit(start + 1), F.lit(end - start) if end is not None else F.size("p")))
     cells = lines.select("base", F.posexplode("p").alias("pos", "p"), F.size("p").alias("n")).withColumn("p", F.col("p").cast("double"))
     w = F.when(F.col("p") == 0, F.lit(float("-inf"))).otherwise(F.log2(F.col("p") / 0.25)) if log else F.col("p")
     forward = cells.select(F.lit("+").alias("strand"), "pos", "base", w.alias("w"), "n")
     back = forward.select(F.lit("-").alias("strand"), (F.col("n") - 1 - F.col("pos")).alias("pos"), F.translate("base", "ACGT", "TGCA").alias("base"), "w", "n")
-    return forward.union(back).drop("n")
+    both = forward.union(back).drop("n")
+    return both.withColumn("strand", F.when(F.col("strand") == "+", "-").otherwise("+")) if reverse else both
 
 
 def write_pwm(df: DataFrame, path: str) -> None:
@@ -75,6 +95,13 @@ def write_fasta(df: DataFrame, path: str) -> None:
     df.select(F.concat(F.lit(">"), "key", F.lit("\n"), "sequence").alias("value")).write.text(path)
 
 
+def write_profiles(df: DataFrame, path: str, wrap: int = 20) -> None:
+    """Records of (key, values) as `read_shape_profiles` reads them: a line '>key', then comma-separated numbers, `wrap` on a line, NA for null."""
+    text = F.transform("values", lambda x: F.coalesce(x.cast("string"), F.lit("NA")))
+    lines = F.transform(F.when(F.size("values") > 0, F.sequence(F.lit(1), F.size("values"), F.lit(wrap))).otherwise(F.array().cast("array<int>")), lambda i: F.array_join(F.slice(text, i, F.lit(wrap)), ","))
+    df.select(F.concat(F.lit(">"), "key", F.lit("\n"), F.array_join(lines, ",\n")).alias("value")).write.text(path)
+
+
 def write_table(df: DataFrame, path: str, by: str | None = None, sep: str = "\t") -> None:
     """A delimited table, one file set for each value of `by`."""
     writer = df.write.option("header", True).option("sep", sep)
