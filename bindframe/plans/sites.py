@@ -64,14 +64,14 @@ QUERIES = {
     "p7_reverse_complement": lambda s, d: v.sequences(s, d).select("key", fn.reverse_complement(F.col("sequence")).alias("rc"), fn.canonical(F.col("sequence")).alias("canonical")),
     "p6_drop_homopolymers": lambda s, d: v.sequences(s, d).where(~F.col("sequence").contains("GGGGG") & ~F.col("sequence").contains("CCCCC")),
     "p18_differing_positions": lambda s, d: v.sequences(s, d).select("key", fn.differing_positions(F.col("sequence"), fn.reverse_complement(F.col("sequence"))).alias("p")).select("key", F.size("p").alias("n"), F.element_at("p", 1).cast("long").alias("first")).where("n > 0"),
-    "k1_kmer_windows": lambda s, d: op.kmer_windows(v.sequences(s, d), 8).groupBy("kmer").agg(F.count("*").alias("n"), F.sum("start").alias("starts")),
-    "j7_kmer_lookup": lambda s, d: op.kmer_lookup(op.kmer_windows(v.sequences(s, d), K), kmer_scores(s).where("score > 0"), -0.5).groupBy("key").agg(F.sum("score").alias("total"), F.count("*").alias("n")),
-    "k2_escore_profile": lambda s, d: op.escore_profile(v.sequences(s, d), kmer_scores(s), K).groupBy("key").agg(F.max("score").alias("best"), F.max_by("position", F.struct("score", "position")).alias("position")),
+    "k1_kmer_windows": lambda s, d: op.kmer_windows(v.sequences(s, d, window=8), 8).groupBy("kmer").agg(F.count("*").alias("n"), F.sum("start").alias("starts")),
+    "j7_kmer_lookup": lambda s, d: op.kmer_lookup(op.kmer_windows(v.sequences(s, d, window=K), K), kmer_scores(s).where("score > 0"), -0.5).groupBy("key").agg(F.sum("score").alias("total"), F.count("*").alias("n")),
+    "k2_escore_profile": lambda s, d: op.escore_profile(v.sequences(s, d, window=K), kmer_scores(s), K).groupBy("key").agg(F.max("score").alias("best"), F.max_by("position", F.struct("score", "position")).alias("position")),
     "k3_specific_regions": _regions,
     "w2_runs": lambda s, d: op.runs(op.escore_profile(v.sequences(s, d), kmer_scores(s), K), ["key"], "start", F.col("score") > 0.2, 1, 3),
-    "k4_pwm_scan": lambda s, d: op.pwm_scan(v.sequences(s, d), PWM, zero_threshold=True),
-    "k6_core_windows": lambda s, d: op.core_windows(v.sequences(s, d), "GGAA", 12),
-    "k7_kernel_score": lambda s, d: op.kernel_score(op.core_windows(v.sequences(s, d), "GGAA", 8), s.createDataFrame(VECTORS, "sv_id int, coef double, idx long, val double"), 0.1, 0.05).select("key", "start", "orientation", "score"),
+    "k4_pwm_scan": lambda s, d: op.pwm_scan(v.sequences(s, d, window=K), PWM, zero_threshold=True),
+    "k6_core_windows": lambda s, d: op.core_windows(v.sequences(s, d, window=12), "GGAA", 12),
+    "k7_kernel_score": lambda s, d: op.kernel_score(op.core_windows(v.sequences(s, d, window=8), "GGAA", 8), s.createDataFrame(VECTORS, "sv_id int, coef double, idx long, val double"), 0.1, 0.05).select("key", "start", "orientation", "score"),
     "k9_alignment_sites": lambda s, d: op.alignment_sites(v.sequences(s, d), kmer_scores(s).selectExpr("kmer", "score", "explode(sequence(0, 5)) as kposition").where("(ascii(kmer) + ascii(substring(kmer, 3, 1)) + kposition * 5) % 3 <> 0"), K, (3, 5), 4, 0.1),
     "k15_site_pairs": lambda s, d: op.site_pairs(_sites(s, d)),
     "k16_single_site": lambda s, d: op.single_site(_sites(s, d)),
@@ -82,7 +82,7 @@ QUERIES = {
     "p10_strong_weak_order": lambda s, d: op.strong_weak_order(op.site_pairs(_sites(s, d))),
     "j15_match_sites": lambda s, d: op.match_sites(_sites(s, d), op.pwm_scan(v.sequences(s, d), PWM).where("score > 4").selectExpr("key", "mid as pos", "score")),
     "j16_specific_sites": lambda s, d: op.sites_in_regions(_sites(s, d), _regions(s, d)),
-    "f12_svr_features": lambda s, d: op.positional_index(op.core_windows(v.sequences(s, d), "GGAA", 8).select("window").distinct(), "window"),
+    "f12_svr_features": lambda s, d: op.positional_index(op.core_windows(v.sequences(s, d, window=8), "GGAA", 8).select("window").distinct(), "window"),
 }
 
 _RC = "reverse(translate(sequence, 'ACGT', 'TGCA'))"
@@ -97,14 +97,14 @@ ORACLE_SQL = {
     "p7_reverse_complement": f"{v.with_views('sequences')} SELECT key, {_RC} AS rc, least(sequence, {_RC}) AS canonical FROM sequences",
     "p6_drop_homopolymers": f"{v.with_views('sequences')} SELECT * FROM sequences WHERE sequence NOT LIKE '%GGGGG%' AND sequence NOT LIKE '%CCCCC%'",
     "p18_differing_positions": f"{v.with_views('sequences')}, x AS (SELECT key, i FROM (SELECT key, sequence, unnest(range(0, length(sequence))) AS i FROM sequences) WHERE substr(sequence, i::INT + 1, 1) <> substr({_RC}, i::INT + 1, 1)) SELECT key, count(*) AS n, min(i) AS first FROM x GROUP BY key",
-    "k1_kmer_windows": f"{v.with_views('sequences')}, {_windows(8)} SELECT kmer, count(*) AS n, sum(start)::BIGINT AS starts FROM windows GROUP BY kmer",
-    "j7_kmer_lookup": f"{v.with_views('sequences')}, {_windows(K)}, {SCORES} SELECT key, sum(coalesce(score, -0.5)) AS total, count(*) AS n FROM windows LEFT JOIN (SELECT * FROM scores WHERE score > 0) USING (kmer) GROUP BY key",
-    "k2_escore_profile": f"{PROFILE} SELECT key, max(score) AS best, max_by(position, score * 1000 + position / 1000.0) AS position FROM profile GROUP BY key",
+    "k1_kmer_windows": f"{v.with_windows(8)}, {_windows(8)} SELECT kmer, count(*) AS n, sum(start)::BIGINT AS starts FROM windows GROUP BY kmer",
+    "j7_kmer_lookup": f"{v.with_windows(K)}, {_windows(K)}, {SCORES} SELECT key, sum(coalesce(score, -0.5)) AS total, count(*) AS n FROM windows LEFT JOIN (SELECT * FROM scores WHERE score > 0) USING (kmer) GROUP BY key",
+    "k2_escore_profile": f"{PROFILE.replace(v.with_views('sequences'), v.with_windows(K))} SELECT key, max(score) AS best, max_by(position, score * 1000 + position / 1000.0) AS position FROM profile GROUP BY key",
     "k3_specific_regions": f"{PROFILE}, {REGIONS} SELECT * FROM regions",
     "w2_runs": f"{PROFILE}, {REGIONS} SELECT key, startpos AS first, last, n FROM r WHERE n >= 3",
-    "k4_pwm_scan": f"{v.with_views('sequences')}, {_windows(K)}, {_pwm_sql()} SELECT * FROM scan WHERE score > 0",
-    "k6_core_windows": f"{v.with_views('sequences')}, {_windows(12)}, {_CORE(12, 'GGAA', 'TTCC')} SELECT * FROM c",
-    "k7_kernel_score": f"{v.with_views('sequences')}, {_windows(8)}, {_CORE(8, 'GGAA', 'TTCC')}, dw AS (SELECT DISTINCT \"window\" FROM c), {_IDX}, {_SV}, q AS (SELECT sv_id, coef, sum(val * val) AS nsv FROM sv GROUP BY ALL), dt AS (SELECT \"window\", sv_id, sum(val) AS dot FROM idx JOIN sv USING (idx) GROUP BY ALL), z AS (SELECT dw.\"window\", sum(coef * exp(-0.1 * (21 + nsv - 2 * coalesce(dot, 0)))) - 0.05 AS val FROM dw CROSS JOIN q LEFT JOIN dt ON dt.\"window\" = dw.\"window\" AND dt.sv_id = q.sv_id GROUP BY 1) SELECT key, start, orientation, 1 / (1 + exp(-val)) AS score FROM c JOIN z USING (\"window\")",
+    "k4_pwm_scan": f"{v.with_windows(K)}, {_windows(K)}, {_pwm_sql()} SELECT * FROM scan WHERE score > 0",
+    "k6_core_windows": f"{v.with_windows(12)}, {_windows(12)}, {_CORE(12, 'GGAA', 'TTCC')} SELECT * FROM c",
+    "k7_kernel_score": f"{v.with_windows(8)}, {_windows(8)}, {_CORE(8, 'GGAA', 'TTCC')}, dw AS (SELECT DISTINCT \"window\" FROM c), {_IDX}, {_SV}, q AS (SELECT sv_id, coef, sum(val * val) AS nsv FROM sv GROUP BY ALL), dt AS (SELECT \"window\", sv_id, sum(val) AS dot FROM idx JOIN sv USING (idx) GROUP BY ALL), z AS (SELECT dw.\"window\", sum(coef * exp(-0.1 * (21 + nsv - 2 * coalesce(dot, 0)))) - 0.05 AS val FROM dw CROSS JOIN q LEFT JOIN dt ON dt.\"window\" = dw.\"window\" AND dt.sv_id = q.sv_id GROUP BY 1) SELECT key, start, orientation, 1 / (1 + exp(-val)) AS score FROM c JOIN z USING (\"window\")",
     "k9_alignment_sites": f"""{v.with_views('sequences')}, {SCORES},
 al AS (SELECT kmer, kp FROM scores, range(0, 6) p(kp) WHERE score >= 0.1 AND (ascii(kmer) + ascii(substr(kmer, 3, 1)) + kp * 5) % 3 <> 0),
 st AS (SELECT key, sequence, 1 AS orientation FROM sequences UNION ALL SELECT key, {_RC}, -1 FROM sequences),
@@ -123,5 +123,5 @@ FROM r WHERE a + line <= 1 AND b + line >= 3""",
     "p10_strong_weak_order": f"{SITES}, {PAIRS} SELECT key, pos_2 - pos_1 AS distance, CASE WHEN score_1 >= score_2 THEN pos_1 ELSE pos_2 END AS site_str_pos, greatest(score_1, score_2) AS site_str_score, CASE WHEN score_1 >= score_2 THEN pos_2 ELSE pos_1 END AS site_wk_pos, least(score_1, score_2) AS site_wk_score FROM pr",
     "j15_match_sites": f"{SITES} SELECT s.key, s.pos, s.score AS score_a, b.score AS score_b FROM s JOIN scan b ON s.key = b.key AND s.pos = b.mid AND b.score > 4",
     "j16_specific_sites": f"{SITES}, {SCORES}, profile AS (SELECT key, start, score FROM windows JOIN scores USING (kmer)), {REGIONS} SELECT * FROM s WHERE EXISTS (SELECT 1 FROM regions q WHERE q.key = s.key AND s.pos BETWEEN q.startpos AND q.startpos + q.escorelength)",
-    "f12_svr_features": f"{v.with_views('sequences')}, {_windows(8)}, {_CORE(8, 'GGAA', 'TTCC')}, dw AS (SELECT DISTINCT \"window\" FROM c), {_IDX} SELECT * FROM idx",
+    "f12_svr_features": f"{v.with_windows(8)}, {_windows(8)}, {_CORE(8, 'GGAA', 'TTCC')}, dw AS (SELECT DISTINCT \"window\" FROM c), {_IDX} SELECT * FROM idx",
 }

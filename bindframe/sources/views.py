@@ -38,10 +38,16 @@ def bases(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", F.translate(letters, "abcdefghijklmnopqrstuvwxyz", "ACGTACGTACGTACGTACGTACGTAC").alias("seq"))
 
 
-def sequences(spark: SparkSession, sf_dir: str, length: int = PROBE_LENGTH) -> DataFrame:
-    """(key, sequence): whole texts as bases, cut into probes one after the other."""
+def sequences(spark: SparkSession, sf_dir: str, length: int = PROBE_LENGTH, window: int = 1) -> DataFrame:
+    """(key, sequence): whole texts as bases, cut into probes one after the other.
+
+    With a window each piece goes on for window - 1 bases into the next, so that every window of a text
+    lies in exactly one piece, the one where it starts.
+    """
     # one pass over the text, which substring() at each place would not be
-    tiles = F.posexplode(F.regexp_extract_all("seq", F.lit(f".{{1,{length}}}"), F.lit(0))).alias("tile", "sequence")
+    found = lambda group: F.regexp_extract_all("seq", F.lit(f"(.{{1,{length}}})(?=(.{{0,{window - 1}}}))"), F.lit(group))
+    pieces = found(1) if window == 1 else F.zip_with(found(1), found(2), lambda piece, more: F.concat(piece, more))
+    tiles = F.posexplode(pieces).alias("tile", "sequence")
     return bases(spark, sf_dir).where("seq <> ''").select("doc_id", tiles).select(F.expr("concat(doc_id, '_', tile)").alias("key"), "sequence")
 
 
@@ -82,5 +88,10 @@ SQL = {
 }
 
 
+def with_windows(window: int) -> str:
+    """The view of sequences whose pieces go on for window - 1 bases."""
+    return with_views("sequences").replace(f", {PROBE_LENGTH}) AS sequence", f", {PROBE_LENGTH + window - 1}) AS sequence")
+
+
 def with_views(*names: str) -> str:
     return "WITH " + ", ".join(SQL[n] for n in names)

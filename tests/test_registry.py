@@ -148,3 +148,87 @@ def test_intervals_cross_chunks_and_stop_at_the_end(spark):
     rows = [("a", "c", 2, 7, "+"), ("b", "c", 2, 7, "-"), ("d", "c", 8, 20, "+"), ("e", "c", 10, 12, "+"), ("f", "c", 4, 4, "+")]
     got = selection.fetch_sequences(spark.createDataFrame(rows, "name string, chr string, start_pos long, end_pos long, strand string"), chunks, 4)
     assert {r.name: r.sequence for r in got.collect()} == {"a": "CCGGT", "b": "ACCGG", "d": "AC"}
+
+
+def test_pieces_hold_every_window_once(spark, tmp_path):
+    from bindframe.sources import views
+
+    text = "abcdefghij" * 11 + "xyz"
+    spark.createDataFrame([(1, text), (2, "abc"), (3, None), (4, "")], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = sites.kmer_windows(views.sequences(spark, str(tmp_path), window=8), 8).groupBy("kmer").count().collect()
+    bases = "".join("ACGT"[(ord(c) - 97) % 4] for c in text)
+    want = {}
+    for i in range(len(bases) - 7):
+        want[bases[i : i + 8]] = want.get(bases[i : i + 8], 0) + 1
+    assert {r.kmer: r["count"] for r in got} == want
+    assert sorted((r.key, r.sequence) for r in views.sequences(spark, str(tmp_path)).where("key like '2%'").collect()) == [("2_0", "ACG")]
+
+
+def test_peaks_sites_and_fasta_round_trips(spark, tmp_path):
+    (tmp_path / "n.narrowPeak").write_text("chr1\t100\t300\tx\t5.5\t.\t1\t1\t1\t40\nchr2\t10\t20\ty\t1\t.\t1\t1\t1\t3\n")
+    peaks = {r.chr: (r.start_pos, r.end_pos, r.peaklen) for r in readers.read_peaks(spark, str(tmp_path / "n.narrowPeak"), "summit", 50, with_length=True).collect()}
+    assert peaks == {"chr1": (115, 164, 50), "chr2": (-12, 37, 50)}
+    assert "peaklen" not in readers.read_peaks(spark, str(tmp_path / "n.narrowPeak")).columns
+    (tmp_path / "p.bdg").write_text("chr1\t0\t50\t2.5\nchr1\t50\t60\t0\n")
+    assert [tuple(r) for r in readers.read_pileup(spark, str(tmp_path / "p.bdg")).orderBy("start_pos").collect()] == [("chr1", 0, 50, 2.5), ("chr1", 50, 60, 0.0)]
+    (tmp_path / "s.bed").write_text("chr1\t5\t9\nchr2\t7\t11\t0.5\n")
+    bed = readers.read_sites(spark, str(tmp_path / "s.bed"))
+    assert sorted((r.chr, r.start_pos, r.pref) for r in bed.collect()) == [("chr1", 5, None), ("chr2", 7, 0.5)]
+    called = spark.createDataFrame([("a", "chr3", 100, 1), ("a", "chr3", 100, -1)], "name string, chr string, position long, orientation int")
+    assert [tuple(r) for r in readers.genome_sites("caller", called=called, before=2, width=6).collect()] == [("chr3", 98, 104)]
+    assert readers.genome_sites("file", sites=bed).count() == 2
+    with pytest.raises(ValueError, match="caller"):
+        readers.genome_sites("other")
+    table = readers.sequence_table(spark, ["ACGT", None, "GG"])
+    assert sorted(map(tuple, table.collect())) == [("1", "ACGT"), ("2", ""), ("3", "GG")]
+    assert sorted(map(tuple, readers.sequence_table(spark, {"x": "AC"}).collect())) == [("x", "AC")]
+    readers.write_fasta(table, str(tmp_path / "f"))
+    assert sorted("".join(p.read_text() for p in (tmp_path / "f").glob("part-*")).split(">")[1:]) == ["1\nACGT\n", "2\n\n", "3\nGG\n"]
+    profiles = spark.createDataFrame([("a", [1.5, None, 3.0, 4.0, 5.0]), ("b", [2.0])], "key string, `values` array<double>")
+    readers.write_profiles(profiles, str(tmp_path / "shapes"), 2)
+    assert {r.key: list(r["values"]) for r in readers.read_shape_profiles(spark, str(tmp_path / "shapes")).collect()} == {"a": [1.5, None, 3.0, 4.0, 5.0], "b": [2.0]}
+
+
+def test_matrix_range_and_strands(spark, tmp_path):
+    (tmp_path / "p.txt").write_text("A:\t0.5\t0\t0.1\nC:\t0.25\t1\t0.2\nG:\t0.25\t0\t0.3\nT:\t0\t0\t0.4\n")
+    read = lambda **k: {(r.strand, r.pos, r.base): r.w for r in readers.read_pwm(spark, str(tmp_path / "p.txt"), log=False, **k).collect()}
+    part = read(start=1, end=3)
+    assert part["+", 0, "C"] == 1.0 and part["+", 1, "T"] == 0.4 and part["-", 0, "A"] == 0.4 and len(part) == 16
+    turned = read(start=1, reverse=True)
+    assert turned["-", 0, "C"] == 1.0 and turned["+", 0, "A"] == 0.4
+
+
+def test_array_order_has_seven_columns(spark, tmp_path):
+    from bindframe.operators import probes
+
+    sets = spark.createDataFrame([("k", "ACG", "AAG", "ACC", "AAC")], "key string, wt string, m1 string, m2 string, m3 string")
+    rows = probes.array_design(sets, "TT", 2, "Coop_", 8)
+    assert sorted(r.id for r in rows.collect()) == [f"Coop_{i:03d}" for i in range(1, 17)]
+    probes.write_array_design(rows, str(tmp_path / "a"))
+    lines = "".join(p.read_text() for p in (tmp_path / "a").glob("part-*")).strip().split("\n")
+    assert len(lines) == 16 and all(len(x.split("\t")) == 7 for x in lines)
+    with pytest.raises(ValueError, match="direction"):
+        probes.move_sites(sets, "up")
+
+
+def test_quantiles_and_corrected_p_of_groups(spark):
+    import random
+
+    import numpy as np
+
+    from bindframe.operators import curves
+
+    rnd = random.Random(4)
+    rows = [("a", rnd.choice([1.0, 2.0, rnd.gauss(0, 3)])) for _ in range(300)] + [("b", 7.0), (None, 1.0), (None, 4.0), ("c", None)]
+    df = spark.createDataFrame(rows, "g string, x double").repartition(3)
+    got = {r.g: (r.low, r.mid, r.n) for r in curves.quantiles(df, ["g"], "x", {"low": 0.1, "mid": 0.5}, "n").collect()}
+    for g in ("a", "b", None):
+        xs = [x for k, x in rows if k == g]
+        assert got[g] == pytest.approx((*np.quantile(xs, [0.1, 0.5]), len(xs)))
+    assert "c" not in got and curves.quantiles(df.where("g = 'c'"), [], "x", {"mid": 0.5}).first().mid is None
+    ps = [("a", round(rnd.random(), 2)) for _ in range(200)] + [("b", 0.01)]
+    out = curves.adjusted_p(spark.createDataFrame(ps, "g string, p double"), ["g"], F.col("p")).collect()
+    for r in out:
+        own = sorted(p for g, p in ps if g == r.g)
+        assert r.p_adjusted == pytest.approx(min(1.0, min(p * len(own) / (i + 1) for i, p in enumerate(own) if p >= r.p)))
+    assert len(out) == len(ps)
