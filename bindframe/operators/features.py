@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from bindframe.functions.sequences import canonical
+from bindframe.operators.curves import quantiles
 
 MODES = ("positional", "relative", "linker")
 
@@ -105,4 +106,4 @@ def side_training(df: DataFrame, width: int, cores: list[str], side: str) -> Dat
         raise ValueError(f"side is one of {', '.join(at)}")
     starts = df.where(F.length("sequence") >= width).select("sequence", "score", F.explode(F.expr(f"sequence(0, length(sequence) - {width})")).alias("i"))
     cut = starts.where(F.expr(f"substring(sequence, i + {at[side] + 1}, {size})").isin(cores)).select(F.expr(f"substring(sequence, i + 1, {width})").alias("window"), "score")
-    return cut.groupBy("window").agg(F.median("score").alias("score"))
+    return quantiles(cut, ["window"], "score", {"score": 0.5})
