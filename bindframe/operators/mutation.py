@@ -183,9 +183,12 @@ def variant_sets_by_rounds(df: DataFrame, caller: Caller, profile: Caller, barri
 
 
 def _across(seq: Column, primer: str, caller: Caller) -> Column:
-    """Sites of seq with the primer behind it that lie across the border."""
+    """Sites of seq with the primer behind it that lie across the border; only the k - 1 bases on either side of it are called."""
+    near = caller.k - 1
     n = F.length(seq)
-    return F.filter(caller.sites_of(F.concat(seq, F.lit(primer))), lambda i: (i < n) & (i + caller.k > n))
+    kept = F.least(n, F.lit(near))
+    border = F.concat(F.substring(seq, n - kept + 1, kept), F.lit(primer[:near]))
+    return F.transform(F.filter(caller.sites_of(border), lambda i: (i < kept) & (i + caller.k > kept)), lambda i: i + n - kept)
 
 
 def clean_junction(df: DataFrame, primer: str, caller: Caller) -> DataFrame:
@@ -198,10 +201,11 @@ def clean_junction(df: DataFrame, primer: str, caller: Caller) -> DataFrame:
     step = df.select("key", F.col("sequence").alias("old")).withColumn("new", F.col("old"))
     for turn in (lambda c: c, reverse_complement):
         ours = turn(F.col("new"))
-        whole = step.withColumn("_across", _across(ours, primer, caller)).withColumn("sequence", F.concat(ours, F.lit(primer))).withColumn("target", F.get("_across", F.lit(0)))
+        whole = step.withColumn("_across", _across(ours, primer, caller)).withColumn("target", F.get("_across", F.lit(0)))
+        whole = whole.withColumn("sequence", F.when(F.col("target").isNotNull(), F.concat(ours, F.lit(primer))))  # rows without one cost nothing more
         cut = abolish_core(whole, caller, None, F.lit(0), F.length("new"), "_cut", F.col("_across"))
         step = cut.select("key", "old", F.coalesce(turn(F.substring("_cut", F.lit(1), F.length("new"))), F.col("new")).alias("new"))
-    clean = (F.size(_across(F.col("new"), primer, caller)) == 0) & (F.size(_across(reverse_complement(F.col("new")), primer, caller)) == 0) & (caller.sites_of(F.col("new")) == caller.sites_of(F.col("old")))
+    clean = (F.size(_across(F.col("new"), primer, caller)) == 0) & (F.size(_across(reverse_complement(F.col("new")), primer, caller)) == 0) & F.when(F.col("new") == F.col("old"), F.lit(True)).otherwise(caller.sites_of(F.col("new")) == caller.sites_of(F.col("old")))
     judged = step.withColumn("_clean", settled(clean))
     status = F.when(~F.col("_clean"), "dropped").when(F.col("new") == F.col("old"), "clean").otherwise("repaired")
     return judged.select("key", "old", F.when(F.col("_clean"), F.col("new")).alias("new"), status.alias("status"))
