@@ -104,8 +104,13 @@ def null_counts(m: int, n: int) -> list[int]:
     return table[m, n]
 
 
+#: Values a side below which a rank test without ties is exact.
+EXACT_BELOW = 50
+
+
 @F.pandas_udf(DoubleType())
-def _exact_greater(m: pd.Series, n: pd.Series, u: pd.Series) -> pd.Series:
+def exact_greater(m: pd.Series, n: pd.Series, u: pd.Series) -> pd.Series:
+    """P(U >= u) of the Mann-Whitney statistic of m and n values without ties."""
     tails: dict[tuple[int, int], list[float]] = {}
     out = []
     for a, b, x in zip(m, n, u, strict=True):
@@ -122,7 +127,7 @@ def _exact_greater(m: pd.Series, n: pd.Series, u: pd.Series) -> pd.Series:
 
 
 def normal_tail(z: Column) -> Column:
-    """P(Z > z) by the complementary error function's continued rational form (absolute error below 1.2e-7)."""
+    """P(Z > z) by the Chebyshev fit of the complementary error function in Numerical Recipes (erfcc; relative error below 1.2e-7)."""
     x = F.abs(z) / math.sqrt(2)
     t = 1 / (1 + 0.5 * x)
     poly: Column = F.lit(0.17087277)
@@ -142,10 +147,10 @@ def rank_test(df: DataFrame, keys: list[str], side: str = "greater", first: str
     u = F.col("u") if side == "greater" else F.col("m") * F.col("n") - F.col("u")
     sigma = F.sqrt(F.col("m") * F.col("n") / 12 * (total + 1 - F.col("ties") / (total * (total - 1))))
     z = (u - F.col("m") * F.col("n") / 2 - 0.5) / sigma
-    exact = (F.col("ties") == 0) & (F.col("m") < 50) & (F.col("n") < 50)
+    exact = (F.col("ties") == 0) & (F.col("m") < EXACT_BELOW) & (F.col("n") < EXACT_BELOW)
     flat = F.when(exact, F.lit("exact")).when(sigma > 0, F.lit("normal")).otherwise(F.lit("constant"))
     marked = s.withColumn("method", flat)
-    parts = marked.where("method = 'exact'").withColumn("p", _exact_greater("m", "n", u))
+    parts = marked.where("method = 'exact'").withColumn("p", exact_greater("m", "n", u))
     rest = marked.where("method <> 'exact'").withColumn("p", F.when(F.col("method") == "normal", normal_tail(z)).otherwise(1.0))
     return parts.unionByName(rest).drop("ties")
 

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from bindframe.functions.sequences import reverse_complement
 from bindframe.operators.curves import quantiles
-from bindframe.operators.replicates import normal_tail, rank_test
+from bindframe.operators.replicates import EXACT_BELOW, exact_greater, normal_tail, rank_test
 from bindframe.operators.rows import SENTINEL, sub_select
 from bindframe.operators.sites import alignment_sites, pwm_score, single_site
 from bindframe.operators.tables import adjacent_similar, top_groups
@@ -93,7 +93,7 @@ def shape_bands(df: DataFrame) -> DataFrame:
 
 
 def value_rank_test(df: DataFrame, keys: list[str], first: str, second: str) -> DataFrame:
-    """Mann-Whitney of few large groups (keys, kind, value): (keys, m, n, u, p_greater, p_less) by the normal approximation with tie and continuity correction.
+    """Mann-Whitney of few large groups (keys, kind, value): (keys, m, n, u, p_greater, p_less): exact below 50 values a side without ties, else by the normal approximation with tie and continuity correction.
 
     Rows are counted by value first; running totals go over blocks of the value range, then within
     them, so that no group is one task. p is 1 where all values are equal. Null values do not count.
@@ -113,7 +113,10 @@ def value_rank_test(df: DataFrame, keys: list[str], first: str, second: str) ->
     total, u = m + n, F.col("_sum") - m * (m + 1) / 2
     sigma = F.sqrt(m * n / 12 * (total + 1 - F.col("_ties") / (total * (total - 1))))
     tail = lambda x: F.when(sigma > 0, normal_tail((x - m * n / 2 - 0.5) / F.nullif(sigma, F.lit(0.0)))).otherwise(1.0)
-    return sums.where("m > 0 and n > 0").select(*keys, "m", "n", u.alias("u"), tail(u).alias("p_greater"), tail(m * n - u).alias("p_less"))
+    exact = (F.col("_ties") == 0) & (F.col("m") < EXACT_BELOW) & (F.col("n") < EXACT_BELOW)
+    held = sums.where("m > 0 and n > 0")
+    out = lambda rows, p: rows.select(*keys, "m", "n", u.alias("u"), p(u).alias("p_greater"), p(m * n - u).alias("p_less"))
+    return out(held.where(~exact), tail).unionByName(out(held.where(exact), lambda x: exact_greater("m", "n", x)))
 
 
 def shape_difference(df: DataFrame, first: str, second: str) -> DataFrame:
@@ -125,7 +128,7 @@ def shape_difference(df: DataFrame, first: str, second: str) -> DataFrame:
 
 
 def group_tests(df: DataFrame, columns: list[str], labels: list[str]) -> DataFrame:
-    """For each column and pair of labels the smaller one-sided p of the rank test (normal approximation)."""
+    """For each column and pair of labels the smaller one-sided p of the rank test."""
     ways = F.array(*[F.struct(F.lit(a).alias("first"), F.lit(b).alias("second")) for a, b in combinations(labels, 2)])
     cells = df.select("label", F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("value")) for c in columns])).alias("c"))
     held = cells.select("label", "c.*", F.explode(F.filter(ways, lambda w: (w["first"] == F.col("label")) | (w["second"] == F.col("label")))).alias("w"))

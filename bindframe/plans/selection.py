@@ -44,7 +44,7 @@ def _short(s, d):
 
 
 def _flanked(s, d):
-    return v.sequences(s, d).where("length(sequence) = 36").selectExpr("key", "sequence", "substring(sequence, 34, 3) as head", "substring(sequence, 1, 3) as tail")
+    return v.sequences(s, d).selectExpr("key", "sequence", "right(sequence, 3) as head", "left(sequence, 3) as tail")
 
 
 def _shapes(s, d):
@@ -84,7 +84,7 @@ QUERIES = {
     "a22_shape_difference": lambda s, d: op.shape_difference(_shapes(s, d), "a", "b"),
     "a23_group_tests": lambda s, d: op.group_tests(v.pairs(s, d), ["distance", "probability"], rep.LABELS),
     "a26_threshold_search": lambda s, d: op.threshold_search(_two_models(s, d), "probability", "second", CUTS),
-    "a29_coop_label_chambers": lambda s, d: op.coop_label_chambers(*[x.where("type = 'wt'") for x in rep._chambers(s, d)], replicates.negative_cutoff(v.controls(s, d), 0.25)),
+    "a29_coop_label_chambers": lambda s, d: op.coop_label_chambers(*[x.withColumn("name", F.concat_ws("_", "name", "type")) for x in rep._chambers(s, d)], replicates.negative_cutoff(v.controls(s, d), 0.25)),
     "a35_confidence_change": lambda s, d: op.confidence_change(rep._values(s, d), rep.KEYS),
     "i14_validate_array": lambda s, d: op.validate_array(_ids(s, d), _sites(s, d), "GG", F.lit(1)),
     "i15_clean_controls": lambda s, d: op.clean_controls(v.sequences(s, d), _call, QUIET_PRIMER, 50),
@@ -145,7 +145,7 @@ ORACLE_SQL = {
     "s16_fetch_sequences": f"{_FETCHED} SELECT * FROM fetched",
     "k8_call_sites_in_peaks": f"SELECT name, iv.chr, iv.start_pos + c.site_pos AS position, orientation FROM ({_IN_PEAKS}) c JOIN (SELECT event_id::VARCHAR AS name, (event_id % 997)::VARCHAR AS chr, event_id * 97 % 300 AS start_pos FROM events) iv ON c.key = iv.name",
     "k10_alignment_pwm_sites": f"{S}, k AS ({_CALLS}), h AS (SELECT k.key, core_start, orientation, CASE WHEN core_start >= 1 THEN substr(sequence, core_start::INT, 4) ELSE '' END AS w FROM k JOIN sequences q ON q.key = k.key), g AS (SELECT *, min(length(w)) OVER (PARTITION BY key) AS low FROM h), z AS (SELECT *, {_WAY(PWM)} AS f, {_WAY(_BACK)} AS r FROM g WHERE low = 4) SELECT key, core_start, orientation, greatest(f, r) AS score, CASE WHEN f > r + 1e-9 THEN '+' ELSE '-' END AS strand FROM z",
-    "k12_sites_with_flanks": f"{S}, q AS (SELECT key, substr(sequence, 34, 3) || sequence || substr(sequence, 1, 3) AS sequence FROM sequences WHERE length(sequence) = 36), {_windows(K).replace('FROM sequences', 'FROM q')}, {_pwm_sql()} SELECT key, mid - 3 AS pos, score FROM scan WHERE score > 3 AND mid >= 3 AND mid < 39",
+    "k12_sites_with_flanks": f"{S}, q AS (SELECT key, least(3, length(sequence)) AS ahead, length(sequence) AS size, right(sequence, 3) || sequence || left(sequence, 3) AS sequence FROM sequences), {_windows(K).replace('FROM sequences', 'FROM q')}, {_pwm_sql()} SELECT key, mid - ahead AS pos, score FROM scan JOIN q USING (key) WHERE score > 3 AND mid >= ahead AND mid < ahead + size",
     "k13_peak_in_region": f"{PROFILE}, {_pwm_sql()}, {REGIONS} SELECT r.key, startpos, start, score FROM regions r JOIN scan c ON c.key = r.key AND c.start BETWEEN startpos - 3 AND startpos + escorelength + 3 QUALIFY row_number() OVER (PARTITION BY r.key, startpos ORDER BY score DESC, start) = 1",
     "k14_valid_pairs": f"{SITES}, {PAIRS}, {SCORES}, lo AS (SELECT key, start + 2 AS position FROM windows JOIN scores USING (kmer) WHERE scores.score < -0.4) SELECT *, pos_2 - pos_1 AS distance FROM pr WHERE pos_2 - pos_1 BETWEEN 10 AND 20 AND EXISTS (SELECT 1 FROM lo WHERE lo.key = pr.key AND position > pos_1 AND position < pos_2)",
     "p19_align_to_site": f"{TWO}, mo AS (SELECT pos_1 AS a FROM two GROUP BY 1 ORDER BY count(*) DESC, pos_1 LIMIT 1), f AS (SELECT key, sequence, a, (a - pos_1)::INT AS k, translate(repeat(md5(key), 3), '0123456789abcdef', 'ACGTACGTACGTACGT') AS fill FROM two, mo) SELECT key, a AS pos_1, CASE WHEN k >= 0 THEN substr(fill, 1, k) || substr(sequence, 1, length(sequence)::INT - k) ELSE substr(sequence, 1 - k) || substr(fill, 1, -k) END AS sequence FROM f",
@@ -153,7 +153,7 @@ ORACLE_SQL = {
     "a22_shape_difference": f"{_SHAPES}, held AS (SELECT 'mgw' AS shape, position, label AS kind, value FROM cells WHERE position NOT IN (SELECT position FROM cells WHERE value IS NULL)), {_ranks('held', 'shape, position', 'a')} SELECT * FROM mw",
     "a23_group_tests": f"{P}, w AS (SELECT * FROM (VALUES ('anticooperative', 'cooperative'), ('anticooperative', 'independent'), ('cooperative', 'independent')) t(first, second)), held AS (SELECT \"column\", first, second, CASE WHEN label = first THEN 'a' ELSE 'b' END AS kind, value FROM (SELECT label, 'distance' AS \"column\", distance::DOUBLE AS value FROM pairs UNION ALL SELECT label, 'probability', probability FROM pairs) JOIN w ON label IN (first, second)), {_ranks('held', '\"column\", first, second', 'a')} SELECT \"column\", first, second, m, n, least(p_greater, p_less) AS p FROM mw",
     "a26_threshold_search": f"{P}, {_MODELS}, c AS (SELECT unnest([{', '.join(f'{x}::DOUBLE' for x in CUTS)}]) AS c) SELECT a.c AS cut_a, b.c AS cut_b, count(*) FILTER ((probability < a.c) = (second < b.c)) AS agree, 100 * count(*) FILTER ((probability < a.c) = (second < b.c)) / count(*) AS percent FROM two_models, c a, c b GROUP BY 1, 2",
-    "a29_coop_label_chambers": f"{rep.BASE}, vals AS (SELECT name, ori, 'indiv' AS kind, intensity AS value FROM probes WHERE type = 'wt' UNION ALL SELECT name, ori, 'two', intensity * 0.82::DOUBLE + 123.36::DOUBLE + quantity FROM probes WHERE type = 'wt'), {rep.SUMS}, nulls AS (SELECT i + j + k - 6 AS u FROM range(1, 7) a(i), range(1, 7) b(j), range(1, 7) c(k) WHERE i < j AND j < k), tail AS (SELECT x, (SELECT count(*) FROM nulls WHERE u >= x) / 20 AS p FROM range(0, 10) r(x)), cut AS (SELECT quantile_cont(med, 0.25) AS cutoff FROM (SELECT median(intensity) AS med FROM controls GROUP BY name)), md AS (SELECT name, ori, median(value) FILTER (kind = 'indiv') AS median_first, median(value) FILTER (kind = 'two') AS median_second FROM vals GROUP BY ALL) SELECT name, ori, median_first, median_second, g.p AS p_greater, l.p AS p_less, CASE WHEN median_second < cutoff THEN 'fail_cutoff' WHEN g.p < 0.06 THEN 'cooperative' WHEN l.p < 0.06 THEN 'anticooperative' ELSE 'independent' END AS label FROM md JOIN us USING (name, ori) JOIN tail g ON g.x = ceil(us.u) JOIN tail l ON l.x = ceil(9 - us.u), cut",
+    "a29_coop_label_chambers": f"{rep.BASE}, vals AS (SELECT name || '_' || type AS name, ori, 'indiv' AS kind, intensity AS value FROM probes UNION ALL SELECT name || '_' || type, ori, 'two', intensity * 0.82::DOUBLE + 123.36::DOUBLE + quantity FROM probes), {rep.SUMS}, nulls AS (SELECT i + j + k - 6 AS u FROM range(1, 7) a(i), range(1, 7) b(j), range(1, 7) c(k) WHERE i < j AND j < k), tail AS (SELECT x, (SELECT count(*) FROM nulls WHERE u >= x) / 20 AS p FROM range(0, 10) r(x)), cut AS (SELECT quantile_cont(med, 0.25) AS cutoff FROM (SELECT median(intensity) AS med FROM controls GROUP BY name)), md AS (SELECT name, ori, median(value) FILTER (kind = 'indiv') AS median_first, median(value) FILTER (kind = 'two') AS median_second FROM vals GROUP BY ALL) SELECT name, ori, median_first, median_second, g.p AS p_greater, l.p AS p_less, CASE WHEN median_second < cutoff THEN 'fail_cutoff' WHEN g.p < 0.06 THEN 'cooperative' WHEN l.p < 0.06 THEN 'anticooperative' ELSE 'independent' END AS label FROM md JOIN us USING (name, ori) JOIN tail g ON g.x = ceil(us.u) JOIN tail l ON l.x = ceil(9 - us.u), cut",
     "a35_confidence_change": f"{rep.TESTS}, md AS (SELECT name, ori, median(value) FILTER (kind = 'two') - median(value) FILTER (kind = 'indiv') AS difference FROM vals GROUP BY ALL) SELECT name, ori, tests.p AS p, difference FROM tests JOIN md USING (name, ori)",
     "i14_validate_array": f"{SITES}, n AS (SELECT key, count(*) AS n FROM s GROUP BY 1), w AS (SELECT split_part(key, '_', 1) || '_' || (split_part(key, '_', 2)::INT // 2) AS id, key, sequence FROM sequences) SELECT id, key, sequence FROM w WHERE id IN (SELECT id FROM w LEFT JOIN n ON n.key = w.key GROUP BY id HAVING bool_and(coalesce(n, 0) = 1 AND contains(sequence, 'GG')))",
     "i15_clean_controls": f"{S}, q AS (SELECT key, sequence || '{QUIET_PRIMER}' AS sequence FROM sequences), {_windows(K).replace('FROM sequences', 'FROM q')}, {_pwm_sql()} SELECT key, sequence FROM sequences WHERE key NOT IN (SELECT key FROM scan WHERE score > 3) ORDER BY md5(key), key LIMIT 50",

@@ -6,12 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from bindframe.plans import features, intervals, labels, models, mutation, probes, replicates, rows, selection, sites, tables
+from bindframe.plans import features, intervals, labels, models, mutation, picks, probes, replicates, rows, selection, sites, tables
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 QUERIES: dict[str, Query] = {}
 ORACLE_SQL: dict[str, str] = {}
-for _part in (intervals, sites, replicates, tables, rows, selection, mutation, models, labels, probes, features):
+for _part in (intervals, sites, replicates, tables, rows, selection, mutation, models, labels, probes, features, picks):
     QUERIES |= _part.QUERIES
     ORACLE_SQL |= _part.ORACLE_SQL

@@ -108,10 +108,10 @@ def write_table(df: DataFrame, path: str, by: str | None = None, sep: str = "\t"
     (writer.partitionBy(by) if by else writer).csv(path)
 
 
-def parse_probe_name(df: DataFrame, col: str = "Name") -> DataFrame:
-    """name_type_ori_rep split from the right."""
-    pattern = r"^(.*)_([^_]+)_([^_]+)_([^_]+)$"
-    return df.select("*", *[F.regexp_extract(col, pattern, i + 1).alias(c) for i, c in enumerate(("name", "type", "ori", "rep"))])
+def parse_probe_name(df: DataFrame, col: str = "Name", order: tuple[str, ...] = ("name", "type", "ori", "rep")) -> DataFrame:
+    """Parts of a name split at '_' from the right, in the given order; the first takes what is left. Without enough parts all are empty."""
+    pattern = "^(.*)" + "_([^_]+)" * (len(order) - 1) + "$"
+    return df.select("*", *[F.regexp_extract(col, pattern, i + 1).alias(c) for i, c in enumerate(order)])
 
 
 def include_exclude(df: DataFrame, col: str, include: str | None, exclude: str | None) -> DataFrame:
