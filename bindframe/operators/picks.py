@@ -9,6 +9,7 @@ Rows whose key is null are in no group; a null `wild` is a mutant; rows with one
 from __future__ import annotations
 
 import difflib
+from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -16,6 +17,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
+from bindframe.sources.shared import saved
+
 #: Parts of a group that a choice or an order goes over first.
 PARTS = 256
 
@@ -138,24 +141,28 @@ def pick_large_change(df: DataFrame, key: str, site: str, score: str, m: int, n:
     return held.join(F.broadcast(names), [key, "name"], "left_semi").select(df.columns).unionByName(df.where(wild).join(top.select(key), key, "left_semi").select(df.columns))
 
 
-def pair_verdicts(df: DataFrame, sites: DataFrame, regions: DataFrame, profile: DataFrame, low: float, near: int = 10, far: int = 20) -> DataFrame:
+def pair_verdicts(df: DataFrame, sites: DataFrame, regions: Callable[[DataFrame], DataFrame], profile: Callable[[DataFrame], DataFrame], low: float, near: int = 10, far: int = 20) -> DataFrame:
     """(key, n_sites, pos_1, pos_2, distance, status) of every sequence; sites count if they lie in a region of high scores.
 
     status is 'sites' without exactly two of them, 'distance' if they are not `near` to `far` apart, 'linker' if no
     window between the end of the first site's region and the start of the second's scores below `low`, else 'valid'.
-    A site on the border of two regions belongs to the first.
+    A site on the border of two regions belongs to the first. Regions are asked for of sequences that have a site only,
+    and profiles of those whose pair has a fitting distance. Keys are unique.
     """
     inside = F.col("pos").between(F.col("startpos"), F.col("startpos") + F.col("escorelength"))
-    placed = sites.join(regions.select("key", "startpos", "escorelength"), "key").where(inside).groupBy("key", "pos").agg(F.min(F.struct("startpos", "escorelength")).alias("_g"))
+    found = regions(df.select("key", "sequence").join(sites.select("key"), "key", "left_semi"))
+    placed = sites.join(found.select("key", "startpos", "escorelength"), "key").where(inside).groupBy("key", "pos").agg(F.min(F.struct("startpos", "escorelength")).alias("_g"))
     place = F.struct("pos", "_g")
     two = placed.groupBy("key").agg(F.count("*").alias("n_sites"), F.min(place).alias("_a"), F.max(place).alias("_b"))
-    open_ = two.where("n_sites = 2").select("key", (F.col("_a._g.startpos") + F.col("_a._g.escorelength")).alias("_from"), F.col("_b._g.startpos").alias("_to"))
-    quiet = profile.where(F.col("score") < low).join(open_, "key").where((F.col("start") >= F.col("_from")) & (F.col("start") < F.col("_to"))).select("key", F.lit(True).alias("_quiet")).distinct()
-    out = df.select("key").join(two, "key", "left").join(quiet, "key", "left").withColumn("n_sites", F.coalesce("n_sites", F.lit(0)))
-    pair = F.col("n_sites") == 2
-    distance = F.when(pair, F.col("_b.pos") - F.col("_a.pos"))
-    status = F.when(~pair, "sites").when(~distance.between(near, far), "distance").when(F.col("_quiet").isNull(), "linker").otherwise("valid")
-    return out.select("key", "n_sites", F.when(pair, F.col("_a.pos")).alias("pos_1"), F.when(pair, F.col("_b.pos")).alias("pos_2"), distance.alias("distance"), status.alias("status"))
+    pair, distance = F.col("n_sites") == 2, F.col("_b.pos") - F.col("_a.pos")
+    # written once, since the sequences are read again for what is left
+    two = saved(two.select("key", "n_sites", F.when(pair, F.col("_a.pos")).alias("pos_1"), F.when(pair, F.col("_b.pos")).alias("pos_2"), F.when(pair, distance).alias("distance"), (F.col("_a._g.startpos") + F.col("_a._g.escorelength")).alias("_from"), F.col("_b._g.startpos").alias("_to")))
+    open_ = two.where(F.col("distance").between(near, far)).select("key", "_from", "_to")
+    scores = profile(df.select("key", "sequence").join(open_, "key", "left_semi"))
+    quiet = scores.where(F.col("score") < low).join(open_, "key").where((F.col("start") >= F.col("_from")) & (F.col("start") < F.col("_to"))).select("key", F.lit(True).alias("_quiet")).distinct()
+    out = df.select("key").join(two.join(quiet, "key", "left"), "key", "left").withColumn("n_sites", F.coalesce("n_sites", F.lit(0)))
+    status = F.when(F.col("distance").isNull(), "sites").when(~F.col("distance").between(near, far), "distance").when(F.col("_quiet").isNull(), "linker").otherwise("valid")
+    return out.select("key", "n_sites", "pos_1", "pos_2", "distance", status.alias("status"))
 
 
 @F.pandas_udf(DoubleType())

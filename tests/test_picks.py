@@ -143,13 +143,13 @@ def test_ratio_query_keeps_the_wild_type_first(spark):
 
 
 def test_pair_verdicts_at_the_edges(spark):
-    seqs = spark.createDataFrame([(k,) for k in ("none", "one", "near", "full", "good", "out")], "key string")
+    seqs = spark.createDataFrame([(k, "A" * 36) for k in ("none", "one", "near", "full", "good", "out")], "key string, sequence string")
     at = [("one", 5), ("near", 2), ("near", 8), ("full", 2), ("full", 14), ("good", 2), ("good", 14), ("out", 2), ("out", 30)]
     sites = spark.createDataFrame(at, "key string, pos int")
     regions = spark.createDataFrame([(k, p, 2) for k, p in at if p != 30], "key string, startpos int, escorelength int")
     # a window at the end of the first region counts, one at the start of the second does not
     profile = spark.createDataFrame([("full", 3, 0.1), ("full", 14, 0.1), ("good", 4, 0.1), ("near", 5, 0.1)], "key string, start int, score double")
-    got = {r.key: (r.n_sites, r.distance, r.status) for r in picks.pair_verdicts(seqs, sites, regions, profile, 0.35).collect()}
+    got = {r.key: (r.n_sites, r.distance, r.status) for r in picks.pair_verdicts(seqs, sites, lambda x: regions.join(x, "key", "left_semi"), lambda x: profile.join(x, "key", "left_semi"), 0.35).collect()}
     assert got == {"none": (0, None, "sites"), "one": (1, None, "sites"), "out": (1, None, "sites"), "near": (2, 6, "distance"), "full": (2, 12, "linker"), "good": (2, 12, "valid")}
 
 
