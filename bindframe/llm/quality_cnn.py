@@ -4,7 +4,7 @@ A text's UTF-8 bytes are cut into overlapping chunks of 256 bytes, one every 128
 Filters of 8 bytes, moved by 2, are max-pooled over each chunk; the mean and the maximum
 over all chunks go into one logistic unit. Scoring adds up table rows for byte pairs, in the
 scan, in bounded memory. The network is fitted on a bounded sample of labelled rows (`most`
-documents, with all their chunks); scores read whole texts and nothing else.
+documents and `most_bytes` of text, with all their chunks); scores read whole texts and nothing else.
 
 Defined results: null and empty texts get the score of a text of zero bytes; without labels
 (or with one class) the score is the share of label 1, smoothed by one row of each class;
@@ -29,6 +29,8 @@ WIDTH = 8
 FILTERS = 16
 #: Labelled documents that the fit may use.
 MOST_DOCS = 2000
+#: Bytes of their texts together; chunks overlap, so the driver holds about twice as many.
+MOST_BYTES = 64_000_000
 HELD_FOLD, FOLDS = 2, 4
 
 
@@ -148,9 +150,9 @@ def score_texts(raws: list[bytes], net: ByteNetwork, tables: np.ndarray, block:
     return 1 / (1 + np.exp(-(pooled @ net.out + net.bias[0]).astype(np.float64)))
 
 
-def fit_network(docs: DataFrame, labels: DataFrame, label: str = "quality", most: int = MOST_DOCS, id_col: str = "doc_id", text_col: str = "text") -> ByteNetwork:
-    """Fit on a bounded sample: `most` labelled documents outside the held fold, whole."""
-    rows = labelled(docs, labels, label, HELD_FOLD, FOLDS, most, id_col, text_col)
+def fit_network(docs: DataFrame, labels: DataFrame, label: str = "quality", most: int = MOST_DOCS, id_col: str = "doc_id", text_col: str = "text", most_bytes: int = MOST_BYTES) -> ByteNetwork:
+    """Fit on a bounded sample: labelled documents outside the held fold, whole, at most `most` of them and `most_bytes` of text."""
+    rows = labelled(docs, labels, label, HELD_FOLD, FOLDS, most, id_col, text_col, most_bytes)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in pieces(batches, "text"):

@@ -34,7 +34,14 @@ RULES: dict[str, Rule] = {
     "repetitive": lambda m: 100 * m("n_repeat_words") > 50 * m("n_words"),
 }
 
-#: A host is turned down when one of its shrunk failure rates is above this.
+#: What a host is judged by: the rules for documents, and two that turn down no document by itself,
+#: more than a symbol for each ten words, and more than a repeated line for each twenty.
+HOST_RULES: dict[str, Rule] = RULES | {
+    "symbols": lambda m: 10 * m("n_symbols") > m("n_words"),
+    "repeated_lines": lambda m: 20 * m("n_dup_lines") > m("n_words"),
+}
+
+#: A host is turned down when one of its shrunk failure rates is above this: most of its documents fail.
 HOST_LIMIT = 0.5
 
 MEASURES = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
@@ -109,16 +116,23 @@ def _prior(rows: float, hosts: float, squares: float, failed: float, failed_sq:
     return mean * strength, (1 - mean) * strength
 
 
-def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", rules: dict[str, Rule] | None = None, host_limit: float = HOST_LIMIT) -> DataFrame:
-    """(doc_id, host, measures, base_failed, host_failed, kept), one row per input row."""
-    rules = RULES if rules is None else rules
+def _rules(rules: dict[str, Rule] | None, host_rules: dict[str, Rule] | None) -> tuple[dict[str, Rule], dict[str, Rule]]:
+    """Rules for documents and for hosts; where none are given, RULES and HOST_RULES."""
+    if host_rules is None:
+        host_rules = HOST_RULES if rules is None else rules
+    return RULES if rules is None else rules, host_rules
+
+
+def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", rules: dict[str, Rule] | None = None, host_limit: float = HOST_LIMIT, host_rules: dict[str, Rule] | None = None) -> DataFrame:
+    """(doc_id, host, measures, base_failed, host_failed, kept), one row per input row. Rules of one's own judge hosts too, unless host_rules are given."""
+    rules, host_rules = _rules(rules, host_rules)
     measured = stash(measures(docs, id_col, text_col, host_col))
     failed: Column = F.lit(False)
     for rule in rules.values():
         failed = failed | rule(F.col)
-    rates = host_rates(measured, rules)
+    rates = host_rates(measured, host_rules)
     bad: Column = F.lit(False)
-    for r in rules:
+    for r in host_rules:
         bad = bad | (F.col(f"{r}_rate") > host_limit)
     verdicts = small_side(stash(rates.where(bad).select("host", F.lit(True).alias("host_failed"))))
     out = measured.join(verdicts, "host", "left").withColumn("host_failed", F.coalesce("host_failed", F.lit(False))).withColumn("base_failed", failed)
@@ -131,7 +145,8 @@ def keep_good(docs: DataFrame, **options) -> DataFrame:
     The document rules are decided on the row itself; only the host verdicts are joined.
     """
     text_col, host_col = options.get("text_col", "text"), options.get("host_col", "source")
-    rules, limit = options.get("rules") or RULES, options.get("host_limit", HOST_LIMIT)
+    rules, host_rules = _rules(options.get("rules"), options.get("host_rules"))
+    limit = options.get("host_limit", HOST_LIMIT)
     mark = free_name(docs.columns, "_measured")
     slim = bounded_batches(docs)
     kinds = StructType([*docs.schema.fields, *(StructField(f"{mark}{m}", LongType()) for m in MEASURES)])
@@ -142,9 +157,9 @@ def keep_good(docs: DataFrame, **options) -> DataFrame:
             columns = list(zip(*rows, strict=True)) or [()] * len(MEASURES)
             yield pa.RecordBatch.from_arrays([*batch.columns, *(pa.array(c, pa.int64()) for c in columns)], names=kinds.names)
 
-    rates = host_rates(stash(measures(docs, text_col=text_col, host_col=host_col, id_col=options.get("id_col", "doc_id"))), rules)
+    rates = host_rates(stash(measures(docs, text_col=text_col, host_col=host_col, id_col=options.get("id_col", "doc_id"))), host_rules)
     bad: Column = F.lit(False)
-    for r in rules:
+    for r in host_rules:
         bad = bad | (F.col(f"{r}_rate") > limit)
     verdicts = small_side(stash(rates.where(bad).select(F.col("host").alias(f"{mark}_host"))))
     inner = slim.mapInArrow(measured, kinds)

@@ -126,9 +126,10 @@ m AS (
          (len(lines) - len(list_distinct(lines)))::BIGINT AS n_dup_lines, coalesce(n_repeat_words, 0)::BIGINT AS n_repeat_words
   FROM t JOIN w USING (r) JOIN l USING (r) LEFT JOIN p USING (r)
 ),
-f AS (SELECT *, n_words < 50 AS s, 100 * n_repeat_words > 50 * n_words AS q FROM m),
+f AS (SELECT *, n_words < 50 AS s, 100 * n_repeat_words > 50 * n_words AS q, 10 * n_symbols > n_words AS y, 20 * n_dup_lines > n_words AS d FROM m),
 h AS (SELECT source, rule, count(*)::DOUBLE AS n, sum(bad)::DOUBLE AS k
-      FROM (SELECT source, 's' AS rule, s::INT AS bad FROM f UNION ALL SELECT source, 'q', q::INT FROM f)
+      FROM (SELECT source, 's' AS rule, s::INT AS bad FROM f UNION ALL SELECT source, 'q', q::INT FROM f
+            UNION ALL SELECT source, 'y', y::INT FROM f UNION ALL SELECT source, 'd', d::INT FROM f)
       WHERE source IS NOT NULL GROUP BY 1, 2),
 a AS (SELECT rule, sum(n) AS nn, count(*) AS hosts, sum(n * n) AS sq, sum(k) AS kk, sum(k * k / n) AS kq FROM h GROUP BY 1),
 b AS (SELECT rule, kk / nn AS mean, kk / nn * (1 - kk / nn) AS spread, nn - sq / nn AS room, kq - kk * kk / nn AS raw, hosts FROM a),

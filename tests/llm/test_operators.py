@@ -78,6 +78,16 @@ def test_quality_rules(docs, empty, texts):
     assert Counter(r.doc_id for r in kept.select("doc_id").collect()) == Counter(g["doc_id"] for g in got if g["kept"])
 
 
+def test_hosts_are_judged_by_rules_that_turn_down_no_document(spark):
+    plain, marked = " ".join(words(80, 3)), " ".join(f"#{w}" for w in words(80, 4))
+    rows = [(i, plain, "good") for i in range(60)] + [(100, marked, "good")] + [(200 + i, marked, "bad") for i in range(40)] + [(300, plain, "bad"), (301, plain, None), (302, "few", "bad")]
+    got = {g["doc_id"]: g for g in as_rows(quality_rules.quality_rules(spark.createDataFrame(rows, "doc_id int, text string, source string")))}
+    assert {i for i, g in got.items() if g["kept"]} == {*range(60), 100, 301}
+    assert {i for i, g in got.items() if g["base_failed"]} == {302} and got[300]["host_failed"] and not got[100]["host_failed"]
+    own = quality_rules.quality_rules(spark.createDataFrame(rows, "doc_id int, text string, source string"), rules={"short": quality_rules.RULES["short"]})
+    assert {g["doc_id"] for g in as_rows(own) if not g["kept"]} == {302}
+
+
 def test_host_prior_shrinks():
     a, b = quality_rules._prior(1000, 10, 100_000, 100, 100 * 100 / 1000 + 500)
     assert 0 < a / (a + b) < 1 and abs(a / (a + b) - 0.1) < 1e-9
@@ -327,6 +337,18 @@ def test_byte_network(spark, docs, empty, labels, texts):
     assert np.mean([g["predicted"] == g["doc_id"] % 2 for g in held]) > 0.95
 
 
+def test_fit_sample_is_bounded_in_bytes(spark):
+    from bindframe.llm._folds import labelled
+
+    sizes = {i: 100 + 10 * (i % 7) for i in range(60)} | {60 + i: 900 for i in range(4)}
+    table = spark.createDataFrame([(i, "x" * n) for i, n in sizes.items()], "doc_id int, text string")
+    marks = spark.createDataFrame([(i, i % 2) for i in sizes], "doc_id int, quality int")
+    whole = labelled(table, marks, "quality", 2, 4, 60).count()
+    got = [len(r.text) for r in labelled(table, marks, "quality", 2, 4, 60, most_bytes=3200).collect()]
+    assert max(got) <= 200 and 3200 - 160 < sum(got) <= 3200 and len(got) < whole
+    assert labelled(table, marks, "quality", 2, 4, 60, most_bytes=1 << 20).count() == whole
+
+
 def test_whole_text_scores_equal_direct_ones():
     net = quality_cnn.ByteNetwork(seed=1)
     for raw in (b"", b"x" * 119, b"y" * 121, bytes(range(256)) * 5):
