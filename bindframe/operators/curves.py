@@ -57,9 +57,9 @@ def quantiles(df: DataFrame, keys: Sequence[str], value: str, points: dict[str,
 
 def adjusted_p(df: DataFrame, keys: Sequence[str], p: Column) -> DataFrame:
     """df with p_adjusted, Benjamini-Hochberg within the keys: for each distinct p, the least of p' * n / rank over all p' from p up."""
-    rows = df.withColumn("_q", p.cast("double"))
     # written once, since what p comes from may be long
-    ranked = running_totals(saved(rows.groupBy(*keys, "_q").agg(F.count("*").alias("n"))), keys, "_q", ["n"]).withColumn("_ratio", F.col("_q") * F.col("tn") / F.col("cn"))
+    rows = saved(df.withColumn("_q", p.cast("double")))
+    ranked = running_totals(rows.groupBy(*keys, "_q").agg(F.count("*").alias("n")), keys, "_q", ["n"]).withColumn("_ratio", F.col("_q") * F.col("tn") / F.col("cn"))
     above = W.partitionBy(*keys).orderBy(F.desc("_block")).rowsBetween(W.unboundedPreceding, -1)
     later = ranked.groupBy(*keys, "_block").agg(F.min("_ratio").alias("_least")).select(*keys, "_block", F.min("_least").over(above).alias("_later"))
     inner = W.partitionBy(*keys, "_block").orderBy(F.desc("_q")).rowsBetween(W.unboundedPreceding, 0)

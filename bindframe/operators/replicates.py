@@ -43,14 +43,19 @@ def unpivot_array(wide: DataFrame) -> DataFrame:
     return long.select("name", "type", F.split("cell", "_r")[0].alias("ori"), F.split("cell", "_r")[1].cast("int").alias("rep"), "intensity")
 
 
-def replicate_combinations(df: DataFrame) -> DataFrame:
-    """m1 x m2 x m3 of a (name, ori), value m1 + m2 - m3, and the wild-type values: (name, ori, kind, value)."""
-    def of(t: str) -> DataFrame:
-        return df.where(F.col("type") == t).select("name", "ori", F.col("intensity").alias(t))
+def replicate_combinations(df: DataFrame, also: dict[str, Column] | None = None) -> DataFrame:
+    """m1 x m2 x m3 of a (name, ori), value m1 + m2 - m3, and the wild-type values: (name, ori, kind, value).
 
-    indiv = of("m1").join(of("m2"), ["name", "ori"]).join(of("m3"), ["name", "ori"])
-    both = indiv.select("name", "ori", F.lit("indiv").alias("kind"), (F.col("m1") + F.col("m2") - F.col("m3")).alias("value"))
-    return both.unionByName(of("wt").select("name", "ori", F.lit("two").alias("kind"), F.col("wt").alias("value")))
+    One shuffle brings a group's replicates together, and its combinations, of which there are as many as the product
+    of three of them, are made in its row. `also` names further aggregates of df to come out on every row of the group.
+    """
+    of = lambda t: F.collect_list(F.when(F.col("type") == t, F.struct(F.col("intensity").alias("v")))).alias(f"_{t}")
+    cells = df.groupBy("name", "ori").agg(*(of(t) for t in ("m1", "m2", "m3", "wt")), *(c.alias(n) for n, c in (also or {}).items()))
+    joined = F.flatten(F.transform("_m1", lambda a: F.flatten(F.transform("_m2", lambda b: F.transform("_m3", lambda c: F.struct(F.lit("indiv").alias("kind"), (a["v"] + b["v"] - c["v"]).alias("value")))))))
+    # null names match nothing, but keep their wild types
+    indiv = F.filter(joined, lambda _: F.col("name").isNotNull() & F.col("ori").isNotNull())
+    two = F.transform("_wt", lambda w: F.struct(F.lit("two").alias("kind"), w["v"].alias("value")))
+    return cells.select("name", "ori", F.explode(F.concat(indiv, two)).alias("_e"), *(also or {})).select("name", "ori", "_e.kind", "_e.value", *(also or {}))
 
 
 def pair_orientations(df: DataFrame, col: str) -> DataFrame:
@@ -78,12 +83,12 @@ def normalise_chamber(main: DataFrame, second: DataFrame) -> DataFrame:
     return second.join(F.broadcast(fit)).withColumn("intensity", (F.col("intensity") - F.col("intercept")) / F.col("slope")).drop("slope", "intercept")
 
 
-def rank_sums(df: DataFrame, keys: list[str], first: str = "two", second: str = "indiv") -> DataFrame:
-    """Sizes, U of the first kind, and tie terms of (keys, kind, value) groups: from mean ranks in a window over the group."""
+def rank_sums(df: DataFrame, keys: list[str], first: str = "two", second: str = "indiv", also: dict[str, Column] | None = None) -> DataFrame:
+    """Sizes, U of the first kind, and tie terms of (keys, kind, value) groups: from mean ranks in a window over the group. `also` names further aggregates."""
     by = W.partitionBy(*keys)
     ranked = df.withColumn("_t", F.count("*").over(W.partitionBy(*keys, "value"))).withColumn("_r", F.rank().over(by.orderBy("value")) + (F.col("_t") - 1) / 2)
     a = F.col("kind") == first
-    sums = ranked.groupBy(*keys).agg(F.sum(a.cast("long")).alias("m"), F.sum((F.col("kind") == second).cast("long")).alias("n"), F.sum(F.when(a, F.col("_r"))).alias("_sum"), F.sum((F.col("_t") * F.col("_t") - 1).cast("double")).alias("ties"))
+    sums = ranked.groupBy(*keys).agg(F.sum(a.cast("long")).alias("m"), F.sum((F.col("kind") == second).cast("long")).alias("n"), F.sum(F.when(a, F.col("_r"))).alias("_sum"), F.sum((F.col("_t") * F.col("_t") - 1).cast("double")).alias("ties"), *(c.alias(n) for n, c in (also or {}).items()))
     return sums.where("m > 0 and n > 0").withColumn("u", F.col("_sum") - F.col("m") * (F.col("m") + 1) / 2).drop("_sum")
 
 
@@ -110,10 +115,13 @@ EXACT_BELOW = 50
 
 @F.pandas_udf(DoubleType())
 def exact_greater(m: pd.Series, n: pd.Series, u: pd.Series) -> pd.Series:
-    """P(U >= u) of the Mann-Whitney statistic of m and n values without ties."""
+    """P(U >= u) of the Mann-Whitney statistic of m and n values without ties; null sizes have none."""
     tails: dict[tuple[int, int], list[float]] = {}
     out = []
     for a, b, x in zip(m, n, u, strict=True):
+        if pd.isna(a):
+            out.append(None)
+            continue
         key = (int(a), int(b))
         if key not in tails:
             counts = null_counts(*key)
@@ -123,7 +131,7 @@ def exact_greater(m: pd.Series, n: pd.Series, u: pd.Series) -> pd.Series:
                 tail.append(run / total)
             tails[key] = tail[::-1]
         out.append(tails[key][math.ceil(x)])
-    return pd.Series(out)
+    return pd.Series(out, dtype="float64")
 
 
 def normal_tail(z: Column) -> Column:
@@ -137,22 +145,31 @@ def normal_tail(z: Column) -> Column:
     return F.when(z >= 0, half).otherwise(1 - half)
 
 
-def rank_test(df: DataFrame, keys: list[str], side: str = "greater", first: str = "two", second: str = "indiv") -> DataFrame:
-    """Mann-Whitney of (keys, kind, value) groups: exact below 50 values a side without ties, else normal with tie and continuity correction.
+def rank_method(ties_exact: bool = False) -> Column:
+    """How the p of a row of `rank_sums` is worked out: exact below 50 values a side, without ties or, on demand, with them; else normal, or constant where all values are equal."""
+    total = F.col("m") + F.col("n")
+    exact = (F.col("m") < EXACT_BELOW) & (F.col("n") < EXACT_BELOW) & (F.lit(ties_exact) | (F.col("ties") == 0))
+    # as `sigma` below, which is 0 where all values are one
+    return F.when(exact, "exact").when(total + 1 - F.col("ties") / (total * (total - 1)) > 0, "normal").otherwise("constant")
 
-    (keys, m, n, u, method, p); p is 1 where all values are equal.
-    """
-    s = rank_sums(df, keys, first, second)
+
+def rank_p(side: str = "greater") -> Column:
+    """The p of one side from a row of `rank_sums` with its `method`; an exact one counts orders with U at the observed value, rounded up, or more."""
     total = F.col("m") + F.col("n")
     u = F.col("u") if side == "greater" else F.col("m") * F.col("n") - F.col("u")
     sigma = F.sqrt(F.col("m") * F.col("n") / 12 * (total + 1 - F.col("ties") / (total * (total - 1))))
     z = (u - F.col("m") * F.col("n") / 2 - 0.5) / sigma
-    exact = (F.col("ties") == 0) & (F.col("m") < EXACT_BELOW) & (F.col("n") < EXACT_BELOW)
-    flat = F.when(exact, F.lit("exact")).when(sigma > 0, F.lit("normal")).otherwise(F.lit("constant"))
-    marked = s.withColumn("method", flat)
-    parts = marked.where("method = 'exact'").withColumn("p", exact_greater("m", "n", u))
-    rest = marked.where("method <> 'exact'").withColumn("p", F.when(F.col("method") == "normal", normal_tail(z)).otherwise(1.0))
-    return parts.unionByName(rest).drop("ties")
+    if_exact = lambda c: F.when(F.col("method") == "exact", c)
+    return F.when(F.col("method") == "exact", exact_greater(if_exact(F.col("m")), if_exact(F.col("n")), if_exact(u))).when(F.col("method") == "normal", normal_tail(z)).otherwise(1.0)
+
+
+def rank_test(df: DataFrame, keys: list[str], side: str = "greater", first: str = "two", second: str = "indiv", ties_exact: bool = False) -> DataFrame:
+    """Mann-Whitney of (keys, kind, value) groups: exact below 50 values a side without ties, else normal with tie and continuity correction.
+
+    (keys, m, n, u, method, p); p is 1 where all values are equal. With ties_exact small groups with ties
+    are exact too, by the distribution without ties and the mean ranks' U rounded up.
+    """
+    return rank_sums(df, keys, first, second).withColumn("method", rank_method(ties_exact)).withColumn("p", rank_p(side)).drop("ties")
 
 
 def fdr(df: DataFrame, keys: list[str], p: str = "p") -> DataFrame:
@@ -160,20 +177,17 @@ def fdr(df: DataFrame, keys: list[str], p: str = "p") -> DataFrame:
     return adjusted_p(df, keys, F.coalesce(F.col(p), F.lit(1.0)))
 
 
-def coop_labels(df: DataFrame, cutoff: DataFrame, p_cut: float = 0.015, p_band: float = 0.105) -> DataFrame:
+def coop_labels(df: DataFrame, cutoff: DataFrame, p_cut: float = 0.015, p_band: float = 0.105, ties_exact: bool = False) -> DataFrame:
     """(name, ori, median_two, median_indiv, p_greater, p_less, label) for names with 27 combinations and 3 wild types.
 
     Fails where the wild type's median is below the cut-off, or m3's above it; then
     cooperative, anticooperative, ambiguous (up to p_band) or independent.
     """
-    values = replicate_combinations(df)
-    sizes = values.groupBy("name", "ori").agg(F.sum((F.col("kind") == "indiv").cast("int")).alias("a"), F.sum((F.col("kind") == "two").cast("int")).alias("b")).where("a = 27 and b = 3")
-    full = values.join(sizes.select("name", "ori"), ["name", "ori"], "left_semi")
-    medians = full.groupBy("name", "ori").agg(F.median(F.when(F.col("kind") == "two", F.col("value"))).alias("median_two"), F.median(F.when(F.col("kind") == "indiv", F.col("value"))).alias("median_indiv"))
-    m3 = df.where("type = 'm3'").groupBy("name", "ori").agg(F.median("intensity").alias("m3"))
-    up = rank_test(full, ["name", "ori"], "greater").select("name", "ori", F.col("p").alias("p_greater"))
-    down = rank_test(full, ["name", "ori"], "less").select("name", "ori", F.col("p").alias("p_less"))
-    joined = medians.join(m3, ["name", "ori"]).join(up, ["name", "ori"]).join(down, ["name", "ori"]).join(F.broadcast(cutoff))
+    values = replicate_combinations(df, {"m3": F.median(F.when(F.col("type") == "m3", F.col("intensity")))})
+    median = lambda kind: F.median(F.when(F.col("kind") == kind, F.col("value")))
+    sums = rank_sums(values, ["name", "ori"], also={"median_two": median("two"), "median_indiv": median("indiv"), "m3": F.first("m3")})
+    full = sums.where("m = 3 and n = 27 and name is not null and ori is not null").withColumn("method", rank_method(ties_exact))
+    joined = full.withColumns({"p_greater": rank_p("greater"), "p_less": rank_p("less")}).join(F.broadcast(cutoff))
     failed = (F.col("median_two") < F.col("cutoff")) | (F.col("m3") > F.col("cutoff"))
     label = F.when(failed, "fail_cutoff").when(F.col("p_greater") < p_cut, "cooperative").when(F.col("p_less") < p_cut, "anticooperative").when(F.least("p_greater", "p_less") <= p_band, "ambiguous").otherwise("independent")
     return joined.select("name", "ori", "median_two", "median_indiv", "p_greater", "p_less", label.alias("label"))
