@@ -1,11 +1,15 @@
-"""Tails of distributions as column expressions: log gamma, incomplete beta, Student's t, and the hypergeometric sum of Fisher's test."""
+"""Tails of distributions: log gamma, Student's t, and the hypergeometric sum of Fisher's test as column expressions; incomplete beta in numpy on batches of rows."""
 
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 from bindframe.functions.calling import let
 
@@ -17,60 +21,71 @@ TINY = 1e-300
 REACH = 40
 
 
-def log_gamma(x: Column) -> Column:
+def log_gamma[V: (Column, np.ndarray)](x: V, log: Callable[[V], V] = F.log) -> V:
     """ln of gamma(x) for x > 0: the asymptotic series at x + 10, and the recurrence down from there."""
     y = x + 10.0
-    series = (y - 0.5) * F.log(y) - y + 0.5 * math.log(2 * math.pi)
+    series = (y - 0.5) * log(y) - y + 0.5 * math.log(2 * math.pi)
     power = y
     # B(2n) / (2n (2n - 1)) of the Bernoulli numbers
     for n, b in enumerate((1 / 6, -1 / 30, 1 / 42, -1 / 30, 5 / 66, -691 / 2730), 1):
-        series = series + F.lit(b / (2 * n * (2 * n - 1))) / power
+        series = series + (b / (2 * n * (2 * n - 1))) / power
         power = power * y * y
     product = x
     for i in range(1, 10):
         product = product * (x + float(i))
-    return series - F.log(product)
+    return series - log(product)
 
 
-def log_gamma_step(a: Column, b: Column) -> Column:
+def _log_gamma_step(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """ln of gamma(a + b) / gamma(a); by its series where a is so large that the difference of two logs would lose digits."""
-    series = b * F.log(a) + b * (b - 1) / (2 * a) - b * (b - 1) * (2 * b - 1) / (12 * a * a)
-    return F.when((a > 1e6) & (b < 1e3), series).otherwise(log_gamma(a + b) - log_gamma(a))
-
-
-def _fraction(a: Column, b: Column, x: Column) -> Column:
-    """The continued fraction of the incomplete beta function, step by step from the front."""
-    safe = lambda v: F.when(F.abs(v) < TINY, F.lit(TINY)).otherwise(v)
-    start = let(1 / safe(1 - (a + b) * x / (a + 1)), lambda d: F.struct(F.lit(1.0).alias("c"), d.alias("d"), d.alias("h")))
-
-    def half(acc: Column, term: Column) -> Column:
-        return let(
-            F.struct((1 / safe(1 + term * acc["d"])).alias("d"), safe(1 + term / acc["c"]).alias("c")),
-            lambda s: F.struct(s["c"].alias("c"), s["d"].alias("d"), (acc["h"] * s["c"] * s["d"]).alias("h")))
-
-    def step(acc: Column, m: Column) -> Column:
+    series = b * np.log(a) + b * (b - 1) / (2 * a) - b * (b - 1) * (2 * b - 1) / (12 * a * a)
+    return np.where((a > 1e6) & (b < 1e3), series, log_gamma(a + b, np.log) - log_gamma(a, np.log))
+
+
+def _fraction(a: np.ndarray, b: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """The continued fraction of the incomplete beta function from the front; a row goes on until a step leaves it as it is, STEPS at most."""
+    safe = lambda v: np.where(np.abs(v) < TINY, TINY, v)
+    out = np.empty_like(x)
+    at = np.arange(len(x))
+    c, d = np.ones_like(x), 1 / safe(1 - (a + b) * x / (a + 1))
+    h = d
+    for m in range(1, STEPS + 1):
         even = m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m))
         odd = -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1))
-        return let(half(acc, even), lambda s: half(s, odd))
-
-    return F.aggregate(F.sequence(F.lit(1), F.lit(STEPS)), start, lambda acc, m: step(acc, m.cast("double")))["h"]
+        d, c = 1 / safe(1 + even * d), safe(1 + even / c)
+        near = h * c * d
+        d, c = 1 / safe(1 + odd * d), safe(1 + odd / c)
+        new = near * c * d
+        going = ~((np.abs(near - h) <= 1e-16 * np.abs(h)) & (np.abs(new - near) <= 1e-16 * np.abs(h))) & ~np.isnan(new)
+        h = new
+        if not going.all():
+            out[at[~going]] = h[~going]
+            at, a, b, x, c, d, h = (v[going] for v in (at, a, b, x, c, d, h))
+        if not len(at):
+            break
+    out[at] = h
+    return out
+
+
+@F.pandas_udf(DoubleType())
+def _beta_of_batch(a: pd.Series, b: pd.Series, x: pd.Series, rest: pd.Series) -> pd.Series:
+    a, b, x, rest = (v.to_numpy("float64", na_value=np.nan) for v in (a, b, x, rest))
+    with np.errstate(all="ignore"):
+        turn = x >= (a + 1) / (a + b + 2)
+        p, q, near, far = np.where(turn, b, a), np.where(turn, a, b), np.where(turn, rest, x), np.where(turn, x, rest)
+        large, small = np.maximum(p, q), np.minimum(p, q)
+        front = np.exp(_log_gamma_step(large, small) - log_gamma(small, np.log) + p * np.log(near) + q * np.where(near < 0.5, np.log1p(-near), np.log(far)))
+        tail = front * _fraction(p, q, near) / p
+        value = np.where(x <= 0, 0.0, np.where(rest <= 0, 1.0, np.where(turn, 1 - tail, tail)))
+    return pd.Series(value).where(~np.isnan(x), None)
 
 
 def incomplete_beta(a: Column, b: Column, x: Column, rest: Column | None = None) -> Column:
     """The regularised incomplete beta function I_x(a, b) for 0 <= x <= 1, by the fraction on the side where it settles fast.
 
-    rest is 1 - x, for callers that know it to more digits than x leaves.
+    rest is 1 - x, for callers that know it to more digits than x leaves. Null or NaN gives null.
     """
-    rest = 1 - x if rest is None else rest
-
-    def of(v: Column) -> Column:
-        front = F.exp(F.when(v["a"] >= v["b"], log_gamma_step(v["a"], v["b"]) - log_gamma(v["b"])).otherwise(log_gamma_step(v["b"], v["a"]) - log_gamma(v["a"])) + v["a"] * F.log(v["x"]) + v["b"] * F.when(v["x"] < 0.5, F.log1p(-v["x"])).otherwise(F.log(v["y"])))
-        near = front * _fraction(v["a"], v["b"], v["x"]) / v["a"]
-        return F.when(v["turn"], 1 - near).otherwise(near)
-
-    turn = x >= (a + 1) / (a + b + 2)
-    pick = F.struct(F.when(turn, b).otherwise(a).alias("a"), F.when(turn, a).otherwise(b).alias("b"), F.when(turn, rest).otherwise(x).alias("x"), F.when(turn, x).otherwise(rest).alias("y"), turn.alias("turn"))
-    return F.when(x <= 0, F.lit(0.0)).when(rest <= 0, F.lit(1.0)).otherwise(let(pick, of))
+    return _beta_of_batch(a, b, x, 1 - x if rest is None else rest)
 
 
 def t_p(t: Column, dof: Column, side: str = "two") -> Column:
