@@ -71,12 +71,13 @@ def nearest_join(a: DataFrame, b: DataFrame, width: int = 20_000) -> DataFrame:
     ends = marks.groupBy("chr", "_bin").agg(F.min("near").alias("_lo"), F.max("near").alias("_hi"))
     own = a.withColumn("_bin", F.floor(F.col("pos") / width))
     bins = ends.select("chr", "_bin").union(own.select("chr", "_bin")).distinct().join(ends, ["chr", "_bin"], "left")
-    by = W.partitionBy("chr").orderBy("_bin")
-    carried = bins.select("chr", "_bin", F.last("_hi", True).over(by.rowsBetween(W.unboundedPreceding, -1)).alias("_before"), F.first("_lo", True).over(by.rowsBetween(1, W.unboundedFollowing)).alias("_after"))
+    # what is ahead is looked for in turned order, since a frame to the end of a partition is gone through anew for every row
+    by = lambda *order: W.partitionBy("chr").orderBy(*order).rowsBetween(W.unboundedPreceding, -1)
+    carried = bins.select("chr", "_bin", F.last("_hi", True).over(by("_bin")).alias("_before"), F.last("_lo", True).over(by(F.desc("_bin"))).alias("_after"))
     both = own.withColumn("near", F.lit(None).cast("long")).withColumn("_own", F.lit(1)).unionByName(marks.withColumn("pos", F.col("near")).withColumn("_own", F.lit(0)), allowMissingColumns=True)
-    order = W.partitionBy("chr", "_bin").orderBy("pos", "_own")
-    low = F.last("near", True).over(order.rowsBetween(W.unboundedPreceding, 0))
-    high = F.first("near", True).over(order.rowsBetween(0, W.unboundedFollowing))
+    order = lambda *order: W.partitionBy("chr", "_bin").orderBy(*order).rowsBetween(W.unboundedPreceding, 0)
+    low = F.last("near", True).over(order("pos", "_own"))
+    high = F.last("near", True).over(order(F.desc("pos"), "_own"))
     seen = both.withColumn("_low", low).withColumn("_high", high).where("_own = 1").join(carried, ["chr", "_bin"], "left")
     below, above = F.coalesce("_low", "_before"), F.coalesce("_high", "_after")
     pick = F.when(above.isNull() | (F.col("pos") - below <= above - F.col("pos")), below).otherwise(above)
@@ -89,34 +90,95 @@ def closest_sites(s1: DataFrame, s2: DataFrame) -> DataFrame:
     return nearest_join(s1.withColumn("pos", mid), s2.select("chr", mid.alias("pos"))).withColumnRenamed("pos", "mid_1").withColumnRenamed("near", "mid_2")
 
 
+def _in_bins(df: DataFrame, width: int) -> DataFrame:
+    """df in each bin that its interval touches: with `_bin` and the part inside, `_from` and `_to` (0 to width, both ends closed)."""
+    dealt = df.withColumn("_bin", F.explode(F.sequence(F.floor(F.col("start_pos") / width), F.floor(F.col("end_pos") / width))))
+    return dealt.withColumns({"_from": F.greatest(F.col("start_pos") - F.col("_bin") * width, F.lit(0)), "_to": F.least(F.col("end_pos") - F.col("_bin") * width, F.lit(width))})
+
+
+#: Sums at a position of a bin: values and values times place that begin and end there, and intervals (n) and those with a value (v)
+#: that begin there, came into the bin, and end there.
+_SUMS = ("b", "bx", "e", "ex", *(f"{kind}_{what}" for kind in ("n", "v") for what in ("own", "in", "out")))
+
+
+def overlap_totals(a: DataFrame, b: DataFrame, value: Column | None = None, width: int = BIN) -> DataFrame:
+    """(chr, start_pos, end_pos, n, v, area) of the distinct intervals of a that share a base with one of b: how many they share one with, how many
+    of these have a value, and the sum of (clipped end - clipped start) * value, null without any.
+
+    No pair is made. What b has in a bin is added up by position first, so a bin holds `width` + 1 rows of it at most; running
+    sums inside the bin then answer for the ends of each interval of a. They start at 0 in every bin, so a sum loses no more
+    digits than the bin's own. Rows that running sums can't hold (ends before starts, values that are no finite number) go through `interval_join`.
+    """
+    keys = ["chr", "start_pos", "end_pos"]
+    own = a.select(*keys).distinct()
+    other = b.select(*keys, (F.lit(0.0) if value is None else value).alias("_w")).where("chr is not null and start_pos is not null and end_pos is not null")
+    plain = F.coalesce(~F.isnan(F.col("_w").cast("double")) & (F.abs(F.col("_w").cast("double")) < float("inf")), F.lit(True)) & (F.col("start_pos") <= F.col("end_pos"))
+    ordered = F.col("start_pos") <= F.col("end_pos")
+
+    held, w, zero = _in_bins(other.where(plain), width), F.coalesce(F.col("_w"), F.lit(0)), F.lit(0)
+    begins, leaves = F.floor(F.col("start_pos") / width) == F.col("_bin"), F.floor(F.col("end_pos") / width) == F.col("_bin")
+    counts = lambda *flags: [(F.when(has, flag.cast("long")).otherwise(F.lit(0)) if flag is not None else F.lit(0).cast("long")) for has in (F.lit(True), F.col("_w").isNotNull()) for flag in flags]
+    point = lambda at, *sums: F.struct(F.col(at).alias("_at"), *(x.alias(n) for x, n in zip(sums, _SUMS, strict=True)))
+    points = F.array(point("_from", w, w * F.col("_from"), w * 0, w * F.col("_from") * 0, *counts(begins, ~begins, None)), point("_to", w * 0, w * F.col("_to") * 0, w, w * F.col("_to"), *counts(None, None, leaves)))
+    marks = held.select("chr", "_bin", F.explode(points).alias("_p")).select("chr", "_bin", "_p.*").groupBy("chr", "_bin", "_at").agg(*(F.sum(n).alias(n) for n in _SUMS))
+
+    asked = _in_bins(own.where(ordered), width)
+    ends = asked.select(*keys, "_bin", (F.floor(F.col("start_pos") / width) == F.col("_bin")).alias("_first"), F.explode(F.array(F.struct(F.col("_from").alias("_at"), F.lit(-1).alias("_side")), F.struct(F.col("_to").alias("_at"), F.lit(1).alias("_side")))).alias("_p")).select(*keys, "_bin", "_first", "_p.*")
+    both = ends.unionByName(marks, allowMissingColumns=True)
+    upto = W.partitionBy("chr", "_bin").orderBy("_at").rangeBetween(W.unboundedPreceding, 0)
+    before = W.partitionBy("chr", "_bin").orderBy("_at").rangeBetween(W.unboundedPreceding, -1)
+    total = lambda n, over=upto: F.coalesce(F.sum(n).over(over), zero)
+    area = F.col("_at") * (total("b") - total("e")) - total("bx") + total("ex")
+    # the place `width` is the next bin's, whose own beginnings count there
+    reached = {k: F.when(F.col("_side") == 1, F.when(F.col("_at") < width, total(f"{k}_own")).otherwise(total(f"{k}_own", before)) + F.when(F.col("_first"), total(f"{k}_in")).otherwise(zero)).otherwise(F.when(F.col("_first"), -total(f"{k}_out", before)).otherwise(zero)) for k in ("n", "v")}
+    summed = both.select(*keys, "_side", area.alias("_area"), *(c.alias(f"_{k}") for k, c in reached.items())).where("_side is not null")
+    found = summed.groupBy(*keys).agg(F.sum("_n").alias("n"), F.sum("_v").alias("v"), F.sum(F.col("_side") * F.col("_area")).alias("area")).where("n > 0")
+
+    odd = interval_join(own, other.where(~plain)).unionByName(interval_join(own.where(~ordered), other.where(plain)))
+    clipped = F.least("end_pos_a", "end_pos_b") - F.greatest("start_pos_a", "start_pos_b")
+    rest = odd.groupBy("chr", F.col("start_pos_a").alias("start_pos"), F.col("end_pos_a").alias("end_pos")).agg(F.count("*").alias("n"), F.count("_w_b").alias("v"), F.sum(clipped * F.col("_w_b")).alias("area"))
+    every = found.withColumn("area", F.when(F.col("v") > 0, F.col("area"))).unionByName(rest)
+    return every.groupBy(*keys).agg(F.sum("n").alias("n"), F.sum("v").alias("v"), F.sum("area").alias("area"))
+
+
+def _contained(sites: DataFrame, peaks: DataFrame, width: int = BIN) -> DataFrame:
+    """The distinct (chr, start_pos, end_pos) of sites that lie inside a peak: by the farthest end of the peaks that began, bin by bin."""
+    keys = ["chr", "start_pos", "end_pos"]
+    far = _in_bins(peaks.select(*keys).where("start_pos <= end_pos"), width).groupBy("chr", "_bin", F.col("_from").alias("_at")).agg(F.max("end_pos").alias("_far"))
+    own = sites.select(*keys).distinct().withColumn("_bin", F.floor(F.col("start_pos") / width)).withColumn("_at", F.col("start_pos") - F.col("_bin") * width)
+    by = W.partitionBy("chr", "_bin").orderBy("_at").rangeBetween(W.unboundedPreceding, 0)
+    reach = own.unionByName(far, allowMissingColumns=True).withColumn("_reach", F.max("_far").over(by)).where("start_pos is not null")
+    return reach.where("start_pos <= end_pos and end_pos <= _reach").select(*keys)
+
+
 def heterotypic_pairs(p1: DataFrame, p2: DataFrame, s1: DataFrame, s2: DataFrame, least: int, most: int) -> DataFrame:
-    """Neighbouring sites of two factors in overlapping peaks, from either side, strictly between two distances."""
-    both = overlapping_peaks(p1.select("chr", "start_pos", "end_pos"), p2.select("chr", "start_pos", "end_pos"))
+    """Neighbouring sites of two factors in overlapping peaks, from either side, strictly between two distances.
 
-    def inside(sites: DataFrame, n: int) -> DataFrame:
-        own = both.select("chr", F.col(f"start_pos_{n}").alias("start_pos"), F.col(f"end_pos_{n}").alias("end_pos")).distinct()
-        held = interval_join(sites.select("chr", "start_pos", "end_pos"), own, "within")
-        return held.select("chr", F.expr("(start_pos_a + end_pos_a) div 2").alias("pos")).distinct()
+    No pair of peaks is made: a peak counts if it overlaps any of the other factor.
+    """
 
-    a, b = inside(s1, 1), inside(s2, 2)
+    def inside(sites: DataFrame, own: DataFrame, other: DataFrame) -> DataFrame:
+        return _contained(sites, overlap_totals(own, other)).select("chr", F.expr("(start_pos + end_pos) div 2").alias("pos")).distinct()
+
+    a, b = inside(s1, p1, p2), inside(s2, p2, p1)
     there = nearest_join(a, b).select("chr", F.col("pos").alias("mid_1"), F.col("near").alias("mid_2"), "distance")
     back = nearest_join(b, a).select("chr", F.col("near").alias("mid_1"), F.col("pos").alias("mid_2"), "distance")
     return there.union(back).where((F.col("distance") > least) & (F.col("distance") < most)).distinct()
 
 
 def pileup_area(peaks: DataFrame, pileup: DataFrame, log: bool = False) -> DataFrame:
-    """A1: sum over overlaps of (clipped end - clipped start) * value for each peak; no one is added to a width."""
-    joined = interval_join(peaks.select("chr", "start_pos", "end_pos"), pileup.select("chr", "start_pos", "end_pos", "pileup"))
-    width = F.least("end_pos_a", "end_pos_b") - F.greatest("start_pos_a", "start_pos_b")
-    out = joined.groupBy("chr", F.col("start_pos_a").alias("start_pos"), F.col("end_pos_a").alias("end_pos")).agg(F.sum(width * F.col("pileup_b")).alias("area"))
+    """A1: sum over overlaps of (clipped end - clipped start) * value for each peak, as often as the peak is there; no one is added to a width."""
+    keys = ["chr", "start_pos", "end_pos"]
+    times = peaks.groupBy(*keys).agg(F.count("*").alias("_times"))
+    out = overlap_totals(peaks, pileup, F.col("pileup")).join(times, keys).select(*keys, (F.col("area") * F.col("_times")).alias("area"))
     return out.withColumn("area", F.log(F.col("area") + 1)) if log else out
 
 
 def site_count(peaks: DataFrame, sites: DataFrame, zeros: bool = False) -> DataFrame:
     """A2: overlapping sites of each peak; peaks with none are left out, or 0."""
-    own = peaks.select("chr", "start_pos", "end_pos").distinct()
-    found = interval_join(own, sites.select("chr", "start_pos", "end_pos")).groupBy("chr", F.col("start_pos_a").alias("start_pos"), F.col("end_pos_a").alias("end_pos")).agg(F.count("*").alias("n_sites"))
-    return own.join(found, ["chr", "start_pos", "end_pos"], "left").fillna(0, ["n_sites"]) if zeros else found
+    keys = ["chr", "start_pos", "end_pos"]
+    found = overlap_totals(peaks, sites).select(*keys, F.col("n").alias("n_sites"))
+    return peaks.select(*keys).distinct().join(found, keys, "left").fillna(0, ["n_sites"]) if zeros else found
 
 
 def consecutive_sites(peaks: DataFrame, sites: DataFrame, most: float | None = None) -> DataFrame:
@@ -131,8 +193,7 @@ def consecutive_sites(peaks: DataFrame, sites: DataFrame, most: float | None = N
 def uncovered_peaks(open_peaks: DataFrame, bound: DataFrame) -> DataFrame:
     """Open-chromatin peaks that no bound peak overlaps."""
     keys = ["chr", "start_pos", "end_pos"]
-    hit = interval_join(open_peaks.select(*keys).distinct(), bound.select(*keys).distinct()).select("chr", F.col("start_pos_a").alias("start_pos"), F.col("end_pos_a").alias("end_pos")).distinct()
-    return open_peaks.join(hit, keys, "left_anti")
+    return open_peaks.join(overlap_totals(open_peaks, bound).select(*keys), keys, "left_anti")
 
 
 def genomic_rank(chromosomes: list[str]) -> Column:

@@ -1,11 +1,12 @@
 """What fails at size: rows with equal values, and plans whose work must not grow faster than their input."""
 
 import math
+import random
 
 from pyspark.sql import functions as F
 
 from bindframe.functions import tails
-from bindframe.operators import replicates
+from bindframe.operators import intervals, replicates
 
 
 def plan_of(df):
@@ -37,3 +38,44 @@ def test_beta_runs_on_batches(spark):
     # closed form at 3 degrees of freedom
     upper = lambda t: 0.5 - (t / math.sqrt(3) / (1 + t * t / 3) + math.atan(t / math.sqrt(3))) / math.pi
     assert [round(r.p, 9) for r in df.collect()] == [round(2 * upper(t), 9) for t in range(5)]
+
+
+def test_overlap_totals_against_pairs(spark):
+    rnd = random.Random(5)
+    value = lambda: rnd.choice([1.5, 2.25, -4.0, 0.1, None] + [float("inf")] * (rnd.random() < 0.05))
+    spots = [0, 1, 6, 7, 8, 15, 16, 17, 24, 30, 31, 32, 33, 63, 64, 65]
+    span = lambda: (s := rnd.choice(spots), s + rnd.choice([0, 0, 1, 7, 8, 9, 16, 40] + [-3] * (rnd.random() < 0.1)))
+    a = [("c", *span()) for _ in range(60)] + [("d", 1, 5), (None, 1, 5), ("c", None, 5)]
+    b = [("c", *span(), value()) for _ in range(90)] + [("e", 1, 5, 1.0), (None, 1, 5, 1.0), ("c", 3, None, 1.0)]
+    want = {}
+    for c, s, e in {x for x in a if None not in x}:
+        hit = [(min(e, y) - max(s, x), w) for k, x, y, w in b if None not in (k, x, y) and k == c and x <= e and s <= y]
+        if hit:
+            held = [width * w for width, w in hit if w is not None]
+            want[c, s, e] = (len(hit), len(held), sum(held) if held else None)
+    at = "chr string, start_pos long, end_pos long"
+    found = intervals.overlap_totals(spark.createDataFrame(a, at), spark.createDataFrame(b, f"{at}, w double"), F.col("w"), width=8)
+    got = {(r.chr, r.start_pos, r.end_pos): (r.n, r.v, r.area) for r in found.collect()}
+    assert got.keys() == want.keys()
+    for k, (n, held, area) in want.items():
+        assert got[k][:2] == (n, held), k
+        same = (math.isnan(area) and math.isnan(got[k][2])) if area is not None and math.isnan(area) else got[k][2] == area if area is None or math.isinf(area) else abs(got[k][2] - area) < 1e-9
+        assert same, (k, area, got[k])
+
+
+def test_peaks_and_sites_make_no_pairs(spark):
+    at = "chr string, start_pos long, end_pos long"
+    n = 3000
+    a = spark.range(n).selectExpr("'c' as chr", "id % 7 as start_pos", "id % 7 + 20 as end_pos")
+    b = spark.range(n).selectExpr("'c' as chr", "id % 5 as start_pos", "id % 5 + 9 as end_pos", "1.0D as pileup")
+    # nine million pairs, of seven different peaks
+    found = intervals.overlap_totals(a, b, F.col("pileup"))
+    assert sorted((r.start_pos, r.n) for r in found.collect()) == [(i, n) for i in range(7)]
+    joins = [line for line in plan_of(intervals.pileup_area(a, b)).splitlines() if "Join" in line and "_bin" in line]
+    assert all("start_pos_a" in line for line in joins) and len(joins) <= 2
+    assert spark.createDataFrame([("c", 1, 2)], at).transform(lambda df: intervals._contained(df, a)).count() == 1
+
+
+def test_nearest_looks_back_only(spark):
+    a, b = spark.createDataFrame([("c", 1)], "chr string, pos long"), spark.createDataFrame([("c", 5)], "chr string, pos long")
+    assert "unboundedfollowing" not in plan_of(intervals.nearest_join(a, b)).lower()
