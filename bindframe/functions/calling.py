@@ -12,6 +12,9 @@ from functools import reduce
 from itertools import product
 from operator import add
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -43,11 +46,28 @@ def window_codes(ranks: Column, k: int) -> Column:
     return F.when(F.size(ranks) >= k, F.transform(F.sequence(F.lit(0), F.size(ranks) - k), code)).otherwise(F.array().cast("array<int>"))
 
 
-def changed_codes(codes: Column, ranks: Column, position: Column, base: Column, k: int) -> Column:
-    """The window codes of a sequence with the base of one position replaced."""
-    gain = base - F.get(ranks, position)
-    power = lambda w: F.pow(F.lit(4.0), (k - 1) - (position - w)).cast("int")
-    return F.transform(codes, lambda c, w: c + F.when((w <= position) & (position < w + k), gain * power(w)).otherwise(F.lit(0)))
+def _windows_of_batch(texts: pa.Array, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """The codes of all windows of k bases of a batch of sequences, one after the other, -1 for windows with other signs, and how many windows each sequence has; null has none."""
+    # another sign than a base counts as one, whatever its bytes
+    plain = pc.replace_substring_regex(pc.fill_null(texts.cast(pa.string()), ""), "[^\\x00-\\x7F]", "N")
+    ends = np.frombuffer(plain.buffers()[1], np.int32)[plain.offset : plain.offset + len(plain) + 1].astype(np.int64) if len(plain) else np.zeros(1, np.int64)
+    data = np.frombuffer(plain.buffers()[2], np.uint8)[ends[0] : ends[-1]] if ends[-1] > ends[0] else np.zeros(0, np.uint8)
+    rank = np.full(256, -1, np.int64)
+    rank[np.frombuffer(BASES.encode(), np.uint8)] = np.arange(len(BASES))
+    ranks = rank[data]
+    sizes = np.maximum(np.diff(ends) - (k - 1), 0)
+    # where each window starts in the letters of the batch
+    first = np.repeat(ends[:-1] - ends[0] - (np.cumsum(sizes) - sizes), sizes) + np.arange(sizes.sum())
+    codes, right = np.zeros(len(first), np.int64), np.ones(len(first), bool)
+    for j in range(k):
+        at = ranks[first + j]
+        codes = codes * len(BASES) + at
+        right &= at >= 0
+    return np.where(right, codes, -1), sizes
+
+
+def _offsets(sizes: np.ndarray) -> pa.Array:
+    return pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32())
 
 
 @dataclass(frozen=True)
@@ -76,6 +96,77 @@ class Caller:
     def codes_of(self, seq: Column) -> Column:
         return let(digits(seq), lambda d: window_codes(d, self.k))
 
+    def sites_on_batches(self, seq: Column) -> Column:
+        """As `sites_of`, by numpy on batches of rows; not for the inside of lambdas."""
+        k, scores, above = self.k, np.array(self.scores), self.above
+
+        @F.arrow_udf("array<int>")
+        def sites(texts: pa.Array) -> pa.Array:
+            codes, sizes = _windows_of_batch(texts, k)
+            hit = (codes >= 0) & (scores[codes] > above)
+            row = np.repeat(np.arange(len(sizes)), sizes)[hit]
+            start = (np.arange(len(codes)) - np.repeat(np.cumsum(sizes) - sizes, sizes))[hit]
+            return pa.ListArray.from_arrays(_offsets(np.bincount(row, minlength=len(sizes))), pa.array(start, pa.int32()))
+
+        return sites(seq)
+
+    def scores_on_batches(self, seq: Column) -> Column:
+        """The score of each window in order, null for windows with other signs than bases, by numpy on batches of rows; not for the inside of lambdas."""
+        k, scores = self.k, np.array(self.scores)
+
+        @F.arrow_udf("array<double>")
+        def found(texts: pa.Array) -> pa.Array:
+            codes, sizes = _windows_of_batch(texts, k)
+            return pa.ListArray.from_arrays(_offsets(sizes), pa.array(scores[codes], pa.float64(), mask=codes < 0))
+
+        return found(seq)
+
+    def weakest_change(self, seq: Column, target: Column, low: Column, high: Column, allowed: Column, change: float | None) -> Column:
+        """4 * position + rank of the single-base change of I9 that takes the site at target away, or null; see `abolish_core`. On batches of rows."""
+        k, scores, above = self.k, np.array(self.scores), self.above
+
+        @F.arrow_udf("int")
+        def found(texts: pa.Array, targets: pa.Array, lows: pa.Array, highs: pa.Array, alloweds: pa.Array) -> pa.Array:
+            codes, sizes = _windows_of_batch(texts, k)
+            begin = np.cumsum(sizes) - sizes
+            site = (codes >= 0) & (scores[codes] > above)
+            number = lambda x: pc.fill_null(x.cast(pa.int64()), -1).to_numpy(zero_copy_only=False)
+            t = number(targets)
+            rows = np.flatnonzero((t >= 0) & (t < sizes) & pc.is_valid(lows).to_numpy(zero_copy_only=False) & pc.is_valid(highs).to_numpy(zero_copy_only=False))
+            rows = rows[site[begin[rows] + t[rows]]]
+            free = np.zeros(len(codes), bool)
+            parents, places = pc.list_parent_indices(alloweds).to_numpy(zero_copy_only=False), number(pc.list_flatten(alloweds))
+            inside = (places >= 0) & (places < sizes[parents])
+            free[begin[parents[inside]] + places[inside]] = True
+            t, lo, hi, size, begin = t[rows], number(lows)[rows], number(highs)[rows], sizes[rows], begin[rows]
+            own = codes[begin + t]
+            least, best = np.full(len(rows), np.inf), np.full(len(rows), -1)
+            for j in range(k):
+                p, weight = t + j, 4 ** (k - 1 - j)
+                for b in range(4):
+                    delta = b - own // weight % 4
+                    after = scores[own + delta * weight]
+                    good = (after < scores[own]) & (after < least) & (p >= lo) & (p < hi)
+                    # only windows over the position change
+                    for back in range(k):
+                        if back == j:
+                            continue
+                        w = p - back
+                        there = (w >= 0) & (w < size)
+                        at = begin + np.where(there, w, 0)
+                        there &= codes[at] >= 0
+                        new = scores[np.where(there, codes[at] + delta * 4 ** (k - 1 - back), 0)]
+                        was, now, kept = there & site[at], there & (new > above), ~free[at]
+                        good &= ~(now & ~was) & ~(was & ~now & kept)
+                        if change is not None:
+                            good &= ~(was & kept & (np.abs(new - scores[codes[at]]) > change))
+                    least, best = np.where(good, after, least), np.where(good, 4 * p + b, best)
+            out = np.full(len(sizes), -1)
+            out[rows] = np.where(least <= above, best, -1)
+            return pa.array(out, pa.int32(), mask=out < 0)
+
+        return found(seq, target, low, high, allowed)
+
     def sites_of(self, seq: Column) -> Column:
         return let(self.codes_of(seq), self.sites)
 

@@ -5,8 +5,8 @@ import random
 
 from pyspark.sql import functions as F
 
-from bindframe.functions import tails
-from bindframe.operators import intervals, replicates
+from bindframe.functions import calling, tails
+from bindframe.operators import intervals, mutation, replicates
 
 
 def plan_of(df):
@@ -79,3 +79,13 @@ def test_peaks_and_sites_make_no_pairs(spark):
 def test_nearest_looks_back_only(spark):
     a, b = spark.createDataFrame([("c", 1)], "chr string, pos long"), spark.createDataFrame([("c", 5)], "chr string, pos long")
     assert "unboundedfollowing" not in plan_of(intervals.nearest_join(a, b)).lower()
+
+
+def test_sites_on_batches_equal_expressions(spark):
+    caller = calling.Caller(2, tuple(i / 16 for i in range(16)), 0.4)
+    texts = ["ACGTTGCA", None, "", "A", "GT", "AéGTT", "acGT", "TT", "NNGTN", "😀GT"]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, s string").coalesce(1)
+    scores = F.transform(caller.codes_of(F.col("s")), caller.score)
+    for r in df.select("s", caller.sites_of(F.col("s")).alias("x"), caller.sites_on_batches(F.col("s")).alias("y"), scores.alias("a"), caller.scores_on_batches(F.col("s")).alias("b")).collect():
+        assert (r.x, r.a) == (r.y, r.b), r.s
+    assert "Python" in plan_of(df.withColumn("target", F.lit(0)).withColumnRenamed("s", "sequence").transform(lambda x: mutation.abolish_core(x, caller)))
