@@ -1,12 +1,14 @@
 """What fails at size: rows with equal values, and plans whose work must not grow faster than their input."""
 
+import ast
 import math
+import pathlib
 import random
 
 from pyspark.sql import functions as F
 
 from bindframe.functions import calling, tails
-from bindframe.operators import intervals, mutation, replicates
+from bindframe.operators import intervals, mutation, replicates, sites
 
 
 def plan_of(df):
@@ -89,3 +91,16 @@ def test_sites_on_batches_equal_expressions(spark):
     for r in df.select("s", caller.sites_of(F.col("s")).alias("x"), caller.sites_on_batches(F.col("s")).alias("y"), scores.alias("a"), caller.scores_on_batches(F.col("s")).alias("b")).collect():
         assert (r.x, r.a) == (r.y, r.b), r.s
     assert "Python" in plan_of(df.withColumn("target", F.lit(0)).withColumnRenamed("s", "sequence").transform(lambda x: mutation.abolish_core(x, caller)))
+
+
+def test_no_name_is_defined_twice():
+    for path in pathlib.Path(sites.__file__).parents[1].rglob("*.py"):
+        names = [n.name for n in ast.parse(path.read_text()).body if isinstance(n, ast.FunctionDef | ast.ClassDef)]
+        assert len(names) == len(set(names)), path
+
+
+def test_kernel_windows_are_not_joined_with_vectors(spark):
+    windows = spark.createDataFrame([("k", 0, "ACG"), ("k", 1, "CGT")], "key string, start int, window string")
+    vectors = spark.createDataFrame([(1, 0.5, 1, 1.0)], "sv_id int, coef double, idx int, val double")
+    found = sites.kernel_score(windows, vectors, 0.1, 0.0)
+    assert plan_of(found).count("Join") == 1 and "MapInArrow" in plan_of(found)
