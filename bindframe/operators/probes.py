@@ -15,6 +15,7 @@ from bindframe.operators.models import cross_validated_folds
 from bindframe.operators.replicates import rank_test
 from bindframe.operators.rows import dense_ids
 from bindframe.operators.sites import pwm_scan
+from bindframe.sources.shared import saved
 
 
 def two_sites(df: DataFrame, rows: list[dict[str, float]], above: float) -> DataFrame:
@@ -52,6 +53,8 @@ def mutant_table(pairs: DataFrame, caller: Caller, cores: list[str], flank: int
     are added by `score_table` of the models.
     """
     k = caller.k
+    # written once, since six branches read them
+    pairs = saved(pairs)
     both = pairs.select("key", F.col("sequence").alias("original"))
     core = mutation.still_called(design.mutate_core(pairs, cores), caller).select("key", "sequence", F.lit("affinity").alias("muttype"), F.concat(F.lit("core:"), "site", F.lit(":"), "core").alias("comment"))
     near = design.mutate_flank(pairs, k, flank).join(both, "key")
@@ -60,9 +63,9 @@ def mutant_table(pairs: DataFrame, caller: Caller, cores: list[str], flank: int
     turned = mutation.still_called(design.mutate_orientation(pairs, k), caller).select("key", "sequence", F.lit("orientation").alias("muttype"), F.concat(F.lit("turned:"), "turned").alias("comment"))
     wild = mutation.still_called(design.wild_type_rows(pairs), caller).select("key", "sequence", "muttype", F.lit("wt").alias("comment"))
     rows = reduce(DataFrame.unionByName, (core, flanks, moved, turned, wild))
-    codes, at = F.col("_codes"), lambda i: F.get("_sites", F.lit(i))
-    called = rows.withColumn("_codes", caller.codes_of(F.col("sequence"))).withColumn("_sites", caller.sites(codes))
-    score = lambda i: caller.score(F.get(codes, at(i)))
+    at = lambda i: F.get("_sites", F.lit(i))
+    called = rows.withColumn("_sites", caller.sites_on_batches(F.col("sequence"))).withColumn("_scores", caller.scores_on_batches(F.col("sequence")))
+    score = lambda i: F.get("_scores", at(i))
     return called.select("key", "sequence", "muttype", "comment", at(0).alias("pos_1"), at(1).alias("pos_2"), score(0).alias("score_1"), score(1).alias("score_2"), (at(1) - at(0)).alias("distance"))
 
 
