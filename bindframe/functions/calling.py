@@ -46,7 +46,7 @@ def window_codes(ranks: Column, k: int) -> Column:
     return F.when(F.size(ranks) >= k, F.transform(F.sequence(F.lit(0), F.size(ranks) - k), code)).otherwise(F.array().cast("array<int>"))
 
 
-def _windows_of_batch(texts: pa.Array, k: int) -> tuple[np.ndarray, np.ndarray]:
+def windows_of_batch(texts: pa.Array, k: int) -> tuple[np.ndarray, np.ndarray]:
     """The codes of all windows of k bases of a batch of sequences, one after the other, -1 for windows with other signs, and how many windows each sequence has; null has none."""
     # another sign than a base counts as one, whatever its bytes
     plain = pc.replace_substring_regex(pc.fill_null(texts.cast(pa.string()), ""), "[^\\x00-\\x7F]", "N")
@@ -102,7 +102,7 @@ class Caller:
 
         @F.arrow_udf("array<int>")
         def sites(texts: pa.Array) -> pa.Array:
-            codes, sizes = _windows_of_batch(texts, k)
+            codes, sizes = windows_of_batch(texts, k)
             hit = (codes >= 0) & (scores[codes] > above)
             row = np.repeat(np.arange(len(sizes)), sizes)[hit]
             start = (np.arange(len(codes)) - np.repeat(np.cumsum(sizes) - sizes, sizes))[hit]
@@ -116,7 +116,7 @@ class Caller:
 
         @F.arrow_udf("array<double>")
         def found(texts: pa.Array) -> pa.Array:
-            codes, sizes = _windows_of_batch(texts, k)
+            codes, sizes = windows_of_batch(texts, k)
             return pa.ListArray.from_arrays(_offsets(sizes), pa.array(scores[codes], pa.float64(), mask=codes < 0))
 
         return found(seq)
@@ -127,7 +127,7 @@ class Caller:
 
         @F.arrow_udf("int")
         def found(texts: pa.Array, targets: pa.Array, lows: pa.Array, highs: pa.Array, alloweds: pa.Array) -> pa.Array:
-            codes, sizes = _windows_of_batch(texts, k)
+            codes, sizes = windows_of_batch(texts, k)
             begin = np.cumsum(sizes) - sizes
             site = (codes >= 0) & (scores[codes] > above)
             number = lambda x: pc.fill_null(x.cast(pa.int64()), -1).to_numpy(zero_copy_only=False)

@@ -8,7 +8,7 @@ import random
 from pyspark.sql import functions as F
 
 from bindframe.functions import calling, tails
-from bindframe.operators import intervals, mutation, replicates, sites
+from bindframe.operators import intervals, mutation, probes, replicates, rows, sites
 
 
 def plan_of(df):
@@ -104,3 +104,21 @@ def test_kernel_windows_are_not_joined_with_vectors(spark):
     vectors = spark.createDataFrame([(1, 0.5, 1, 1.0)], "sv_id int, coef double, idx int, val double")
     found = sites.kernel_score(windows, vectors, 0.1, 0.0)
     assert plan_of(found).count("Join") == 1 and "MapInArrow" in plan_of(found)
+
+
+def test_rounds_write_and_shuffle_nothing(spark, tmp_path):
+    given = [("a", "ACGGATTACGGGATCCATGAC", 3), ("a", "ACGGATTACGGGATCCATGAC", 0), ("b", None, 0)]
+    caller = calling.Caller(2, tuple(float(i % 3) for i in range(16)), 1.5)
+    found = mutation.abolish_site_rounds(spark.createDataFrame(given, "key string, sequence string, target int"), caller, calling.Caller(2, tuple(float(i * 7 % 5) for i in range(16)), 2.5))
+    assert "Repartition" not in plan_of(found) and "parquet" not in plan_of(found)
+    assert {r.key for r in found.collect()} == {"a"}
+    sets = mutation.variant_sets_by_rounds(spark.createDataFrame(given, "key string, sequence string, target int"), caller, caller)
+    assert "Join" not in plan_of(sets) and "parquet" not in plan_of(sets)
+
+
+def test_array_ids_read_their_rows_once(spark):
+    df = spark.createDataFrame([(x, i) for i, x in enumerate(["b", "a", "c", "a", None, "d"])], "x string, i int")
+    assert sorted(map(tuple, rows.with_dense_ids(df, "x").collect()), key=repr) == sorted(map(tuple, df.join(rows.dense_ids(df, "x"), "x").collect()), key=repr)
+    sets = spark.createDataFrame([("k", "ACG", "ACC", "CCG", "CCC")], "key string, wt string, m1 string, m2 string, m3 string")
+    # the one join is with the counts of blocks
+    assert plan_of(probes.array_design(sets, "TT", 2, "C")).count("Join Inner") == 1
