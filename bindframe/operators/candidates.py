@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from bindframe.operators.curves import score_steps
 from bindframe.operators.intervals import candidate_probes, resize_peaks, site_count
-from bindframe.operators.rows import dense_ids
+from bindframe.operators.rows import with_dense_ids
 from bindframe.operators.sites import core_windows, kernel_score
 
 
@@ -31,7 +31,7 @@ def all_candidate_probes(peaks: DataFrame, sites: DataFrame, lengths: Sequence[i
     middle = F.col("seq_start") + length // 2
     rows = rows.withColumn("mid_1", (F.floor(middle - F.col("distance") / 2) - F.col("seq_start") + 1).cast("long")).withColumn("mid_2", (F.floor(middle + F.col("distance") / 2) - F.col("seq_start") + 1).cast("long"))
     named = rows.withColumn("_name", F.concat_ws(":", "chr", "peak_start", "peak_end", "seq_start", "distance")).distinct()
-    return named.join(dense_ids(named, "_name"), "_name").withColumn("key", F.concat(F.lit("sequence"), "id")).drop("_name", "id")
+    return with_dense_ids(named, "_name").withColumn("key", F.concat(F.lit("sequence"), "id")).drop("_name", "id")
 
 
 class Kernel(NamedTuple):

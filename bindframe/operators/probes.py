@@ -13,7 +13,7 @@ from bindframe.functions.sequences import reverse_complement
 from bindframe.operators import design, mutation
 from bindframe.operators.models import cross_validated_folds
 from bindframe.operators.replicates import rank_test
-from bindframe.operators.rows import dense_ids
+from bindframe.operators.rows import with_dense_ids
 from bindframe.operators.sites import pwm_scan
 from bindframe.sources.shared import saved
 
@@ -113,7 +113,7 @@ def array_design(df: DataFrame, primer: str, replicates: int, prefix: str, width
     each = df.select("key", F.explode(F.array(*(F.struct(F.lit(x).alias("kind"), F.col(x).alias("sequence")) for x in kinds))).alias("v"))
     rows = design.array_rows(each.select(F.concat_ws("_", "key", "v.kind").alias("key"), "v.sequence"), primer, replicates)
     typed = rows.select(F.concat("key", F.lit("_"), "ori", F.lit("_r"), "rep").alias("type"), "sequence")
-    numbered = typed.join(dense_ids(typed, "type"), "type")
+    numbered = with_dense_ids(typed, "type")
     text = F.concat(F.lit(prefix), F.lpad(F.col("id").cast("string"), max(1, width - len(prefix)), "0"))
     return numbered.select(text.alias("id"), "sequence", F.lit("Na|Na").alias("score"), F.lit("Na").alias("kind"), "type", F.lit("chr1:0-0").alias("coordinate"))
 
