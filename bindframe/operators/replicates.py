@@ -4,12 +4,14 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
+from bindframe.functions.ranks import TYPES, rank_sums_of
 from bindframe.operators.curves import adjusted_p, quantiles
 
 
@@ -92,6 +94,19 @@ def rank_sums(df: DataFrame, keys: list[str], first: str = "two", second: str =
     return sums.where("m > 0 and n > 0").withColumn("u", F.col("_sum") - F.col("m") * (F.col("m") + 1) / 2).drop("_sum")
 
 
+def replicate_rank_sums(df: DataFrame) -> DataFrame:
+    """`rank_sums` of `replicate_combinations` of df(name, type, ori, intensity), with median_two, median_indiv and m3, the median of that type.
+
+    One shuffle brings a group's replicates together; its combinations are made and ranked in a batch of groups and never become rows.
+    """
+    cell = F.struct((F.array_position(F.array(*map(F.lit, TYPES)), F.col("type")) - 1).cast("int").alias("t"), F.col("intensity").cast("double").alias("v"))
+    known = df.where(F.col("name").isNotNull() & F.col("ori").isNotNull() & F.col("type").isin(*TYPES))
+    cells = known.groupBy("name", "ori").agg(F.collect_list(cell).alias("_cells"))
+    # by way of a generator, so that the filter does not take a copy of the call along
+    sums = cells.select("name", "ori", F.explode(F.array(rank_sums_of(F.col("_cells")))).alias("_s"))
+    return sums.select("name", "ori", "_s.m", "_s.n", "_s.ties", "_s.u", "_s.median_two", "_s.median_indiv", "_s.m3").where("m > 0 and n > 0")
+
+
 def null_counts(m: int, n: int) -> list[int]:
     """How many of the orders of m and n values have each U: the recurrence on the largest value."""
     table: dict[tuple[int, int], list[int]] = {}
@@ -116,22 +131,20 @@ EXACT_BELOW = 50
 @F.pandas_udf(DoubleType())
 def exact_greater(m: pd.Series, n: pd.Series, u: pd.Series) -> pd.Series:
     """P(U >= u) of the Mann-Whitney statistic of m and n values without ties; null sizes have none."""
-    tails: dict[tuple[int, int], list[float]] = {}
-    out = []
-    for a, b, x in zip(m, n, u, strict=True):
-        if pd.isna(a):
-            out.append(None)
-            continue
-        key = (int(a), int(b))
-        if key not in tails:
-            counts = null_counts(*key)
-            total, run, tail = sum(counts), 0, []
-            for c in reversed(counts):
-                run += c
-                tail.append(run / total)
-            tails[key] = tail[::-1]
-        out.append(tails[key][math.ceil(x)])
-    return pd.Series(out, dtype="float64")
+    out = np.full(len(m), np.nan)
+    held = m.notna().to_numpy()
+    sizes = np.stack([m[held].to_numpy(np.int64), n[held].to_numpy(np.int64)], axis=1)
+    at, values = np.flatnonzero(held), np.ceil(u[held].to_numpy("float64")).astype(np.int64)
+    shapes, of = np.unique(sizes, axis=0, return_inverse=True)
+    for i, (a, b) in enumerate(shapes.tolist()):
+        counts = null_counts(a, b)
+        total, run, tail = sum(counts), 0, []
+        for c in reversed(counts):
+            run += c
+            tail.append(run / total)
+        mine = of.ravel() == i
+        out[at[mine]] = np.array(tail[::-1])[values[mine]]
+    return pd.Series(out).where(held, None)
 
 
 def normal_tail(z: Column) -> Column:
@@ -169,7 +182,12 @@ def rank_test(df: DataFrame, keys: list[str], side: str = "greater", first: str
     (keys, m, n, u, method, p); p is 1 where all values are equal. With ties_exact small groups with ties
     are exact too, by the distribution without ties and the mean ranks' U rounded up.
     """
-    return rank_sums(df, keys, first, second).withColumn("method", rank_method(ties_exact)).withColumn("p", rank_p(side)).drop("ties")
+    return rank_p_of(rank_sums(df, keys, first, second), side, ties_exact)
+
+
+def rank_p_of(sums: DataFrame, side: str = "greater", ties_exact: bool = False) -> DataFrame:
+    """A row of `rank_sums` with method and p in place of its tie terms."""
+    return sums.withColumn("method", rank_method(ties_exact)).withColumn("p", rank_p(side)).drop("ties")
 
 
 def fdr(df: DataFrame, keys: list[str], p: str = "p") -> DataFrame:
@@ -183,10 +201,7 @@ def coop_labels(df: DataFrame, cutoff: DataFrame, p_cut: float = 0.015, p_band:
     Fails where the wild type's median is below the cut-off, or m3's above it; then
     cooperative, anticooperative, ambiguous (up to p_band) or independent.
     """
-    values = replicate_combinations(df, {"m3": F.median(F.when(F.col("type") == "m3", F.col("intensity")))})
-    median = lambda kind: F.median(F.when(F.col("kind") == kind, F.col("value")))
-    sums = rank_sums(values, ["name", "ori"], also={"median_two": median("two"), "median_indiv": median("indiv"), "m3": F.first("m3")})
-    full = sums.where("m = 3 and n = 27 and name is not null and ori is not null").withColumn("method", rank_method(ties_exact))
+    full = replicate_rank_sums(df).where("m = 3 and n = 27").withColumn("method", rank_method(ties_exact))
     joined = full.withColumns({"p_greater": rank_p("greater"), "p_less": rank_p("less")}).join(F.broadcast(cutoff))
     failed = (F.col("median_two") < F.col("cutoff")) | (F.col("m3") > F.col("cutoff"))
     label = F.when(failed, "fail_cutoff").when(F.col("p_greater") < p_cut, "cooperative").when(F.col("p_less") < p_cut, "anticooperative").when(F.least("p_greater", "p_less") <= p_band, "ambiguous").otherwise("independent")

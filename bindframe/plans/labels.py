@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from bindframe.operators import labels as op
-from bindframe.operators.replicates import rank_method, rank_p, rank_sums
-from bindframe.plans.replicates import KEYS, LABELLED, TESTS, _labels, _values
+from bindframe.operators.replicates import rank_method, rank_p
+from bindframe.plans.replicates import KEYS, LABELLED, TESTS, _labels, _sums
 from bindframe.sources import views as v
 
 
@@ -16,7 +16,7 @@ def _medians(s: SparkSession, d: str) -> DataFrame:
 
 
 def _wide(s: SparkSession, d: str) -> DataFrame:
-    sums = rank_sums(_values(s, d), KEYS).withColumn("method", rank_method(ties_exact=True))
+    sums = _sums(s, d).withColumn("method", rank_method(ties_exact=True))
     tests = sums.select("name", "ori", rank_p("greater").alias("p_greater"), rank_p("less").alias("p_less"))
     cutoffs = v.controls(s, d).groupBy("ori").agg(F.avg("intensity").alias("cutoff"))
     return op.orientation_table(_medians(s, d).select("name", "ori", "type", "median"), tests, cutoffs)

@@ -122,3 +122,22 @@ def test_array_ids_read_their_rows_once(spark):
     sets = spark.createDataFrame([("k", "ACG", "ACC", "CCG", "CCC")], "key string, wt string, m1 string, m2 string, m3 string")
     # the one join is with the counts of blocks
     assert plan_of(probes.array_design(sets, "TT", 2, "C")).count("Join Inner") == 1
+
+
+def test_ranks_of_replicates_make_no_rows(spark):
+    rnd = random.Random(3)
+    pick = lambda: rnd.choice([1.0, 2.0, 2.5, 3.0, 4.0, float("inf")])
+    given = [(f"p{i}", t, o, pick()) for i in range(40) for o in ("o1", "o2") for t in ("m1", "m2", "m3", "wt") for _ in range(rnd.randint(0 if i % 5 == 0 else 1, 4))] + [(None, t, "o1", 1.0) for t in ("m1", "m2", "m3", "wt")]
+    df = spark.createDataFrame(given, "name string, type string, ori string, intensity double")
+    found = replicates.replicate_rank_sums(df)
+    assert "Window" not in plan_of(found) and plan_of(found).count("Aggregate") == 1
+    pairs = replicates.replicate_combinations(df)
+    middle = lambda kind: F.median(F.when(F.col("kind") == kind, F.col("value")))
+    want = replicates.rank_sums(pairs, ["name", "ori"], also={"median_two": middle("two"), "median_indiv": middle("indiv")})
+    columns = ["name", "ori", "m", "n", "ties", "u", "median_two", "median_indiv"]
+    rows_of = lambda x: sorted(map(repr, x.where("name is not null").select(*columns).collect()))
+    assert rows_of(found) == rows_of(want) and found.count() > 50
+    # null is above NaN, and both are above numbers, as in SQL
+    odd = [("a", "m1", "o1", 1.0), ("a", "m1", "o1", float("nan")), ("a", "m1", "o1", None), ("a", "m2", "o1", 1.0), ("a", "m3", "o1", 1.0), ("a", "wt", "o1", None)]
+    row = replicates.replicate_rank_sums(spark.createDataFrame(odd, "name string, type string, ori string, intensity double")).first()
+    assert (row.m, row.n, row.u, row.ties, row.median_two, row.m3) == (1, 3, 2.5, 6.0, None, 1.0)
