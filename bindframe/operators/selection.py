@@ -16,6 +16,7 @@ from bindframe.operators.replicates import EXACT_BELOW, exact_greater, normal_ta
 from bindframe.operators.rows import SENTINEL, sub_select
 from bindframe.operators.sites import alignment_sites, pwm_score, single_site
 from bindframe.operators.tables import adjacent_similar, top_groups
+from bindframe.sources.shared import saved
 
 #: Parts of a group's value range, over which running totals go before they go over values.
 BLOCKS = 1024
@@ -92,14 +93,16 @@ def shape_bands(df: DataFrame) -> DataFrame:
     return quantiles(cells, ["shape", "position", "label"], "value", {"low": 0.25, "median": 0.5, "high": 0.75})
 
 
-def value_rank_test(df: DataFrame, keys: list[str], first: str, second: str) -> DataFrame:
+def value_rank_test(df: DataFrame, keys: list[str], first: str, second: str, times: str | None = None) -> DataFrame:
     """Mann-Whitney of few large groups (keys, kind, value): (keys, m, n, u, p_greater, p_less): exact below 50 values a side without ties, else by the normal approximation with tie and continuity correction.
 
     Rows are counted by value first; running totals go over blocks of the value range, then within
     them, so that no group is one task. p is 1 where all values are equal. Null values do not count.
+    `times` names a column for how many rows one stands; what is counted by value is written once.
     """
     own = df.where(F.col("kind").isin(first, second) & F.col("value").isNotNull())
-    counts = own.groupBy(*keys, "value").agg(F.sum((F.col("kind") == first).cast("long")).alias("_a"), F.count("*").alias("_t"))
+    n = F.lit(1) if times is None else F.col(times)
+    counts = saved(own.groupBy(*keys, "value").agg(F.sum(F.when(F.col("kind") == first, n).otherwise(0)).cast("long").alias("_a"), F.sum(n).cast("long").alias("_t")))
     ends = counts.groupBy(*keys).agg(F.min("value").alias("_low"), F.max("value").alias("_high"))
     block = F.when(F.col("_high") > F.col("_low"), F.floor((F.col("value") - F.col("_low")) / F.nullif(F.col("_high") - F.col("_low"), F.lit(0.0)) * BLOCKS)).otherwise(F.lit(0))
     blocked = counts.join(ends, keys).withColumn("_block", block).drop("_low", "_high")
@@ -122,9 +125,11 @@ def value_rank_test(df: DataFrame, keys: list[str], first: str, second: str) ->
 def shape_difference(df: DataFrame, first: str, second: str) -> DataFrame:
     """The rank test between two labels at each position of shapes(label, shape, values); positions where some row has a gap are left out."""
     cells = df.where(F.col("label").isin(first, second)).select(F.col("label").alias("kind"), "shape", F.posexplode("values").alias("position", "value"))
+    # counted in one pass, since both what has gaps and the test read them
+    counts = saved(cells.groupBy("shape", "position", "kind", "value").agg(F.count("*").alias("_times")))
     # one row a position at most
-    gaps = cells.where("value is null").select("shape", "position").distinct()
-    return value_rank_test(cells.join(F.broadcast(gaps), ["shape", "position"], "left_anti"), ["shape", "position"], first, second)
+    gaps = counts.where("value is null").select("shape", "position").distinct()
+    return value_rank_test(counts.join(F.broadcast(gaps), ["shape", "position"], "left_anti"), ["shape", "position"], first, second, "_times")
 
 
 def group_tests(df: DataFrame, columns: list[str], labels: list[str]) -> DataFrame:

@@ -8,7 +8,7 @@ import random
 from pyspark.sql import functions as F
 
 from bindframe.functions import calling, tails
-from bindframe.operators import intervals, mutation, probes, replicates, rows, sites
+from bindframe.operators import intervals, mutation, picks, probes, replicates, rows, selection, sites
 
 
 def plan_of(df):
@@ -141,3 +141,10 @@ def test_ranks_of_replicates_make_no_rows(spark):
     odd = [("a", "m1", "o1", 1.0), ("a", "m1", "o1", float("nan")), ("a", "m1", "o1", None), ("a", "m2", "o1", 1.0), ("a", "m3", "o1", 1.0), ("a", "wt", "o1", None)]
     row = replicates.replicate_rank_sums(spark.createDataFrame(odd, "name string, type string, ori string, intensity double")).first()
     assert (row.m, row.n, row.u, row.ties, row.median_two, row.m3) == (1, 3, 2.5, 6.0, None, 1.0)
+
+
+def test_shapes_are_counted_in_one_pass(spark):
+    given = [("a", "s", [1.0, None, 2.0]), ("a", "s", [3.0, 1.0, 2.0]), ("b", "s", [2.0, 1.0, 2.0]), ("c", "s", [None, 1.0, None])]
+    found = selection.shape_difference(spark.createDataFrame(given, "label string, shape string, values array<double>"), "a", "b")
+    assert "posexplode" not in plan_of(found)
+    assert sorted((r.position, r.m, r.n, r.u) for r in found.collect()) == [(0, 2, 1, 1.0), (2, 2, 1, 1.0)]
