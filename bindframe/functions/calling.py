@@ -121,6 +121,60 @@ class Caller:
 
         return found(seq)
 
+    def regions_on_batches(self, seq: Column, gap: int) -> Column:
+        """K3's regions of high windows, (begin, end, n) as `regions` in the site operators has them with its centre at 0, by numpy on batches of rows; not for the inside of lambdas."""
+        k, scores, above = self.k, np.array(self.scores), self.above
+
+        @F.arrow_udf("array<struct<begin:int,end:int,n:int>>")
+        def found(texts: pa.Array) -> pa.Array:
+            codes, sizes = windows_of_batch(texts, k)
+            begin = np.cumsum(sizes) - sizes
+            high = np.flatnonzero((codes >= 0) & (scores[codes] > above))
+            row = np.searchsorted(np.cumsum(sizes), high, side="right")
+            first = np.ones(len(high), bool)
+            first[1:] = (row[1:] != row[:-1]) | (high[1:] - high[:-1] > gap + 1)
+            runs = np.flatnonzero(first)
+            n = np.diff(np.append(runs, len(high)))
+            start, last, row = high[runs], high[runs + n - 1], row[runs]
+            # low windows behind each run, to the next one or the sequence's end
+            end = begin[row] + sizes[row]
+            if len(runs):
+                same = row[1:] == row[:-1]
+                end[:-1][same] = start[1:][same]
+            low = end - 1 - last
+            size = n + np.where(low > gap, gap, np.maximum(low - 1, 0))
+            kept = n >= 2
+            at = (start - begin[row])[kept]
+            each = pa.StructArray.from_arrays([pa.array(x, pa.int32()) for x in (at, at + size[kept], n[kept])], ["begin", "end", "n"])
+            return pa.ListArray.from_arrays(_offsets(np.bincount(row[kept], minlength=len(sizes))), each)
+
+        return found(seq)
+
+    def best_on_batches(self, seq: Column, low: Column, high: Column) -> Column:
+        """(start, score) of the best window that starts from low to high, ties the first; null without one. By numpy on batches of rows."""
+        k, scores = self.k, np.array(self.scores)
+
+        @F.arrow_udf("struct<start:int,score:double>")
+        def found(texts: pa.Array, lows: pa.Array, highs: pa.Array) -> pa.Array:
+            codes, sizes = windows_of_batch(texts, k)
+            number = lambda x, empty: pc.fill_null(x.cast(pa.int64()), empty).to_numpy(zero_copy_only=False)
+            lo, hi = np.maximum(number(lows, 0), 0), np.minimum(number(highs, -1), sizes - 1)
+            some = np.flatnonzero(hi >= lo)
+            width = (hi - lo + 1)[some]
+            ahead = np.cumsum(width) - width
+            start = np.repeat(lo[some] - ahead, width) + np.arange(width.sum())
+            at = np.repeat((np.cumsum(sizes) - sizes)[some], width) + start
+            value = np.where(codes[at] >= 0, scores[codes[at]], -np.inf)
+            best, place, out = np.full(len(sizes), -np.inf), np.zeros(len(sizes), np.int64), np.zeros(len(sizes), bool)
+            if len(some):
+                best[some] = np.maximum.reduceat(value, ahead)
+                held = np.flatnonzero((codes[at] >= 0) & (value == np.repeat(best[some], width)))
+                rows, first = np.unique(np.repeat(some, width)[held], return_index=True)
+                place[rows], out[rows] = start[held[first]], True
+            return pa.StructArray.from_arrays([pa.array(place, pa.int32()), pa.array(best)], ["start", "score"], mask=pa.array(~out))
+
+        return found(seq, low, high)
+
     def weakest_change(self, seq: Column, target: Column, low: Column, high: Column, allowed: Column, change: float | None) -> Column:
         """4 * position + rank of the single-base change of I9 that takes the site at target away, or null; see `abolish_core`. On batches of rows."""
         k, scores, above = self.k, np.array(self.scores), self.above

@@ -17,6 +17,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
+from bindframe.functions.calling import Caller
 from bindframe.sources.shared import saved
 
 #: Parts of a group that a choice or an order goes over first.
@@ -165,6 +166,21 @@ def pair_verdicts(df: DataFrame, sites: DataFrame, regions: Callable[[DataFrame]
     return out.select("key", "n_sites", "pos_1", "pos_2", "distance", status.alias("status"))
 
 
+def pair_verdicts_in_rows(df: DataFrame, matrix: Caller, profile: Caller, gap: int, low: float, near: int = 10, far: int = 20) -> DataFrame:
+    """`pair_verdicts` of the matrix's sites, at their middles, and the profile's regions, with everything done in the row of a sequence: nothing is shuffled or joined."""
+    ready = df.select("key", *(c.alias(n) for n, c in {"_sites": matrix.sites_on_batches(F.col("sequence")), "_regions": profile.regions_on_batches(F.col("sequence"), gap), "_scores": profile.scores_on_batches(F.col("sequence"))}.items()))
+    pos = lambda s: (s + matrix.k // 2).cast("long")
+    region = lambda s: F.array_min(F.filter("_regions", lambda r: (r["begin"] <= pos(s)) & (pos(s) <= r["end"])))
+    placed = F.filter(F.transform("_sites", lambda s: F.struct(pos(s).alias("pos"), region(s).alias("g"))), lambda x: x["g"].isNotNull())
+    place = lambda i: F.get("_placed", F.lit(i))
+    pair = F.size("_placed") == 2
+    begin, end = place(0)["g"]["end"], place(1)["g"]["begin"]
+    quiet = F.exists(F.slice("_scores", begin + 1, F.greatest(end - begin, F.lit(0))), lambda x: F.coalesce(x < low, F.lit(False)))
+    judged = ready.withColumn("_placed", F.explode(F.array(placed))).select("key", F.size("_placed").cast("long").alias("n_sites"), F.when(pair, place(0)["pos"]).alias("pos_1"), F.when(pair, place(1)["pos"]).alias("pos_2"), F.when(pair, place(1)["pos"] - place(0)["pos"]).alias("distance"), F.when(pair, quiet).alias("_quiet"))
+    status = F.when(F.col("distance").isNull(), "sites").when(~F.col("distance").between(near, far), "distance").when(~F.col("_quiet"), "linker").otherwise("valid")
+    return judged.select("key", "n_sites", "pos_1", "pos_2", "distance", status.alias("status"))
+
+
 @F.pandas_udf(DoubleType())
 def text_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     """Twice the characters of the matching blocks over those of both texts; null beside a null."""

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 from functools import reduce
 from itertools import product
@@ -12,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from bindframe.functions.calling import BASES, MOST_K, added_weights, digits, let, number_array, window_codes
+from bindframe.functions.calling import BASES, MOST_K, Caller, added_weights, digits, let, number_array, window_codes, windows_of_batch
 from bindframe.functions.sequences import reverse_complement
 
 
@@ -22,6 +23,30 @@ def kmer_windows(df: DataFrame, k: int) -> DataFrame:
     return df.where(F.length("sequence") >= k).select("key", "sequence", starts.alias("start")).select("key", "start", F.expr(f"substring(sequence, start + 1, {k})").alias("kmer"))
 
 
+def kmer_counts(df: DataFrame, k: int) -> DataFrame:
+    """(kmer, n) of the windows of df(sequence), counted by their codes within each task; a k-mer has a row for each task that met it. k up to MOST_K."""
+    if k > MOST_K:
+        raise ValueError(f"k-mers are counted up to k = {MOST_K}")
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total, others = np.zeros(4**k, np.int64), Counter()
+        for batch in batches:
+            texts = batch.column(0)
+            codes, sizes = windows_of_batch(texts, k)
+            total += np.bincount(codes[codes >= 0], minlength=4**k)
+            odd = np.flatnonzero(codes < 0)
+            if len(odd):
+                # windows with other signs than bases
+                rows = np.searchsorted(np.cumsum(sizes), odd, side="right")
+                starts = odd - (np.cumsum(sizes) - sizes)[rows]
+                others.update(texts[i].as_py()[j : j + k] for i, j in zip(rows.tolist(), starts.tolist(), strict=True))
+        met = np.flatnonzero(total)
+        kmers = ["".join(BASES[i >> 2 * (k - 1 - j) & 3] for j in range(k)) for i in met.tolist()]
+        yield pa.RecordBatch.from_pydict({"kmer": pa.array([*kmers, *others], pa.string()), "n": pa.array([*total[met].tolist(), *others.values()], pa.int64())})
+
+    return df.select("sequence").mapInArrow(count, "kmer string, n long")
+
+
 def kmer_lookup(windows: DataFrame, scores: DataFrame, default: float | None = None) -> DataFrame:
     """Windows with their score(kmer, score); without a default those that the table lacks go. The table is one row a k-mer."""
     if default is None:
@@ -97,10 +122,24 @@ def region_scan(df: DataFrame, scores: DataFrame, k: int, cutoff: float, gap: in
     table = score_table(scores, k)
     if any(x is None for x in table):
         return specific_regions(escore_profile(df, scores, k), cutoff, gap)
-    codes = let(digits(F.col("sequence")), lambda d: window_codes(d, k))
-    ready = df.where(F.length("sequence") >= k).select("key", F.transform(codes, lambda c: F.get(number_array(table), c)).alias("_s"))
-    found = ready.select("key", F.explode(regions(F.col("_s"), F.lit(cutoff), F.lit(gap), 0)).alias("r"))
-    return found.select("key", F.col("r.begin").alias("startpos"), (F.col("r.end") - F.col("r.begin")).cast("long").alias("escorelength"), F.col("r.n").cast("long").alias("n"))
+    found = region_rows(df, Caller(k, table, cutoff), gap)
+    return found.select("key", "startpos", "escorelength", "n")
+
+
+def region_rows(df: DataFrame, caller: Caller, gap: int = 0) -> DataFrame:
+    """df(sequence) with a row for each of K3's regions of the windows above the caller's threshold: startpos, escorelength, n. By numpy on batches of rows."""
+    found = df.withColumn("_r", F.explode(caller.regions_on_batches(F.col("sequence"), gap)))
+    return found.withColumns({"startpos": F.col("_r.begin"), "escorelength": (F.col("_r.end") - F.col("_r.begin")).cast("long"), "n": F.col("_r.n").cast("long")}).drop("_r")
+
+
+def region_peaks(df: DataFrame, scores: DataFrame, k: int, cutoff: float, gap: int, matrix: Caller, reach: int = 3) -> DataFrame:
+    """K13 on K3 and K4: (key, startpos, start, score), the best window of the matrix (better strand) in each region of df(key, sequence) or up to `reach` outside; ties take the first.
+
+    Everything is done in the row of a region, which keeps its sequence. The table of scores must have all k-mers.
+    """
+    found = region_rows(df.select("key", "sequence"), Caller(k, score_table(scores, k), cutoff), gap)
+    best = matrix.best_on_batches(F.col("sequence"), F.col("startpos") - reach, F.col("startpos") + F.col("escorelength") + reach)
+    return found.select("key", "startpos", F.explode(F.array(best)).alias("_b")).where("_b is not null").select("key", "startpos", "_b.start", "_b.score")
 
 
 def pwm_score(kmer: Column, rows: list[dict[str, float]], product: bool = False) -> Column:

@@ -4,13 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from bindframe.functions.calling import Caller, matrix_caller
 from bindframe.functions import sequences as fn
 from bindframe.operators import picks as op
 from bindframe.operators import sites as site
 from bindframe.operators.selection import fetch_sequences
 from bindframe.plans.rows import _named
 from bindframe.plans.selection import CHUNK, _FETCHED, _IN_PEAKS, _RC, _align, _chunks, _intervals, _short
-from bindframe.plans.sites import K, PAIRS, PROFILE, REGIONS, SCORES, SITES, _pwm_sql, _sites, _windows, kmer_scores
+from bindframe.plans.sites import K, PAIRS, PROFILE, PWM, REGIONS, SCORES, SITES, _pwm_sql, _sites, _windows, kmer_scores
 from bindframe.sources import views as v
 
 COMMENTS = ("site1_left", "site1_right", "site2_left", "site2_right")
@@ -59,7 +60,7 @@ QUERIES = {
     "i26_most_ones": lambda s, d: _picked(op.pick_most_ones(_designs(s, d), "grp", "probability", "distance", 20, 2)),
     "i27_small_change": lambda s, d: _picked(op.pick_small_change(_designs(s, d), "grp", "probability", "site1", "str_score", 0.5)),
     "i27_large_change": lambda s, d: _picked(op.pick_large_change(_designs(s, d), "grp", "site2", "wk_score", 20, 2, 0.3)),
-    "k14_pair_verdicts": lambda s, d: op.pair_verdicts(v.sequences(s, d), _sites(s, d), lambda x: site.region_scan(x, kmer_scores(s), K, 0.2, 1), lambda x: site.escore_profile(x, kmer_scores(s), K), 0.0),
+    "k14_pair_verdicts": lambda s, d: op.pair_verdicts_in_rows(v.sequences(s, d), matrix_caller(PWM, 3.0), Caller(K, site.score_table(kmer_scores(s), K), 0.2), 1, 0.0),
     "j11_similar_by_ratio": lambda s, d: op.similar_by_ratio(_named(s, d).withColumn("wild", F.col("key") == F.concat("name", F.lit("_0"))), 4),
     "i30_labelled_training": lambda s, d: op.labelled_training(*_training(s, d)),
     "i22_turned_variant": lambda s, d: op.turned_variant(_stepped(s, d), FLIP).select("key", "type"),

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from bindframe.functions.calling import matrix_caller
 from bindframe.functions import sequences as fn
 from bindframe.operators import replicates, rows, tables
 from bindframe.operators import selection as op
@@ -40,7 +41,7 @@ def _align(s):
 
 
 def _short(s, d):
-    return site.kmer_windows(v.sequences(s, d), K).groupBy(fn.canonical(F.col("kmer")).alias("kmer")).agg(F.count("*").cast("double").alias("score"))
+    return site.kmer_counts(v.sequences(s, d), K).groupBy(fn.canonical(F.col("kmer")).alias("kmer")).agg(F.sum("n").cast("double").alias("score"))
 
 
 def _flanked(s, d):
@@ -77,7 +78,7 @@ QUERIES = {
     "k8_call_sites_in_peaks": lambda s, d: op.call_sites_in_peaks(_intervals(s, d), _chunks(s, d), CHUNK, _align(s), K, (3, 5), 4, 0.1),
     "k10_alignment_pwm_sites": lambda s, d: op.alignment_pwm_sites(site.alignment_sites(v.sequences(s, d), _align(s), K, (3, 5), 4, 0.1), v.sequences(s, d), PWM, 1),
     "k12_sites_with_flanks": lambda s, d: op.sites_with_flanks(_flanked(s, d), _call),
-    "k13_peak_in_region": lambda s, d: op.peak_in_region(_regions(s, d), site.pwm_scan(v.sequences(s, d), PWM)),
+    "k13_peak_in_region": lambda s, d: site.region_peaks(v.sequences(s, d), kmer_scores(s), K, 0.2, 1, matrix_caller(PWM, 3.0)),
     "k14_valid_pairs": lambda s, d: op.valid_pairs(site.site_pairs(_sites(s, d)), site.escore_profile(v.sequences(s, d), kmer_scores(s), K), -0.4),
     "p19_align_to_site": lambda s, d: op.align_to_site(_pairs(s, d)),
     "a18_shape_bands": lambda s, d: op.shape_bands(_shapes(s, d)),

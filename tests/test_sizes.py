@@ -148,3 +148,27 @@ def test_shapes_are_counted_in_one_pass(spark):
     found = selection.shape_difference(spark.createDataFrame(given, "label string, shape string, values array<double>"), "a", "b")
     assert "posexplode" not in plan_of(found)
     assert sorted((r.position, r.m, r.n, r.u) for r in found.collect()) == [(0, 2, 1, 1.0), (2, 2, 1, 1.0)]
+
+
+def test_regions_and_verdicts_stay_in_their_rows(spark):
+    rnd = random.Random(9)
+    texts = ["".join(rnd.choice("ACGT") for _ in range(rnd.randint(0, 30))) for _ in range(80)] + ["ACNGTTéACGT", "", "A", "N" * 9]
+    df = spark.createDataFrame([(f"k{i}", t) for i, t in enumerate(texts)] + [("none", None)], "key string, sequence string")
+    scores = spark.createDataFrame([(a + b, (i * 4 + j) * 7 % 16 / 16) for i, a in enumerate("ACGT") for j, b in enumerate("ACGT")], "kmer string, score double")
+    pwm = [{"A": 1.0, "C": -1.0, "G": 0.5, "T": 0.0}, {"A": -0.5, "C": 0.25, "G": 1.0, "T": -1.0}]
+    matrix = calling.matrix_caller(pwm, 1.2)
+    table = sites.score_table(scores, 2)
+    same = lambda x, y: sorted(map(tuple, x.collect()), key=repr) == sorted(map(tuple, y.select(*x.columns).collect()), key=repr)
+    plain = df.where("sequence is not null and sequence not like '%N%'")
+    for cutoff, gap in ((0.4, 0), (0.3, 1), (0.6, 3), (2.0, 1)):
+        found = sites.region_scan(df, scores, 2, cutoff, gap)
+        assert same(sites.region_scan(plain, scores, 2, cutoff, gap), sites.specific_regions(sites.escore_profile(plain, scores, 2), cutoff, gap))
+        best = sites.region_peaks(df, scores, 2, cutoff, gap, matrix)
+        assert "Join" not in plan_of(best) and same(best, selection.peak_in_region(found, sites.pwm_scan(df, pwm)))
+    calls = sites.pwm_scan(df, pwm).where("score > 1.2").selectExpr("key", "mid as pos")
+    want = picks.pair_verdicts(df, calls, lambda x: sites.region_scan(x, scores, 2, 0.3, 1), lambda x: sites.escore_profile(x, scores, 2), 0.2, 3, 12)
+    rows_ = picks.pair_verdicts_in_rows(df, matrix, calling.Caller(2, table, 0.3), 1, 0.2, 3, 12)
+    assert "Join" not in plan_of(rows_) and same(rows_, want) and rows_.select("status").distinct().count() > 2
+    counted = sites.kmer_counts(df, 3)
+    assert "Generate" not in plan_of(counted)
+    assert same(counted.groupBy("kmer").agg(F.sum("n").alias("n")), sites.kmer_windows(df, 3).groupBy("kmer").agg(F.count("*").alias("n")))
