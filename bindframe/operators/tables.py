@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from bindframe.functions.sequences import canonical
 from bindframe.operators.curves import hashed_numbers, score_steps
+from bindframe.sources.shared import saved
 
 
 def hashed(*cols: str) -> Column:
@@ -163,8 +164,9 @@ def grid_search(df: DataFrame, features: list[str], positive: str, grid: dict[st
     from pyspark.ml.feature import VectorAssembler
     from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
 
-    data = stratified_folds(df, folds).withColumn("y", (F.col("label") == positive).cast("double"))
-    data = VectorAssembler(inputCols=features, outputCol="features").transform(data).select("features", "y", F.col("fold").cast("int").alias("fold"))
+    # written once, since every fold and point reads the rows again
+    data = saved(stratified_folds(df, folds).select(*features, (F.col("label") == positive).cast("double").alias("y"), F.col("fold").cast("int").alias("fold")))
+    data = VectorAssembler(inputCols=features, outputCol="features").transform(data).select("features", "y", "fold")
     model = LogisticRegression(labelCol="y", maxIter=20)
     points = ParamGridBuilder()
     for name, values in grid.items():

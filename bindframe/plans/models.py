@@ -12,6 +12,7 @@ from bindframe.plans.replicates import BASE, KEYS, _values
 from bindframe.plans.replicates import ORACLE_SQL as REPLICATES_SQL
 from bindframe.plans.sites import _scored
 from bindframe.sources import views as v
+from bindframe.sources.shared import saved
 
 FEATURES = ["str_score", "wk_score", "distance", "probability"]
 FOLDS = 3
@@ -45,13 +46,14 @@ def _top(s: SparkSession, d: str) -> DataFrame:
 
 
 def _routed(s: SparkSession, d: str) -> DataFrame:
-    data = op.feature_rows(v.pairs(s, d), FEATURES[2:], _is(), FOLDS, keep=("name", "orientation"))
+    # written once, since every fit and the prediction read it
+    data = saved(op.feature_rows(v.pairs(s, d), FEATURES[2:], _is(), FOLDS, keep=("name", "orientation")))
     fitted = {o: op.classifier("logistic", maxIter=20).fit(data.where(F.col("orientation") == o)) for o in ("HH", "TT", "HT/TH")}
     return op.predict_by(data, "orientation", fitted).select("name", "orientation", "label", "score")
 
 
 def _table(s: SparkSession, d: str) -> DataFrame:
-    data = op.feature_rows(v.pairs(s, d), FEATURES, _is(), FOLDS)
+    data = saved(op.feature_rows(v.pairs(s, d), FEATURES, _is(), FOLDS))
     return op.score_table(data, {"forest": op.classifier("forest", numTrees=4, maxDepth=3).fit(data), "bayes": op.classifier("bayes").fit(data)}).drop("features", "y", "fold")
 
 

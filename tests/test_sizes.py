@@ -172,3 +172,18 @@ def test_regions_and_verdicts_stay_in_their_rows(spark):
     counted = sites.kmer_counts(df, 3)
     assert "Generate" not in plan_of(counted)
     assert same(counted.groupBy("kmer").agg(F.sum("n").alias("n")), sites.kmer_windows(df, 3).groupBy("kmer").agg(F.count("*").alias("n")))
+
+
+def test_fits_read_folds_that_are_written(spark, monkeypatch):
+    from pyspark.ml.tuning import CrossValidator
+
+    from bindframe.operators import tables
+    from bindframe.plans import models
+
+    assert "Window" not in plan_of(models.QUERIES["m7_predict_by_orientation"](spark, "/root/testdata/sf0.001"))
+    seen = []
+    real = CrossValidator._fit
+    monkeypatch.setattr(CrossValidator, "_fit", lambda self, data: (seen.append(plan_of(data)), real(self, data))[1])
+    pairs = spark.range(60).selectExpr("concat('n', id) as name", "if(id % 3 = 0, 'x', 'y') as label", "id % 7 as a", "id % 5 + id % 3 as b")
+    assert tables.grid_search(pairs, ["a", "b"], "x", {"regParam": [0.0, 0.1]}).count() == 2
+    assert len(seen) == 1 and "Window" not in seen[0]
