@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from bindframe.llm._common import BROADCAST_ROWS_BY_TEXTS, by_run, connected_components, minhashes, odd_numbers, small_side, spread, stash
+from bindframe.llm._common import BROADCAST_ROWS_BY_TEXTS, by_run, connected_components, join_wanted, minhashes, odd_numbers, small_side, spread, stash
 
 #: Items that one task compares with each other, at most.
 NODE_LIMIT = 4096
@@ -129,7 +129,7 @@ def candidate_clusters(items: DataFrame, nodes: DataFrame, similarity: float, co
     found = None
     for level in range(depth + 1):
         sizes = stash(nodes.groupBy("node").agg(F.count("*").alias("size")).where("size > 1"))
-        sized = nodes.join(small_side(sizes), "node")
+        sized = join_wanted(nodes, sizes, "node") if level == 0 else nodes.join(small_side(sizes), "node")
         small = sized.where(F.col("size") <= limit).select("node", "id").join(items.select("id", "n", "bits").hint("merge"), "id")
         part = stash(likely_clusters(small.select("node", "id", "n", "bits"), similarity, width))
         found = part if found is None else found.unionByName(part)
@@ -170,7 +170,7 @@ def exact_links(clusters: DataFrame, places: DataFrame, docs: DataFrame, sets_of
     sets_of gives the sets of a text; those that are wanted are made again, in the scan.
     """
     wanted = stash(clusters.join(places.hint("merge"), "id").groupBy("doc_id").agg(F.collect_list("id").alias("ids"), F.collect_list("cluster").alias("clusters")))
-    texts = docs.join(small_side(wanted, BROADCAST_ROWS_BY_TEXTS), "doc_id").select("text", "ids", "clusters")
+    texts = join_wanted(docs, wanted, "doc_id", BROADCAST_ROWS_BY_TEXTS).select("text", "ids", "clusters")
 
     def again(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from bindframe.llm._common import BROADCAST_ROWS_BY_TEXTS, Words, bounded_batches, connected_components, free_name, pieces, roomy_heap, run_hashes, shingle_hashes, shingle_sets, sliding_min, small_side, spread, stash, text_or_empty, to_bytes
+from bindframe.llm._common import BROADCAST_ROWS_BY_TEXTS, Words, bounded_batches, connected_components, free_name, likely_in, pieces, roomy_heap, run_hashes, shingle_hashes, shingle_sets, sliding_min, small_side, spread, stash, text_or_empty, to_bytes
 from bindframe.llm._setjoin import DEPTH, Sketcher, candidate_clusters, digest, exact_links
 from bindframe.llm.near_dedup import STEP, trees_for
 
@@ -187,7 +187,7 @@ def repeated_passages(slim: DataFrame, k: int, min_words: int) -> DataFrame:
     def repeated(rows: DataFrame) -> DataFrame:
         """Rows whose hash occurs again: counted by the hash alone, so that single rows are not moved whole."""
         twice = stash(rows.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h"))
-        return stash(rows.join(small_side(twice, BROADCAST_ROWS_BY_TEXTS), "h", "left_semi"))
+        return stash(likely_in(rows, twice, "h").join(twice.hint("merge"), "h", "left_semi"))
 
     every = stash(slim.mapInArrow(first, f"doc_id {kind}, start int, last int, line int, seed long, h long"))
     # buckets with more than one stretch; mixed ones hold different stretches
@@ -196,7 +196,8 @@ def repeated_passages(slim: DataFrame, k: int, min_words: int) -> DataFrame:
     copies = again(seeds, "last")
     reps = seeds.where("mixed").groupBy("seed", "h").agg(F.min(F.struct("doc_id", "start", "last")).alias("place"))
     wanted = stash(reps.groupBy("place.doc_id").agg(F.collect_list(F.struct("place.start", "place.last")).alias("ranges")))
-    windows = stash(slim.join(small_side(wanted, BROADCAST_ROWS_BY_TEXTS), "doc_id").select("doc_id", "text", "ranges").mapInArrow(single, f"doc_id {kind}, start int, line int, seed long, h long"))
+    # only texts that are wanted move, and they do at every size
+    windows = stash(likely_in(slim, wanted, "doc_id").join(wanted.hint("merge"), "doc_id").select("doc_id", "text", "ranges").mapInArrow(single, f"doc_id {kind}, start int, line int, seed long, h long"))
     parts = copies.unionByName(again(repeated(windows), "start"))
     own = Window.partitionBy("doc_id", "kept_doc_id").orderBy("start", "end")
     parts = parts.withColumn("before", F.max("end").over(own.rowsBetween(Window.unboundedPreceding, -1)))

@@ -194,6 +194,31 @@ def test_substring_dedup(docs, empty, texts):
     assert substring_dedup.repeated_paragraphs(empty).count() == 0
 
 
+def test_rows_that_a_join_moves_are_the_wanted_ones_and_few_others(spark):
+    from bindframe.llm import _common
+
+    rows = spark.range(40_000).selectExpr("concat('k', id) as k", "id")
+    keys = spark.range(0, 40_000, 20).selectExpr("concat('k', id) as k")
+    found = {r.id for r in _common.likely_in(rows, keys, "k").collect()}
+    assert set(range(0, 40_000, 20)) <= found and len(found) < 8_000
+    assert _common.likely_in(rows, keys.limit(0), "k").count() == 0
+    for most in (10, 10_000):
+        assert _common.join_wanted(rows, keys, "k", most).count() == 2_000
+
+
+def test_substring_dedup_moves_wanted_texts_only(spark, monkeypatch):
+    """A text without a repeated passage does not go to the search of single windows, however small the table is."""
+    moved = []
+    plain = substring_dedup.likely_in
+    monkeypatch.setattr(substring_dedup, "likely_in", lambda df, keys, column: moved.append(plain(df, keys, column)) or moved[-1])
+    passage = " ".join(words(70, 1))
+    rows = [("a", " ".join([*words(9, 2), passage, *words(9, 3)])), ("b", " ".join([*words(8, 4), passage, *words(8, 5)])), *((f"c{i}", " ".join(f"w{i}x{j}" for j in range(200))) for i in range(30))]
+    got = substring_dedup.repeated_paragraphs(spark.createDataFrame(rows, "doc_id string, text string")).where("removed").collect()
+    assert {(r.doc_id, r.kept_doc_id) for r in got} == {("b", "a")}
+    texts = {r.doc_id for df in moved if "text" in df.columns for r in df.collect()}
+    assert {"a", "b"} <= texts and len(texts) < 10
+
+
 def test_substring_dedup_over_lines_and_inside_lines(spark):
     run, wide = words(54, 900), words(57, 901)
     rows = [(1, " ".join(words(80, 902) + run + words(80, 903))), (2, "a title\n" + " ".join(run[:15]) + "\n" + " ".join(run[15:]) + "\nan end"), (3, " ".join(words(90, 904) + run + words(70, 905)))]
