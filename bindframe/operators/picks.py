@@ -8,7 +8,6 @@ Rows whose key is null are in no group; a null `wild` is a mutant; rows with one
 
 from __future__ import annotations
 
-import difflib
 from collections.abc import Callable
 
 import pandas as pd
@@ -18,6 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
 from bindframe.functions.calling import Caller
+from bindframe.functions.likeness import block_ratios
 from bindframe.sources.shared import saved
 
 #: Parts of a group that a choice or an order goes over first.
@@ -184,12 +184,13 @@ def pair_verdicts_in_rows(df: DataFrame, matrix: Caller, profile: Caller, gap: i
 @F.pandas_udf(DoubleType())
 def text_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     """Twice the characters of the matching blocks over those of both texts; null beside a null."""
-    return pd.Series([None if x is None or y is None else difflib.SequenceMatcher(None, x, y).ratio() for x, y in zip(a, b, strict=True)], dtype="float64")
+    return pd.Series(block_ratios(a.tolist(), b.tolist()), dtype="float64")
 
 
 def similar_by_ratio(df: DataFrame, n: int, name: str = "name", sequence: str = "sequence", wild: str = "wild") -> DataFrame:
     """(name, wild_sequence, sequence, ratio): per name and distinct wild-type sequence the n distinct sequences of the name that are most alike by matching blocks; ties by sequence."""
-    held = df.where(F.col(sequence).isNotNull())
+    # written once, since both sides of the join read it
+    held = saved(df.where(F.col(sequence).isNotNull()).select(name, sequence, wild))
     base = held.where(F.coalesce(F.col(wild), F.lit(False))).select(name, F.col(sequence).alias("wild_sequence")).distinct()
     found = held.select(name, sequence).distinct().join(base, name).withColumn("ratio", text_ratio("wild_sequence", sequence))
     return first_of_group(found, [name, "wild_sequence"], [F.desc("ratio"), F.col(sequence)], n, sequence)

@@ -137,6 +137,18 @@ def test_ratio_equals_the_plain_one(spark):
     assert sorted((r.name, r.wild_sequence, r.sequence, round(r.ratio, 12)) for r in got) == sorted(want)
 
 
+def test_block_ratios_equal_difflib_on_every_kind_of_text():
+    from bindframe.functions.likeness import MOST, STEP, block_ratios
+
+    rng = random.Random(8)
+    for letters in ("A", "AC", "ACGT", "a\u00e9\u6f22\U0001f600"):
+        for most in (3, 37, MOST + 1, MOST + 9, 260):
+            a, b = (["".join(rng.choice(letters) for _ in range(rng.randrange(most))) for _ in range(80)] for _ in range(2))
+            a[0], b[1], a[2], b[2] = None, None, "", ""
+            assert block_ratios(a, b) == [None if x is None or y is None else difflib.SequenceMatcher(None, x, y).ratio() for x, y in zip(a, b, strict=True)]
+    assert block_ratios(["AC"] * (STEP + 1), ["CA"] * (STEP + 1)) == [0.5] * (STEP + 1) and block_ratios([], []) == []
+
+
 def test_ratio_query_keeps_the_wild_type_first(spark):
     rows = registry.QUERIES["j11_similar_by_ratio"](spark, SF).groupBy("name").agg(F.max("ratio").alias("best"), F.count("*").alias("n")).collect()
     assert rows and all(r.best == 1.0 and r.n <= 4 for r in rows)
