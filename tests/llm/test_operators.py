@@ -484,3 +484,47 @@ def test_language_model_beats_counts_on_sequences(spark):
     got = as_rows(attention_lm.score(spark.createDataFrame(rows, "doc_id long, text string").repartition(2), VOCABULARY))
     held = [g for g in got if g["held_out"]]
     assert sum(g["score"] for g in held) > sum(g["base_score"] for g in held)
+
+
+def test_language_model_merges_a_counted_word_once(spark):
+    """Rounds of training and scoring take ids, units and scores of counted and frequent words as they were made; rare ones alone are merged."""
+    vocabulary = bpe_transducer.Vocabulary(VOCABULARY)
+    known = ["walking", "talked", "\u00fcbermut"]
+    counts = spark.createDataFrame([(w, 5 + i) for i, w in enumerate(known)] + [("", 9)], "word string, count long")
+    lexicon = bpe_transducer.Lexicon.compile(vocabulary, [" " + w for w in known[:2]])
+    name = bpe_transducer.distribute(lexicon, counts)
+    got = {r["count"]: (r["tail"], r["ids"]) for r in attention_lm.encoded(counts, name, {b"walking": 5}).collect()}
+    ids = [lexicon.ids_of([b" " + w.encode()])[1].tolist() for w in known]
+    assert got == {5: (False, ids[0]), 6: (True, ids[1]), 7: (True, ids[2]), 9: (False, [])}
+    first, inside = attention_lm.subword_counts(attention_lm.encoded(counts, name, {}), len(vocabulary.bytes_of))
+    assert first.sum() == 5 + 6 + 7 and first[ids[2][0]] == 7 and inside.sum() == sum((5 + i) * (len(x) - 1) for i, x in enumerate(ids))
+
+    own, share = attention_lm.units_of(first + inside)
+    inner = attention_lm.AttentionModel()
+    frequent = attention_lm.FrequentWords.of(counts, name, own, share, inner, 100)
+    assert frequent.words == [w.encode() for w in known[::-1]] and np.allclose(frequent.terms, np.log10(np.array([8, 7, 6]) / 100))
+    asked = []
+
+    class Watched:
+        def ids_of(self, words):
+            asked.extend(words)
+            return lexicon.ids_of(words)
+
+    words = [w.encode() for w in [*known, "unseen", "walking", "unseen"]]
+    plain, table = attention_lm.WordTable(lexicon, own, share, inner), attention_lm.WordTable(Watched(), own, share, inner, frequent, most=1)
+    for _ in range(3):  # a memo that is over its limit begins anew with the frequent words
+        at, other = plain.places(words), table.places([*words, "\u00df".encode(), b"b"])[: len(words)]
+        assert np.array_equal(plain.first[at], table.first[other]) and np.array_equal(plain.last[at], table.last[other]) and np.allclose(plain.logs[at], table.logs[other], rtol=1e-5)
+        assert np.isnan(table.terms[other]).tolist() == [False] * 3 + [True, False, True]
+    assert asked == [b" unseen", " \u00df".encode(), b" b"] * 3
+
+
+def test_merges_side_by_side_equal_the_heap(monkeypatch):
+    """Blocks of any size give each word the ids that its own heap of pairs gives."""
+    rnd = random.Random(4)
+    lexicon = bpe_transducer.Lexicon.compile(bpe_transducer.Vocabulary(VOCABULARY), [])
+    raw = [bytes(rnd.choice(b"aehinorst \xc3\xbc.,") for _ in range(rnd.randrange(1, 60))) for _ in range(300)] + [b"a" * n for n in (1, 2, 3, 33, 511, 512, 600)] + [b""]
+    for cells in (1, 700, 200_000):
+        monkeypatch.setattr(bpe_transducer, "STEP_CELLS", cells)
+        counts, ids = lexicon.merge(raw)
+        assert [x.tolist() for x in np.split(ids, np.cumsum(counts)[:-1])] == [lexicon.merge_long(w).tolist() if w else [] for w in raw]
