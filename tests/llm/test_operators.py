@@ -430,6 +430,39 @@ def test_language_model_learns_from_all_training_texts(docs, texts, monkeypatch)
     assert seen == Counter(r[1] or "" for r in texts if zlib.crc32(("" if r[0] is None else str(r[0])).encode()) % 7 != 2)
 
 
+def test_language_model_learns_from_all_training_words(spark, monkeypatch):
+    """Every counted word is learnt from in one of the rounds, and rare words weigh as their counts."""
+    rare, head = [f"w{i}x" for i in range(400)], {b"often": 100_000}
+    counts = spark.createDataFrame([(w, 1 + i % 3) for i, w in enumerate(rare)] + [("often", 100_000), ("", 9)], "word string, count long").repartition(2)
+    lexicon = bpe_transducer.Lexicon.compile(bpe_transducer.Vocabulary(VOCABULARY), [])
+    name = bpe_transducer.distribute(lexicon, counts)
+    known = attention_lm.encoded(counts, name, head).cache()
+    own = np.arange(60_000)  # units that tell all ids apart
+    learnt, seen = [Counter() for _ in range(attention_lm.ROUNDS)], []
+
+    def gradient(self, first, last, target, scored, weight=None):
+        for row, places, by in zip(first, scored, np.ones(len(first)) if weight is None else weight, strict=True):
+            learnt[len(seen)][tuple(row[1 : places.nonzero()[0].max() + 1])] += by
+        return np.zeros_like(self.flat)
+
+    def averaged(rows, learn, model):
+        list(learn(iter(rows.toArrow().combine_chunks().to_batches())))
+        seen.append(rows.count())
+        return model
+
+    monkeypatch.setattr(attention_lm.AttentionModel, "gradient", gradient)
+    monkeypatch.setattr(attention_lm, "averaged", averaged)
+    tail = sum(1 + i % 3 for i in range(400))
+    attention_lm.train_inside_words(known, name, own, np.ones(attention_lm.UNITS), head, tail)
+    ids = {w: tuple(lexicon.ids_of([b" " + w.encode()])[1].tolist()) for w in [*rare, "often"]}
+    assert all(len(ids[w]) <= attention_lm.INNER_WINDOW - 1 for w in rare)
+    assert [sum(ids[w] in found for found in learnt) for w in rare] == [1] * 400
+    for found in learnt:
+        each = [(found[ids[w]], 1 + i % 3) for i, w in enumerate(rare) if ids[w] in found]
+        assert np.allclose([by / n for by, n in each], each[0][0] / each[0][1])
+    assert sum(seen) == 402
+
+
 @pytest.mark.parametrize(("width", "overlap"), [(32, 8), (32, 0), (8, 4)])
 def test_windows_score_each_target_once(width, overlap):
     sizes = np.array([0, 1, 31, 32, 33, 200])
