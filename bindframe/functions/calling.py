@@ -46,18 +46,31 @@ def window_codes(ranks: Column, k: int) -> Column:
     return F.when(F.size(ranks) >= k, F.transform(F.sequence(F.lit(0), F.size(ranks) - k), code)).otherwise(F.array().cast("array<int>"))
 
 
-def windows_of_batch(texts: pa.Array, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """The codes of all windows of k bases of a batch of sequences, one after the other, -1 for windows with other signs, and how many windows each sequence has; null has none."""
-    # another sign than a base counts as one, whatever its bytes
+def letters_of_batch(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of a batch of sequences, one after the other, and where each begins, with the end; another sign than ASCII counts as one N, null as empty."""
     plain = pc.replace_substring_regex(pc.fill_null(texts.cast(pa.string()), ""), "[^\\x00-\\x7F]", "N")
     ends = np.frombuffer(plain.buffers()[1], np.int32)[plain.offset : plain.offset + len(plain) + 1].astype(np.int64) if len(plain) else np.zeros(1, np.int64)
     data = np.frombuffer(plain.buffers()[2], np.uint8)[ends[0] : ends[-1]] if ends[-1] > ends[0] else np.zeros(0, np.uint8)
+    return data, ends - ends[0]
+
+
+def texts_of(letters: np.ndarray) -> pa.Array:
+    """The rows of a matrix of ASCII bytes as texts."""
+    return pa.StringArray.from_buffers(len(letters), pa.py_buffer(np.arange(len(letters) + 1, dtype=np.int32) * np.int32(letters.shape[1])), pa.py_buffer(letters.tobytes()))
+
+
+def windows_of_batch(texts: pa.Array, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """The codes of all windows of k bases of a batch of sequences, one after the other, -1 for windows with other signs, and how many windows each sequence has; null has none."""
+    return windows_of_letters(*letters_of_batch(texts), k)
+
+
+def windows_of_letters(data: np.ndarray, ends: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     rank = np.full(256, -1, np.int64)
     rank[np.frombuffer(BASES.encode(), np.uint8)] = np.arange(len(BASES))
     ranks = rank[data]
     sizes = np.maximum(np.diff(ends) - (k - 1), 0)
     # where each window starts in the letters of the batch
-    first = np.repeat(ends[:-1] - ends[0] - (np.cumsum(sizes) - sizes), sizes) + np.arange(sizes.sum())
+    first = np.repeat(ends[:-1] - (np.cumsum(sizes) - sizes), sizes) + np.arange(sizes.sum())
     codes, right = np.zeros(len(first), np.int64), np.ones(len(first), bool)
     for j in range(k):
         at = ranks[first + j]

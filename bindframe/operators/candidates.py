@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from bindframe.operators.curves import score_steps
 from bindframe.operators.intervals import candidate_probes, resize_peaks, site_count
 from bindframe.operators.rows import with_dense_ids
-from bindframe.operators.sites import core_windows, kernel_score
+from bindframe.operators.sites import kernel_scores_of_cores
 
 
 def all_candidate_probes(peaks: DataFrame, sites: DataFrame, lengths: Sequence[int], counts: Sequence[int], least: int, most: int, length: int = 36, flank: int = 10) -> DataFrame:
@@ -48,15 +48,13 @@ def kernel_sites(df: DataFrame, models: Sequence[Kernel], width: int, threshold:
     """K7 whole: (key, site_start, core_start, core_mid, core, score) of the windows that any model scores strictly above the threshold.
 
     A window is turned where it holds the reverse of a core; a core that is its own reverse is scored on both
-    strands, and the better one counts. core_mid lies half the core behind its start, rounded up.
+    strands, and the better one counts. core_mid lies half the core behind its start, rounded up. All models go over the sequences in one pass.
     """
-    parts = []
-    for m in models:
-        scored = kernel_score(core_windows(df, m.core, width), m.vectors, m.gamma, m.rho, m.linear)
-        best = scored.groupBy("key", "start").agg(F.max("score").alias("score")).where(F.col("score") > threshold)
-        start = F.col("start") + (width - len(m.core)) // 2
-        parts.append(best.select("key", F.col("start").alias("site_start"), start.alias("core_start"), (start + (len(m.core) + 1) // 2).alias("core_mid"), F.lit(m.core).alias("core"), "score"))
-    return reduce(DataFrame.unionByName, parts)
+    scored = kernel_scores_of_cores(df, models, width).where(F.col("score") > threshold)
+    best = scored.groupBy("key", "start", "model").agg(F.max("score").alias("score"))
+    pick = lambda values: F.get(F.array(*map(F.lit, values)), F.col("model"))
+    start = F.col("start") + pick([(width - len(m.core)) // 2 for m in models])
+    return best.select("key", F.col("start").alias("site_start"), start.alias("core_start"), (start + pick([(len(m.core) + 1) // 2 for m in models])).alias("core_mid"), pick([m.core for m in models]).alias("core"), "score")
 
 
 def best_cut(df: DataFrame, positive: str, score: str) -> DataFrame:

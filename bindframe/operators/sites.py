@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from functools import reduce
 from itertools import product
 
@@ -12,8 +12,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, IntegerType, StringType, StructField, StructType
 
-from bindframe.functions.calling import BASES, MOST_K, Caller, added_weights, digits, let, number_array, window_codes, windows_of_batch
+from bindframe.functions.calling import BASES, MOST_K, Caller, added_weights, digits, let, letters_of_batch, number_array, texts_of, window_codes, windows_of_batch
 from bindframe.functions.sequences import reverse_complement
 
 
@@ -176,12 +177,44 @@ def pwm_scan(df: DataFrame, rows: list[dict[str, float]], zero_threshold: bool =
 
 
 def core_windows(df: DataFrame, core: str, width: int) -> DataFrame:
-    """K6: windows of `width` whose centre is the core, or its reverse complement (the window is then turned); palindromes give both."""
-    at = (width - len(core)) // 2 + 1
-    cut = kmer_windows(df, width).where(~F.col("kmer").contains("N"))
-    mid = F.substring("kmer", at, len(core))
-    ways = F.array(F.when(mid == core, F.struct(F.lit(1).alias("orientation"), F.col("kmer").alias("window"))), F.when(mid == reverse_complement(F.lit(core)), F.struct(F.lit(-1).alias("orientation"), reverse_complement(F.col("kmer")).alias("window"))))
-    return cut.select("key", "start", F.explode(F.filter(ways, lambda x: x.isNotNull())).alias("w")).select("key", "start", "w.*")
+    """K6: windows of `width` whose centre is the core, or its reverse complement (the window is then turned); palindromes give both.
+
+    Windows with an N have no row; another sign than ASCII counts as one.
+    """
+    return windows_of_cores(df, [core], width).drop("model")
+
+
+#: What bases turn into on the other strand; other signs stay.
+_TURNED = np.arange(256, dtype=np.uint8)
+_TURNED[list(b"ACGTacgt")] = list(b"TGCAtgca")
+
+
+def windows_of_cores(df: DataFrame, cores: list[str], width: int) -> DataFrame:
+    """(key, start, orientation, window, model): K6 for several cores in one pass over df(key, sequence), by numpy on batches of rows; model is the core's place in the list."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            data, ends = letters_of_batch(batch.column("sequence"))
+            for model, core in enumerate(cores):
+                own, at = np.frombuffer(core.encode(), np.uint8), (width - len(core)) // 2
+                for orientation, wanted in ((1, own), (-1, _TURNED[own[::-1]])):
+                    hit = np.ones(max(0, len(data) - len(core) + 1), bool)
+                    for j, letter in enumerate(wanted):
+                        hit &= data[j : j + len(hit)] == letter
+                    first = np.flatnonzero(hit) - at
+                    row = np.searchsorted(ends, first + at, side="right") - 1
+                    inside = (first >= ends[row]) & (first + width <= ends[row + 1])
+                    first, row = first[inside], row[inside]
+                    letters = data[first[:, None] + np.arange(width)]
+                    plain = ~(letters == ord("N")).any(1)
+                    first, row, letters = first[plain], row[plain], letters[plain]
+                    if len(row):
+                        texts = texts_of(letters if orientation == 1 else _TURNED[letters[:, ::-1]])
+                        columns = {"key": batch.column("key").take(pa.array(row)), "start": pa.array(first - ends[row], pa.int32()), "orientation": pa.array(np.full(len(row), orientation), pa.int32()), "window": texts, "model": pa.array(np.full(len(row), model), pa.int32())}
+                        yield pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
+
+    schema = StructType([df.schema["key"], *(StructField(n, StringType() if n == "window" else IntegerType()) for n in ("start", "orientation", "window", "model"))])
+    return df.select("key", "sequence").mapInArrow(run, schema)
 
 
 def alignment_sites(df: DataFrame, align: DataFrame, k: int, core: tuple[int, int], centre: int, cutoff: float) -> DataFrame:
@@ -218,6 +251,23 @@ def alignment_sites(df: DataFrame, align: DataFrame, k: int, core: tuple[int, in
 VECTOR_BYTES = 64_000_000
 
 
+def _vector_parts(vectors: DataFrame) -> int:
+    """In how many parts the support vectors are taken, so that a dense table of one has VECTOR_BYTES at most."""
+    size = vectors.agg(F.count_distinct("sv_id").alias("n"), F.coalesce(F.max("idx"), F.lit(0)).alias("wide")).first()
+    return max(1, -(-size["n"] * (size["wide"] + 1) * 8 // VECTOR_BYTES))
+
+
+def _dense_vectors(vectors: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """A dense table (index x vector) of one part of the support vectors, and their coefficients."""
+    rows = vectors.select("sv_id", "coef", "idx", "val").collect()  # VECTOR_BYTES bounds it
+    ids = {v: i for i, v in enumerate(sorted({r.sv_id for r in rows}))}
+    dense, coef = np.zeros((max((r.idx for r in rows), default=0) + 1, len(ids))), np.zeros(len(ids))
+    for r in rows:
+        dense[r.idx, ids[r.sv_id]] += r.val
+        coef[ids[r.sv_id]] = r.coef
+    return dense, coef
+
+
 def kernel_score(windows: DataFrame, vectors: DataFrame, gamma: float, rho: float, linear: bool = False, kmax: int = 3) -> DataFrame:
     """K7: (key, start, window) scored against support vectors(sv_id, coef, idx, val) by one-hot positional k-mers; logistic of the decision value.
 
@@ -225,47 +275,73 @@ def kernel_score(windows: DataFrame, vectors: DataFrame, gamma: float, rho: floa
     table would be larger than VECTOR_BYTES is taken in parts of so many vectors, whose sums are added.
     """
     own = windows.select("window").distinct()
-    size = vectors.agg(F.count_distinct("sv_id").alias("n"), F.coalesce(F.max("idx"), F.lit(0)).alias("wide")).first()
-    parts = max(1, -(-size["n"] * (size["wide"] + 1) * 8 // VECTOR_BYTES))
+    parts = _vector_parts(vectors)
     decided = None
     for part in range(parts):
-        rows = vectors.where(F.pmod(F.hash("sv_id"), F.lit(parts)) == part).select("sv_id", "coef", "idx", "val").collect()  # VECTOR_BYTES bounds it
-        ids = {v: i for i, v in enumerate(sorted({r.sv_id for r in rows}))}
-        dense, coef = np.zeros((size["wide"] + 1, len(ids))), np.zeros(len(ids))
-        for r in rows:
-            dense[r.idx, ids[r.sv_id]] += r.val
-            coef[ids[r.sv_id]] = r.coef
-        one = own.mapInArrow(_kernel_sums(dense, coef, gamma, linear, kmax), "window string, value double")
+        values = _kernel_values(*_dense_vectors(vectors.where(F.pmod(F.hash("sv_id"), F.lit(parts)) == part)), gamma, linear, kmax)
+
+        def run(batches: Iterator[pa.RecordBatch], values=values) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                yield pa.RecordBatch.from_arrays([batch.column("window"), pa.array(values(batch.column("window").to_pylist()))], names=["window", "value"])
+
+        one = own.mapInArrow(run, "window string, value double")
         decided = one if decided is None else decided.unionByName(one)
     total = decided.groupBy("window").agg((F.sum("value") - rho).alias("value"))
     return windows.join(total, "window").withColumn("score", 1 / (1 + F.exp(-F.col("value")))).drop("value")
 
 
-def _kernel_sums(dense: np.ndarray, coef: np.ndarray, gamma: float, linear: bool, kmax: int, block: int = 512):
-    """A function for mapInArrow: each window's sum of coefficient times kernel over the vectors of a dense table (index x vector)."""
-    squares = (dense * dense).sum(0)
+def kernel_scores_of_cores(df: DataFrame, models: Sequence[tuple], width: int, kmax: int = 3) -> DataFrame:
+    """(key, start, orientation, window, model, score): K7 of the windows of each model's core; models are (core, vectors, gamma, rho, linear).
+
+    Models whose vectors fit one table are scored in one pass over the sequences, without a shuffle or a join: a task scores each distinct window
+    of a batch once. Windows with other signs than bases have no score and no row.
+    """
+    found = windows_of_cores(df, [m[0] for m in models], width)
+    large = [i for i, m in enumerate(models) if _vector_parts(m[1]) > 1]
+    small = {i: _kernel_values(*_dense_vectors(m[1]), m[2], m[4], kmax) for i, m in enumerate(models) if i not in large}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch.column("window").to_pylist()
-            values = np.zeros(len(texts))
-            by_length: dict[int, list[int]] = {}
-            for i, text in enumerate(texts):
-                by_length.setdefault(len(text), []).append(i)
-            for length, places in by_length.items():
-                for at in range(0, len(places), block):
-                    some = places[at : at + block]
-                    ranks = np.array([[BASES.find(c) for c in texts[i]] for i in some], np.int64).reshape(len(some), length)
-                    index = _positional(ranks, kmax)
-                    dot = np.zeros((len(some), dense.shape[1]))
-                    for column in index.T:
-                        inside = (column >= 0) & (column < len(dense))
-                        dot[inside] += dense[column[inside]]
-                    kernel = dot if linear else np.exp(-gamma * (index.shape[1] + squares - 2 * dot))
-                    values[some] = np.where((ranks < 0).any(1), np.nan, kernel @ coef)  # other signs than ACGT have no score
-            yield pa.RecordBatch.from_arrays([batch.column("window"), pa.array(values)], names=["window", "value"])
-
-    return run
+            of, value = batch.column("model").to_numpy(), np.full(batch.num_rows, np.nan)
+            for i, values in small.items():
+                rows = np.flatnonzero(of == i)
+                coded = batch.column("window").take(pa.array(rows)).dictionary_encode()
+                if len(rows):
+                    value[rows] = values(coded.dictionary.to_pylist())[coded.indices.to_numpy()]
+            yield batch.append_column("value", pa.array(value))
+
+    schema = StructType([*found.schema, StructField("value", DoubleType())])
+    rho = F.get(F.array(*(F.lit(float(m[3])) for m in models)), F.col("model"))
+    out = found.where(F.col("model").isin(list(small))).mapInArrow(run, schema).withColumn("score", 1 / (1 + F.exp(rho - F.col("value")))).drop("value")
+    for i in large:
+        own = kernel_score(found.where(F.col("model") == i), *models[i][1:], kmax)
+        out = out.unionByName(own)
+    return out.where(~F.isnan("score"))
+
+
+def _kernel_values(dense: np.ndarray, coef: np.ndarray, gamma: float, linear: bool, kmax: int, block: int = 512):
+    """A function of texts: each window's sum of coefficient times kernel over the vectors of a dense table (index x vector)."""
+    squares = (dense * dense).sum(0)
+
+    def values_of(texts: list[str]) -> np.ndarray:
+        values = np.zeros(len(texts))
+        by_length: dict[int, list[int]] = {}
+        for i, text in enumerate(texts):
+            by_length.setdefault(len(text), []).append(i)
+        for length, places in by_length.items():
+            for at in range(0, len(places), block):
+                some = places[at : at + block]
+                ranks = np.array([[BASES.find(c) for c in texts[i]] for i in some], np.int64).reshape(len(some), length)
+                index = _positional(ranks, kmax)
+                dot = np.zeros((len(some), dense.shape[1]))
+                for column in index.T:
+                    inside = (column >= 0) & (column < len(dense))
+                    dot[inside] += dense[column[inside]]
+                kernel = dot if linear else np.exp(-gamma * (index.shape[1] + squares - 2 * dot))
+                values[some] = np.where((ranks < 0).any(1), np.nan, kernel @ coef)  # other signs than ACGT have no score
+        return values
+
+    return values_of
 
 
 def _positional(ranks: np.ndarray, kmax: int) -> np.ndarray:

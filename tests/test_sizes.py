@@ -8,7 +8,7 @@ import random
 from pyspark.sql import functions as F
 
 from bindframe.functions import calling, tails
-from bindframe.operators import intervals, mutation, picks, probes, replicates, rows, selection, sites
+from bindframe.operators import candidates, intervals, mutation, picks, probes, replicates, rows, selection, sites
 
 
 def plan_of(df):
@@ -106,6 +106,26 @@ def test_kernel_windows_are_not_joined_with_vectors(spark):
     assert plan_of(found).count("Join") == 1 and "MapInArrow" in plan_of(found)
 
 
+def test_kernel_sites_read_their_sequences_once(spark):
+    vectors = spark.createDataFrame([(1, 2.0, 1, 1.0), (2, -1.0, 5, 1.0)], "sv_id int, coef double, idx int, val double")
+    models = [candidates.Kernel("GG", vectors, 0.1, 0.05), candidates.Kernel("AT", vectors, 0.2, -0.1), candidates.Kernel("GG", vectors, 0.1, 0.3, True)]
+    texts = {"a": "ACGGATTACC", "b": "AGG", "c": "", "d": None, "e": "ACGGNTATCCA", "f": "C\u00e9GGATCCTA", "g": "AGGTATAT", "h": "acGGtaAT"}
+    df = spark.createDataFrame(list(texts.items()), "key string, sequence string").coalesce(1)
+    found = candidates.kernel_sites(df, models, 4, 0.4)
+    assert "Join" not in plan_of(found) and "Union" not in plan_of(found)
+    back = lambda s: "".join({"A": "T", "C": "G", "G": "C", "T": "A"}[c] for c in reversed(s))
+    windows = [(i, k, j, w if way == 1 else back(w), way) for i, m in enumerate(models) for k, s in texts.items() for j in range(len(s or "") - 3) if set(w := s[j : j + 4]) <= set("ACGT") for way in (1, -1) if w[1:3] == (m.core if way == 1 else back(m.core))]
+    each = sites.core_windows(df, "GG", 4).where("window rlike '^[ACGT]+$'").collect()
+    assert sorted((r.key, r.start, r.window, r.orientation) for r in each) == sorted(w[1:] for w in windows if w[0] == 0)
+    want = {}
+    for i, m in enumerate(models):
+        own = spark.createDataFrame([w[1:] for w in windows if w[0] == i], "key string, start int, window string, orientation int")
+        for r in sites.kernel_score(own, *m[1:]).where("score > 0.4").collect():
+            want[i, r.key, r.start] = max(r.score, want.get((i, r.key, r.start), 0))
+    got = [(r.core, r.key, r.site_start, r.core_start, r.core_mid, round(r.score, 12)) for r in found.collect()]
+    assert sorted(got) == sorted((models[i].core, k, j, j + 1, j + 2, round(x, 12)) for (i, k, j), x in want.items()) and len(got) > 8
+
+
 def test_rounds_write_and_shuffle_nothing(spark, tmp_path):
     given = [("a", "ACGGATTACGGGATCCATGAC", 3), ("a", "ACGGATTACGGGATCCATGAC", 0), ("b", None, 0)]
     caller = calling.Caller(2, tuple(float(i % 3) for i in range(16)), 1.5)
