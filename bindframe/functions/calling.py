@@ -234,6 +234,39 @@ class Caller:
 
         return found(seq, target, low, high, allowed)
 
+    def two_on_batches(self, seq: Column, original: Column, tolerance: float = 1e-9) -> Column:
+        """(pos_1, pos_2, score_1, score_2) of a sequence's two sites, null if it has another number of them; by numpy on batches of rows.
+
+        Where an original is given, it must have the same two sites, and one of their scores at most may differ by more than the tolerance.
+        """
+        k, scores, above = self.k, np.array(self.scores), self.above
+
+        def pairs(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+            codes, sizes = windows_of_batch(texts, k)
+            hits = np.flatnonzero((codes >= 0) & (scores[codes] > above))
+            row = np.searchsorted(np.cumsum(sizes), hits, side="right")
+            two = np.bincount(row, minlength=len(sizes)) == 2
+            hits = hits[two[row]].reshape(-1, 2)
+            place, value = np.zeros((len(sizes), 2), np.int64), np.zeros((len(sizes), 2))
+            place[two], value[two] = hits - (np.cumsum(sizes) - sizes)[two, None], scores[codes[hits]]
+            return two, place, value
+
+        @F.arrow_udf("struct<pos_1:int,pos_2:int,score_1:double,score_2:double>")
+        def found(texts: pa.Array, originals: pa.Array) -> pa.Array:
+            two, place, value = pairs(texts)
+            given = np.flatnonzero(two & pc.is_valid(originals).to_numpy(zero_copy_only=False))
+            if len(given):
+                # the originals of many rows are the same
+                coded = originals.take(pa.array(given)).dictionary_encode()
+                own = coded.indices.to_numpy()
+                was, at, past = (x[own] for x in pairs(coded.dictionary))
+                moved = (np.abs(value[given] - past) > tolerance).sum(1)
+                two[given] = was & (at == place[given]).all(1) & (moved <= 1)
+            columns = [*(pa.array(place[:, i], pa.int32()) for i in (0, 1)), *(pa.array(value[:, i]) for i in (0, 1))]
+            return pa.StructArray.from_arrays(columns, ["pos_1", "pos_2", "score_1", "score_2"], mask=pa.array(~two))
+
+        return found(seq, original)
+
     def sites_of(self, seq: Column) -> Column:
         return let(self.codes_of(seq), self.sites)
 

@@ -23,7 +23,7 @@ def two_sites(df: DataFrame, rows: list[dict[str, float]], above: float) -> Data
 
     A sequence's sites are gathered by key; a site takes a few numbers of it.
     """
-    found = pwm_scan(df, rows).where(F.col("score") > above)
+    found = pwm_scan(df, rows, above=above)
     each = found.groupBy("key").agg(F.array_sort(F.collect_list(F.struct("start", "score", "orientation"))).alias("s")).where(F.size("s") == 2)
     part = lambda i, c, name: F.get("s", F.lit(i))[c].alias(name)
     flat = each.select("key", *(part(i, c, f"{n}_{i + 1}") for c, n in (("start", "pos"), ("score", "score"), ("orientation", "side")) for i in (0, 1)))
@@ -49,24 +49,23 @@ def training_table(df: DataFrame, rows: list[dict[str, float]], above: float) ->
 def mutant_table(pairs: DataFrame, caller: Caller, cores: list[str], flank: int = 2, least: int = 4) -> DataFrame:
     """I8: (key, sequence, muttype, comment, pos_1, pos_2, score_1, score_2, distance): I3 to I7 of pairs(key, sequence, pos_1, pos_2) in one table, each called again.
 
-    Only sequences that still hold two sites stay; flank mutants may change one of the two at most. Predictions
-    are added by `score_table` of the models.
+    Only sequences that still hold two sites stay; flank mutants may change one of the two at most. Every mutant is called once, by numpy on
+    batches of rows of all kinds; originals are joined with the pairs, before there are mutants. Predictions are added by `score_table` of the models.
     """
     k = caller.k
     # written once, since six branches read them
     pairs = saved(pairs)
     both = pairs.select("key", F.col("sequence").alias("original"))
-    core = mutation.still_called(design.mutate_core(pairs, cores), caller).select("key", "sequence", F.lit("affinity").alias("muttype"), F.concat(F.lit("core:"), "site", F.lit(":"), "core").alias("comment"))
-    near = design.mutate_flank(pairs, k, flank).join(both, "key")
-    flanks = mutation.one_site_changed(near, caller, F.col("original")).select("key", "sequence", F.lit("affinity").alias("muttype"), F.concat(F.lit("flank:"), "site", F.lit(":"), "position", "base").alias("comment"))
-    moved = mutation.still_called(design.mutate_distance(pairs, k, least), caller).select("key", "sequence", F.lit("distance").alias("muttype"), F.concat(F.lit("distance:"), "distance").alias("comment"))
-    turned = mutation.still_called(design.mutate_orientation(pairs, k), caller).select("key", "sequence", F.lit("orientation").alias("muttype"), F.concat(F.lit("turned:"), "turned").alias("comment"))
-    wild = mutation.still_called(design.wild_type_rows(pairs), caller).select("key", "sequence", "muttype", F.lit("wt").alias("comment"))
+    made = lambda df, kind, comment, key="key", original=F.lit(None).cast("string"): df.select(F.col(key).alias("key"), "sequence", F.lit(kind).alias("muttype") if kind else "muttype", comment.alias("comment"), original.alias("original"))
+    core = made(design.mutate_core(pairs, cores), "affinity", F.concat(F.lit("core:"), "site", F.lit(":"), "core"))
+    near = design.mutate_flank(pairs.join(both, "key").withColumn("key", F.struct("key", "original")), k, flank)
+    flanks = made(near, "affinity", F.concat(F.lit("flank:"), "site", F.lit(":"), "position", "base"), "key.key", F.col("key.original"))
+    moved = made(design.mutate_distance(pairs, k, least), "distance", F.concat(F.lit("distance:"), "distance"))
+    turned = made(design.mutate_orientation(pairs, k), "orientation", F.concat(F.lit("turned:"), "turned"))
+    wild = made(design.wild_type_rows(pairs), None, F.lit("wt"))
     rows = reduce(DataFrame.unionByName, (core, flanks, moved, turned, wild))
-    at = lambda i: F.get("_sites", F.lit(i))
-    called = rows.withColumn("_sites", caller.sites_on_batches(F.col("sequence"))).withColumn("_scores", caller.scores_on_batches(F.col("sequence")))
-    score = lambda i: F.get("_scores", at(i))
-    return called.select("key", "sequence", "muttype", "comment", at(0).alias("pos_1"), at(1).alias("pos_2"), score(0).alias("score_1"), score(1).alias("score_2"), (at(1) - at(0)).alias("distance"))
+    called = rows.withColumn("_two", mutation.settled(caller.two_on_batches(F.col("sequence"), F.col("original")))).where("_two is not null")
+    return called.select("key", "sequence", "muttype", "comment", "_two.*", (F.col("_two.pos_2") - F.col("_two.pos_1")).alias("distance"))
 
 
 def filtered_probes(df: DataFrame, caller: Caller, profile: Caller, primer: str, cutoffs: Sequence[float], gaps: Sequence[int]) -> DataFrame:

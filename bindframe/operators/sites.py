@@ -12,9 +12,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, IntegerType, StringType, StructField, StructType
+from pyspark.sql.types import DoubleType, IntegerType, LongType, StringType, StructField, StructType
 
-from bindframe.functions.calling import BASES, MOST_K, Caller, added_weights, digits, let, letters_of_batch, number_array, texts_of, window_codes, windows_of_batch
+from bindframe.functions.calling import BASES, MOST_K, Caller, added_weights, digits, let, letters_of_batch, number_array, texts_of, window_codes, windows_of_batch, windows_of_letters
 from bindframe.functions.sequences import reverse_complement
 
 
@@ -155,25 +155,38 @@ def pwm_score(kmer: Column, rows: list[dict[str, float]], product: bool = False)
     return total
 
 
-def pwm_scan(df: DataFrame, rows: list[dict[str, float]], zero_threshold: bool = False) -> DataFrame:
-    """K4: each window's better strand; a tie goes to -1; mid = (start + start + length) div 2. With zero_threshold only scores above 0.
+def pwm_scan(df: DataFrame, rows: list[dict[str, float]], zero_threshold: bool = False, above: float | None = None) -> DataFrame:
+    """K4: each window's better strand; a tie goes to -1; mid = (start + start + length) div 2. With zero_threshold only scores above 0, or strictly above any other number.
 
-    The scores of all 4^n windows are a table that each window's code is looked up in, up to MOST_K bases.
+    The scores of all 4^n windows are a table that each window's code is looked up in, by numpy on batches of rows, up to MOST_K bases.
     """
     n = len(rows)
     swap = {"A": "T", "C": "G", "G": "C", "T": "A"}
     back = [{swap[b]: x for b, x in row.items()} for row in reversed(rows)]
-    out = [F.expr(f"start + {n} div 2").alias("mid")]
+    above = 0.0 if zero_threshold and above is None else above
     if n <= MOST_K:
-        ways = [tuple(added_weights(way, kmer) for kmer in product(BASES, repeat=n)) for way in (rows, back)]
-        best, side = number_array([max(x) for x in zip(*ways, strict=True)]), number_array([1 if f > r else -1 for f, r in zip(*ways, strict=True)])
-        codes = let(digits(F.col("sequence")), lambda d: window_codes(d, n))
-        cut = df.where(F.length("sequence") >= n).select("key", "sequence", F.posexplode(codes).alias("start", "_code"))
-        scored = cut.where("_code is not null").select("key", "start", F.substring("sequence", F.col("start") + 1, F.lit(n)).alias("site"), F.get(best, F.col("_code")).alias("score"), F.get(side, F.col("_code")).cast("int").alias("orientation"), *out)
-    else:
-        both = kmer_windows(df, n).withColumn("_f", pwm_score(F.col("kmer"), rows)).withColumn("_r", pwm_score(F.col("kmer"), back))
-        scored = both.select("key", "start", F.col("kmer").alias("site"), F.greatest("_f", "_r").alias("score"), F.when(F.col("_f") > F.col("_r"), 1).otherwise(-1).alias("orientation"), *out)
-    return scored.where("score > 0") if zero_threshold else scored.where("score is not null")
+        forward, reverse = (np.array([added_weights(way, kmer) for kmer in product(BASES, repeat=n)]) for way in (rows, back))
+        best, side = np.maximum(forward, reverse), np.where(forward > reverse, 1, -1)
+        called = np.ones(4**n, bool) if above is None else best > above
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                data, ends = letters_of_batch(batch.column("sequence"))
+                codes, sizes = windows_of_letters(data, ends, n)
+                behind = np.cumsum(sizes)
+                hits = np.flatnonzero((codes >= 0) & called[codes])
+                for at in range(0, len(hits), 100_000):
+                    window = hits[at : at + 100_000]
+                    row, code = np.searchsorted(behind, window, side="right"), codes[window]
+                    start = window - (behind - sizes)[row]
+                    columns = {"key": batch.column("key").take(pa.array(row)), "start": pa.array(start, pa.int32()), "site": texts_of(data[(ends[row] + start)[:, None] + np.arange(n)]), "score": pa.array(best[code]), "orientation": pa.array(side[code], pa.int32()), "mid": pa.array(start + n // 2, pa.int64())}
+                    yield pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
+
+        kinds = {"start": IntegerType(), "site": StringType(), "score": DoubleType(), "orientation": IntegerType(), "mid": LongType()}
+        return df.select("key", "sequence").mapInArrow(run, StructType([df.schema["key"], *(StructField(name, kind) for name, kind in kinds.items())]))
+    both = kmer_windows(df, n).withColumn("_f", pwm_score(F.col("kmer"), rows)).withColumn("_r", pwm_score(F.col("kmer"), back))
+    scored = both.select("key", "start", F.col("kmer").alias("site"), F.greatest("_f", "_r").alias("score"), F.when(F.col("_f") > F.col("_r"), 1).otherwise(-1).alias("orientation"), F.expr(f"start + {n} div 2").alias("mid"))
+    return scored.where("score is not null" if above is None else F.col("score") > above)
 
 
 def core_windows(df: DataFrame, core: str, width: int) -> DataFrame:
@@ -372,11 +385,9 @@ def positional_index(df: DataFrame, col: str, kmax: int = 3) -> DataFrame:
 
 
 def site_pairs(sites: DataFrame) -> DataFrame:
-    """Sequences with exactly two sites(key, pos, score) as one row, in order of position."""
-    by = W.partitionBy("key").orderBy("pos")
-    ranked = sites.withColumn("_n", F.count("*").over(W.partitionBy("key"))).where("_n = 2").withColumn("_i", F.row_number().over(by))
-    pick = lambda c, i: F.max(F.when(F.col("_i") == i, F.col(c))).alias(f"{c}_{i}")
-    return ranked.groupBy("key").agg(*[pick(c, i) for i in (1, 2) for c in ("pos", "score")]).withColumn("distance", F.col("pos_2") - F.col("pos_1"))
+    """Sequences with exactly two sites(key, pos, score) as one row, in order of position; by sums of each key, so that no rows are sorted."""
+    ends = [F.min("pos").alias("pos_1"), F.min_by("score", "pos").alias("score_1"), F.max("pos").alias("pos_2"), F.max_by("score", "pos").alias("score_2")]
+    return sites.groupBy("key").agg(F.count("*").alias("_n"), *ends).where("_n = 2").drop("_n").withColumn("distance", F.col("pos_2") - F.col("pos_1"))
 
 
 def single_site(sites: DataFrame) -> DataFrame:

@@ -25,7 +25,7 @@ VALUES = "transform(sequence(0, length(sequence) - 1), i -> if(i >= 30 and lengt
 
 
 def _call(df):
-    return site.pwm_scan(df, PWM).where("score > 3").selectExpr("key", "mid as pos", "score", "orientation")
+    return site.pwm_scan(df, PWM, above=3.0).selectExpr("key", "mid as pos", "score", "orientation")
 
 
 def _intervals(s, d):

@@ -31,7 +31,7 @@ def _windows(k: int) -> str:
 
 
 def _sites(spark: SparkSession, d: str) -> DataFrame:
-    return op.pwm_scan(v.sequences(spark, d), PWM).where("score > 3").selectExpr("key", "mid as pos", "score", "orientation")
+    return op.pwm_scan(v.sequences(spark, d), PWM, above=3.0).selectExpr("key", "mid as pos", "score", "orientation")
 
 
 def _pwm_sql() -> str:
@@ -80,7 +80,7 @@ QUERIES = {
     "k20_site_summary": lambda s, d: op.site_summary(_sites(s, d)),
     "k21_core_centred_training": lambda s, d: op.core_centred_training(_scored(s, d), 8, ["GGAA", "GGAT"]),
     "p10_strong_weak_order": lambda s, d: op.strong_weak_order(op.site_pairs(_sites(s, d))),
-    "j15_match_sites": lambda s, d: op.match_sites(_sites(s, d), op.pwm_scan(v.sequences(s, d), PWM).where("score > 4").selectExpr("key", "mid as pos", "score")),
+    "j15_match_sites": lambda s, d: op.match_sites(_sites(s, d), op.pwm_scan(v.sequences(s, d), PWM, above=4.0).selectExpr("key", "mid as pos", "score")),
     "j16_specific_sites": lambda s, d: op.sites_in_regions(_sites(s, d), _regions(s, d)),
     "f12_svr_features": lambda s, d: op.positional_index(op.core_windows(v.sequences(s, d, window=8), "GGAA", 8).select("window").distinct(), "window"),
 }

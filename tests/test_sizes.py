@@ -8,7 +8,7 @@ import random
 from pyspark.sql import functions as F
 
 from bindframe.functions import calling, tails
-from bindframe.operators import candidates, intervals, mutation, picks, probes, replicates, rows, selection, sites
+from bindframe.operators import candidates, design, intervals, mutation, picks, probes, replicates, rows, selection, sites
 
 
 def plan_of(df):
@@ -126,6 +126,44 @@ def test_kernel_sites_read_their_sequences_once(spark):
     assert sorted(got) == sorted((models[i].core, k, j, j + 1, j + 2, round(x, 12)) for (i, k, j), x in want.items()) and len(got) > 8
 
 
+def test_mutants_are_called_once(spark):
+    caller = calling.Caller(2, tuple(float(i * 7 % 5) for i in range(16)), 3.5)
+    rnd = random.Random(2)
+    given = [(f"k{i % 25}", "".join(rnd.choice("ACGT") for _ in range(rnd.choice([0, 2, 9, 12]))), rnd.randrange(3), 3 + rnd.randrange(4)) for i in range(60)] + [(None, "ACGTACGT", 1, 5), ("n", None, 1, 5), ("odd", "AC\u00e9TNCGT", 0, 6)]
+    pairs = spark.createDataFrame(given, "key string, sequence string, pos_1 int, pos_2 int")
+    found = probes.mutant_table(pairs, caller, ["GA", "CT"], 2, 1)
+    assert plan_of(found).count("ArrowEvalPython") == 1 and plan_of(found).count("Join") == 1
+    both = pairs.select("key", F.col("sequence").alias("original"))
+    second = lambda df, kind, comment: mutation.still_called(df, caller).selectExpr("key", "sequence", f"{kind} as muttype", f"{comment} as comment")
+    near = mutation.one_site_changed(design.mutate_flank(pairs, 2, 2).join(both, "key"), caller, F.col("original")).selectExpr("key", "sequence", "'affinity' as muttype", "concat('flank:', site, ':', position, base) as comment")
+    want = near.union(second(design.mutate_core(pairs, ["GA", "CT"]), "'affinity'", "concat('core:', site, ':', core)")).union(second(design.mutate_distance(pairs, 2, 1), "'distance'", "concat('distance:', distance)"))
+    want = want.union(second(design.mutate_orientation(pairs, 2), "'orientation'", "concat('turned:', turned)")).union(second(design.wild_type_rows(pairs), "muttype", "'wt'"))
+    want = want.withColumn("s", caller.sites_on_batches(F.col("sequence"))).withColumn("x", caller.scores_on_batches(F.col("sequence")))
+    want = want.selectExpr("key", "sequence", "muttype", "comment", "s[0] as pos_1", "s[1] as pos_2", "x[s[0]] as score_1", "x[s[1]] as score_2", "s[1] - s[0] as distance")
+    assert [f.dataType for f in want.schema] == [f.dataType for f in found.schema]
+    assert sorted(map(tuple, found.collect()), key=repr) == sorted(map(tuple, want.collect()), key=repr) and {r.muttype for r in near.collect()}
+
+
+def test_site_pairs_sort_no_rows(spark):
+    df = spark.createDataFrame([("a", 9, 1.0), ("a", 4, 2.0), ("b", 1, 1.0), ("c", 1, 1.0), ("c", 2, 1.0), ("c", 3, 1.0), (None, 5, 0.5), (None, 5, 0.5)], "key string, pos long, score double")
+    found = sites.site_pairs(df)
+    assert "Window" not in plan_of(found) and found.columns == ["key", "pos_1", "score_1", "pos_2", "score_2", "distance"]
+    assert sorted(map(tuple, found.collect()), key=repr) == [("a", 4, 2.0, 9, 1.0, 5), (None, 5, 0.5, 5, 0.5, 0)]
+
+
+def test_scan_looks_windows_up_on_batches(spark):
+    rows = [{"A": 1.0, "C": -0.5, "G": 0.25, "T": 0.0}, {"A": -1.0, "C": 0.75, "G": 0.5, "T": 0.125}]
+    texts = ["ACGTTGCA", None, "", "A", "GT", "A\u00e9GTT", "acGT", "NNGTN"]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "key int, sequence string").coalesce(1)
+    for above in (None, 0.4):
+        found = sites.pwm_scan(df, rows, above=above)
+        assert "MapInArrow" in plan_of(found) and [f.dataType.simpleString() for f in found.schema] == ["int", "int", "string", "double", "int", "bigint"]
+        back = [{c: r["TGCA"["ACGT".index(c)]] for c in "ACGT"} for r in rows[::-1]]
+        way = lambda w, table: sum(r[c] for r, c in zip(table, w, strict=True))
+        each = [(k, j, w, max(way(w, rows), way(w, back)), 1 if way(w, rows) > way(w, back) else -1, j + 1) for k, s in enumerate(texts) for j in range(len(s or "") - 1) if set(w := s[j : j + 2]) <= set("ACGT")]
+        assert sorted(map(tuple, found.collect())) == sorted(e for e in each if above is None or e[3] > above)
+
+
 def test_rounds_write_and_shuffle_nothing(spark, tmp_path):
     given = [("a", "ACGGATTACGGGATCCATGAC", 3), ("a", "ACGGATTACGGGATCCATGAC", 0), ("b", None, 0)]
     caller = calling.Caller(2, tuple(float(i % 3) for i in range(16)), 1.5)
