@@ -6,14 +6,14 @@ from collections.abc import Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from bindframe.functions.calling import Caller
-from bindframe.functions.sequences import reverse_complement
+from bindframe.functions.sequences import packed, reverse_complement, unpacked
 from bindframe.operators import design, mutation
 from bindframe.operators.models import cross_validated_folds
 from bindframe.operators.replicates import rank_test
-from bindframe.operators.rows import with_dense_ids
 from bindframe.operators.sites import pwm_scan
 from bindframe.sources.shared import saved
 
@@ -106,15 +106,29 @@ def move_sites(df: DataFrame, direction: str = "to_right", fixed: bool = False,
 def array_design(df: DataFrame, primer: str, replicates: int, prefix: str, width: int = 15) -> DataFrame:
     """S20's rows: (id, sequence, score, kind, type, coordinate) of I13 for every variant of df(key, wt, m1, m2, m3); ids run from 1, filled up with zeros to `width` with the prefix.
 
-    Ids follow a hash of the type text, numbered in blocks, so no task sees all rows.
+    Ids follow the md5 of the type text, numbered in blocks, so no task sees all rows. Only the sets are written; their rows are moved once, as a key, a
+    number and the packed bases, and the type text, its hash, the turned bases and the primer are made where the rows are numbered.
     """
     kinds = [x for x in ("wt", "m1", "m2", "m3") if x in df.columns]
-    each = df.select("key", F.explode(F.array(*(F.struct(F.lit(x).alias("kind"), F.col(x).alias("sequence")) for x in kinds))).alias("v"))
-    rows = design.array_rows(each.select(F.concat_ws("_", "key", "v.kind").alias("key"), "v.sequence"), primer, replicates)
-    typed = rows.select(F.concat("key", F.lit("_"), "ori", F.lit("_r"), "rep").alias("type"), "sequence")
-    numbered = with_dense_ids(typed, "type")
-    text = F.concat(F.lit(prefix), F.lpad(F.col("id").cast("string"), max(1, width - len(prefix)), "0"))
-    return numbered.select(text.alias("id"), "sequence", F.lit("Na|Na").alias("score"), F.lit("Na").alias("kind"), "type", F.lit("chr1:0-0").alias("coordinate"))
+    sets = saved(df.select("key", *(packed(F.col(x)).alias(x) for x in kinds)))
+    ways = F.explode(F.array(*(F.struct(F.lit(i * 2 + o).alias("way"), F.lit(r).alias("rep")) for i in range(len(kinds)) for o in (0, 1) for r in range(1, replicates + 1))))
+    kind, ori = F.get(F.array(*map(F.lit, kinds)), F.shiftright("way", 1)), F.concat(F.lit("o"), F.col("way").bitwiseAND(1) + 1)
+    typed = F.concat(F.concat_ws("_", "key", kind), F.lit("_"), ori, F.lit("_r"), "rep")
+    block = F.substring(F.md5(typed), 1, 3)
+
+    # equal types share an id, so a block is as large as its different types
+    names = sets.select("key").distinct().select("key", ways.alias("w")).select("key", "w.*")
+    sizes = names.groupBy(block.alias("_block")).agg(F.count("*").alias("_n"))
+    before = sizes.select("_block", (F.sum("_n").over(W.orderBy("_block")) - F.col("_n")).alias("_before"))
+
+    text = F.get(F.array(*kinds), F.shiftright("w.way", 1))
+    rows = sets.select("key", *kinds, ways.alias("w")).select("key", "w.*", text.alias("bases"))
+    moved = rows.withColumn("_block", block).repartition("_block").select("key", "way", "rep", "bases", "_block", typed.alias("type"))
+    ranked = moved.withColumn("_r", F.dense_rank().over(W.partitionBy("_block").orderBy(F.unhex(F.md5("type")), "type")))
+    sequence = F.concat(unpacked(F.col("bases"), F.col("way").bitwiseAND(1) == 1), F.lit(primer))
+    numbered = ranked.join(F.broadcast(before), "_block").select("type", sequence.alias("sequence"), (F.col("_before") + F.col("_r")).alias("id"))
+    filled = F.concat(F.lit(prefix), F.lpad(F.col("id").cast("string"), max(1, width - len(prefix)), "0"))
+    return numbered.select(filled.alias("id"), "sequence", F.lit("Na|Na").alias("score"), F.lit("Na").alias("kind"), "type", F.lit("chr1:0-0").alias("coordinate"))
 
 
 def write_array_design(df: DataFrame, path: str) -> None:

@@ -7,7 +7,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from bindframe.functions import calling, tails
+from bindframe.functions import calling, sequences, tails
 from bindframe.operators import candidates, design, intervals, mutation, picks, probes, replicates, rows, selection, sites
 
 
@@ -144,6 +144,25 @@ def test_mutants_are_called_once(spark):
     assert sorted(map(tuple, found.collect()), key=repr) == sorted(map(tuple, want.collect()), key=repr) and {r.muttype for r in near.collect()}
 
 
+def test_array_rows_are_moved_packed(spark):
+    texts = ["ACGTTGCAA", "A", "", None, "ACNGT", "acgt", "ACéGT😀", "TTTT"]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, s string").coalesce(1)
+    for turned in (False, True):
+        got = df.select("i", sequences.unpacked(sequences.packed(F.col("s")), F.lit(turned)).alias("t"), (sequences.reverse_complement(F.col("s")) if turned else F.col("s")).alias("u")).collect()
+        assert [r.t for r in got] == [r.u for r in got]
+    given = [("k", "ACG", "ACC", "CCG", "CCC"), ("k", "ACG", "ACC", "CCG", None), ("l", "AN", "A", "", "ACGTACGT"), (None, "A", "C", "G", "T")]
+    sets = spark.createDataFrame(given, "key string, wt string, m1 string, m2 string, m3 string")
+    found = probes.array_design(sets, "TT", 2, "C", 6)
+    moved = [line for line in plan_of(found).splitlines() if "RepartitionByExpression" in line]
+    assert len(moved) == 1
+    each = sets.select("key", F.explode(F.array(*(F.struct(F.lit(x).alias("kind"), F.col(x).alias("sequence")) for x in ("wt", "m1", "m2", "m3")))).alias("v")).select(F.concat_ws("_", "key", "v.kind").alias("key"), "v.sequence")
+    typed = design.array_rows(each, "TT", 2).selectExpr("concat(key, '_', ori, '_r', rep) as type", "sequence")
+    want = rows.with_dense_ids(typed, "type").selectExpr("concat('C', lpad(cast(id as string), 5, '0')) as id", "sequence", "'Na|Na' as score", "'Na' as kind", "type", "'chr1:0-0' as coordinate")
+    assert sorted(map(tuple, found.collect()), key=repr) == sorted(map(tuple, want.collect()), key=repr)
+    # what is moved is the key, numbers and packed bases
+    assert not any("primer" in line or "TT" in line for line in moved) and "parquet" in plan_of(found)
+
+
 def test_site_pairs_sort_no_rows(spark):
     df = spark.createDataFrame([("a", 9, 1.0), ("a", 4, 2.0), ("b", 1, 1.0), ("c", 1, 1.0), ("c", 2, 1.0), ("c", 3, 1.0), (None, 5, 0.5), (None, 5, 0.5)], "key string, pos long, score double")
     found = sites.site_pairs(df)
